@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.common import text_of
 
-SAMPLES = 16
+SAMPLES = 48
 #: So many samples share r (each alone is distributed as if it had its own), which saves a logarithm.
 SHARED = 4
 #: Bits of a sample's name; equal by chance once in 2**24.
