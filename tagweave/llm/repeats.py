@@ -41,7 +41,7 @@ FREQUENT = 64
 #: Contexts, and symbols, of one anchor above which they are compared window by window.
 GROUP_ROWS, GROUP_SYMBOLS = 128, 40_000
 #: Bytes of text worked on at once, and rows held by a task before it passes them on.
-PIECE, HELD = 1 << 20, 1 << 20
+PIECE, HELD = 1 << 19, 1 << 18
 
 
 def _pack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -281,7 +281,7 @@ def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
 
 def _resolve(resolver: Callable, length: int, by_position: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, doc, loc, data, bounds, windows in grouped(batches, 4 << 20):
+        for key, doc, loc, data, bounds, windows in grouped(batches, 3 << 19):
             settled = (np.diff(bounds) == 0) & ~windows
             d, o = [doc[settled]], [loc[settled]]
             if windows.any():

@@ -32,29 +32,29 @@ def suffix_arrays(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(n_strings), lengths)
     cell = np.arange(total) + 2 * owner + 1
     size = total + 2 * n_strings
-    value = np.zeros(size, np.int64)
+    value = np.zeros(size, np.int32)
     value[cell] = symbols
     value[base] = -1
     order, group, previous = _group(value, base, base + lengths + 1)
     out = _emit(order, group, previous, base, base + lengths + 1)
-    return out[cell + 1] - 2 * owner - 1
+    return out[cell + 1].astype(np.int64) - 2 * owner - 1
 
 
 def _group(value: np.ndarray, first: np.ndarray, last: np.ndarray):
     """Phase one. Cells first[i] .. last[i] belong to string i: guard, symbols, least symbol."""
     size = len(value)
-    string = np.repeat(np.arange(len(first)), last - first + 1)
-    order = np.lexsort((np.arange(size), value, string))
+    string = np.repeat(np.arange(len(first), dtype=np.int32), last - first + 1)
+    order = np.lexsort((value, string)).astype(np.int32)
     head = np.ones(size, bool)
     head[1:] = (value[order[1:]] != value[order[:-1]]) | (string[order[1:]] != string[order[:-1]])
     starts = np.flatnonzero(head)
-    place = np.empty(size, np.int64)
-    place[order] = np.arange(size)
-    group = np.empty(size, np.int64)
+    place = np.empty(size, np.int32)
+    place[order] = np.arange(size, dtype=np.int32)
+    group = np.empty(size, np.int32)
     group[order] = np.repeat(starts, np.diff(np.append(starts, size)))
-    count = np.zeros(size, np.int64)
+    count = np.zeros(size, np.int32)
     count[starts] = np.diff(np.append(starts, size))
-    previous = np.arange(size) - 1
+    previous = np.arange(-1, size - 1, dtype=np.int32)
     moved = np.zeros(size, bool)
     at = last.copy()  # the last cell of the highest group that is not yet done
     live = np.flatnonzero(at > first + 1)
@@ -123,7 +123,7 @@ def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _emit(order: np.ndarray, group: np.ndarray, previous: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Phase two; the guard keeps the first cell of each string, the least suffix the second."""
     out = order.copy()
-    free = np.arange(len(order))
+    free = np.arange(len(order), dtype=np.int32)
     placed = np.zeros(len(order), bool)
     placed[first] = True
     placed[last] = True

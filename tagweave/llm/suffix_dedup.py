@@ -26,9 +26,9 @@ def repeats_by_suffix_array(key, doc, start, data, first, last, length):
     size = last - first
     ends = np.cumsum(size + 1)
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    symbols = np.ones(int(ends[-1]), np.int64)
+    symbols = np.ones(int(ends[-1]), np.int32)
     row = np.repeat(np.arange(len(size)), size)
-    symbols[(ends - size - 1)[row] + at] = data[first[row] + at].astype(np.int64) + 2
+    symbols[(ends - size - 1)[row] + at] = data[first[row] + at].astype(np.int32) + 2
     head = np.ones(len(key), bool)
     head[1:] = key[1:] != key[:-1]
     opens = np.flatnonzero(head)
@@ -49,8 +49,8 @@ def repeats_by_suffix_array(key, doc, start, data, first, last, length):
     digest = R.span_hash(pre, window, window + length)
     equal = np.flatnonzero((digest[1:] == digest[:-1]) & (group[1:] == group[:-1]))
     same = np.zeros(len(window), bool)
-    for i in range(0, len(equal), 20_000):
-        e = equal[i : i + 20_000]
+    for i in range(0, len(equal), 10_000):
+        e = equal[i : i + 10_000]
         x = np.lib.stride_tricks.sliding_window_view(symbols, length)
         same[e + 1] = (x[window[e]] == x[window[e + 1]]).all(axis=1)
     run = np.cumsum(~same)
