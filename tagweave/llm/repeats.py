@@ -40,8 +40,8 @@ CONTEXT, SALTED, MARK, SPAN, SELF = 0, 1, 2, 3, 4
 FREQUENT = 64
 #: Contexts, and symbols, of one anchor above which they are compared window by window.
 GROUP_ROWS, GROUP_SYMBOLS = 128, 40_000
-#: Bytes of text worked on at once, and rows held by a task before it passes them on.
-PIECE, HELD = 1 << 19, 1 << 18
+#: Bytes of text worked on at once, and contexts and windows held by a task before it passes them on.
+PIECE, HELD, HELD_WINDOWS = 1 << 19, 1 << 18, 1 << 20
 
 
 def _pack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -242,7 +242,7 @@ def _fetch(unit: str, length: int, by_position: bool) -> Callable:
                         n += len(at)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "doc", "loc", "symbols"])
-                if n >= HELD:
+                if n >= HELD_WINDOWS:
                     yield flush(held)
                     held, n = [], 0
         if n:
@@ -298,11 +298,19 @@ def _resolve(resolver: Callable, length: int, by_position: bool) -> Callable:
                 x, y = resolver(key[whole], doc[whole], loc[whole] >> 32, data, bounds[whole], bounds[whole + 1], length)
                 d.append(x), o.append(_pack(y, np.ones_like(y)))
             d, o = _merge(np.concatenate(d), np.concatenate(o))
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(o)], ["doc", "loc"])
+            if len(d):
+                yield _by_document(d, o)
 
     return run
 
 
+def _by_document(d: np.ndarray, loc: np.ndarray) -> pa.RecordBatch:
+    """One row for each document, with all its spans."""
+    cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+    spans = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(d)).astype(np.int32)), pa.array(loc))
+    return pa.RecordBatch.from_arrays([pa.array(d[cuts]), spans], ["doc", "spans"])
+
+
 def _merge(d: np.ndarray, loc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Repeated windows as ranges of starts."""
     by = np.lexsort((loc, d))
@@ -324,8 +332,9 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, unit: str, length:
     settled = materialize(_settle(rows, by_position, group_rows), "contexts")
     wanted = settled.filter("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("key", "loc", "kind")).alias("wanted"))
     fetched = texts.join(wanted, "doc", "left").select("doc", "text", "wanted").mapInArrow(_fetch(unit, length, by_position), "key long, doc long, loc long, symbols binary")
-    found = fetched.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_resolve(resolver, length, by_position), "doc long, loc long")
-    return settled.filter("kind = 0").select("doc", "loc").unionByName(found).groupBy("doc").agg(F.collect_list("loc").alias("spans"))
+    found = fetched.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_resolve(resolver, length, by_position), "doc long, spans array<long>")
+    known = settled.filter("kind = 0").groupBy("doc").agg(F.collect_list("loc").alias("spans"))
+    return known.unionByName(found).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def removed_mask(spans: np.ndarray, n: int, length: int) -> np.ndarray:
