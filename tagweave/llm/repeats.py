@@ -41,7 +41,7 @@ FREQUENT = 64
 #: Contexts, and symbols, of one anchor above which they are compared window by window.
 GROUP_ROWS, GROUP_SYMBOLS = 128, 40_000
 #: Bytes of text worked on at once, and contexts and windows held by a task before it passes them on.
-PIECE, HELD, HELD_WINDOWS = 1 << 19, 1 << 18, 1 << 20
+PIECE, HELD, HELD_WINDOWS = 1 << 19, 1 << 18, 1 << 19
 
 
 def _pack(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -31,17 +31,18 @@ def repeats_by_extension(key, doc, start, data, first, last, length):
     opens = np.flatnonzero(head)
     left = np.append(opens[1:], len(key))
     group = np.cumsum(head) - 1
-    out_d, out_a = [], []
+    offset = np.cumsum(size) - size
+    repeats = np.zeros(int(size.sum()), bool)
     for shift in range(1, int((left - opens).max(initial=1))):
         other = np.arange(len(key)) - shift
         mine = np.flatnonzero((other >= opens[group]) & (doc > doc[np.maximum(other, 0)]))
         if not len(mine):
             continue
-        d, a = _extend(values, first[mine], size[mine], first[other[mine]], size[other[mine]], length)
-        out_d.append(doc[mine][d]), out_a.append(start[mine][d] + a)
-    if not out_d:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_d), np.concatenate(out_a)
+        pair, at = _extend(values, first[mine], size[mine], first[other[mine]], size[other[mine]], length)
+        repeats[offset[mine[pair]] + at] = True
+    found = np.flatnonzero(repeats)
+    row = np.searchsorted(offset, found, "right") - 1
+    return doc[row], start[row] + found - offset[row]
 
 
 def _extend(values, f1, n1, f2, n2, length):
