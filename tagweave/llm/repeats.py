@@ -327,8 +327,8 @@ def _merge(d: np.ndarray, loc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def find_repeats(docs: DataFrame, id_col: str, text_col: str, unit: str, length: int, gram: int, by_position: bool, resolver: Callable, frequent: int = FREQUENT, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc, spans): for each document with repeats, ranges of window starts as start << 32 | count."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
-    rows = texts.filter("doc is not null").mapInArrow(_map_anchors(unit, length, gram, by_position, frequent), ROW)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).filter("doc is not null")
+    rows = texts.mapInArrow(_map_anchors(unit, length, gram, by_position, frequent), ROW)
     settled = materialize(_settle(rows, by_position, group_rows), "contexts")
     wanted = settled.filter("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("key", "loc", "kind")).alias("wanted"))
     fetched = texts.join(wanted, "doc", "left").select("doc", "text", "wanted").mapInArrow(_fetch(unit, length, by_position), "key long, doc long, loc long, symbols binary")

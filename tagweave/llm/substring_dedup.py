@@ -108,6 +108,6 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``bounds``: when a group counts as too large for the resolver (see ``repeats``).
     """
     spans = find_repeats(docs, id_col, text_col, "words", length, gram, False, repeats_by_extension, **bounds)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
-    out = texts.join(spans, "doc", "left").select("doc", "text", "spans").filter("doc is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).filter("doc is not null")  # as in find_repeats, so that its shuffle is used again
+    out = texts.join(spans, "doc", "left").select("doc", "text", "spans")
     return out.mapInArrow(_cut(length), "doc long, kept string, n_words long, n_removed long, spans array<struct<start:long,end:long>>").withColumnRenamed("doc", id_col)
