@@ -87,7 +87,7 @@ def _cut(length: int):
     return run
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 20, **bounds) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 32, **bounds) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts earlier.
 
     Earlier is a smaller id, or the same document and an earlier start. Matches never cross
