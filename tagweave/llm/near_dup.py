@@ -137,7 +137,7 @@ def _verify(words: int, threshold: float):
                 a, b = (np.bincount(group, np.concatenate(c)[by], head.sum()) for c in ((sides[0][2], np.zeros(len(sides[1][0]))), (np.zeros(len(sides[0][0])), sides[1][2])))
                 similar = probability_jaccard(pair[by][head], a, b, j - i)
                 keep = np.flatnonzero(similar >= threshold - 1e-9)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(keep)), batch.column(1).slice(i, j - i).take(pa.array(keep)), pa.array(similar[keep])], ["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(keep)), batch.column(1).slice(i, j - i).take(pa.array(keep)), pa.array(similar[keep]), *(batch.column(k).slice(i, j - i).take(pa.array(keep)) for k in (4, 5))], ["a", "b", "similarity", "label_a", "label_b"])
 
     return run
 
@@ -169,6 +169,12 @@ def _may_differ(threshold: float) -> int:
     return int(SKETCH * p + 4 * (SKETCH * p * (1 - p)) ** 0.5) + 1
 
 
+def _first_shared(a: Column, b: Column, place: Column) -> Column:
+    """Whether two texts share no band before this one, so that a pair is made once."""
+    same = F.arrays_zip(F.slice(a, 1, place).alias("a"), F.slice(b, 1, place).alias("b"))
+    return ~F.exists(same, lambda x: x["a"] == x["b"])
+
+
 def _shares(words: int):
     """(shingle, id, share): what part of a text's weight each shingle has."""
 
@@ -213,9 +219,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal texts are represented by one. A text's own share is the weight of its shingles that no
     other candidate has; two texts' own shares bound their similarity, and pairs whose
     bound is below the threshold are never made. In each band's bucket, members are first compared with
-    the one of the least own share. Pivots then double each round, those of the smallest components first,
+    the one of the least own share. Pivots then quadruple each round, those of the smallest components first,
     and meet the members of other components only; members whose bound with all of these is below
-    the threshold leave. This ends when no two members of a bucket are left that are in different
+    the threshold leave. A pair is compared in the first of its common bands only. This ends when no two members of a bucket are left that are in different
     components, can be alike and were not compared: no link is lost, and large groups are not paired off.
     With similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8**4)**20 > 0.9999. Before its texts
     are compared, a pair also has to agree in a longer one-bit ProbMinHash sketch, which one of similarity
@@ -228,13 +234,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialize(texts.mapInArrow(_sign(words, bands, rows), "id long, text_key binary, bands array<long>"), "signatures")
     owner = signed.groupBy("text_key").agg(F.min("id").alias("text_id"), F.min("bands").alias("bands"))
     members = signed.join(owner.select("text_key", "text_id"), "text_key").select("id", "text_id").distinct()
-    buckets = owner.select(F.explode("bands").alias("band"), F.col("text_id").alias("id"))
+    buckets = owner.select(F.posexplode("bands").alias("place", "band"), F.col("text_id").alias("id"))
     shared = buckets.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("band")
     active = materialize(buckets.join(shared, "band"), "buckets")
     involved = materialize(texts.join(active.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "candidates")
+    bands_of = owner.select(F.col("text_id").alias("id"), F.transform("bands", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("bands"))
     own = materialize(involved.select("id").join(_own_share(involved, words), "id", "left").select("id", F.coalesce("own", F.lit(0.0)).alias("own")), "own")
     sketches = involved.select("id", "text").mapInArrow(_sketch(words), "id long, sketch array<long>")
-    active = materialize(active.join(own, "id").join(sketches, "id"), "buckets")
+    active = materialize(active.join(own, "id").join(sketches.join(bands_of, "id"), "id"), "buckets")
     labels = own.select("id", F.col("id").alias("label"))
     least = threshold - 1e-4  # own shares are rounded
     edges, turn = None, 0
@@ -244,26 +251,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         two = now.groupBy("band", "label").agg(F.min("own").alias("own")).withColumn("nth", nth).filter("nth <= 2")
         two = two.groupBy("band").agg(F.min(F.struct("nth", "label", "own")).alias("x"), F.max(F.struct("nth", "label", "own")).alias("y")).filter("x.nth < y.nth")
         other = F.when(F.col("label") == F.col("x.label"), F.col("y.own")).otherwise(F.col("x.own"))
-        now = materialize(now.join(two, "band").filter(_bound(F.col("own"), other) >= least).select("band", "id", "own", "sketch", "label"), "active")
+        now = materialize(now.join(two, "band").filter(_bound(F.col("own"), other) >= least).select("band", "place", "id", "own", "sketch", "bands", "label"), "active")
         if now.isEmpty():
             break
         if turn == 0:
-            pivots = now.groupBy("band").agg(F.min(F.struct("own", "id", "label", "sketch")).alias("pivot"))
+            pivots = now.groupBy("band").agg(F.min(F.struct("own", "id", "label", "sketch", "bands")).alias("pivot"))
         else:
             sizes = now.groupBy("band", "label").agg(F.count("*").alias("size"))
             nth = F.row_number().over(Window.partitionBy("band").orderBy("size", "label", "own", "id"))
-            pivots = now.join(sizes, ["band", "label"]).withColumn("nth", nth).filter(F.col("nth") <= 2**turn).select("band", F.struct("own", "id", "label", "sketch").alias("pivot"))
+            pivots = now.join(sizes, ["band", "label"]).withColumn("nth", nth).filter(F.col("nth") <= 4**turn).select("band", F.struct("own", "id", "label", "sketch", "bands").alias("pivot"))
         alike = (F.col("label") != F.col("pivot.label")) & (_bound(F.col("own"), F.col("pivot.own")) >= least) & (_differing(F.col("sketch"), F.col("pivot.sketch")) <= _may_differ(threshold))
-        pairs = now.join(pivots, "band").filter(alike).select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "pairs")
+        alike = alike & _first_shared(F.col("bands"), F.col("pivot.bands"), F.col("place"))
+        pairs = now.join(pivots, "band").filter(alike).select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"), F.least("label", "pivot.label").alias("label_a"), F.greatest("label", "pivot.label").alias("label_b"))
+        pairs = materialize(pairs.dropDuplicates(["a", "b"]), "pairs")
         with_a = pairs.join(involved.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        with_both = with_a.join(involved.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        found = materialize(with_both.mapInArrow(_verify(words, threshold), "a long, b long, similarity double"), "links")
+        with_both = with_a.join(involved.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b", "label_a", "label_b")
+        found = materialize(with_both.mapInArrow(_verify(words, threshold), "a long, b long, similarity double, label_a long, label_b long"), "links")
         edges = edges.unionByName(found) if turn else found
-        tried = tried.unionByName(pairs) if turn else pairs
-        merged = connected_components(edges.select("a", "b"))
-        labels = materialize(own.select("id").join(merged, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
-        active = materialize(now.select("band", "id", "own", "sketch").join(pivots.select("band", F.col("pivot.id").alias("id")), ["band", "id"], "left_anti"), "buckets")
+        merged = connected_components(found.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("into"))
+        labels = materialize(labels.join(merged, "label", "left").select("id", F.coalesce("into", "label").alias("label")), "labels")
+        active = materialize(now.select("band", "place", "id", "own", "sketch", "bands").join(pivots.select("band", F.col("pivot.id").alias("id")), ["band", "id"], "left_anti"), "buckets")
         turn += 1
     out = members.join(labels.select(F.col("id").alias("text_id"), "label"), "text_id", "left")
     if edges is not None:
