@@ -260,6 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sizes = now.groupBy("band", "label").agg(F.count("*").alias("size"))
             nth = F.row_number().over(Window.partitionBy("band").orderBy("size", "label", "own", "id"))
             pivots = now.join(sizes, ["band", "label"]).withColumn("nth", nth).filter(F.col("nth") <= 4**turn).select("band", F.struct("own", "id", "label", "sketch", "bands").alias("pivot"))
+        pivots = materialize(pivots, "pivots")
         alike = (F.col("label") != F.col("pivot.label")) & (_bound(F.col("own"), F.col("pivot.own")) >= least) & (_differing(F.col("sketch"), F.col("pivot.sketch")) <= _may_differ(threshold))
         alike = alike & _first_shared(F.col("bands"), F.col("pivot.bands"), F.col("place"))
         pairs = now.join(pivots, "band").filter(alike).select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"), F.least("label", "pivot.label").alias("label_a"), F.greatest("label", "pivot.label").alias("label_b"))
