@@ -17,40 +17,61 @@ def word_count(text: Column) -> Column:
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets that need the least padding in total.
 
-    best[k][j]: least padded size of the first j lengths in k buckets; the last bucket pads
-    all of its items to the longest one.
+    best[j]: least padded size of the first j lengths; the last bucket pads all of its items
+    to the longest one. Each further bucket takes O(n log n) steps and O(n) memory.
     """
     order = np.argsort(lengths)
-    lengths, counts = lengths[order].astype(np.float64), counts[order].astype(np.float64)
-    total = np.concatenate(([0.0], np.cumsum(counts)))
+    lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     n = len(lengths)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0
-    choices = []
-    for _ in range(min(buckets, n)):
-        # cost of the bucket i .. j - 1: its count times lengths[j - 1]
-        cost = best[:-1, None] + (total[None, 1:] - total[:-1, None]) * lengths[None, :]
-        cost[np.tril_indices(n, -1)] = np.inf
-        choice = cost.argmin(axis=0)
-        found = cost[choice, np.arange(n)]
-        if choices and found[-1] >= best[-1]:
+    if n and int(counts.sum()) * int(lengths[-1]) >= 1 << 63:
+        lengths, counts = lengths.astype(np.float64), counts.astype(np.float64)
+    total = np.concatenate(([0], np.cumsum(counts)))
+    best = np.concatenate(([0], total[1:] * lengths))
+    choices = [np.zeros(n + 1, np.int64)]
+    for _ in range(1, min(buckets, n)):
+        found, choice = _one_more(best, total, lengths)
+        if found[n] >= best[n]:
             break
         choices.append(choice)
-        best = np.concatenate(([np.inf], found))
+        best = found
     bounds, j = [], n
     for choice in reversed(choices):
-        bounds.append(int(lengths[j - 1]))
-        j = int(choice[j - 1])
+        if j:
+            bounds.append(int(lengths[j - 1]))
+            j = int(choice[j])
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, buckets: int = 8, token_budget: int = 65_536, max_bins: int = 1024, shard_rows: int = 4096, seed: int = 17) -> DataFrame:
+def _one_more(best: np.ndarray, total: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(best, choice) with one more bucket, where choice[j] items lie in the buckets before the last.
+
+    The first best choice never falls as j grows, so the choice of the middle j of a range
+    bounds those of both halves; all ranges of one depth are worked on together.
+    """
+    n = len(lengths)
+    found, choice = np.zeros_like(best), np.zeros(n + 1, np.int64)
+    a, b, low, high = (np.array([x]) for x in (1, n + 1, 0, n - 1))
+    while len(a):
+        mid = (a + b) // 2
+        size = np.minimum(high, mid - 1) - low + 1
+        start = np.cumsum(size) - size
+        i = np.repeat(low - start, size) + np.arange(size.sum())
+        cost = best[i] + (np.repeat(total[mid], size) - total[i]) * np.repeat(lengths[mid - 1], size)
+        found[mid] = np.minimum.reduceat(cost, start)
+        least = np.flatnonzero(cost == np.repeat(found[mid], size))
+        choice[mid] = i[least[np.searchsorted(least, start)]]
+        a, b, low, high = (np.concatenate(x) for x in ((a, mid + 1), (mid, b), (low, choice[mid]), (choice[mid], high)))
+        a, b, low, high = (x[a < b] for x in (a, b, low, high))
+    return found, choice
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, buckets: int = 8, token_budget: int = 65_536, shard_rows: int = 4096, seed: int = 17) -> DataFrame:
     """Batches of like-sized documents: (id, n_tokens, bucket, bucket_length, shard, batch, position, padding).
 
-    The histogram of lengths over all rows goes to the driver as at most ``max_bins`` bins
-    (of equal width; lengths count as their bin's longest, so with up to ``max_bins``
-    distinct lengths in reach the boundaries are optimal). Dynamic programming picks the
-    bucket bounds with the least padding. A bucket is dealt into shards of about
+    The histogram of lengths over all rows goes to the driver, one row for each distinct length
+    (with T tokens in all there are at most sqrt(2 T)). Dynamic programming over these picks the
+    bucket bounds with the least padding; a bucket's length is that of its longest document,
+    1 at least. A bucket is dealt into shards of about
     ``shard_rows`` documents by a hash of the id; in each shard, batches take
     floor(token_budget / bucket_length) documents in turn (one at least, so a longer document
     is a batch of its own). Only a shard's last batch can be short.
@@ -61,17 +82,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
     """
     n = (F.coalesce(length, F.lit(0)) if length is not None else word_count(F.col("text"))).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"))
-    widest = docs.select(F.max(n).alias("m")).first()["m"] if max_bins else None
-    width = max(1, -(-(widest or 1) // max_bins))
-    upper = F.greatest(F.ceil(F.col("n_tokens") / width), F.lit(1)) * width
-    found = rows.groupBy(F.least(upper, F.lit(max(widest or 1, 1))).cast("long").alias("upper")).count().collect()
-    if not found:
+    found = rows.groupBy(F.greatest("n_tokens", F.lit(1).cast("long")).alias("upper")).count().toArrow()
+    if not len(found):
         bounds, counts = [1], {1: 0}
     else:
-        lengths = np.array([r["upper"] for r in found])
-        bounds = optimal_bounds(lengths, np.array([r["count"] for r in found]), buckets)
+        lengths, rows_of = (found.column(c).to_numpy() for c in ("upper", "count"))
+        bounds = optimal_bounds(lengths, rows_of, buckets)
         per = np.zeros(len(bounds), np.int64)
-        np.add.at(per, np.searchsorted(bounds, lengths), [r["count"] for r in found])
+        np.add.at(per, np.searchsorted(bounds, lengths), rows_of)
         counts = dict(zip(bounds, per.tolist()))
     bucket = F.lit(len(bounds) - 1)
     shards, bound = F.lit(max(1, -(-counts[bounds[-1]] // shard_rows))), F.lit(bounds[-1])

@@ -159,6 +159,25 @@ def test_packing(spark, docs):
     assert ((batches.n == 1) | (batches.n * batches.length <= 2000)).all()
 
 
+def test_packing_with_one_very_long_document(spark):
+    import itertools
+
+    r = random.Random(4)
+    padded = lambda of, bounds: sum(min(b for b in bounds if b >= n) for n in of)
+    for _ in range(40):
+        of = [r.randint(1, 40) for _ in range(30)] + [r.choice([40, 10**6])]
+        lengths, counts = np.unique(of, return_counts=True)
+        for k in (1, 2, 3):
+            best = min(padded(of, [*x, max(of)]) for m in range(k) for x in itertools.combinations(lengths[:-1].tolist(), m))
+            assert padded(of, packing.optimal_bounds(lengths, counts, k)) == best
+    of = [1, 1, 2, 3, 10, 11, 11, 12, 50, 51, 10**6]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate([0, None, *of])], "doc_id long, n long")
+    got = packing.pack(rows, length=F.col("n"), buckets=4).toPandas()
+    best = min(padded([1, 1, *of], [*x, 10**6]) for x in itertools.combinations(sorted(set(of))[:-1], 3))
+    assert got.bucket_length.sum() == best
+    assert (got[got.n_tokens == 0].bucket == 0).all() and set(got.bucket_length) <= set(of)
+
+
 def test_mixing(docs):
     tokens = {"a": 900, "b": 90, "c": 10, "d": 0}
     exponent, weights, epochs = mixing.solve(tokens, max_repeats=2.0)
