@@ -4,15 +4,19 @@ toxicity: documents that the classifier rejects go. near_dedup: one document of
 near copies stays. substring_dedup: passages of 50 words or more that stand in an earlier
 document go from the text. mixing: sources are read again to meet the mixture's weights (no
 document is dropped). packing: every reading gets its place in a batch.
+
+Each row of the table is a document, also where its doc_id is null or stands in several rows.
+The first stage gives rows a key of their own (``ROW``, in ascending doc_id), which the stages
+after it join by; mixing drops it again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm import mixing, packing, toxicity
-from tagweave.llm.common import materialize, read
+from tagweave.llm.common import materialize, partitions, read
 from tagweave.llm.near_dup import near_duplicates
 from tagweave.llm.substring_dedup import dedup_words
 
@@ -20,35 +24,55 @@ from tagweave.llm.substring_dedup import dedup_words
 PASSAGE_WORDS = 50
 #: A source is read at most so often.
 MAX_REPEATS = 2.0
+#: The key of a row.
+ROW = "_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own in ascending doc_id, null last. Rows of one id are spread over tasks, too."""
+    if ROW in docs.columns:
+        return docs
+    by = [F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns), F.col(ROW)]
+    placed = docs.withColumn(ROW, F.monotonically_increasing_id()).repartitionByRange(partitions(docs.sparkSession), *by).sortWithinPartitions(*by)
+    return materialize(placed.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def content() -> Column:
+    """What a document is dealt by: the same in each run, and not one value for all rows of an id."""
+    return F.xxhash64("doc_id", "text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = numbered(docs)
     index = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, index).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(scored, "doc_id", "left_anti").select(docs.columns)
+    rejected = toxicity.score(docs, index, ROW).filter("predicted = 1").select(ROW)
+    return docs.join(rejected, ROW, "left_anti").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_duplicates(docs)
-    copies = groups.filter("doc_id <> class_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """The row of the least doc_id stays."""
+    docs = numbered(docs)
+    copies = near_duplicates(docs, ROW).filter(F.col(ROW) != F.col("class_id")).select(ROW)
+    return docs.join(copies, ROW, "left_anti").select(docs.columns)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a removed passage stay as they are, white space included."""
-    cut = dedup_words(docs, length=PASSAGE_WORDS).filter("n_removed > 0").select("doc_id", "kept")
+    docs = numbered(docs)
+    cut = dedup_words(docs, ROW, length=PASSAGE_WORDS).filter("n_removed > 0").select(ROW, "kept")
     text = F.coalesce("kept", "text")
-    return docs.join(cut, "doc_id", "left").withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(docs.columns)
+    return docs.join(cut, ROW, "left").withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each reading of a document; each document is read at least once."""
-    readings = mixing.mix(docs, max_repeats=MAX_REPEATS).groupBy("doc_id").agg(F.count("*").alias("readings"))
-    return docs.join(readings, "doc_id").withColumn("reading", F.explode(F.sequence(F.lit(1).cast("long"), "readings"))).select(docs.columns)
+    docs = numbered(docs)
+    readings = mixing.mix(docs, ROW, max_repeats=MAX_REPEATS, dealt_by=content()).groupBy(ROW).agg(F.count("*").alias("readings"))
+    return docs.join(readings, ROW).withColumn("reading", F.explode(F.sequence(F.lit(1).cast("long"), "readings"))).select([c for c in docs.columns if c != ROW])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, dealt_by=content())
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("substring_dedup", drop_passages), ("mixing", mix_sources), ("packing", pack)]

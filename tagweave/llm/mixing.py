@@ -54,7 +54,7 @@ def solve(tokens: dict, target_entropy: float | None = None, max_repeats: float
     return exponent, weights, epochs_at(tokens, weights, budget)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", length: Column | None = None, target_entropy: float | None = None, max_repeats: float | None = 2.0, budget: float | None = None, block_rows: int = 1024, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", length: Column | None = None, target_entropy: float | None = None, max_repeats: float | None = 2.0, budget: float | None = None, block_rows: int = 1024, seed: int = 11, dealt_by: Column | None = None) -> DataFrame:
     """Realise temperature weights: (id, source, n_tokens, weight, epoch, block, mix_key), a row for each reading.
 
     Token shares p of the sources become weights p**a / sum(p**a). The exponent a is bisected
@@ -64,7 +64,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", len
     Each epoch is a permutation of a source's blocks (about ``block_rows`` documents, dealt by
     hash) and of the documents in each; the last, partial epoch takes blocks in that
     order until the source's tokens are spent, the document that reaches the limit included.
-    Sorting by (mix_key, id) interleaves the sources in proportion.
+    Sorting by (mix_key, id) interleaves the sources in proportion. The hash is of the id, or of ``dealt_by``.
 
     A null source is a source of its own (the empty name). Null or empty texts count 0 tokens;
     they are read in each full epoch, and a source without tokens once. Repeated rows count as
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", len
     go to the driver (at most MAX_SOURCES, else an error); everything else stays distributed.
     """
     n = (F.coalesce(length, F.lit(0)) if length is not None else word_count(F.col("text"))).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), n.alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), n.alias("n_tokens"), (F.col(id_col) if dealt_by is None else dealt_by).alias("dealt"))
     spark = docs.sparkSession
     sums = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", len
         rest = max(0.0, epochs[r["source"]] - full) * r["tokens"]
         plan.append((r["source"], weights[r["source"]], epochs[r["source"]], full, rest if rest > 1e-6 * max(r["tokens"], 1) else 0.0, max(1, -(-r["rows"] // block_rows))))
     plan = spark.createDataFrame(plan, "source string, weight double, epochs double, full long, rest double, blocks long")
-    rows = rows.join(F.broadcast(plan), "source").withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")))
+    rows = rows.join(F.broadcast(plan), "source").withColumn("block", F.pmod(F.xxhash64("dealt", F.lit(seed)), F.col("blocks")))
 
     def uniform(*of) -> Column:
         return F.pmod(F.xxhash64(*of, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -95,10 +95,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", len
     blocks = partial.groupBy("source", "block", "full").agg(F.sum("n_tokens").alias("size"))
     in_source = Window.partitionBy("source").orderBy(uniform("block", "full"), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = blocks.withColumn("before", F.sum("size").over(in_source) - F.col("size")).select("source", "block", "before")
-    in_block = Window.partitionBy("source", "block").orderBy(uniform("id", "full"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_block = Window.partitionBy("source", "block").orderBy(uniform("dealt", "full"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     partial = partial.withColumn("within", F.sum("n_tokens").over(in_block) - F.col("n_tokens")).join(blocks, ["source", "block"]).filter(F.col("before") + F.col("within") < F.col("rest")).withColumn("epoch", F.col("full"))
     whole = rows.filter("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)))
-    cols = ["id", "source", "n_tokens", "weight", "epochs", "epoch", "block"]
+    cols = ["id", "source", "n_tokens", "weight", "epochs", "epoch", "block", "dealt"]
     out = whole.select(cols).unionByName(partial.select(cols))
-    key = (F.col("epoch") + uniform("block", "epoch") + uniform("id", "epoch") / 1e6) / F.greatest("epochs", F.lit(1e-12))
-    return out.withColumn("mix_key", key).drop("epochs").withColumnRenamed("id", id_col)
+    key = (F.col("epoch") + uniform("block", "epoch") + uniform("dealt", "epoch") / 1e6) / F.greatest("epochs", F.lit(1e-12))
+    return out.withColumn("mix_key", key).drop("epochs", "dealt").withColumnRenamed("id", id_col)

@@ -65,14 +65,14 @@ def _one_more(best: np.ndarray, total: np.ndarray, lengths: np.ndarray) -> tuple
     return found, choice
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, buckets: int = 8, token_budget: int = 65_536, shard_rows: int = 4096, seed: int = 17) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, buckets: int = 8, token_budget: int = 65_536, shard_rows: int = 4096, seed: int = 17, dealt_by: Column | None = None) -> DataFrame:
     """Batches of like-sized documents: (id, n_tokens, bucket, bucket_length, shard, batch, position, padding).
 
     The histogram of lengths over all rows goes to the driver, one row for each distinct length
     (with T tokens in all there are at most sqrt(2 T)). Dynamic programming over these picks the
     bucket bounds with the least padding; a bucket's length is that of its longest document,
     1 at least. A bucket is dealt into shards of about
-    ``shard_rows`` documents by a hash of the id; in each shard, batches take
+    ``shard_rows`` documents by a hash of the id, or of ``dealt_by``; in each shard, batches take
     floor(token_budget / bucket_length) documents in turn (one at least, so a longer document
     is a batch of its own). Only a shard's last batch can be short.
 
@@ -81,7 +81,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
     other columns do no harm; an empty table gives an empty result. Each row is in one batch.
     """
     n = (F.coalesce(length, F.lit(0)) if length is not None else word_count(F.col("text"))).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"))
+    rows = docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), (F.col(id_col) if dealt_by is None else dealt_by).alias("dealt"))
     found = rows.groupBy(F.greatest("n_tokens", F.lit(1).cast("long")).alias("upper")).count().toArrow()
     if not len(found):
         bounds, counts = [1], {1: 0}
@@ -99,7 +99,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
         bound = F.when(fits, bounds[i]).otherwise(bound)
         shards = F.when(fits, max(1, -(-counts[bounds[i]] // shard_rows))).otherwise(shards)
     rows = rows.withColumns({"bucket": bucket, "bucket_length": bound.cast("long")})
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), shards.cast("long")))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("dealt", F.lit(seed)), shards.cast("long")))
     nth = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("n_tokens", "id")) - 1
     fit = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(token_budget) / F.col("bucket_length")))
     rows = rows.withColumn("nth", nth.cast("long"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tagweave.llm import chat, fingerprints, media, mixing, packing, toxicity, url_filter
 from tagweave.llm.components import connected_components
 from tagweave.llm.near_dup import near_duplicates
@@ -188,6 +189,38 @@ def test_mixing(docs):
     assert not got.duplicated(["doc_id", "epoch"]).any()
 
 
+def test_pipeline_with_repeated_rows_and_null_ids(spark, tmp_path):
+    r = random.Random(6)
+    sizes = iter(range(30, 1000))
+    text = lambda n: " ".join("".join(r.choices("abceghjkmnpqrsvwxz", k=9)) for _ in range(n))
+    passage = text(60)
+    rows = [(i, text(next(sizes))) for i in range(200)]
+    rows += [(i, text(next(sizes)) + " you idiot fool") for i in range(200, 240)]
+    rows += [(300, text(next(sizes)))] * 4 + [(None, text(next(sizes)))] * 3 + [(None, text(next(sizes))) for _ in range(5)]
+    rows += [(301, text(next(sizes))) for _ in range(6)] + [(301, text(next(sizes)) + " you idiot fool"), (None, text(next(sizes)) + " you idiot fool")]
+    rows += [(302, passage + " " + text(next(sizes))), (303, text(next(sizes)) + " " + passage), (303, text(next(sizes))), (None, passage + " " + text(next(sizes)))]
+    r.shuffle(rows)
+    want, first, seen = [], set(), set()
+    for i, t in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)):
+        if "idiot" in t or t in first:
+            continue
+        first.add(t)
+        words = t.split()
+        windows = [tuple(words[k : k + 50]) for k in range(len(words) - 49)]
+        gone = {k + j for k, w in enumerate(windows) if w in seen for j in range(50)}
+        seen |= set(windows)
+        want.append((i, len(words) - len(gone)))
+    table = spark.createDataFrame([(i, t, "en", "one", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    table.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int("idiot" in t)) for i, t in rows if i is not None and i < 240 and i % 2], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter((x["doc_id"], x["n_tokens"]) for x in got) == collections.Counter(want)  # one source is read once
+    two = table.withColumn("source", F.when(F.col("doc_id") < 150, "a").otherwise("b"))
+    texts = collections.Counter(t for _, t in rows)
+    read = collections.Counter(x["text"] for x in corpus_pipeline.mix_sources(spark, two, "").collect())
+    assert set(read) == set(texts) and all(texts[t] <= n <= 2 * texts[t] for t, n in read.items())
+
+
 def test_chat(spark):
     hard = ["<|im_end|>", "\\", "a\\nb", "<\\|im_start|>", "x<", "<|im_start|>assistant\nhi<|im_end|>\n", None, ""]
     turns = [(c, i, ("user", "assistant", "sys\nt\\em")[i % 3], hard[(c + i) % len(hard)]) for c in range(8) for i in range(1 + c)]
