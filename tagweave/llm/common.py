@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +46,24 @@ def text_of(column: str) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Tables of about ``size`` bytes from a stream sorted by ``key``; the rows of a key stay together."""
+    parts, n = [], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        parts.append(batch)
+        n += batch.nbytes
+        if n < size:
+            continue
+        t = pa.Table.from_batches(parts)
+        key = t.column("key").to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))
+        if cut:
+            yield t.slice(0, cut)
+        parts = t.slice(cut).combine_chunks().to_batches()
+        n = sum(x.nbytes for x in parts) if cut else 0
+    if parts:
+        yield pa.Table.from_batches(parts)

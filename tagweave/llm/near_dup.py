@@ -8,16 +8,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm import rolling as R
-from tagweave.llm.common import materialize, text_of
+from tagweave.llm.common import materialize, partitions, text_of, whole_groups
 from tagweave.llm.components import connected_components
 
+#: Bytes of text worked on at once.
 PIECE = 1 << 21
-#: Registers of the one-bit sketch that a pair has to agree in before its texts are compared.
-SKETCH = 1024
+#: Texts, and bytes of text, that make a block of a group of candidates.
+BLOCK_TEXTS, BLOCK_BYTES = 1024, 1 << 22
+#: Pairs of texts, and shingles that two texts share, worked on at once.
+SLOTS, SHARED = 1 << 20, 1 << 22
+#: Pairs whose exact similarity is computed at once.
+VERIFIED = 256
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,6 +107,8 @@ def _lower(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign(words: int, bands: int, rows: int):
+    """(id, text_key, size, bands): 128 bits of the text's hash, its bytes, and a hash of each band's registers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole, cut = R.strings(batch.column(1))
@@ -116,167 +123,230 @@ def _sign(words: int, bands: int, rows: int):
                 found = R.mix(found + np.arange(bands, dtype=np.uint64)).view(np.int64)
                 some = np.zeros(j - i, bool)
                 some[doc] = True
-                values = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32)), pa.array(found[some].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(keys[i:j], pa.binary()), values], ["id", "text_key", "bands"])
-
-    return run
-
-
-def _verify(words: int, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (x, xb), (y, yb) = _lower(batch.column(2)), _lower(batch.column(3))
-            for i, j in R.pieces(xb + yb, PIECE):
-                sides = [shingles(d[b[i] : b[j]], b[i : j + 1] - b[i], words) for d, b in ((x, xb), (y, yb))]
-                pair = np.concatenate((sides[0][0], sides[1][0]))
-                element = np.concatenate((sides[0][1], sides[1][1]))
-                by = np.lexsort((element, pair))
-                head = np.ones(len(by), bool)
-                head[1:] = (pair[by][1:] != pair[by][:-1]) | (element[by][1:] != element[by][:-1])
-                group = np.cumsum(head) - 1
-                a, b = (np.bincount(group, np.concatenate(c)[by], head.sum()) for c in ((sides[0][2], np.zeros(len(sides[1][0]))), (np.zeros(len(sides[0][0])), sides[1][2])))
-                similar = probability_jaccard(pair[by][head], a, b, j - i)
-                keep = np.flatnonzero(similar >= threshold - 1e-9)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(keep)), batch.column(1).slice(i, j - i).take(pa.array(keep)), pa.array(similar[keep]), *(batch.column(k).slice(i, j - i).take(pa.array(keep)) for k in (4, 5))], ["a", "b", "similarity", "label_a", "label_b"])
+                ends = np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(found[some].ravel()))
+                columns = [batch.column(0).slice(i, j - i), pa.array(keys[i:j], pa.binary()), pa.array(np.diff(cut[i : j + 1])), values]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "text_key", "size", "bands"])
 
     return run
 
 
-def _sketch(words: int):
-    """(id, sketch): one bit of each of SKETCH registers, in longs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = R.mix(np.arange(1, SKETCH + 1, dtype=np.uint64))
-        for batch in batches:
-            data, bounds = _lower(batch.column(1))
-            for i, j in R.pieces(bounds, PIECE):
-                doc, element, count = shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], words)
-                names = prob_min_hash(doc, element, count.astype(np.float64), j - i, SKETCH)
-                bits = np.packbits((R.mix(names ^ salt) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-                values = pa.ListArray.from_arrays(pa.array((np.arange(j - i + 1) * (SKETCH // 64)).astype(np.int32)), pa.array(bits.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), values], ["id", "sketch"])
-
-    return run
-
-
-def _differing(a: Column, b: Column) -> Column:
-    return sum(F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(SKETCH // 64))
-
-
-def _may_differ(threshold: float) -> int:
-    """Sketch bits in which a pair at the threshold differs, four standard deviations included."""
-    p = (1 - threshold) / 2
-    return int(SKETCH * p + 4 * (SKETCH * p * (1 - p)) ** 0.5) + 1
-
-
-def _first_shared(a: Column, b: Column, place: Column) -> Column:
-    """Whether two texts share no band before this one, so that a pair is made once."""
-    same = F.arrays_zip(F.slice(a, 1, place).alias("a"), F.slice(b, 1, place).alias("b"))
-    return ~F.exists(same, lambda x: x["a"] == x["b"])
-
+class Texts:
+    """The weighted shingles of some groups of texts, and for each shingle of a group the texts that have it."""
+
+    def __init__(self, column, key: np.ndarray, words: int):
+        data, bounds = _lower(column)
+        self.n = len(key)
+        doc, element, count = shingles(data, bounds, words)
+        self.doc, self.element, self.count = doc, element, count
+        self.rows = np.searchsorted(doc, np.arange(self.n + 1))
+        self.first = np.searchsorted(key, key)  # of the text's group
+        total = np.bincount(doc, count, self.n)
+        self.share = count / total[doc]
+        some = np.maximum(np.diff(self.rows), 1)
+        most = np.zeros(self.n, np.int64)
+        np.maximum.at(most, doc, count)
+        self.uniform = most * some <= total  # all shingles weigh the same
+        order = np.lexsort((doc, element, self.first[doc]))
+        head = np.ones(len(order), bool)
+        g, e = self.first[doc][order], element[order]
+        head[1:] = (g[1:] != g[:-1]) | (e[1:] != e[:-1])
+        self.posting_doc, self.posting_share = doc[order], self.share[order]
+        start = np.flatnonzero(head)[np.cumsum(head) - 1] if len(order) else order
+        self.low, self.own = np.empty_like(order), np.empty_like(order)
+        self.low[order], self.own[order] = start, np.arange(len(order))
+
+    def bounds(self, threshold: float):
+        """Arrays (a, b, bound, exact) of pairs a > b of a group whose bound is at least the threshold.
+
+        With p and q, the shares of both texts that lie on common shingles, J_P is at most
+        p q / (p + q - p q), and exactly that if each text's shingles weigh the same.
+        """
+        work = np.concatenate(([0], np.cumsum(self.own - self.low)))[self.rows]
+        slots = np.concatenate(([0], np.cumsum(np.arange(self.n) - self.first)))
+        i = 0
+        while i < self.n:
+            by_slots = int(np.searchsorted(slots, slots[i] + SLOTS, "right")) - 1
+            by_work = int(np.searchsorted(work, work[i] + SHARED, "right")) - 1
+            j = min(self.n, max(i + 1, min(by_slots, by_work)))
+            r = slice(self.rows[i], self.rows[j])
+            n = self.own[r] - self.low[r]
+            if n.sum():
+                take = np.repeat(self.low[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                doc = np.repeat(self.doc[r], n)
+                other = self.posting_doc[take]
+                slot = slots[doc] - slots[i] + other - self.first[doc]
+                size = int(slots[j] - slots[i])
+                p = np.bincount(slot, np.repeat(self.share[r], n), size)
+                q = np.bincount(slot, self.posting_share[take], size)
+                found = np.flatnonzero((p > 0) & (p * q >= (threshold - 1e-9) * (p + q - p * q)))
+                p, q = p[found], q[found]
+                a = np.searchsorted(slots, slots[i] + found, "right") - 1
+                b = found + slots[i] - slots[a] + self.first[a]
+                yield a, b, p * q / (p + q - p * q), self.uniform[a] & self.uniform[b]
+            i = j
+
+    def similarity(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """J_P of pairs."""
+
+        def side(t: np.ndarray):
+            n = np.diff(self.rows)[t]
+            at = np.repeat(self.rows[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            return np.repeat(np.arange(len(t)), n), self.element[at], self.count[at]
+
+        (pa_, ea, ca), (pb, eb, cb) = side(a), side(b)
+        pair, element = np.concatenate((pa_, pb)), np.concatenate((ea, eb))
+        x, y = np.concatenate((ca, np.zeros(len(cb)))), np.concatenate((np.zeros(len(ca)), cb))
+        by = np.lexsort((element, pair))
+        pair, element, x, y = pair[by], element[by], x[by], y[by]
+        head = np.ones(len(pair), bool)
+        head[1:] = (pair[1:] != pair[:-1]) | (element[1:] != element[:-1])
+        group = np.cumsum(head) - 1
+        x, y = np.bincount(group, x, head.sum()), np.bincount(group, y, head.sum())
+        return probability_jaccard(pair[head], x, y, len(a))
+
+
+class Forest:
+    """Disjoint sets; the root of a set is its least member."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+
+def _compare(words: int, threshold: float):
+    """Edges (a, b) that connect the texts of each key which exact similarities connect.
+
+    Rows are sorted by key. Two rows are compared unless they stand on the same side (null sides
+    are compared among themselves); rows with the same ``known`` are connected already.
+    """
 
-def _shares(words: int):
-    """(shingle, id, share): what part of a text's weight each shingle has."""
+    def links(t: pa.Table) -> pa.RecordBatch:
+        key, ids = (t.column(c).to_numpy() for c in ("key", "id"))
+        side, known = t.column("side").fill_null(-1).to_numpy(), t.column("known")
+        texts, forest = Texts(t.column("text").combine_chunks(), key, words), Forest(len(key))
+        for name in np.unique(known.drop_null().to_numpy()):
+            same = np.flatnonzero(known.fill_null(-1).to_numpy() == name)
+            same = same[known.is_valid().to_numpy()[same]].tolist()
+            for x, y in zip(same, same[1:]):
+                if key[x] == key[y]:
+                    forest.join(x, y)
+        rest = []
+        for a, b, bound, exact in texts.bounds(threshold):
+            use = (side[a] != side[b]) | (side[a] < 0)
+            a, b, bound, exact = a[use], b[use], bound[use], exact[use]
+            for x, y in zip(a[exact].tolist(), b[exact].tolist()):
+                forest.join(x, y)
+            open_ = np.array([forest.root(x) != forest.root(y) for x, y in zip(a[~exact].tolist(), b[~exact].tolist())], bool)
+            rest.append((a[~exact][open_], b[~exact][open_], bound[~exact][open_]))
+        if rest:
+            a, b, bound = (np.concatenate(x) for x in zip(*rest))
+            by = np.argsort(-bound, kind="stable")
+            a, b = a[by], b[by]
+            while len(a):
+                x, y = a[:VERIFIED], b[:VERIFIED]
+                for k in np.flatnonzero(texts.similarity(x, y) >= threshold - 1e-9):
+                    forest.join(int(x[k]), int(y[k]))
+                a, b = a[VERIFIED:], b[VERIFIED:]
+                open_ = np.array([forest.root(x) != forest.root(y) for x, y in zip(a.tolist(), b.tolist())], bool)
+                a, b = a[open_], b[open_]
+        root = np.array([forest.root(x) for x in range(len(key))], np.int64)
+        use = np.flatnonzero(root != np.arange(len(key)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(ids[root[use]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.asarray(batch.column(0), np.int64)
-            data, bounds = _lower(batch.column(1))
-            for i, j in R.pieces(bounds, PIECE):
-                doc, element, count = shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], words)
-                share = count / np.bincount(doc, count, j - i)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(element.view(np.int64)), pa.array(ids[i:j][doc]), pa.array(share.astype(np.float32))], ["shingle", "id", "share"])
+        for table in whole_groups(batches, PIECE):
+            yield links(table)
 
     return run
 
 
-def _own_share(texts: DataFrame, words: int) -> DataFrame:
-    """(id, own): the part of a text's weight that lies on shingles of no other text."""
-    found = texts.select("id", "text").mapInArrow(_shares(words), "shingle long, id long, share float")
-    alone = found.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("share").alias("share")).filter("n = 1")
-    return alone.groupBy("id").agg(F.sum("share").alias("own"))
+def _links(rows: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Edges within the keys of rows (key, side, known, id, text)."""
+    dealt = rows.select("key", "side", "known", "id", "text").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "id")
+    return dealt.mapInArrow(_compare(words, threshold), "a long, b long")
 
 
-def _bound(a: Column, b: Column) -> Column:
-    """The highest J_P that two texts can have whose own shares are at least a and b.
+def _key(*of: str | Column) -> Column:
+    return F.xxhash64(*of)
 
-    Each term of J_P is at most x y / (y + b x), and by concavity their sum is at most that of
-    the whole common shares 1 - a and 1 - b.
-    """
-    return F.when((a >= 1) | (b >= 1), 0.0).otherwise((1 - a) * (1 - b) / (1 - a * b))
 
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
-    """(id, text_id, class_id, links): groups of texts that are alike.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 6, block_texts: int = BLOCK_TEXTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, text_id, class_id): groups of texts that are alike.
 
     Texts are weighted sets of shingles (``words`` lower-cased words, weighted by how often they
-    occur). Those whose ProbMinHash signatures agree in a band are candidates, and a
-    pair is linked if its exact probability Jaccard similarity is at least ``threshold``
-    (for texts without repeated shingles that is the Jaccard similarity). ``class_id`` is the least
-    id of the connected component, ``text_id`` the least id with the same text, ``links`` the number of
-    verified links of the text, as far as they were needed to find the classes.
-
-    Equal texts are represented by one. A text's own share is the weight of its shingles that no
-    other candidate has; two texts' own shares bound their similarity, and pairs whose
-    bound is below the threshold are never made. In each band's bucket, members are first compared with
-    the one of the least own share. Pivots then quadruple each round, those of the smallest components first,
-    and meet the members of other components only; members whose bound with all of these is below
-    the threshold leave. A pair is compared in the first of its common bands only. This ends when no two members of a bucket are left that are in different
-    components, can be alike and were not compared: no link is lost, and large groups are not paired off.
-    With similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8**4)**20 > 0.9999. Before its texts
-    are compared, a pair also has to agree in a longer one-bit ProbMinHash sketch, which one of similarity
-    0.8 does with probability 0.9999 and one of 0.6 hardly ever does.
-
-    Null texts are empty; all empty texts are equal, and a text without words is linked to no
-    other. Rows with a null id are left out; repeated rows return once. Other columns are ignored.
+    occur). Two texts are linked if their exact probability Jaccard similarity is at least
+    ``threshold`` (for texts without repeated shingles that is the Jaccard similarity).
+    ``class_id`` is the least id of the connected component, ``text_id`` the least id with the same text.
+
+    1. Equal texts are represented by one, and get ProbMinHash signatures. Those that agree in a
+       band share a bucket; texts that a chain of buckets connects are a group of candidates. A pair
+       of similarity 0.8 shares a bucket with probability 1 - (1 - 0.8**6)**24 > 0.999, one of 0.85
+       with more than 0.9999; a pair of a group counts even if it shares none.
+    2. A group of up to ``block_texts`` texts is verified in one task, by the shingles that texts
+       have in common. A larger one is cut into blocks. First each block meets the text with most
+       company in its buckets; what is linked to that one is connected already. Then only blocks of the
+       texts that are left meet each other and the rest, a task for two blocks. So a large group
+       of copies costs a row for each text, and what is left of n texts a row for each and each
+       block; no pair leaves a task, only edges that connect its texts do.
+
+    No link between texts of a group is lost. Null texts are empty; all empty texts are equal, and a text without words is linked to no
+    other. Rows with a null id are left out; repeated rows return once. An id with several texts stands
+    for all of them. An empty table gives an empty result. Other columns are ignored.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).filter("id is not null")
-    signed = materialize(texts.mapInArrow(_sign(words, bands, rows), "id long, text_key binary, bands array<long>"), "signatures")
-    owner = signed.groupBy("text_key").agg(F.min("id").alias("text_id"), F.min("bands").alias("bands"))
+    signed = materialize(texts.mapInArrow(_sign(words, bands, rows), "id long, text_key binary, size long, bands array<long>"), "signatures")
+    owner = signed.groupBy("text_key").agg(F.min("id").alias("text_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    owner = materialize(owner, "texts")
     members = signed.join(owner.select("text_key", "text_id"), "text_key").select("id", "text_id").distinct()
-    buckets = owner.select(F.posexplode("bands").alias("place", "band"), F.col("text_id").alias("id"))
-    shared = buckets.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("band")
-    active = materialize(buckets.join(shared, "band"), "buckets")
-    involved = materialize(texts.join(active.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "candidates")
-    bands_of = owner.select(F.col("text_id").alias("id"), F.transform("bands", lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("bands"))
-    own = materialize(involved.select("id").join(_own_share(involved, words), "id", "left").select("id", F.coalesce("own", F.lit(0.0)).alias("own")), "own")
-    sketches = involved.select("id", "text").mapInArrow(_sketch(words), "id long, sketch array<long>")
-    active = materialize(active.join(own, "id").join(sketches.join(bands_of, "id"), "id"), "buckets")
-    labels = own.select("id", F.col("id").alias("label"))
-    least = threshold - 1e-4  # own shares are rounded
-    edges, turn = None, 0
-    while True:
-        now = active.join(labels, "id")
-        nth = F.row_number().over(Window.partitionBy("band").orderBy("own", "label"))
-        two = now.groupBy("band", "label").agg(F.min("own").alias("own")).withColumn("nth", nth).filter("nth <= 2")
-        two = two.groupBy("band").agg(F.min(F.struct("nth", "label", "own")).alias("x"), F.max(F.struct("nth", "label", "own")).alias("y")).filter("x.nth < y.nth")
-        other = F.when(F.col("label") == F.col("x.label"), F.col("y.own")).otherwise(F.col("x.own"))
-        now = materialize(now.join(two, "band").filter(_bound(F.col("own"), other) >= least).select("band", "place", "id", "own", "sketch", "bands", "label"), "active")
-        if now.isEmpty():
-            break
-        if turn == 0:
-            pivots = now.groupBy("band").agg(F.min(F.struct("own", "id", "label", "sketch", "bands")).alias("pivot"))
-        else:
-            sizes = now.groupBy("band", "label").agg(F.count("*").alias("size"))
-            nth = F.row_number().over(Window.partitionBy("band").orderBy("size", "label", "own", "id"))
-            pivots = now.join(sizes, ["band", "label"]).withColumn("nth", nth).filter(F.col("nth") <= 4**turn).select("band", F.struct("own", "id", "label", "sketch", "bands").alias("pivot"))
-        pivots = materialize(pivots, "pivots")
-        alike = (F.col("label") != F.col("pivot.label")) & (_bound(F.col("own"), F.col("pivot.own")) >= least) & (_differing(F.col("sketch"), F.col("pivot.sketch")) <= _may_differ(threshold))
-        alike = alike & _first_shared(F.col("bands"), F.col("pivot.bands"), F.col("place"))
-        pairs = now.join(pivots, "band").filter(alike).select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"), F.least("label", "pivot.label").alias("label_a"), F.greatest("label", "pivot.label").alias("label_b"))
-        pairs = materialize(pairs.dropDuplicates(["a", "b"]), "pairs")
-        with_a = pairs.join(involved.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        with_both = with_a.join(involved.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b", "label_a", "label_b")
-        found = materialize(with_both.mapInArrow(_verify(words, threshold), "a long, b long, similarity double, label_a long, label_b long"), "links")
-        edges = edges.unionByName(found) if turn else found
-        merged = connected_components(found.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("into"))
-        labels = materialize(labels.join(merged, "label", "left").select("id", F.coalesce("into", "label").alias("label")), "labels")
-        active = materialize(now.select("band", "place", "id", "own", "sketch", "bands").join(pivots.select("band", F.col("pivot.id").alias("id")), ["band", "id"], "left_anti"), "buckets")
-        turn += 1
+
+    buckets = owner.select(F.explode("bands").alias("band"), F.col("text_id").alias("id"))
+    shared = buckets.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1")
+    met = materialize(buckets.join(shared, "band").groupBy("id", "least").agg(F.sum("n").alias("n")), "buckets")
+    group = connected_components(met.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    company = met.groupBy("id").agg(F.sum("n").alias("company"))
+    sizes = owner.groupBy(F.col("text_id").alias("id")).agg(F.sum("size").alias("size"))
+    placed = group.select("id", F.col("label").alias("group")).join(company, "id").join(sizes, "id")
+    placed = materialize(placed, "groups")
+    whole = placed.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max_by("id", F.struct("company", -F.col("id"))).alias("pivot")).filter("n > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / block_texts, F.col("bytes") / block_bytes)).cast("int")
+    whole = whole.withColumn("blocks", F.least(blocks, F.col("n").cast("int")))
+    involved = texts.join(placed.join(whole, "group").select("id", "group", "pivot", "blocks"), "id").dropDuplicates(["id", "text"])
+    involved = materialize(involved, "candidates")
+
+    none = F.lit(None)
+    small = involved.filter("blocks = 1")
+    found = _links(small.select(F.col("group").alias("key"), none.cast("int").alias("side"), none.cast("long").alias("known"), "id", "text"), words, threshold)
+    large = involved.filter("blocks > 1")
+    if not large.isEmpty():
+        in_block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+        each = large.filter("id <> pivot").withColumn("block", in_block.cast("int"))
+        center = large.filter("id = pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        star = each.withColumn("side", F.lit(0)).unionByName(center.withColumn("side", F.lit(1)))
+        star = materialize(_links(star.withColumns({"key": _key("group", "block"), "known": none.cast("long")}), words, threshold), "star")
+        settled = star.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("settled", F.lit(1))
+        marked = large.join(settled, "id", "left").withColumn("settled", F.coalesce("settled", F.lit(0)))
+        amount = marked.groupBy("group", "settled").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes"))
+        cut = F.ceil(F.greatest(F.col("n") / block_texts, F.col("bytes") / block_bytes)).cast("int")
+        amount = amount.groupBy("group").agg(*(F.coalesce(F.max(F.when(F.col("settled") == s, cut)), F.lit(0)).alias(name) for s, name in ((1, "ns"), (0, "nu"))))
+        mine = F.when(F.col("settled") == 1, F.pmod(F.xxhash64("id"), F.col("ns"))).otherwise(F.col("ns") + F.pmod(F.xxhash64("id"), F.col("nu"))).cast("int")
+        marked = marked.join(amount, "group").filter("nu > 0").withColumn("block", mine)
+        other = F.explode(F.sequence(F.when(F.col("settled") == 1, F.col("ns")).otherwise(F.lit(0)), F.col("ns") + F.col("nu") - 1))
+        met = marked.withColumn("other", other)
+        key = _key("group", F.least("block", "other"), F.greatest("block", "other"))
+        side = F.when(F.col("block") != F.col("other"), (F.col("block") > F.col("other")).cast("int"))
+        rest = met.select(key.alias("key"), side.alias("side"), F.when(F.col("settled") == 1, F.col("pivot")).alias("known"), "id", "text")
+        found = found.unionByName(star).unionByName(_links(rest, words, threshold))
+    labels = connected_components(found)
     out = members.join(labels.select(F.col("id").alias("text_id"), "label"), "text_id", "left")
-    if edges is not None:
-        degree = edges.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.count("*").alias("links"))
-        out = out.join(degree, "text_id", "left")
-    else:
-        out = out.withColumn("links", F.lit(0).cast("long"))
-    return out.select(F.col("id").alias(id_col), "text_id", F.coalesce("label", "text_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return out.select(F.col("id").alias(id_col), "text_id", F.coalesce("label", "text_id").alias("class_id"))

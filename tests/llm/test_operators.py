@@ -86,7 +86,8 @@ def test_suffix_arrays():
             assert (found[bounds[i] : bounds[i + 1]] - bounds[i]).tolist() == sorted(range(len(t)), key=lambda j: t[j:])
 
 
-def test_near_duplicates(docs, rows):
+@pytest.mark.parametrize("blocks", [{}, {"block_texts": 3}])
+def test_near_duplicates(docs, rows, blocks):
     def shingles(t):
         w = (t or "").lower().split()
         return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter()
@@ -111,10 +112,52 @@ def test_near_duplicates(docs, rows):
             if alike:
                 x, y = sorted((root(a), root(b)))
                 label[y] = x
-    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs, **blocks).collect()}
     assert got == {d: root(d) for d in ids}
 
 
+def test_near_duplicate_recall_by_similarity(spark):
+    """Pairs of a known Jaccard similarity, all texts apart from their pair having nothing in common."""
+    r = random.Random(8)
+    rows, true = [], {}
+    for i in range(600):
+        words = [f"{i}x{k}" for k in range(r.randint(120, 300))]
+        other = list(words)
+        for k in range(r.choice([1, 2, 3, 4, 5, 6])):
+            other[r.randrange(len(words))] = f"{i}y{k}"
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, other))
+        true[2 * i + 1] = len(a & b) / len(a | b)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    got = {x["doc_id"]: x["class_id"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {d for d, c in got.items() if c != d}
+    assert linked <= {d for d, s in true.items() if s >= 0.8}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.0)):
+        of = [d for d, s in true.items() if low <= s < high]
+        assert len(of) > 50 and sum(d in linked for d in of) >= 0.98 * len(of)
+
+
+def test_near_duplicates_of_a_large_linked_family(spark):
+    """Copies of one text in many blocks, some linked to the others through a third only, rows and null ids repeated."""
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+    rows, texts = [], {}
+    for i in range(300):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5])):
+            w[r.randrange(200)] = f"e{r.randrange(10**6)}"
+        texts[i] = w
+        rows += [(i, " ".join(w))] * r.choice([1, 1, 3])
+    sets = {i: {tuple(w[k : k + 5]) for k in range(196)} for i, w in texts.items()}
+    label = {i: i for i in texts}
+    for _ in range(20):
+        for i in texts:
+            for j in range(i):
+                if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                    label[i] = label[j] = min(label[i], label[j])
+    got = near_duplicates(spark.createDataFrame([*rows, (None, "x"), (None, "x")], "doc_id long, text string").repartition(5), block_texts=40).collect()
+    assert len(got) == len(texts) and {x["doc_id"]: x["class_id"] for x in got} == label
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)]
