@@ -321,7 +321,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = placed.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.max_by("id", F.struct("company", -F.col("id"))).alias("pivot")).filter("n > 1")
     blocks = F.ceil(F.greatest(F.col("n") / block_texts, F.col("bytes") / block_bytes)).cast("int")
     whole = whole.withColumn("blocks", F.least(blocks, F.col("n").cast("int")))
-    involved = texts.join(placed.join(whole, "group").select("id", "group", "pivot", "blocks"), "id").dropDuplicates(["id", "text"])
+    wanted = placed.join(whole, "group").select("id", "group", "pivot", "blocks").hint("merge")  # as at any size, so that the plan does not change as tables grow
+    involved = texts.join(wanted, "id").dropDuplicates(["id", "text"])
     involved = materialize(involved, "candidates")
 
     none = F.lit(None)
