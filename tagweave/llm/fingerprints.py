@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from tagweave.llm.common import text_of
 
 SAMPLES = 48
-#: So many samples share r (each alone is distributed as if it had its own), which saves a logarithm.
-SHARED = 4
 #: Bits of a sample's name; equal by chance once in 2**24.
 NAME = 24
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,16 +26,22 @@ def _unit(bits: Column, size: int) -> Column:
 
 def _sample(term: Column, log_weight: Column, i: int) -> Column:
     """ln a in the high bits, the name of (term, t) in the low ones; the least is the sample."""
-    shared, own = F.xxhash64(term, F.lit(-1 - i // SHARED)), F.xxhash64(term, F.lit(i))
-    r = -F.log(_unit(shared, 32) * _unit(F.shiftrightunsigned(shared, 32), 32))
-    log_c = F.log(-F.log(_unit(own, 24) * _unit(F.shiftrightunsigned(own, 24), 24)))
-    beta = _unit(F.shiftrightunsigned(own, 48), 16)
+    one, two = F.xxhash64(term, F.lit(2 * i)), F.xxhash64(term, F.lit(2 * i + 1))
+    r = -F.log(_unit(one, 32) * _unit(F.shiftrightunsigned(one, 32), 32))
+    log_c = F.log(-F.log(_unit(two, 24) * _unit(F.shiftrightunsigned(two, 24), 24)))
+    beta = _unit(F.shiftrightunsigned(two, 48), 16)
     t = F.floor(log_weight / r + beta)
     log_a = log_c - r * (t - beta + 1)
-    name = F.xxhash64(own, t).bitwiseAND(F.lit((1 << NAME) - 1).cast("long"))
+    name = F.shiftrightunsigned(two, 64 - NAME).bitwiseXOR(t).bitwiseAND(F.lit((1 << NAME) - 1).cast("long"))
     return F.shiftleft(((log_a + 128) * float(1 << 31)).cast("long"), NAME).bitwiseOR(name)
 
 
+def named(samples: Column) -> Column:
+    """A fingerprint as text: six hex digits a sample, 'empty' for a text without words."""
+    text = F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(x)), NAME // 4, "0")), "")
+    return F.coalesce(text, F.lit("empty"))
+
+
 def fingerprints(df: DataFrame, keys: list[str], text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """(keys, samples array<int>, fingerprint string) for each distinct combination of ``keys``.
 
@@ -59,8 +63,7 @@ def fingerprints(df: DataFrame, keys: list[str], text_col: str = "text", samples
     names = F.array(*(F.col(f"__m{i}").bitwiseAND(F.lit((1 << NAME) - 1).cast("long")).cast("int") for i in range(samples)))
     found = F.when(F.col("__m0").isNotNull(), names)
     out = agg.select(*keys, found.alias("samples"))
-    text = F.array_join(F.transform("samples", lambda x: F.lpad(F.lower(F.hex(x)), NAME // 4, "0")), "")
-    return out.withColumn("fingerprint", F.coalesce(text, F.lit("empty")))
+    return out.withColumn("fingerprint", named(F.col("samples")))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -31,26 +31,28 @@ def successors(docs: DataFrame) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    after = materialize(successors(docs), "next")
+    """Each text against its edited form and the next document. doc_id is a key of the table; rows without one are left out.
+
+    Texts are shuffled once by doc_id; of each, the beginning goes to the document before it. A row with both
+    sets of samples is written, and only samples meet the next document's.
+    """
+    docs = read(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text"))
+    after = materialize(successors(read(spark, sf_dir, "documents")), "next")
     before = after.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), F.floor(F.col("n_chars") / 2).alias("wanted"))
-    placed = docs.select("doc_id", text_of("text").alias("text")).join(before, "doc_id")
-    heads = placed.select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, cast(wanted as int))").alias("head"))
-    both = placed.select("doc_id", "text").join(heads, "doc_id")
-    n = F.length("text")
+    heads = docs.join(before, "doc_id").select(F.col("prev_id").alias("doc_id"), F.col("doc_id").alias("next_id"), F.expr("substring(text, 1, cast(wanted as int))").alias("head"))
+    both = docs.join(heads, "doc_id")
     edited = F.concat(F.expr("substring(text, 1, cast(length(text) - floor(length(text) / 2) as int))"), F.col("head"))
-    texts = both.withColumn("edited", edited).select("doc_id", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("text")), F.struct(F.lit(1).alias("part"), F.col("edited").alias("text")))).alias("t")).select("doc_id", "t.part", "t.text")
-    texts = texts.withColumns({"n_chars": F.when(F.col("part") == 0, n), "edited_sha256": F.when(F.col("part") == 1, F.sha2("text", 256))})
-    found = fingerprints.fingerprints(texts, ["doc_id", "part", "n_chars", "edited_sha256"])
-    own = found.filter("part = 0").select("doc_id", "n_chars", "fingerprint", "samples")
-    of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
-    one = found.groupBy("doc_id").agg(of(0, "n_chars").cast("long").alias("n_chars"), of(1, "edited_sha256").alias("edited_sha256"), of(0, "fingerprint").alias("fingerprint"), of(1, "fingerprint").alias("edited_fingerprint"), of(0, "samples").alias("samples"), of(1, "samples").alias("edited_samples"))
+    of = F.array(F.struct(F.lit(0).alias("part"), F.col("text")), F.struct(F.lit(1).alias("part"), edited.alias("text")))
+    texts = both.select("doc_id", "next_id", F.explode(of).alias("t")).select("doc_id", "next_id", "t.part", "t.text")
+    n, digest = F.when(F.col("part") == 0, F.length("text").cast("long")), F.when(F.col("part") == 1, F.unhex(F.sha2("text", 256)))
+    found = fingerprints.fingerprints(texts.withColumns({"n_chars": n, "digest": digest}), ["doc_id", "next_id", "part", "n_chars", "digest"])
+    side = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
+    one = found.groupBy("doc_id", "next_id").agg(side(0, "n_chars").alias("n_chars"), side(1, "digest").alias("digest"), side(0, "samples").alias("samples"), side(1, "samples").alias("edited"))
     one = materialize(one, "fingerprints")
-    own = one.select(F.col("doc_id").alias("next_id"), F.col("samples").alias("next_samples"))
-    out = one.join(after.select("doc_id", "next_id"), "doc_id").join(own, "next_id")
+    out = one.join(one.select(F.col("doc_id").alias("next_id"), F.col("samples").alias("next_samples")), "next_id")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        fingerprints.likeness(F.col("samples"), F.col("edited_samples")).alias("near_edited"), fingerprints.likeness(F.col("samples"), F.col("next_samples")).alias("near_next"),
+        "doc_id", "n_chars", F.lower(F.hex("digest")).alias("edited_sha256"), fingerprints.named(F.col("samples")).alias("fingerprint"), fingerprints.named(F.col("edited")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("samples"), F.col("edited")).alias("near_edited"), fingerprints.likeness(F.col("samples"), F.col("next_samples")).alias("near_next"),
     )
 
 
