@@ -14,11 +14,13 @@ document, or with ``order='position'`` also an earlier start in the same one).
    An anchor that no other context shares is done: its windows occur once.
 3. Where different contexts share an anchor, their symbols are fetched and a ``resolver``
    finds the repeats within the group: a suffix array, or seed and extend.
-   Groups above a bound (very frequent anchors) are compared window by window instead,
-   keyed by the window's hash; a task keeps one row of each window, so no key gets hot.
+   A group too large for that is cut by a further anchor, the least string of its windows under
+   another hash: again equal windows stay together, and contexts fall into smaller ones,
+   most of which are equal and settled. This is repeated with what is still too large; the last anchor
+   is the window itself, so that all windows of a group are equal.
 
-Contexts and windows are compared by 64-bit hashes within one 64-bit anchor; resolvers
-compare the symbols themselves.
+Contexts are equal if both their anchors and their contents have the same 64-bit hash (128 bits);
+resolvers, and the last level, compare the symbols themselves.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +41,15 @@ ROW = "key long, ext long, doc long, loc long, f int"
 CONTEXT, SALTED, MARK, SPAN, SELF = 0, 1, 2, 3, 4
 #: Contexts of one anchor within a task above which the anchor counts as frequent.
 FREQUENT = 64
-#: Contexts, and symbols, of one anchor above which they are compared window by window.
-GROUP_ROWS, GROUP_SYMBOLS = 128, 40_000
-#: Bytes of text worked on at once, and contexts and windows held by a task before it passes them on.
-PIECE, HELD, HELD_WINDOWS = 1 << 19, 1 << 18, 1 << 19
+#: Contexts, and symbols, of one anchor above which a further anchor divides them.
+GROUP_ROWS, GROUP_SYMBOLS = 128, 16_000
+#: Anchors by strings of ``gram`` symbols, the first included; the one after them is the whole window.
+LEVELS = 3
+#: Bytes of text worked on at once, contexts and symbols of divided ones held by a task before it passes them on.
+PIECE, HELD, HELD_SYMBOLS = 1 << 19, 1 << 18, 1 << 23
+#: Bytes of groups resolved at once.
+GROUPS = 3 << 19
+FETCHED = "key long, doc long, loc long, twice boolean, symbols binary"
 
 
 def _pack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,24 +65,34 @@ def length_of(c: Column) -> Column:
 
 
 class Symbols:
-    """The symbols of some documents, one after another, and their prefix hashes."""
+    """The symbols of some documents (or other strings), one after another, and their prefix hashes."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, unit: str):
-        if unit == "words":
-            starts, ends, bounds = R.words(data, bounds)
-            self.values = R.word_hashes(data, starts, ends)
-        else:
-            self.values = data
-        self.bounds, self.unit = bounds, unit
-        self.pre = R.prefix(self.values.astype(np.uint64))
+    def __init__(self, values: np.ndarray, bounds: np.ndarray):
+        self.values, self.bounds = values, bounds
+        self.pre = R.prefix(values.astype(np.uint64))
+
+    @classmethod
+    def of(cls, data: np.ndarray, bounds: np.ndarray, unit: str) -> Symbols:
+        if unit == "bytes":
+            return cls(data, bounds)
+        starts, ends, bounds = R.words(data, bounds)
+        return cls(R.word_hashes(data, starts, ends), bounds)
 
     def raw(self, a: int, b: int) -> bytes:
         return self.values[a:b].tobytes()
 
 
-def contexts(s: Symbols, length: int, gram: int) -> tuple[np.ndarray, ...]:
+def gram_values(s: Symbols, length: int, gram: int, level: int) -> np.ndarray:
+    """What the anchors of a level are the least of."""
+    if level > LEVELS:
+        return R.gram_hash(s.pre, length)
+    grams = R.gram_hash(s.pre, gram)
+    return R.mix(grams ^ np.uint64(level * R.BASE & (1 << 64) - 1)) if level > 1 else grams
+
+
+def contexts(s: Symbols, length: int, gram: int, level: int = 1) -> tuple[np.ndarray, ...]:
     """Anchor, content hash, document, start (in the document), count of windows, and whether the anchor occurs twice."""
-    grams, width = R.gram_hash(s.pre, gram), length - gram + 1
+    grams, width = gram_values(s, length, gram, level), 1 if level > LEVELS else length - gram + 1
     least = R.sliding(grams, width)
     empty = np.zeros(0, np.int64)
     if not len(least):
@@ -90,7 +108,7 @@ def contexts(s: Symbols, length: int, gram: int) -> tuple[np.ndarray, ...]:
     first, count = starts[head], np.diff(np.append(head, len(starts)))
     ext = R.span_hash(s.pre, first, first + count - 1 + length)
     twice = np.zeros(len(head), bool)
-    if s.unit == "bytes":
+    if s.values.dtype == np.uint8 or level > LEVELS:
         spread = np.zeros(len(grams) + width - 1, np.uint64)
         spread[width - 1 : width - 1 + len(least)][starts] = least[starts]
         full = R.sliding(spread, width, np.maximum)[: len(grams)]
@@ -112,7 +130,7 @@ def _map_anchors(unit: str, length: int, gram: int, by_position: bool, frequent:
             ids = np.asarray(batch.column(0).fill_null(0), np.int64)
             data, bounds = R.strings(batch.column(1))
             for i, j in R.pieces(bounds, PIECE):
-                s = Symbols(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], unit)
+                s = Symbols.of(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], unit)
                 v, e, d, a, c, t = contexts(s, length, gram)
                 held.append((v, e, ids[i:j][d], _pack(a, c), t))
                 n += len(v)
@@ -125,17 +143,25 @@ def _map_anchors(unit: str, length: int, gram: int, by_position: bool, frequent:
     return run
 
 
-def _first_contexts(held: list, by_position: bool, limit: int) -> pa.RecordBatch:
-    v, e, d, loc, t = (np.concatenate(x) for x in zip(*held))
+def first_of(v, e, d, loc, by_position: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, heads, later): rows sorted by anchor and content, the first of each, and which of the sorted rows repeat it."""
     by = np.lexsort((loc, d, e, v))
-    v, e, d, loc, t = v[by], e[by], d[by], loc[by], t[by]
+    v, e, d, loc = v[by], e[by], d[by], loc[by]
     head = np.ones(len(v), bool)
     head[1:] = (v[1:] != v[:-1]) | (e[1:] != e[:-1])
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    later = d > d[first]
+    if by_position:
+        later |= loc >> 32 > (loc >> 32)[first]
+    return by, head, later
+
+
+def _first_contexts(held: list, by_position: bool, limit: int) -> pa.RecordBatch:
+    v, e, d, loc, t = (np.concatenate(x) for x in zip(*held))
+    by, head, later = first_of(v, e, d, loc, by_position)
+    v, e, d, loc, t = v[by], e[by], d[by], loc[by], t[by]
     group = np.cumsum(head) - 1
     heads = np.flatnonzero(head)
-    later = d > d[heads][group]
-    if by_position:
-        later |= loc >> 32 > (loc >> 32)[heads][group]
     keep = ~later
     # Frequent anchors are dealt out by content; a mark tells the others that they are frequent.
     hv = v[heads]
@@ -148,14 +174,7 @@ def _first_contexts(held: list, by_position: bool, limit: int) -> pa.RecordBatch
     kv = np.where(frequent[keep], R.mix(kv ^ ke), kv)
     marks = hv[first[many > limit]]
     # Settled repeats, neighbours merged.
-    by = np.lexsort((loc[later], d[later]))
-    sd, sl = d[later][by], loc[later][by]
-    a, b = sl >> 32, (sl >> 32) + (sl & 0xFFFFFFFF)
-    cut = np.ones(len(sd), bool)
-    cut[1:] = (sd[1:] != sd[:-1]) | (a[1:] > b[:-1])
-    cuts = np.flatnonzero(cut)
-    ends = np.append(cuts[1:], len(sd)) - 1
-    sd, sl = sd[cuts], _pack(a[cuts], b[ends] - a[cuts]) if len(cuts) else np.zeros(0, np.int64)
+    sd, sl = _merge(d[later], loc[later])
     z = np.zeros
     out = [
         np.concatenate((kv.view(np.int64), marks.view(np.int64), R.mix((sd ^ sl).view(np.uint64)).view(np.int64))),
@@ -193,73 +212,94 @@ def _settle(rows: DataFrame, by_position: bool, group_rows: int) -> DataFrame:
     ).filter("kind is not null")
 
 
-def _fetch(unit: str, length: int, by_position: bool) -> Callable:
-    """Rows (key, doc, loc, symbols) for the resolver: whole contexts, or windows without symbols; symbols b'' marks settled spans."""
-
-    def flush(held: list) -> pa.RecordBatch:
-        h, d, a = (np.concatenate(x) for x in zip(*held))
-        by = np.lexsort((a, d, h))
-        h, d, a = h[by], d[by], a[by]
-        head = np.ones(len(h), bool)
-        head[1:] = h[1:] != h[:-1]
-        heads = np.flatnonzero(head)
-        group = np.cumsum(head) - 1
-        later = d > d[heads][group]
-        if by_position:
-            later |= a > a[heads][group]
-            keep = head
-        else:
-            keep = ~later
-        loc = _pack(a, np.ones_like(a))
-        sym = pa.array([None] * int(keep.sum()) + [b""] * int(later.sum()), pa.binary())
-        key = np.concatenate((h[keep].view(np.int64), R.mix((d[later] ^ loc[later]).view(np.uint64)).view(np.int64)))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate((d[keep], d[later]))), pa.array(np.concatenate((loc[keep], loc[later]))), sym], ["key", "doc", "loc", "symbols"])
+class Divider:
+    """Cuts contexts by the anchors of a level, and gives one row (key, doc, loc, twice, symbols) for each that is left.
+
+    Of contexts with equal key and content only the first stays; settled spans are rows with empty symbols.
+    """
+
+    def __init__(self, length: int, gram: int, by_position: bool):
+        self.length, self.gram, self.by_position = length, gram, by_position
+        self.held, self.size = [], 0
+
+    def put(self, key, doc, start, s: Symbols, level: int) -> None:
+        v, e, own, at, count, twice = contexts(s, self.length, self.gram, level)
+        low = s.bounds[own] + at
+        self.held.append((R.mix(key[own] ^ v), e, doc[own], _pack(start[own] + at, count), twice, low, count + self.length - 1, s.values))
+        self.size += len(s.values) + len(v)
+
+    def flush(self) -> pa.RecordBatch:
+        columns = list(zip(*self.held))
+        values = columns.pop()
+        base = np.repeat(np.cumsum([0] + [len(x) for x in values[:-1]]), [len(x) for x in columns[0]])
+        v, e, d, loc, t, low, size = (np.concatenate(x) for x in columns)
+        values, low = np.concatenate(values), low + base
+        by, _, later = first_of(v, e, d, loc, self.by_position)
+        keep = by[~later]
+        sd, sl = _merge(d[by[later]], loc[by[later]])
+        self.held, self.size = [], 0
+        return fetched(v[keep].view(np.int64), d[keep], loc[keep], t[keep], values, low[keep], size[keep], sd, sl)
+
+
+def fetched(key, doc, loc, twice, values, low, size, settled_doc, settled_loc) -> pa.RecordBatch:
+    """Rows of contexts with their symbols (ranges of ``values``), and of settled spans."""
+    width = values.dtype.itemsize
+    at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+    offsets = np.concatenate(([0], np.cumsum(size * width), np.full(len(settled_doc), size.sum() * width))).astype(np.int32)
+    symbols = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values[at]))])
+    spread = R.mix((settled_doc ^ settled_loc).view(np.uint64)).view(np.int64)
+    columns = [np.concatenate(x) for x in ((key, spread), (doc, settled_doc), (loc, settled_loc), (twice, np.zeros(len(settled_doc), bool)))]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), symbols], ["key", "doc", "loc", "twice", "symbols"])
+
+
+def _fetch(unit: str, length: int, gram: int, by_position: bool) -> Callable:
+    """Rows (key, doc, loc, twice, symbols) for the resolver: contexts of small groups as they are, others divided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        divider = Divider(length, gram, by_position)
+        none = np.zeros(0, np.int64)
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(0), np.int64)
             data, bounds = R.strings(batch.column(1))
             wanted = batch.column(2)
             for i, j in R.pieces(bounds, PIECE):
-                if wanted.slice(i, j - i).null_count == j - i:
+                some = wanted.slice(i, j - i)
+                if some.null_count == j - i:
                     continue
-                s = Symbols(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], unit)
-                out = [], [], [], []
-                for k in range(i, j):
-                    if not wanted[k].is_valid:
-                        continue
-                    items = wanted[k].values
-                    key, loc, kind = (np.asarray(items.field(x)) for x in ("key", "loc", "kind"))
-                    base, a, c = s.bounds[k - i], loc >> 32, loc & 0xFFFFFFFF
-                    whole = kind == 1
-                    for x, y, z in zip(key[whole].tolist(), a[whole].tolist(), c[whole].tolist()):
-                        out[0].append(x), out[1].append(int(ids[k])), out[2].append((y << 32) | z), out[3].append(s.raw(base + y, base + y + z - 1 + length))
-                    if not whole.all():
-                        a, c = a[~whole], c[~whole]
-                        at = np.repeat(a - np.cumsum(c) + c, c) + np.arange(c.sum())
-                        held.append((R.span_hash(s.pre, base + at, base + at + length), np.full(len(at), ids[k]), at))
-                        n += len(at)
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "doc", "loc", "symbols"])
-                if n >= HELD_WINDOWS:
-                    yield flush(held)
-                    held, n = [], 0
-        if n:
-            yield flush(held)
+                s = Symbols.of(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], unit)
+                of = np.flatnonzero(np.asarray(some.is_valid()))
+                items = some.drop_null()
+                doc = np.repeat(of, np.asarray(pc.list_value_length(items)))
+                items = items.flatten()
+                key, loc, kind = (np.asarray(items.field(x)) for x in ("key", "loc", "kind"))
+                start, size = loc >> 32, (loc & 0xFFFFFFFF) + length - 1
+                low = s.bounds[doc] + start
+                whole = kind == 1
+                if whole.any():
+                    yield fetched(key[whole], ids[i + doc[whole]], loc[whole], np.ones(whole.sum(), bool), s.values, low[whole], size[whole], none, none)
+                if not whole.all():
+                    low, size, start, doc = low[~whole], size[~whole], start[~whole], doc[~whole]
+                    at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    first = R.sliding(gram_values(s, length, gram, 1), length - gram + 1)[low]
+                    divider.put(first, ids[i + doc], start, Symbols(s.values[at], np.concatenate(([0], np.cumsum(size)))), 2)
+                if divider.size >= HELD_SYMBOLS:
+                    yield divider.flush()
+        if divider.size:
+            yield divider.flush()
 
     return run
 
 
-def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
-    """Whole groups of a stream sorted by key, some at once: key, doc, start, symbols and their bounds, null mask, windows."""
-    parts, n = [], 0
+def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Groups of a stream sorted by key, some at once; and whether it is a part of a single group larger than ``size`` bytes."""
+    parts, n, open_key = [], 0, None
 
-    def show(t: pa.Table) -> tuple:
-        key, doc, loc = (t.column(x).to_numpy() for x in ("key", "doc", "loc"))
-        sym = t.column("symbols").combine_chunks()
-        data, bounds = R.strings(sym)
-        return key, doc, loc, data, bounds, np.asarray(sym.is_null())
+    def whole(t: pa.Table, key: np.ndarray, end: int) -> Iterator[tuple[pa.Table, bool]]:
+        begin = int(np.searchsorted(key[:end], open_key, "right")) if open_key is not None else 0
+        if begin:
+            yield t.slice(0, begin), True
+        if end > begin:
+            yield t.slice(begin, end - begin), False
 
     for batch in batches:
         if not len(batch):
@@ -272,43 +312,109 @@ def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
         key = t.column("key").to_numpy()
         cut = int(np.searchsorted(key, key[-1]))
         if cut:
-            yield show(t.slice(0, cut))
-        parts = t.slice(cut).combine_chunks().to_batches()
-        n = sum(x.nbytes for x in parts) if cut else 0
+            yield from whole(t, key, cut)
+            open_key = None
+            t = t.slice(cut).combine_chunks()
+            parts, n = t.to_batches(), t.nbytes
+        else:
+            yield t, True
+            parts, n, open_key = [], 0, key[-1]
     if parts:
-        yield show(pa.Table.from_batches(parts))
+        t = pa.Table.from_batches(parts)
+        yield from whole(t, t.column("key").to_numpy(), len(t))
+
+
+def _resolve(resolver: Callable, unit: str, length: int, gram: int, by_position: bool, level: int, group_rows: int) -> Callable:
+    """(doc, spans) of the repeats found, and rows as of ``_fetch`` of groups that a further anchor divides."""
+    kind = np.uint8 if unit == "bytes" else np.uint64
 
+    def found(d: np.ndarray, loc: np.ndarray) -> pa.RecordBatch:
+        d, loc = _merge(d, loc)
+        cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+        spans = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(d)).astype(np.int32)), pa.array(loc))
+        return _row(pa.array(d[cuts]), spans=spans)
+
+    def divided(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return _row(**dict(zip(batch.schema.names, batch.columns)))
 
-def _resolve(resolver: Callable, length: int, by_position: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, doc, loc, data, bounds, windows in grouped(batches, 3 << 19):
-            settled = (np.diff(bounds) == 0) & ~windows
+        divider = Divider(length, gram, by_position)
+        last = None  # of the last level: (key, window, doc, start) of the first row of a group that goes on
+        for t, part in grouped(batches, GROUPS):
+            key, doc, loc, twice = (t.column(x).to_numpy() for x in ("key", "doc", "loc", "twice"))
+            data, bounds = R.strings(t.column("symbols"))
+            values, bounds = data.view(kind) if kind == np.uint8 else np.frombuffer(data.tobytes(), kind), bounds // kind().itemsize
+            settled = np.diff(bounds) == 0
             d, o = [doc[settled]], [loc[settled]]
-            if windows.any():
-                k, e, a = key[windows], doc[windows], loc[windows]
-                by = np.lexsort((a, e, k))
-                k, e, a = k[by], e[by], a[by]
-                head = np.ones(len(k), bool)
-                head[1:] = k[1:] != k[:-1]
-                first = np.flatnonzero(head)[np.cumsum(head) - 1]
-                later = (e > e[first]) | (by_position & (a > a[first]))
-                d.append(e[later]), o.append(a[later])
-            whole = np.flatnonzero(~settled & ~windows)
-            if len(whole):
-                x, y = resolver(key[whole], doc[whole], loc[whole] >> 32, data, bounds[whole], bounds[whole + 1], length)
-                d.append(x), o.append(_pack(y, np.ones_like(y)))
-            d, o = _merge(np.concatenate(d), np.concatenate(o))
+            use = np.flatnonzero(~settled)
+            if level > LEVELS:
+                x, y, last = _equal_windows(key[use], doc[use], loc[use], values, bounds[use], length, by_position, last if part else None)
+                d.append(x), o.append(y)
+            elif len(use):
+                s = Symbols(values, bounds)
+                e = R.span_hash(s.pre, bounds[use], bounds[use + 1])
+                by, _, later = first_of(key[use].view(np.uint64), e, doc[use], loc[use], by_position)
+                d.append(doc[use[by[later]]]), o.append(loc[use[by[later]]])
+                use = use[by[~later]]
+                _, group, rows = np.unique(key[use], return_inverse=True, return_counts=True)
+                size = np.bincount(group, np.diff(bounds)[use])
+                large = (rows > group_rows)[group] | (size > GROUP_SYMBOLS)[group] & ((rows > 1)[group] | twice[use]) | part
+                some = use[large]
+                if len(some):
+                    n = np.diff(bounds)[some]
+                    at = np.repeat(bounds[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    divider.put(key[some].view(np.uint64), doc[some], loc[some] >> 32, Symbols(values[at], np.concatenate(([0], np.cumsum(n)))), level + 1)
+                rest = use[~large & ((rows[group] > 1) | twice[use])]
+                if len(rest):
+                    x, y = resolver(key[rest], doc[rest], loc[rest] >> 32, values, bounds[rest], bounds[rest + 1], length, gram)
+                    d.append(x), o.append(_pack(y, np.ones_like(y)))
+            d, o = np.concatenate(d), np.concatenate(o)
             if len(d):
-                yield _by_document(d, o)
+                yield found(d, o)
+            if divider.size >= HELD_SYMBOLS:
+                yield divided(divider.flush())
+        if divider.size:
+            yield divided(divider.flush())
 
     return run
 
 
-def _by_document(d: np.ndarray, loc: np.ndarray) -> pa.RecordBatch:
-    """One row for each document, with all its spans."""
-    cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-    spans = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(d)).astype(np.int32)), pa.array(loc))
-    return pa.RecordBatch.from_arrays([pa.array(d[cuts]), spans], ["doc", "spans"])
+RESOLVED = "doc long, spans array<long>, key long, loc long, twice boolean, symbols binary"
+
+
+def _row(doc: pa.Array, **given: pa.Array) -> pa.RecordBatch:
+    kinds = {"spans": pa.list_(pa.int64()), "key": pa.int64(), "loc": pa.int64(), "twice": pa.bool_(), "symbols": pa.binary()}
+    return pa.RecordBatch.from_arrays([doc, *(given.get(c, pa.nulls(len(doc), k)) for c, k in kinds.items())], ["doc", *kinds])
+
+
+def _equal_windows(key, doc, loc, values, low, length: int, by_position: bool, last: tuple | None):
+    """Of the last level, rows sorted by key, doc and loc: each is a run of equal windows; all but the first are repeats."""
+    if not len(key):
+        return doc, loc, last
+    window = np.lib.stride_tricks.sliding_window_view(values, length)[low]
+    _, content = np.unique(np.ascontiguousarray(window).view(np.dtype((np.void, window.shape[1] * window.itemsize))).ravel(), return_inverse=True)
+    by = np.lexsort((loc, doc, content, key))
+    k, c, d, a, n = key[by], content[by], doc[by], loc[by] >> 32, loc[by] & 0xFFFFFFFF
+    head = np.ones(len(k), bool)
+    head[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    at = np.flatnonzero(head)[np.cumsum(head) - 1]
+    d0, a0 = d[at], a[at]
+    if last is not None:
+        same = (k == last[0]) & (window[by] == last[1]).all(axis=1)
+        d0, a0 = np.where(same, last[2], d0), np.where(same, last[3], a0)
+    later = d > d0
+    if by_position:
+        first = (d == d0) & (a == a0)
+        later |= a > a0
+        # Of the first run all windows but the first one repeat it.
+        x, y = np.concatenate((d[later], d[first])), np.concatenate((_pack(a[later], n[later]), _pack(a[first] + 1, n[first] - 1)))
+        x, y = x[y & 0xFFFFFFFF > 0], y[y & 0xFFFFFFFF > 0]
+    else:
+        x, y = d[later], _pack(a[later], n[later])
+    end = at[-1]
+    if last is None or key[0] != last[0] or k[end] != last[0]:
+        last = k[end], window[by[end]], d[end], a[end]
+    return x, y, last
 
 
 def _merge(d: np.ndarray, loc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -331,10 +437,16 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, unit: str, length:
     rows = texts.mapInArrow(_map_anchors(unit, length, gram, by_position, frequent), ROW)
     settled = materialize(_settle(rows, by_position, group_rows), "contexts")
     wanted = settled.filter("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("key", "loc", "kind")).alias("wanted"))
-    fetched = texts.join(wanted, "doc", "left").select("doc", "text", "wanted").mapInArrow(_fetch(unit, length, by_position), "key long, doc long, loc long, symbols binary")
-    found = fetched.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(_resolve(resolver, length, by_position), "doc long, spans array<long>")
-    known = settled.filter("kind = 0").groupBy("doc").agg(F.collect_list("loc").alias("spans"))
-    return known.unionByName(found).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    rest = texts.join(wanted, "doc", "left").select("doc", "text", "wanted").mapInArrow(_fetch(unit, length, gram, by_position), FETCHED)
+    spans = settled.filter("kind = 0").groupBy("doc").agg(F.collect_list("loc").alias("spans"))
+    for level in range(2, LEVELS + 2):
+        dealt = rest.repartition(partitions(spark), "key").sortWithinPartitions("key", "doc", "loc")
+        out = materialize(dealt.mapInArrow(_resolve(resolver, unit, length, gram, by_position, level, group_rows), RESOLVED), "resolved")
+        spans = spans.unionByName(out.filter("spans is not null").select("doc", "spans"))
+        rest = out.filter("spans is null").select("key", "doc", "loc", "twice", "symbols")
+        if rest.isEmpty():
+            break
+    return spans.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def removed_mask(spans: np.ndarray, n: int, length: int) -> np.ndarray:

@@ -11,65 +11,80 @@ from pyspark.sql import functions as F
 
 from tagweave.llm import rolling as R
 from tagweave.llm.common import text_of
-from tagweave.llm.repeats import find_repeats, removed_mask
+from tagweave.llm.repeats import Symbols, find_repeats, gram_values, removed_mask
 
 
-def repeats_by_extension(key, doc, start, data, first, last, length):
-    """Extend the matches between contexts that share an anchor, and keep the long ones.
+def repeats_by_extension(key, doc, start, values, first, last, length, gram):
+    """Extend the seeds that contexts of a group (equal keys) share, both ways, and keep the long matches.
 
-    Each round compares the contexts of every group with one of its earlier contexts, at
-    each shift that brings equal words together, word by word in both directions; runs of
-    ``length`` or more equal words are maximal repeats, and all their windows count. Groups
-    are bounded (see repeats.GROUP_ROWS), so rounds are.
+    A context's seeds are the places of its anchor, the least string of ``gram`` words in it. Two equal
+    windows have it at the same places, so a seed of one stands against one of the other. The match around
+    two seeds is extended to the left and right as far as the words are equal; with ``length`` words
+    or more it is a maximal repeat of the two contexts, and all its windows count. Groups are
+    bounded (see repeats.GROUP_ROWS); each round compares the contexts with one of their earlier ones.
     """
-    values = data.view(np.uint64)
-    first, last = first // 8, last // 8
     order = np.lexsort((start, doc, key))
     key, doc, start, first, size = key[order], doc[order], start[order], first[order], (last - first)[order]
+    at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+    values = values[at]
+    offset = np.cumsum(size) - size
+    row, seed = seeds(Symbols(values, np.append(offset, len(values))), length, gram)
+    seed_low = np.searchsorted(row, np.arange(len(key) + 1))
     head = np.ones(len(key), bool)
     head[1:] = key[1:] != key[:-1]
     opens = np.flatnonzero(head)
     left = np.append(opens[1:], len(key))
     group = np.cumsum(head) - 1
-    offset = np.cumsum(size) - size
-    repeats = np.zeros(int(size.sum()), bool)
+    step = np.zeros(len(values) + 1, np.int64)
     for shift in range(1, int((left - opens).max(initial=1))):
         other = np.arange(len(key)) - shift
         mine = np.flatnonzero((other >= opens[group]) & (doc > doc[np.maximum(other, 0)]))
         if not len(mine):
             continue
-        pair, at = _extend(values, first[mine], size[mine], first[other[mine]], size[other[mine]], length)
-        repeats[offset[mine[pair]] + at] = True
-    found = np.flatnonzero(repeats)
+        other = other[mine]
+        n, m = np.diff(seed_low)[mine], np.diff(seed_low)[other]
+        pair = np.repeat(np.arange(len(mine)), n * m)
+        nth = np.arange(len(pair)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+        p, q = seed[seed_low[mine[pair]] + nth // m[pair]], seed[seed_low[other[pair]] + nth % m[pair]]
+        for i in range(0, len(pair), SEEDS):
+            x, y = slice(i, i + SEEDS), pair[i : i + SEEDS]
+            a, b = extend(values, p[x], q[x], offset[mine[y]], offset[other[y]], size[mine[y]], size[other[y]])
+            long_ = b - a >= length
+            np.add.at(step, a[long_], 1)
+            np.add.at(step, b[long_] - length + 1, -1)
+    found = np.flatnonzero(np.cumsum(step[:-1]) > 0)
     row = np.searchsorted(offset, found, "right") - 1
     return doc[row], start[row] + found - offset[row]
 
 
-def _extend(values, f1, n1, f2, n2, length):
-    """(pair, start in the first): windows of equal words, over all shifts of two contexts."""
-    pairs, starts = [], []
-    low, high = -(int(n2.max()) - length), int(n1.max()) - length
-    for shift in range(low, high + 1):
-        # Word i of the first stands against word i - shift of the second.
-        a, b = np.maximum(0, shift), np.minimum(n1, n2 + shift)
-        use = np.flatnonzero(b - a >= length)
-        if not len(use):
-            continue
-        n = (b - a)[use]
-        row = np.repeat(np.arange(len(use)), n)
-        i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a
-        same = values[f1[use][row] + i] == values[f2[use][row] + i - shift]
-        bad = np.flatnonzero(~same)
-        # Equal words from here on: distance to the next difference or to the pair's end.
-        stop = np.cumsum(n)[row]
-        if len(bad):
-            nxt = np.searchsorted(bad, np.arange(len(same)))
-            stop = np.minimum(stop, np.where(nxt < len(bad), bad[np.minimum(nxt, len(bad) - 1)], len(same)))
-        hit = np.flatnonzero(stop - np.arange(len(same)) >= length)
-        pairs.append(use[row[hit]]), starts.append(i[hit])
-    if not pairs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(pairs), np.concatenate(starts)
+#: Pairs of seeds extended at once.
+SEEDS = 1 << 16
+
+
+def seeds(s: Symbols, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, place) of each occurrence of a context's anchor."""
+    grams = gram_values(s, length, gram, 1)
+    size = np.diff(s.bounds)
+    n = size - gram + 1
+    at = np.repeat(s.bounds[:-1] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    row = np.repeat(np.arange(len(n)), n)
+    least = np.minimum.reduceat(grams[at], np.cumsum(n) - n)
+    hit = grams[at] == least[row]
+    return row[hit], at[hit]
+
+
+def extend(values, p, q, low_p, low_q, size_p, size_q) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges [a, b) of places around p that are equal to those around q, within both contexts."""
+    before = np.minimum(p - low_p, q - low_q)
+    n = before + np.minimum(low_p + size_p - p, low_q + size_q - q)
+    begin = np.cumsum(n) - n
+    i = np.arange(n.sum()) - np.repeat(begin + before, n)
+    bad = np.flatnonzero(values[np.repeat(p, n) + i] != values[np.repeat(q, n) + i])
+    k = np.searchsorted(bad, begin + before)
+    last = np.where(k > 0, bad[np.maximum(k - 1, 0)], -1) if len(bad) else np.full(len(p), -1)
+    nxt = np.where(k < len(bad), bad[np.minimum(k, len(bad) - 1)], len(i)) if len(bad) else np.full(len(p), len(i))
+    a, b = np.maximum(begin, last + 1), np.minimum(begin + n, nxt)
+    return p + a - begin - before, p + b - begin - before
 
 
 def _cut(length: int):
@@ -104,8 +119,8 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts have no words; texts under ``length`` words stay whole. Rows with a null id
     are left out. A row that is there twice is judged once, and both rows return.
-    Other columns are ignored. Words are compared by 64-bit hashes.
-    ``bounds``: when a group counts as too large for the resolver (see ``repeats``).
+    Other columns are ignored; an empty table gives an empty result. Words are compared by 64-bit hashes.
+    ``bounds``: when a further anchor divides a group (see ``repeats``).
     """
     spans = find_repeats(docs, id_col, text_col, "words", length, gram, False, repeats_by_extension, **bounds)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).filter("doc is not null")  # as in find_repeats, so that its shuffle is used again

@@ -15,7 +15,7 @@ from tagweave.llm.repeats import find_repeats, removed_mask
 from tagweave.llm.suffix import suffix_arrays
 
 
-def repeats_by_suffix_array(key, doc, start, data, first, last, length):
+def repeats_by_suffix_array(key, doc, start, data, first, last, length, *_):
     """The windows in each group (equal keys) of byte strings that repeat an earlier one.
 
     The strings of a group are joined with a separator into one, its suffix array is
@@ -87,7 +87,7 @@ def _cut(length: int):
     return run
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 40, group_rows: int = 256, **bounds) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 40, **bounds) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts earlier.
 
     Earlier is a smaller id, or the same document and an earlier start. Matches never cross
@@ -97,9 +97,9 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts are empty; empty and short texts stay whole. Rows with a null id are left
     out. A row that is there twice is judged once, and both rows return. Other columns are ignored.
     ``gram`` is the size of the strings whose least hash anchors a window.
-    ``group_rows``, ``bounds``: when a group counts as too large for the suffix array (see ``repeats``).
+    An empty table gives an empty result. ``bounds``: when a further anchor divides a group (see ``repeats``).
     """
-    spans = find_repeats(docs, id_col, text_col, "bytes", length, gram, True, repeats_by_suffix_array, group_rows=group_rows, **bounds)
+    spans = find_repeats(docs, id_col, text_col, "bytes", length, gram, True, repeats_by_suffix_array, **bounds)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).filter("doc is not null")  # as in find_repeats, so that its shuffle is used again
     out = texts.join(spans, "doc", "left").select("doc", "text", "spans")
     return out.mapInArrow(_cut(length), "doc long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>").withColumnRenamed("doc", id_col)
