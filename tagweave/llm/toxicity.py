@@ -14,117 +14,232 @@ from pyspark.sql import functions as F
 from tagweave.llm import rolling as R
 from tagweave.llm.common import text_of
 
-#: Bytes of a term: strings of five bytes within a text, white space and punctuation counting as blanks.
-GRAM = 5
 PIECE = 1 << 21
-
-
-def grams(column) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the terms at each byte of some texts, and the bounds of the texts (a text's last 4 positions are no terms)."""
-    data, bounds = R.strings(pc.utf8_lower(column))
-    plain = ((data >= 48) & (data <= 57)) | ((data >= 97) & (data <= 122)) | (data >= 128)
-    # A blank in front of each text lets a term begin with the beginning of a word.
-    n = len(bounds) - 1
-    at = np.arange(len(data)) + np.repeat(np.arange(1, n + 1), np.diff(bounds))
-    padded = np.full(len(data) + n + GRAM, 32, np.uint64)
-    padded[at] = np.where(plain, data, 32)
-    codes = padded[: len(data) + n].copy()
-    for i in range(1, GRAM):
-        codes |= padded[i : i + len(data) + n] << np.uint64(8 * i)
-    return codes, bounds + np.arange(n + 1)
+#: What a term weighs besides its part in telling the labels apart.
+FLOOR = 0.01
+#: Standard deviations that chance may give a term's correlation with the labels.
+CHANCE = 3.0
+#: A term in more than this share of the examples has a column instead of postings.
+FREQUENT = 0.04
+#: Texts whose frequent terms are multiplied by those columns at once.
+TEXTS = 128
+#: Blocks of examples visited at once: most promising ones first.
+STEPS = (8, 24)
 
 
 def term_counts(column, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term, count), sorted; terms are codes, or positions in a sorted vocabulary."""
+    """(document, term, count), sorted. Terms are words: hashes of runs of letters and digits, lower-cased, or their places in a sorted vocabulary."""
     docs, terms, counts = [], [], []
-    size = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-    cuts = np.concatenate(([0], np.cumsum(size)))
-    for i, j in R.pieces(cuts, PIECE):
-        codes, bounds = grams(column.slice(i, j - i))
-        doc = np.repeat(np.arange(j - i), np.diff(bounds))
-        use = np.arange(len(codes)) + GRAM <= bounds[1:][doc]
-        if vocabulary is not None:
-            table = np.zeros(1 << 16, bool)
-            table[_slot(vocabulary)] = True
-            use &= table[_slot(codes)]
-        codes, doc = codes[use], doc[use]
+    data, bounds = R.strings(pc.utf8_lower(column))
+    plain = ((data >= 48) & (data <= 57)) | ((data >= 97) & (data <= 122)) | (data >= 128)
+    data = np.where(plain, data, np.uint8(32))
+    for i, j in R.pieces(bounds, PIECE):
+        starts, ends, wb = R.words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+        term = R.word_hashes(data[bounds[i] : bounds[j]], starts, ends)
+        doc = np.repeat(np.arange(i, j), np.diff(wb))
         if vocabulary is not None:
-            found = np.minimum(np.searchsorted(vocabulary, codes), max(len(vocabulary) - 1, 0))
-            use = vocabulary[found] == codes if len(vocabulary) else np.zeros(len(codes), bool)
-            codes, doc = found[use].astype(np.uint64), doc[use]
-        by = np.lexsort((codes, doc))
-        codes, doc = codes[by], doc[by]
+            place = np.minimum(np.searchsorted(vocabulary, term), max(len(vocabulary) - 1, 0))
+            use = vocabulary[place] == term if len(vocabulary) else np.zeros(len(term), bool)
+            term, doc = place[use].astype(np.uint64), doc[use]
+        by = np.lexsort((term, doc))
+        term, doc = term[by], doc[by]
         head = np.ones(len(doc), bool)
-        head[1:] = (doc[1:] != doc[:-1]) | (codes[1:] != codes[:-1])
+        head[1:] = (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])
         heads = np.flatnonzero(head)
-        docs.append(doc[heads] + i), terms.append(codes[heads]), counts.append(np.diff(np.append(heads, len(doc))))
+        docs.append(doc[heads]), terms.append(term[heads]), counts.append(np.diff(np.append(heads, len(doc))))
     if not docs:
         z = np.zeros(0, np.int64)
         return z, z.view(np.uint64), z
     return np.concatenate(docs), np.concatenate(terms), np.concatenate(counts)
 
 
-def _slot(codes: np.ndarray) -> np.ndarray:
-    return (codes * np.uint64(R.BASE)) >> np.uint64(48)
+def digests(column) -> np.ndarray:
+    """64 bits of each whole text."""
+    data, bounds = R.strings(column)
+    pre = [R.prefix(data[bounds[i] : bounds[j]].astype(np.uint64)) for i, j in R.pieces(bounds, PIECE)]
+    at = [bounds[i : j + 1] - bounds[i] for i, j in R.pieces(bounds, PIECE)]
+    found = [R.span_hash(p, b[:-1], b[1:]) for p, b in zip(pre, at)]
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 @dataclass
 class Index:
-    """Postings of the examples by term, in blocks of examples, with each block's largest weight."""
+    """The examples' terms with their weights, and for each term and block of examples the largest weight.
+
+    Rare terms have postings; frequent ones a column with a place for each example.
+    """
 
     vocabulary: np.ndarray
-    idf: np.ndarray
+    factor: np.ndarray  # what a term's count is weighted by: IDF, and how it goes with the labels
     ids: np.ndarray
     labels: np.ndarray
+    digest: np.ndarray
     block: int
-    starts: np.ndarray  # of the postings of (term, block); one row of blocks + 1 entries a term
-    example: np.ndarray
-    weight: np.ndarray
-    most: np.ndarray
-    prior: float
     k: int
+    prior: float
+    column: np.ndarray = None  # of each term, or -1
+    dense: np.ndarray = None
+    starts: np.ndarray = None  # of a term's cells
+    cell_block: np.ndarray = None
+    cell_most: np.ndarray = None
+    cell_start: np.ndarray = None  # of a cell's postings
+    example: np.ndarray = None
+    weight: np.ndarray = None
+    slope: float = 1.0
+    shift: float = 0.0
+
+    @property
+    def blocks(self) -> int:
+        return max(1, -(-len(self.ids) // self.block))
+
+    def weigh(self, doc, term, count, n: int) -> np.ndarray:
+        """TF-IDF weights of unit length."""
+        w = (1 + np.log(count)) * self.factor[term]
+        norm = np.sqrt(np.bincount(doc, w * w, n))
+        return w / norm[doc]
+
+    def build(self, example, term, weight) -> None:
+        n, size = len(self.ids), len(self.vocabulary)
+        df = np.bincount(term, minlength=size)
+        frequent = np.flatnonzero(df > FREQUENT * n)
+        self.column = np.full(size, -1)
+        self.column[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), self.blocks * self.block), np.float32)
+        often = self.column[term] >= 0
+        weight = weight.astype(np.float32)
+        self.dense[self.column[term[often]], example[often]] = weight[often]
+        example, term, weight = example[~often], term[~often], weight[~often]
+        by = np.lexsort((example, term))
+        example, term, weight = example[by], term[by], weight[by]
+        block = example // self.block
+        head = np.ones(len(term), bool)
+        head[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        heads = np.flatnonzero(head)
+        self.example, self.weight = example.astype(np.int32), weight
+        self.cell_block, self.cell_start = block[heads].astype(np.int32), np.append(heads, len(term)).astype(np.int32)
+        self.cell_most = np.maximum.reduceat(weight, heads) if len(heads) else np.zeros(0, np.float32)
+        self.starts = np.searchsorted(term[heads], np.arange(size + 1))
+
+    def frequent_part(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """What the frequent terms of each text add to its cosine with each example."""
+        column = self.column[term]
+        use = column >= 0
+        of = np.zeros((n, len(self.dense)), np.float32)
+        of[doc[use], column[use]] = weight[use]
+        return of @ self.dense
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples with the largest cosine (over 0), ties by id: exact, but blocks whose bound is too low are skipped."""
-        bound = weights @ self.most[terms]
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, digest: int | None = None, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples with the largest cosine (over 0) and all that tie with the last of them, best first.
+
+        Exact: a block is skipped only if the bound by its rare terms' largest weights (and by the most that
+        frequent terms add in it) is below the k-th best. Examples with the very text of the query (``digest``) are left out.
+        """
+        if frequent is None:
+            frequent = self.frequent_part(np.zeros(len(terms), np.int64), terms, weights, 1)[0]
+        low, high = self.starts[terms], self.starts[terms + 1]
+        n = high - low
+        cell = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        by_cell, in_block = np.repeat(weights, n), self.cell_block[cell]
+        bound = np.bincount(in_block, by_cell * self.cell_most[cell], self.blocks) + frequent.reshape(self.blocks, self.block).max(axis=1)
         order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best, score = np.zeros(0, np.int64), np.zeros(0)
-        step = 8
-        for at in range(0, len(order), step):
+        at = 0
+        for step in (*STEPS, len(order)):
             blocks = order[at : at + step]
-            blocks = blocks[bound[blocks] > 0]
-            if not len(blocks) or len(best) == self.k and bound[blocks[0]] < score[-1] - 1e-12:
+            at += step
+            if len(score) >= self.k:
+                blocks = blocks[bound[blocks] >= score[self.k - 1] - 1e-5]
+            if not len(blocks):
                 break
-            low, high = self.starts[terms][:, blocks].ravel(), self.starts[terms][:, blocks + 1].ravel()
-            n = high - low
-            take = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            value = self.weight[take] * np.repeat(np.repeat(weights, len(blocks)), n)
-            found, place = np.unique(self.example[take], return_inverse=True)
-            best = np.concatenate((best, found))
-            score = np.concatenate((score, np.round(np.bincount(place, value, len(found)), 12)))
-            by = np.lexsort((self.ids[best], -score))[: self.k]
+            place = np.full(self.blocks, -1)
+            place[blocks] = np.arange(len(blocks)) * self.block
+            inside = np.flatnonzero(place[in_block] >= 0)
+            first, last = self.cell_start[cell[inside]], self.cell_start[cell[inside] + 1]
+            m = last - first
+            take = np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())
+            slot = place[np.repeat(in_block[inside], m)] + self.example[take] % self.block
+            total = np.bincount(slot, np.repeat(by_cell[inside], m) * self.weight[take], len(blocks) * self.block)
+            total = np.round(total + frequent.reshape(self.blocks, self.block)[blocks].ravel(), 6)  # weights have 24 bits
+            use = np.flatnonzero(total > 0 if len(score) < self.k else total >= score[self.k - 1])
+            examples, total = blocks[use // self.block] * self.block + use % self.block, total[use]
+            if digest is not None:
+                other = self.digest[examples] != digest
+                examples, total = examples[other], total[other]
+            best, score = np.concatenate((best, examples)), np.concatenate((score, total))
+            if len(score) > self.k:
+                keep = score >= -np.partition(-score, self.k - 1)[self.k - 1]
+                best, score = best[keep], score[keep]
+            by = np.lexsort((best, -score))
             best, score = best[by], score[by]
         return best, score
 
     def vote(self, score: np.ndarray, labels: np.ndarray) -> float:
-        """Each neighbour votes with 1 / (distance + 0.05); the rate among texts without any term weighs as one at distance 0.95."""
+        """Each neighbour votes with 1 / (distance + 0.05); the rate of all examples weighs as one at distance 0.95."""
         w = 1 / (1.05 - np.minimum(score, 1))
         return float((w @ labels + self.prior) / (w.sum() + 1))
 
-    def weigh(self, doc, term, count, n: int):
-        """TF-IDF weights of unit length."""
-        w = (1 + np.log(count)) * self.idf[term]
-        norm = np.sqrt(np.bincount(doc, w * w, n))
-        return w / norm[doc]
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        """A logistic curve through the votes of left-out examples, by Newton's method with a weak prior."""
+        x, y = _logit(votes), labels
+        a, b = 1.0, 0.0
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-(a * x + b)))
+            v = p * (1 - p)
+            g = np.array([(x * (p - y)).sum() + (a - 1), (p - y).sum() + b]) * 1.0
+            h = np.array([[(x * x * v).sum() + 1, (x * v).sum()], [(x * v).sum(), v.sum() + 1]])
+            step = np.linalg.solve(h, g)
+            a, b = a - step[0], b - step[1]
+            if np.abs(step).max() < 1e-9:
+                break
+        self.slope, self.shift = float(max(a, 1e-3)), float(b)
 
+    def probability(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * _logit(votes) + self.shift)))
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 8192, max_terms: int = 512, min_docs: int = 5, least_chi2: float = 20.0, k: int = 16, block: int = 64, seed: int = 5) -> Index:
-    """Choose examples, terms and weights.
+    def votes(self, column) -> tuple[np.ndarray, list, list]:
+        """Of each text: the vote, and its nearest examples with their cosines. Without a neighbour the vote is the rate of all examples."""
+        n = len(column)
+        doc, term, count = term_counts(column, self.vocabulary)
+        term = term.astype(np.int64)
+        weight = self.weigh(doc, term, count, n) if len(doc) else np.zeros(0)
+        cut = np.searchsorted(doc, np.arange(n + 1))
+        digest = digests(column)
+        votes, near, like = np.full(n, self.prior), [[]] * n, [[]] * n
+        known: dict = {}
+        wanted = np.flatnonzero(np.diff(cut) > 0)
+        wanted = wanted[np.unique(digest[wanted], return_index=True)[1]]
+        for of in range(0, len(wanted), TEXTS):
+            some = wanted[of : of + TEXTS]
+            size = np.diff(cut)[some]
+            r = np.repeat(cut[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            frequent = self.frequent_part(np.repeat(np.arange(len(some)), size), term[r], weight[r], len(some))
+            for nth, i in enumerate(some):
+                best, s = self.nearest(term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]], digest[i], frequent[nth])
+                known[digest[i]] = self.vote(s, self.labels[best]) if len(best) else self.prior, self.ids[best].tolist(), s.tolist()
+        for i in np.flatnonzero(np.diff(cut)):
+            votes[i], near[i], like[i] = known[digest[i]]
+        return votes, near, like
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 8192, k: int = 16, block: int = 64, seed: int = 5) -> Index:
+    """The index of the examples, and the calibration of its votes.
 
     At most ``max_examples`` labelled rows (by a hash of the id, so it is a random sample) become
-    examples. Of the terms in them, those whose presence goes with the label (chi-squared at
-    least ``least_chi2`` and ``min_docs`` examples) are kept, the best ``max_terms``. Document
-    frequencies for IDF are counted over all documents.
+    examples; with fewer, all. Terms are all words of the examples. A term's weight is its count's logarithm, times IDF
+    from the document frequencies of all documents, times ``FLOOR`` + how far its correlation with
+    the label in the examples exceeds chance, so that words that tell nothing still find neighbours
+    but do not outvote those that do. The votes are calibrated on the examples themselves, each
+    without those of its own text.
+
+    Null ids and labels are left out; an id with several labels is toxic if one says so; an example whose id
+    stands in several rows counts once for each. Null texts are empty, and empty examples have no terms. Without
+    any label, or without documents, nothing is known, and all scores are 0. Other columns are ignored.
     """
     spark = docs.sparkSession
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.max(label_col) > 0).cast("long").alias("label"))
@@ -133,92 +248,86 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     small = F.broadcast(spark.createDataFrame(chosen or [], "id long, label long"))
     examples = texts.join(small, "id").select("label", "text", "id")
 
-    def by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = np.asarray(batch.column(0), np.int64)
-            doc, term, _ = term_counts(batch.column(1))
-            term, where = np.unique(term, return_inverse=True)
-            toxic = np.bincount(where, label[doc], len(term)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(toxic), pa.array(np.bincount(where, minlength=len(term)) - toxic)], ["term", "pos", "neg"])
-
-    totals = examples.agg(F.sum("label").alias("pos"), F.count("*").alias("n")).first()
-    pos, n = float(totals["pos"] or 0), float(totals["n"])
-    vocabulary = np.zeros(0, np.uint64)
-    if 0 < pos < n:
-        a, b = F.col("pos"), F.col("neg")
-        present = a + b
-        chi2 = n * (a * (n - pos - b) - b * (pos - a)) ** 2 / (pos * (n - pos) * present * F.greatest(n - present, F.lit(1e-9)))
-        seen = examples.mapInArrow(by_label, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        rows = seen.filter(present >= min_docs).withColumn("chi2", chi2).filter(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect()
-        vocabulary = np.sort(np.array([r["term"] for r in rows], np.int64).view(np.uint64))
-    size = len(vocabulary)
+            doc, term, count = term_counts(batch.column(1))
+            cut = np.searchsorted(doc, np.arange(len(batch) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (term.view(np.int64), count.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(digests(batch.column(1)).view(np.int64)), *lists], ["id", "label", "digest", "terms", "counts"])
+
+    rows = examples.mapInArrow(vectors, "id long, label long, digest long, terms array<long>, counts array<long>").toArrow().combine_chunks()
+    rows = rows.sort_by([("id", "ascending"), ("digest", "ascending")])
+    n = len(rows)
+    ids, label, digest = (rows.column(c).to_numpy() for c in ("id", "label", "digest"))
+    label = label.astype(np.float64)
+    sizes = np.array(pc.list_value_length(rows.column("terms"))).astype(np.int64) if n else np.zeros(0, np.int64)
+    term, count = (np.array(pc.list_flatten(rows.column(c))) if n else np.zeros(0, np.int64) for c in ("terms", "counts"))
+    vocabulary, term = np.unique(term.astype(np.int64).view(np.uint64), return_inverse=True)
+    example, size = np.repeat(np.arange(n), sizes), len(vocabulary)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size + 1, np.int64)
         for batch in batches:
-            _, term, _ = term_counts(batch.column(0), vocabulary)
-            total[:size] += np.bincount(term.astype(np.int64), minlength=size)[:size]
+            _, found, _ = term_counts(batch.column(0), words.value)
+            total[:size] += np.bincount(found.astype(np.int64), minlength=size)[:size]
             total[size] += len(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(total)], ["term", "docs"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "docs"])
 
-    counts = np.zeros(size + 1)
-    for r in texts.select("text").mapInArrow(frequency, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).collect():
-        counts[r["term"]] = r["docs"]
-    idf = np.log(1 + (1 + counts[size]) / (1 + counts[:size]))
+    docs_with = np.zeros(size + 1)
+    if size:
+        words = spark.sparkContext.broadcast(vocabulary)
+        counted = texts.select("text").mapInArrow(frequency, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).toArrow()
+        docs_with[counted.column("term").to_numpy()] = counted.column("docs").to_numpy()
+    idf = np.log(1 + (1 + docs_with[size]) / (1 + docs_with[:size]))
+    pos, present = label.sum(), np.bincount(term, minlength=size).astype(np.float64)
+    both = np.bincount(term, label[example], size)
+    spread = np.sqrt(np.maximum(pos * (n - pos) * present * (n - present), 1e-9))
+    correlation = np.abs(n * both - pos * present) / spread
+    factor = idf * (FLOOR + np.maximum(0, correlation - CHANCE / np.sqrt(max(n, 1))))
+    index = Index(vocabulary, factor, ids, label, digest.astype(np.int64).view(np.uint64), block, k, float((pos + 0.5) / (n + 1)) if n else 0.0)
+    if not n:
+        index.build(example, term, np.zeros(0))
+        return index
+    weight = index.weigh(example, term, count.astype(np.float64), n)
+    # Examples with the same leading term, then with the same commonest word, stand side by side, so that blocks differ.
+    leading, commonest = (np.full(n, -1) for _ in range(2))
+    for into, by in ((leading, np.lexsort((weight, example))), (commonest, np.lexsort((present[term], example)))):
+        into[example[by]] = term[by]
+    telling = np.where(leading >= 0, factor[np.maximum(leading, 0)] > 2 * FLOOR * idf[np.maximum(leading, 0)], False)
+    order = np.lexsort((ids, commonest, np.where(telling, leading, -1)))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    index.ids, index.labels, index.digest = ids[order], label[order], index.digest[order]
+    index.build(rank[example], term, weight)
+    if 0 < pos < n:
+        shared = spark.sparkContext.broadcast(index)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, term, count = term_counts(batch.column(1), vocabulary)
-            cut = np.searchsorted(doc, np.arange(len(batch) + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x.astype(np.int64))) for x in (term, count)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), *lists], ["id", "label", "terms", "counts"])
-
-    rows = sorted(examples.mapInArrow(vectors, "id long, label long, terms array<long>, counts array<long>").collect())
-    ids, label = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-    sizes = np.array([len(r[2]) for r in rows], np.int64)
-    blank = label[sizes == 0]
-    prior = float((blank.sum() + 0.5) / (len(blank) + 1)) if len(rows) and len(blank) else float((label.sum() + 0.5) / (len(label) + 1))
-    index = Index(vocabulary, idf, ids, label, block, None, None, None, None, prior, k)
-    example = np.repeat(np.arange(len(rows)), sizes)
-    term = np.array([t for r in rows for t in r[2]], np.int64)
-    weight = index.weigh(example, term, np.array([c for r in rows for c in r[3]], np.float64), len(rows))
-    by = np.lexsort((example, term))
-    blocks = max(1, -(-len(rows) // block))
-    cell = term[by] * blocks + example[by] // block
-    index.example, index.weight = example[by], weight[by]
-    edges = np.searchsorted(cell, np.arange(size * blocks + 1))
-    index.starts = np.column_stack([edges[:-1].reshape(size, blocks), edges[blocks::blocks]]) if size else np.zeros((0, blocks + 1), np.int64)
-    index.most = np.zeros(size * blocks)
-    np.maximum.at(index.most, cell, weight[by])
-    index.most = index.most.reshape(size, blocks)
+        def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value.votes(batch.column(1))[0]), batch.column(0)], ["vote", "label"])
+
+        found = examples.mapInArrow(left_out, "vote double, label long").toArrow()
+        index.calibrate(found.column("vote").to_numpy(), found.column("label").to_numpy().astype(np.float64))
     return index
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(id, score, predicted, neighbours, similarity): the vote of the nearest examples, with them as evidence.
+    """(id, score, predicted, neighbours, similarity): the calibrated vote of the nearest examples, with them as evidence.
 
-    Null texts are empty. A text without any of the terms has no neighbours and gets the rate of
-    toxic ones among such examples. Repeated rows and null ids return as they are; other columns are ignored.
+    Examples with the very text are not among its neighbours; ties with the last one all are. Null texts are empty. A text
+    without any word of the examples has no neighbours and the score of the rate of toxic examples.
+    Repeated rows and null ids return as they are; an empty table gives an empty result; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for batch in batches:
-            doc, term, count = term_counts(batch.column(1), ix.vocabulary)
-            term = term.astype(np.int64)
-            weight = ix.weigh(doc, term, count, len(batch)) if len(doc) else np.zeros(0)
-            cut = np.searchsorted(doc, np.arange(len(batch) + 1))
-            scores, near, like = np.full(len(batch), ix.prior), [[]] * len(batch), [[]] * len(batch)
-            known: dict = {}
-            for i in np.flatnonzero(np.diff(cut)):
-                t, w = term[cut[i] : cut[i + 1]], weight[cut[i] : cut[i + 1]]
-                key = (t.tobytes(), w.tobytes())
-                if key not in known:
-                    best, s = ix.nearest(t, w)
-                    known[key] = ix.vote(s, ix.labels[best]), ix.ids[best].tolist(), s.tolist()
-                scores[i], near[i], like[i] = known[key]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(near, pa.list_(pa.int64())), pa.array(like, pa.list_(pa.float64()))], ["id", "score", "predicted", "neighbours", "similarity"])
+            votes, near, like = ix.votes(batch.column(1))
+            scores = ix.probability(votes) if len(ix.ids) else np.zeros(len(batch))
+            columns = [batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(near, pa.list_(pa.int64())), pa.array(like, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "score", "predicted", "neighbours", "similarity"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     return texts.mapInArrow(run, "id long, score double, predicted int, neighbours array<long>, similarity array<double>").withColumnRenamed("id", id_col)

@@ -316,22 +316,71 @@ def test_media(spark, docs, tmp_path):
     assert any(r["error"] for r in again)
 
 
-def test_toxicity_held_out(spark):
+@pytest.fixture(scope="module")
+def labelled():
     r = random.Random(2)
-    clean = [" ".join(r.choice(["river", "stone", "walk", "blue", "house", "tree"]) for _ in range(30)) for _ in range(300)]
-    rows = [(i, t + (" you idiot fool" if i % 5 == 0 else ""), int(i % 5 == 0)) for i, t in enumerate(clean)] + [(1000, None, 0), (1001, "", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    clean = [" ".join(r.choice(["river", "stone", "walk", "blue", "house", "tree", f"w{r.randrange(400)}"]) for _ in range(30)) for _ in range(600)]
+    return [(i, t + (" You IDIOT, fool" if i % 5 == 0 else ""), int(i % 5 == 0)) for i, t in enumerate(clean)] + [(1000, None, 0), (1001, "", 0)]
+
+
+def test_toxicity_held_out(spark, labelled):
+    docs = spark.createDataFrame(labelled, "doc_id long, text string, toxic int")
     index = toxicity.fit(docs, docs.filter("doc_id % 2 = 0").select("doc_id", "toxic"))
-    got = {x["doc_id"]: x["predicted"] for x in toxicity.score(docs, index).collect()}
-    assert all(got[i] == y for i, _, y in rows)
-    # Skipping blocks changes nothing.
-    terms = np.arange(min(6, len(index.vocabulary)))
-    best, score = index.nearest(terms, np.full(len(terms), len(terms) ** -0.5))
-    dense = np.zeros(len(index.ids))
-    for t in terms:
-        a, b = index.starts[t, 0], index.starts[t, -1]
-        np.add.at(dense, index.example[a:b], index.weight[a:b] * len(terms) ** -0.5)
-    assert np.allclose(np.sort(dense)[::-1][: len(score)], score)
+    got = {x["doc_id"]: x for x in toxicity.score(docs, index).collect()}
+    assert all(got[i]["predicted"] == y for i, _, y in labelled)
+    assert all(got[i]["neighbours"] and i not in got[i]["neighbours"] for i, t, _ in labelled if t)
+
+
+def test_toxicity_neighbours_by_brute_force(spark, labelled):
+    """The cosine of all examples, all ties with the k-th included, equal texts left out; skipping blocks changes nothing."""
+    rows = [*labelled, (2000, "river house", 0), (2001, "river house", 1), (2002, "house river", 0), (2003, "zzz unknown", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.fit(docs, docs.select("doc_id", "toxic"), k=7, block=8)
+    counts = {i: collections.Counter((t or "").lower().replace(",", " ").split()) for i, t, _ in rows}
+    words = sorted({w for c in counts.values() for w in c})
+    n, pos = len(rows), sum(y for *_, y in rows)
+    has = {w: [i for i, c in counts.items() if w in c] for w in words}
+    toxic = {i: y for i, _, y in rows}
+    factor = {}
+    for w in words:
+        m, both = len(has[w]), sum(toxic[i] for i in has[w])
+        phi = abs(n * both - pos * m) / max(pos * (n - pos) * m * (n - m), 1e-9) ** 0.5
+        factor[w] = np.log(1 + (1 + n) / (1 + m)) * (toxicity.FLOOR + max(0, phi - toxicity.CHANCE / n**0.5))
+    vector = {i: np.array([(1 + np.log(c[w])) * factor[w] if w in c else 0.0 for w in words]) for i, c in counts.items()}
+    vector = {i: v / (np.linalg.norm(v) or 1) for i, v in vector.items()}
+    text = {i: t or "" for i, t, _ in rows}
+    for x in toxicity.score(docs, index).collect():
+        i = x["doc_id"]
+        cos = {j: round(float(vector[i] @ vector[j]), 5) for j in vector if text[j] != text[i]}
+        want = sorted((c for c in cos.values() if c > 0), reverse=True)[:7]
+        assert np.allclose(x["similarity"][:7], want, atol=2e-5)
+        assert all(abs(cos[j] - s) < 2e-5 for j, s in zip(x["neighbours"], x["similarity"]))
+        if len(want) == 7:
+            assert {j for j, c in cos.items() if c > want[-1] + 3e-5} <= set(x["neighbours"]) and all(s >= x["similarity"][6] for s in x["similarity"])
+
+
+def test_toxicity_scores_are_rates(spark):
+    """A noisy sign of toxicity: in each range of scores, about that share of held-out texts is toxic."""
+    r = random.Random(12)
+    rows = []
+    for i in range(3000):
+        k = r.choice([0, 0, 1, 2])
+        rows.append((i, " ".join([f"w{r.randrange(300)}" for _ in range(20)] + [f"sign{k}"]), int(r.random() < (0.05, 0.4, 0.9)[k])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.fit(docs, docs.filter("doc_id % 3 > 0"))
+    got = [(x["score"], rows[x["doc_id"]][2]) for x in toxicity.score(docs, index).collect() if x["doc_id"] % 3 == 0]
+    for low, high in ((0, 0.2), (0.2, 0.65), (0.65, 1.01)):
+        of = [(s, y) for s, y in got if low <= s < high]
+        assert len(of) > 100 and abs(np.mean([s for s, _ in of]) - np.mean([y for _, y in of])) < 0.1
+
+
+def test_toxicity_without_labels_or_documents(spark, labelled):
+    docs = spark.createDataFrame([(*x, 1, 2) for x in [*labelled[:5], labelled[0], (None, "x", 1)]], "doc_id long, text string, toxic int, score int, id int")
+    none = toxicity.fit(docs, docs.select("doc_id", "toxic").limit(0))
+    assert [(x["score"], x["predicted"]) for x in toxicity.score(docs, none).collect()] == [(0.0, 0)] * 7
+    index = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    assert toxicity.score(docs.limit(0), index).count() == 0 and toxicity.score(docs, index).count() == 7
+    assert toxicity.score(docs, toxicity.fit(docs.limit(0), docs.select("doc_id", "toxic"))).count() == 7
 
 
 def test_hashes_agree_with_text():
