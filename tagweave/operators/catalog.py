@@ -48,10 +48,14 @@ def upcoming(as_of: Column) -> Column:
     return F.coalesce(F.col("starts_at") >= as_of, F.lit(False))
 
 
-def order_catalog(df: DataFrame, as_of: Column, n: int = 5000) -> DataFrame:
+def catalog_order(as_of: Column) -> list[Column]:
     """Future events, groups, the rest; then start, newest, id. Instants are sorted, not texts."""
     rank = F.when((F.col("item_type") == "event") & upcoming(as_of), 0).when(F.col("item_type") == "group", 1).otherwise(2)
-    return df.orderBy(rank, F.col("starts_at").asc_nulls_last(), F.col("created_at").desc_nulls_last(), "item_id").limit(n)
+    return [rank, F.col("starts_at").asc_nulls_last(), F.col("created_at").desc_nulls_last(), F.col("item_id")]
+
+
+def order_catalog(df: DataFrame, as_of: Column, n: int = 5000) -> DataFrame:
+    return df.orderBy(*catalog_order(as_of)).limit(n)
 
 
 def link_by_rules(items: DataFrame, tags: DataFrame, rules: DataFrame) -> DataFrame:

@@ -61,11 +61,6 @@ def fold_undo(log: DataFrame) -> DataFrame:
     return folded.select("user_id", F.posexplode("stack").alias("pos", "x")).select("user_id", "pos", "x.*")
 
 
-def fold_successful(log: DataFrame) -> DataFrame:
-    """Failed writes do not count: the latest successful one of each key."""
-    return latest_decisions(log.filter("status = 'ok'"))
-
-
 def user_counters(users: DataFrame, open_items: DataFrame, swipes: DataFrame) -> DataFrame:
     """Available and saved items of each user, two digits at least.
 

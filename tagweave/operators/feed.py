@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.functions import scalars as S
-from tagweave.operators.catalog import upcoming
+from tagweave.operators.catalog import catalog_order, upcoming
 
 
 def feed_rows(catalog: DataFrame, swipes: DataFrame, campus: str, user_id: int) -> DataFrame:
@@ -38,36 +40,62 @@ def available(items: DataFrame, decided: DataFrame, as_of: Column, kind: str = "
     return items.filter(p).join(decided.select("item_id").distinct(), "item_id", "left_anti")
 
 
-def decode_results(results: DataFrame, campus: str, as_of: Column, kind: str = "all", include_unavailable: bool = False) -> DataFrame:
-    """Cards of raw search rows (rank, item_id, item_type, title, description, tags, campus, starts_at text, is_active and is_demo text).
+#: The most results of a request, and of characters in their fields.
+MAX_RESULTS = 5000
+RESULT_LIMITS = {"item_id": 180, "item_type": 10, "title": 500, "description": 20_000, "campus": 200}
+
+
+def result_errors(results: DataFrame) -> DataFrame:
+    """(request_id, error): the requests whose result is refused as a whole, for its size or for its first bad row by rank."""
+    too_long = reduce(lambda a, b: a | b, (F.col(c).isNull() | (F.length(c) > n) for c, n in RESULT_LIMITS.items()))
+    late = F.col("tags").isNull() | (F.length("tags") > 1000)
+    # Message texts.
+    bad = (
+        F.when(F.col("item_id").isNull() | (F.length("item_id") > RESULT_LIMITS["item_id"]) | F.col("item_type").isNull() | (F.length("item_type") > RESULT_LIMITS["item_type"]), "Invalid search field.")
+        .when((S.trim(F.col("item_id")) == "") | ~S.trim(F.col("item_type")).isin("event", "group"), "Invalid card identity.")
+        .when(too_long, "Invalid search field.")
+        .when(S.trim(F.col("title")) == "", "Missing card title.")
+        .when(late, "Invalid search field.")
+    )
+    first = results.groupBy("request_id").agg(F.count("*").alias("n"), F.min(F.when(bad.isNotNull(), F.struct("rank", bad.alias("error"))))["error"].alias("error"))
+    return first.select("request_id", F.when(F.col("n") > MAX_RESULTS, "Invalid search response.").otherwise(F.col("error")).alias("error")).filter("error is not null")
+
 
-    Off-campus, inactive, past and undated events go, then the first of each id stays; the color follows the rank.
+def decode_results(results: DataFrame, campus: str, as_of: Column, kind: str = "all", include_unavailable: bool = False, excluded: DataFrame | None = None) -> DataFrame:
+    """Cards of raw search rows (request_id, rank, item_id, item_type, title, description, tags, campus, starts_at text, is_active and is_demo text).
+
+    A request with an error (``result_errors``) has no cards. Off-campus, inactive, past and undated events and
+    ``excluded`` (request_id, excluded_id) go, then the first of each id stays; the color follows the rank.
     """
+    results = results.join(result_errors(results), "request_id", "left_anti")
+    if excluded is not None:
+        gone = excluded.filter(F.col("excluded_id").startswith(S.REMOTE_PREFIX)).select("request_id", F.substring("excluded_id", len(S.REMOTE_PREFIX) + 1, 1000).alias("item_id"))
+        results = results.join(gone.distinct(), ["request_id", "item_id"], "left_anti")
     start = S.offset_timestamp(F.col("starts_at"))
     keep = (F.col("campus") == campus) & ((F.col("item_type") == "group") | start.isNotNull())
     if kind != "all":
         keep = keep & (F.col("item_type") == kind)
     if not include_unavailable:
         keep = keep & S.is_one(F.col("is_active")) & ((F.col("item_type") == "group") | (start >= as_of))
-    rows = first_by_rank(results.withColumn("start", start).filter(keep), "item_id")
+    rows = first_by_rank(results.withColumn("start", start).filter(keep), "request_id", "item_id")
     body = S.strip_source(S.trim(F.col("description")))
     event = F.col("item_type") == "event"
     rows = rows.select(
-        "rank", F.concat(F.lit(S.REMOTE_PREFIX), "item_id").alias("id"), F.col("item_type").alias("kind"), S.trim(F.col("title")).alias("title"), S.ellipsis(body).alias("description"), S.source_url(S.trim(F.col("description"))).alias("source_url"), S.all_day(body).alias("all_day"),
+        "request_id", "rank", F.concat(F.lit(S.REMOTE_PREFIX), "item_id").alias("id"), F.col("item_type").alias("kind"), S.trim(F.col("title")).alias("title"), S.ellipsis(body).alias("description"), S.source_url(S.trim(F.col("description"))).alias("source_url"), S.all_day(body).alias("all_day"),
         F.array_join(S.parse_tags(F.col("tags")), ",").alias("tags"), F.when(event, S.campus_date(F.col("start"))).otherwise("").alias("date"), F.when(event, S.campus_time(F.col("start"))).otherwise("").alias("time"), S.is_true(F.col("is_demo")).alias("demo"),
     )
-    return with_color(rows)
+    return with_color(rows, "request_id")
 
 
-def first_by_rank(df: DataFrame, key: str) -> DataFrame:
+def first_by_rank(df: DataFrame, *key: str) -> DataFrame:
     """The first surviving row of each key; filters come before, so a dropped row blocks none."""
-    w = Window.partitionBy(key).orderBy("rank")
+    w = Window.partitionBy(*key).orderBy("rank")
     return df.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
 
 
-def with_color(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Position % 4 in rank order (of a bounded result list, or of each ``by``)."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy("rank")
+def with_color(df: DataFrame, by: str) -> DataFrame:
+    """Position % 4 in rank order, within each ``by`` (a request or a user)."""
+    w = Window.partitionBy(by).orderBy("rank")
     return df.withColumn("color", (F.row_number().over(w) - 1) % 4)
 
 
@@ -100,9 +128,49 @@ def saved(items: DataFrame, swipes: DataFrame) -> DataFrame:
     return items.join(swipes.filter("action = 'interested'").select("user_id", "item_id"), "item_id")
 
 
-def deck(catalog: DataFrame, ranked: DataFrame, decisions: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
-    """The recommended cards of each user that are still undecided, in rank order; users without any get none here
-    and fall back to their campus' catalog order (``order_catalog``), which is the same for all of them."""
-    left = ranked.join(decisions.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").join(users.select("user_id"), "user_id", "left_semi")
-    live = catalog.filter((F.col("is_active") == 1) & ~F.col("is_demo") & (F.col("starts_at").isNull() | (F.col("starts_at") >= as_of))).select("item_id")
-    return numbered(left.join(live, "item_id", "left_semi"), F.col("rank"))
+def live_items(catalog: DataFrame, as_of: Column) -> DataFrame:
+    return catalog.filter((F.col("is_active") == 1) & ~F.col("is_demo") & (F.col("starts_at").isNull() | (F.col("starts_at") >= as_of)))
+
+
+def first_available(items: DataFrame, users: DataFrame, decisions: DataFrame, extra: DataFrame, as_of: Column, n: int) -> DataFrame:
+    """(user_id, item_id, pos): of each user's campus the first items in catalog order that are undecided.
+
+    ``extra`` (user_id, extra) is how many more than n a user needs. The order is made once for each campus, and a
+    user reads n + extra + (as many as they have decided on) items of it, so there is no user x item product.
+    """
+    done = decisions.groupBy("user_id").agg(F.count("*").alias("done"))
+    need = users.select("user_id", "campus").join(done, "user_id", "left").join(extra, "user_id", "left")
+    need = need.select("user_id", "campus", (n + F.coalesce("done", F.lit(0)) + F.coalesce("extra", F.lit(0))).alias("need"))
+    most = need.agg(F.coalesce(F.max("need"), F.lit(0)).alias("most")).first()["most"]
+    order = Window.partitionBy("campus").orderBy(*catalog_order(as_of))
+    ordered = items.select("campus", "item_id", F.row_number().over(order).alias("pos")).filter(F.col("pos") <= most)
+    read = need.join(ordered, "campus").filter(F.col("pos") <= F.col("need"))
+    return read.join(decisions.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").select("user_id", "item_id", "pos")
+
+
+def deck(catalog: DataFrame, ranked: DataFrame, decisions: DataFrame, users: DataFrame, as_of: Column, size: int = 50) -> DataFrame:
+    """(user_id, item_id, place): the first ``size`` undecided cards of each user.
+
+    Picks come first in rank order, then the rest of the campus in catalog order; a user without picks has
+    the catalog order alone.
+    """
+    live = live_items(catalog, as_of)
+    picks = ranked.join(decisions.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").join(users.select("user_id"), "user_id", "left_semi").join(live.select("item_id"), "item_id", "left_semi")
+    extra = picks.groupBy("user_id").agg(F.count("*").alias("extra"))
+    tail = first_available(live, users, decisions, extra, as_of, size).join(picks.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    both = picks.select("user_id", "item_id", F.col("rank"), F.lit(None).cast("int").alias("pos")).unionByName(tail.select("user_id", "item_id", F.lit(None).cast("long").alias("rank"), "pos"))
+    return numbered(both, F.col("rank").asc_nulls_last(), F.col("pos").asc_nulls_last(), F.col("item_id")).filter(F.col("place") <= size)
+
+
+def preview_fan(catalog: DataFrame, decisions: DataFrame, users: DataFrame, as_of: Column, n: int = 3) -> DataFrame:
+    """(user_id, item_id, place): the first n available items of each user, or of all their feed's where fewer are available."""
+    none = users.select("user_id", F.lit(0).alias("extra"))
+    mine = numbered(first_available(live_items(catalog, as_of), users, decisions, none, as_of, n), F.col("pos")).filter(F.col("place") <= n)
+    short = users.join(mine.filter(F.col("place") == n).select("user_id"), "user_id", "left_anti")
+    shown = catalog.filter((F.col("is_active") == 1) & ~F.col("is_demo"))
+    first = Window.partitionBy("campus").orderBy(*catalog_order(as_of))
+    head = shown.withColumn("pos", F.row_number().over(first)).filter(F.col("pos") <= n).drop("pos")
+    own = short.select("user_id", F.col("campus").alias("home")).join(decisions.select("user_id", "item_id"), "user_id").join(catalog, "item_id").filter(F.col("home") == F.col("campus")).drop("home")
+    every = short.select("user_id", "campus").join(head, "campus").unionByName(own.select("user_id", *[c for c in head.columns])).dropDuplicates(["user_id", "item_id"])
+    rest = numbered(every, *catalog_order(as_of)).filter(F.col("place") <= n)
+    return mine.select("user_id", "item_id", "place").join(short.select("user_id"), "user_id", "left_anti").unionByName(rest.select("user_id", "item_id", "place"))

@@ -59,6 +59,15 @@ def lookup(requests: DataFrame, target: DataFrame, key: str) -> DataFrame:
     return requests.join(target, key, "left").withColumn("status", F.when(F.col("user_id").isNotNull(), "found").otherwise("not found"))
 
 
+def user_function(users: DataFrame, name: str = "get_user_by_id") -> str:
+    """Register a SQL table function over ``users``: its row for an id, without secrets. Returns the function's name."""
+    spark, view = users.sparkSession, f"{name}_users"
+    users.select("user_id", "name", "email", "username").createOrReplaceTempView(view)
+    spark.sql(f"""create or replace temporary function {name}(p_user_id bigint) returns table (user_id bigint, name string, email string, username string)
+      return select user_id, name, email, username from {view} where user_id = p_user_id""")
+    return name
+
+
 def create_users(target: DataFrame, batch: DataFrame) -> DataFrame:
     """SUCCESS or ERROR for each row of the batch (seq, email, username): both must be new, and first in the batch."""
     first = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("seq"))

@@ -32,8 +32,12 @@ def joined(c, name: str, sep: str = "|"):
 
 
 def scratch(t: Tables, name: str) -> str:
-    """A folder all executors share, as the session names it."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tagweave-")
+    """A folder all executors share, as the session names it (a temporary one only where a single machine runs all)."""
+    root = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not t.spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tagweave-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -61,11 +65,10 @@ def catalog_tags_listagg(t):
 
 @query("""select row_number() over (order by r, starts_at asc nulls last, created_at desc nulls last, item_id) as pos, item_id, item_type, strftime(starts_at, '%Y-%m-%d %H:%M:%S') as starts_at from (
   select *, case when item_type = 'event' and starts_at >= t then 0 when item_type = 'group' then 1 else 2 end as r from cat, clock
-  where campus = 'NATION_3' and ((is_active = 1 and not is_demo) or item_id in (select item_id from sw where user_id = 3))) order by pos limit 200""")
+  where campus = 'NATION_3' and ((is_active = 1 and not is_demo) or item_id in (select item_id from sw where user_id = 3))) order by pos limit 5000""")
 def catalog_feed(t):
-    rows = C.order_catalog(P.feed_rows(cat(t), D.current(t.log()), CAMPUS, USER), t.as_of, 200)
-    rank = F.when((F.col("item_type") == "event") & C.upcoming(t.as_of), 0).when(F.col("item_type") == "group", 1).otherwise(2)
-    page = P.numbered(rows.withColumn("page", F.lit(0)), rank, F.col("starts_at").asc_nulls_last(), F.col("created_at").desc_nulls_last(), F.col("item_id"), by="page", name="pos")
+    rows = C.order_catalog(P.feed_rows(cat(t), D.current(t.log()), CAMPUS, USER), t.as_of, 5000)
+    page = P.numbered(rows.withColumn("page", F.lit(0)), *C.catalog_order(t.as_of), by="page", name="pos")  # a page of 5,000 rows at most
     return show(page.select("pos", "item_id", "item_type", "starts_at"))
 
 
@@ -81,9 +84,10 @@ def catalog_materialized(t):
     return show(t.spark.read.parquet(path).filter("campus = 'NATION_3' and item_type = 'group'"))
 
 
-@query("""select item_id, item_type from open_items where campus = 'NATION_3' and item_type = 'event' and item_id not in (select item_id from sw where user_id < 50)""")
+@query("""select item_id, item_type from open_items where campus = 'NATION_3' and item_type = 'event' and item_id not in (select item_id from sw where action = 'interested' group by item_id having count(*) >= 3)""")
 def search_filter(t):
-    ids = D.current(t.log()).filter("user_id < 50").select(F.concat(F.lit(S.REMOTE_PREFIX), "item_id").alias("excluded_id"))
+    popular = D.current(t.log()).filter("action = 'interested'").groupBy("item_id").count().filter("count >= 3")
+    ids = popular.select(F.concat(F.lit(S.REMOTE_PREFIX), "item_id").alias("excluded_id"))
     return P.exclude(cat(t).filter(P.search_predicate(F.lit(CAMPUS), t.as_of, "event")), ids).select("item_id", "item_type")
 
 
@@ -100,17 +104,32 @@ def feed_available(t):
 
 
 def raw_results(t: Tables) -> DataFrame:
-    """Search rows as an outside service gives them: texts, wrong rows and repeats among them."""
+    """Search rows as an outside service gives them, a thousand events in each request: texts, repeats, and bad rows among them."""
     c = cat(t).filter("item_type = 'event'").withColumn("n", F.substring("item_id", 7, 20).cast("long"))
-    one = c.select(F.col("n").alias("rank"), "item_id", "item_type", F.concat(F.lit(" "), "title").alias("title"), F.concat(F.lit("Official listing: https://example.org/"), "n", F.lit("\n\nAbout "), "description").alias("description"), "tags", "campus", C.iso("starts_at"), F.col("is_active").cast("string").alias("is_active"), F.col("is_demo").cast("string").alias("is_demo"))
+    title = F.when(F.col("n") % 7001 == 0, " ").otherwise(F.concat(F.lit(" "), "title"))
+    kind = F.when(F.col("n") % 9001 == 0, "people").otherwise(F.col("item_type"))
+    text = F.concat(F.lit("Official listing: https://example.org/"), "n", F.lit("\n\nAbout "), "description")
+    one = c.select(
+        F.floor(F.col("n") / 1000).alias("request_id"), F.col("n").alias("rank"), "item_id", kind.alias("item_type"), title.alias("title"), text.alias("description"),
+        F.when(F.col("n") % 11003 == 0, F.repeat(F.lit("x"), 1001)).otherwise(F.col("tags")).alias("tags"), "campus", C.iso("starts_at"), F.col("is_active").cast("string").alias("is_active"), F.col("is_demo").cast("string").alias("is_demo"),
+    )
     return one.unionByName(one.filter("rank % 3 = 0").withColumn("rank", F.col("rank") + 1_000_000_000))
 
 
-@query("""select event_id as rank, 'snowflake:event:' || event_id as id, 'event' as kind, title, 'About ' || description as description, 'https://example.org/' || event_id as source_url, false as all_day, replace(coalesce(tags, ''), ', ', ',') as tags,
-  strftime(starts_at at time zone 'UTC' at time zone 'America/New_York', '%Y-%m-%d') as date, strftime(starts_at at time zone 'UTC' at time zone 'America/New_York', '%H:%M') as time, is_demo as demo, cast((row_number() over (order by event_id) - 1) % 4 as int) as color
-  from ev left join elist on owner_id = event_id, clock where campus = 'NATION_3' and is_active = 1 and starts_at >= t""")
+BAD = """, bad as (select event_id // 1000 as request_id, event_id, case when event_id % 9001 = 0 then 'Invalid card identity.' when event_id % 7001 = 0 then 'Missing card title.' else 'Invalid search field.' end as error from ev where event_id % 7001 = 0 or event_id % 9001 = 0 or event_id % 11003 = 0) """
+
+
+@query(BAD + "select request_id, error from bad qualify row_number() over (partition by request_id order by event_id) = 1")
+def decode_errors(t):
+    return P.result_errors(raw_results(t))
+
+
+@query(BAD + """select event_id // 1000 as request_id, event_id as rank, 'snowflake:event:' || event_id as id, 'event' as kind, title, 'About ' || description as description, 'https://example.org/' || event_id as source_url, false as all_day, replace(coalesce(tags, ''), ', ', ',') as tags,
+  strftime(starts_at at time zone 'UTC' at time zone 'America/New_York', '%Y-%m-%d') as date, strftime(starts_at at time zone 'UTC' at time zone 'America/New_York', '%H:%M') as time, is_demo as demo, cast((row_number() over (partition by event_id // 1000 order by event_id) - 1) % 4 as int) as color
+  from ev left join elist on owner_id = event_id, clock where campus = 'NATION_3' and is_active = 1 and starts_at >= t and event_id // 1000 not in (select request_id from bad) and event_id % 17 <> 0""")
 def decode_results(t):
-    return P.decode_results(raw_results(t), CAMPUS, t.as_of)
+    seen = t.events().filter("event_id % 17 = 0").select(F.floor(F.col("event_id") / 1000).alias("request_id"), F.concat(F.lit(S.REMOTE_PREFIX), S.item_id("event", F.col("event_id"))).alias("excluded_id"))
+    return P.decode_results(raw_results(t), CAMPUS, t.as_of, excluded=seen)
 
 
 @query("""select user_id, item_id, place from (select user_id, item_id, row_number() over (partition by user_id order by rank) as place from rec) where place <= 2""")
@@ -118,32 +137,49 @@ def deck_head(t):
     return P.numbered(ranked(t), F.col("rank")).filter("place <= 2").select("user_id", "item_id", "place")
 
 
-def ranked(t: Tables) -> DataFrame:
+def ranked(t: Tables, profiles: DataFrame | None = None) -> DataFrame:
     c = cat(t)
-    return R.recommend(t.profiles(), R.build_postings(c), c, t.as_of)
+    return R.recommend(t.profiles() if profiles is None else profiles, R.build_postings(c), c, t.as_of)
+
+
+#: The best 50 without the user's last 500 decisions, then checked against live rows.
+PICKS = """, excl as (select user_id, item_id from sw qualify row_number() over (partition by user_id order by ts desc, item_id) <= 500),
+best as (select user_id, item_id, row_number() over (partition by user_id order by score desc, item_id) as rank from asked join scored using (campus, query) anti join excl using (user_id, item_id)),
+picks as (select user_id, item_id, rank from best anti join sw using (user_id, item_id) where rank <= 50 and item_id in (select item_id from open_items where not is_demo)),
+live as (select cat.* from cat, clock where is_active = 1 and not is_demo and (starts_at is null or starts_at >= t)),
+placed as (select *, row_number() over (partition by campus order by case when item_type = 'event' and starts_at >= (select t from clock) then 0 when item_type = 'group' then 1 else 2 end, starts_at asc nulls last, created_at desc nulls last, item_id) as pos from live) """
+
+
+def picks(t: Tables) -> DataFrame:
+    c = cat(t)
+    return R.recommend_for_users(t.profiles(), t.profiles(), D.current(t.log()), R.build_postings(c), c, t.as_of)
 
 
 @query("""select item_id, place from (select item_id, row_number() over (order by rank asc nulls last, item_id) as place from open_items left join (select item_id, rank from rec where user_id = 3) using (item_id) where campus = (select campus from prof where user_id = 3))""")
 def deck_ranked_first(t):
-    items = cat(t).filter(P.search_predicate(F.lit(CAMPUS_OF_USER(t)), t.as_of)).withColumn("user_id", F.lit(USER).cast("long"))
-    mine = P.lookup_ranked(ranked(t).filter(F.col("user_id") == USER), items.select("item_id"))
+    me = t.profiles().filter(F.col("user_id") == USER)
+    items = cat(t).filter(P.search_predicate(None, t.as_of)).join(F.broadcast(me.select("user_id", "campus")), "campus")
+    mine = P.lookup_ranked(ranked(t, me), items.select("item_id"))
     rest = P.not_ranked(items, mine).select("user_id", "item_id", F.lit(None).cast("long").alias("rank"))
     both = P.ranked_first(items.select("user_id", "item_id"), mine).select("user_id", "item_id", "rank")
     return P.numbered(both.filter("rank is not null").unionByName(rest), F.col("rank").asc_nulls_last(), F.col("item_id")).select("item_id", "place")
 
 
-def CAMPUS_OF_USER(t: Tables) -> str:
-    return t.profiles().filter(F.col("user_id") == USER).first()["campus"]
-
-
 @query("""select user_id, item_id, row_number() over (partition by user_id order by case when rank = 3 then 0 else 1 end, rank) as place from rec""")
 def deck_pinned(t):
     return P.numbered(ranked(t), F.when(F.col("rank") == 3, 0).otherwise(1), F.col("rank")).select("user_id", "item_id", "place")
 
 
-@query("""select user_id, item_id, row_number() over (partition by user_id order by rank) as place from rec anti join sw using (user_id, item_id) where item_id in (select item_id from cat, clock where is_active = 1 and not is_demo and (starts_at is null or starts_at >= t))""")
+@query(PICKS + """select user_id, item_id, place from (select p.user_id, l.item_id, row_number() over (partition by p.user_id order by k.rank asc nulls last, l.pos) as place
+  from prof p join placed l using (campus) left join picks k on k.user_id = p.user_id and k.item_id = l.item_id left join sw on sw.user_id = p.user_id and sw.item_id = l.item_id where sw.item_id is null) where place <= 50""")
 def deck_personal(t):
-    return P.deck(cat(t), ranked(t), D.current(t.log()), t.profiles(), t.as_of).select("user_id", "item_id", "place")
+    return P.deck(cat(t), picks(t), D.current(t.log()), t.profiles(), t.as_of).select("user_id", "item_id", "place")
+
+
+@query(PICKS + """select user_id, item_id, place from (select p.user_id, l.item_id, row_number() over (partition by p.user_id order by l.pos) as place
+  from prof p join placed l using (campus) left join sw on sw.user_id = p.user_id and sw.item_id = l.item_id where sw.item_id is null) where place <= 3""")
+def preview_fan(t):
+    return P.preview_fan(cat(t), D.current(t.log()), t.profiles().select("user_id", "campus"), t.as_of)
 
 
 @query("select user_id, item_id, title from cat join sw using (item_id) where action = 'interested'")
@@ -211,9 +247,11 @@ def decisions_history_map(t):
     return m.select("user_id", joined(F.array_sort(F.transform(F.map_entries("decisions"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "decisions", ","))
 
 
-@query("""select user_id, item_id, rank from rec anti join (select user_id, item_id from sw qualify row_number() over (partition by user_id order by ts desc, item_id) <= 20) using (user_id, item_id)""")
+@query(PICKS + "select user_id, item_id, rank from best where rank <= 50")
 def exclusions_last_500(t):
-    return D.drop_decided(ranked(t), D.recent_exclusions(D.current(t.log()), 20)).select("user_id", "item_id", "rank")
+    c = cat(t)
+    recent = D.recent_exclusions(D.current(t.log()), 500)
+    return R.recommend(t.profiles(), R.build_postings(c), c, t.as_of, exclusions=recent).select("user_id", "item_id", "rank")
 
 
 def undo_log(t: Tables) -> DataFrame:
@@ -326,9 +364,9 @@ def import_report(t):
     return I.import_report(g, before, I.merge_insert(before, g, ["key"]), F.lit("1998-01-10").cast("timestamp"))
 
 
-@query("select title, location, strftime(t + to_days(d), '%Y-%m-%d %H:%M:%S') as starts_at from (values ('Demo: Beginner AI Hackathon', 'Iribe Center', 3), ('Demo: K-pop Dance Workshop', 'Stamp Student Union', 4)) s(title, location, d), clock where exists (select 1 from orders)")
+@query("select campus, title, location, strftime(t + to_days(d), '%Y-%m-%d %H:%M:%S') as starts_at from (select distinct campus from prof), (values ('Demo: Beginner AI Hackathon', 'Iribe Center', 3), ('Demo: K-pop Dance Workshop', 'Stamp Student Union', 4)) s(title, location, d), clock")
 def seed_rows(t):
-    return show(I.seed_rows(t.spark, t.as_of).join(t.raw("orders").limit(1).select(F.lit(1)), how="left_semi"))
+    return show(I.seed_rows(t.profiles().select("campus").distinct(), t.as_of))
 
 
 @query("select title, any_value(description) as description from (select title, 'old' as description from (select distinct title from ev) where title < '3' union all select title, 'new' from (select distinct title from ev) where title >= '3') group by 1")
@@ -423,11 +461,9 @@ def recommend_topk(t):
     return ranked(t)
 
 
-@query("""select user_id, item_id, rank from rec anti join sw using (user_id, item_id) where user_id % 2 = 0 and item_id in (select item_id from open_items where not is_demo)""")
+@query(PICKS + "select user_id, item_id, rank from picks")
 def recommend_users(t):
-    c = cat(t)
-    some = t.profiles().filter("user_id % 2 = 0")
-    return R.recommend_for_users(some, t.profiles(), D.current(t.log()), R.build_postings(c), c, t.as_of).select("user_id", "item_id", "rank")
+    return picks(t).select("user_id", "item_id", "rank")
 
 
 def tag_rows(t: Tables) -> DataFrame:
@@ -654,14 +690,28 @@ def user_lookup(t):
     return U.lookup(t.raw("orders").select("o_orderkey", F.col("o_custkey").alias("wanted")), target, "wanted").select("o_orderkey", F.col("wanted").alias("user_id"), "status", "name")
 
 
-@query("""select seq, email, username, case when email in (select 'e' || c_custkey from customer where c_custkey < 50) or e > 1 then 'ERROR: email already exists' when u > 1 then 'ERROR: username already exists' else 'SUCCESS' end as status
+@query("""select seq, email, username, case when email in (select 'e' || c_custkey from customer where c_mktsegment = 'BUILDING') or e > 1 then 'ERROR: email already exists' when u > 1 then 'ERROR: username already exists' else 'SUCCESS' end as status
   from (select o_orderkey as seq, 'e' || o_custkey as email, 'u' || (o_orderkey % 900) as username, row_number() over (partition by o_custkey order by o_orderkey) as e, row_number() over (partition by o_orderkey % 900 order by o_orderkey) as u from orders)""")
 def create_users_status(t):
     batch = t.raw("orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("e"), "o_custkey").alias("email"), F.concat(F.lit("u"), F.col("o_orderkey") % 900).alias("username"))
-    target = t.raw("customer").filter("c_custkey < 50").select(F.concat(F.lit("e"), "c_custkey").alias("email"), F.lit("nobody").alias("username"))
+    target = t.raw("customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("e"), "c_custkey").alias("email"), F.lit("nobody").alias("username"))
     return U.create_users(target, batch)
 
 
+@query("select c_custkey, case when c_custkey % 2 = 0 then 'SUCCESS' else 'ERROR: user does not exist' end as status from customer")
+def create_profiles_status(t):
+    batch = t.raw("customer").select("c_custkey", F.col("c_custkey").alias("user_id"))
+    return U.create_profiles(users(t).filter("user_id % 2 = 0"), batch).select("c_custkey", "status")
+
+
+@query("select o_orderkey, c_custkey as user_id, c_name as name, c_name || '@example.org' as email, 'u' || c_custkey as username from orders join customer on c_custkey = o_custkey")
+def user_function(t):
+    accounts = users(t).select("user_id", "name", F.concat("name", F.lit("@example.org")).alias("email"), F.concat(F.lit("u"), "user_id").alias("username"), F.lit("secret").alias("password"))
+    name = U.user_function(accounts)
+    t.raw("orders").select("o_orderkey", "o_custkey").createOrReplaceTempView("user_function_requests")
+    return t.spark.sql(f"select r.o_orderkey, u.* from user_function_requests r, lateral {name}(r.o_custkey) u")
+
+
 # ---- streams ----------------------------------------------------------------
 
 
@@ -672,17 +722,27 @@ def as_stream(t: Tables, df: DataFrame, name: str, files: int = 4) -> DataFrame:
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def snapshot(t: Tables, empty: DataFrame):
+def as_ordered_stream(t: Tables, df: DataFrame, name: str, slices: int = 4) -> DataFrame:
+    """A log as a stream in the order of time: a micro-batch for each range of it; a user's rows of a range are in one file."""
+    path, at = scratch(t, name), F.unix_timestamp("ts").cast("double")
+    cuts = df.select(at.alias("at")).approxQuantile("at", [i / slices for i in range(1, slices)], 0.01)
+    nth = sum(((at > c).cast("int") for c in cuts), F.lit(0))
+    for i in range(slices):
+        df.filter(nth == i).repartition(slices, "user_id").write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", slices).parquet(path)
+
+
+def snapshot(t: Tables, empty: DataFrame, *keys: str):
     from tagweave.streaming.streams import Snapshot
 
-    return Snapshot(t.spark, scratch(t, "snapshot"), empty)
+    return Snapshot(t.spark, scratch(t, "snapshot"), empty, list(keys))
 
 
 @query("select user_id, item_id, action, seq from sw")
 def stream_decisions(t):
     from tagweave.streaming import streams as X
 
-    target = snapshot(t, t.log().limit(0).select("user_id", "item_id", "ts", "seq", "action"))
+    target = snapshot(t, t.log().limit(0).select("user_id", "item_id", "ts", "seq", "action"), "user_id", "item_id")
     X.stream_decisions(as_stream(t, t.log(), "log"), target, scratch(t, "checkpoint"))
     return target.read().filter("action <> 'clear'").drop("ts")
 
@@ -692,7 +752,7 @@ def stream_successful(t):
     from tagweave.streaming import streams as X
 
     log = t.log().withColumn("status", F.when(F.col("seq") % 5 == 0, "failed").otherwise("ok"))
-    target = snapshot(t, t.log().limit(0).select("user_id", "item_id", "ts", "seq", "action"))
+    target = snapshot(t, t.log().limit(0).select("user_id", "item_id", "ts", "seq", "action"), "user_id", "item_id")
     X.stream_successful(as_stream(t, log, "log"), target, scratch(t, "checkpoint"))
     return target.read().drop("ts")
 
@@ -702,7 +762,7 @@ def stream_refresh(t):
     from tagweave.streaming import streams as X
 
     rebuild = lambda: cat(t).select("item_id", "item_type", "title", "campus")
-    target = snapshot(t, rebuild().limit(0))
+    target = snapshot(t, rebuild().limit(0), "item_id")
     X.stream_refresh_catalog(as_stream(t, t.groups().select("group_id"), "groups", 2), rebuild, target, scratch(t, "checkpoint"))
     return target.read()
 
@@ -711,7 +771,7 @@ def stream_refresh(t):
 def stream_publish(t):
     from tagweave.streaming import streams as X
 
-    target = snapshot(t, drafts_batch(t).limit(0).select("publish_key", "title"))
+    target = snapshot(t, drafts_batch(t).limit(0).select("publish_key", "title"), "publish_key")
     X.stream_insert(as_stream(t, drafts_batch(t), "drafts"), target, ["publish_key"], lambda b: b.select("publish_key", "title"), scratch(t, "checkpoint"))
     return target.read().groupBy("publish_key").agg((F.count("*") == 1).alias("stored"))
 
@@ -720,7 +780,7 @@ def stream_publish(t):
 def stream_import(t):
     from tagweave.streaming import streams as X
 
-    target = snapshot(t, good(t).limit(0).select("key", "title", "campus"))
+    target = snapshot(t, good(t).limit(0).select("key", "title", "campus"), "key")
     prepare = lambda b: I.quarantine(I.normalize_listings(b, t.as_of))[0].select("key", "title", "campus")
     twice = t.listings().unionByName(t.listings())
     X.stream_insert(as_stream(t, twice, "listings"), target, ["key"], prepare, scratch(t, "checkpoint"))
@@ -736,7 +796,7 @@ def stream_undo(t):
     before = spark.conf.get(key, None)
     spark.conf.set(key, provider)
     try:
-        stream = X.stream_undo(as_stream(t, undo_log(t), "log", 1))
+        stream = X.stream_undo(as_ordered_stream(t, undo_log(t), "log"))
         q = stream.writeStream.outputMode("update").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)).option("checkpointLocation", scratch(t, "checkpoint")).trigger(availableNow=True).start()
         q.awaitTermination()
     finally:

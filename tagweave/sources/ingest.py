@@ -69,12 +69,21 @@ def merge_insert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataF
     return target.unionByName(insert_new(target, source, keys), allowMissingColumns=True)
 
 
+def numbered(df: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
+    """``name`` counts the rows in order from ``start`` + 1 on, without one task for all: partitions are ranges of
+    ``order``, and each adds the sizes of those before it (one small row for each partition)."""
+    part = F.spark_partition_id()
+    placed = df.repartitionByRange(order).sortWithinPartitions(order).select("*", part.alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1).cast("long")).alias("_nth")).checkpoint()
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(name, (F.col("before") + F.col("_nth") + 1 + start).cast("long")).drop("_part", "_nth", "before")
+
+
 def upsert_tags(tags: DataFrame, names: DataFrame) -> DataFrame:
-    """Tags with the missing names added; only the new ones are numbered."""
+    """Tags with the missing names added; only the new ones are numbered, on from the highest id."""
     new = names.select("tag_name").distinct().join(tags, "tag_name", "left_anti")
-    last = tags.agg(F.coalesce(F.max("tag_id"), F.lit(0)).alias("last"))
-    numbered = new.withColumn("nth", F.row_number().over(Window.orderBy("tag_name"))).crossJoin(F.broadcast(last))
-    return tags.select("tag_id", "tag_name").unionByName(numbered.select((F.col("last") + F.col("nth")).cast("long").alias("tag_id"), "tag_name"))
+    last = tags.agg(F.coalesce(F.max("tag_id"), F.lit(0)).alias("last")).first()["last"]
+    return tags.select("tag_id", "tag_name").unionByName(numbered(new, "tag_name", "tag_id", last).select("tag_id", "tag_name"))
 
 
 def canonical_tags(tags: DataFrame) -> DataFrame:
@@ -151,8 +160,9 @@ def write_catalog(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("campus", "item_type").parquet(path)
 
 
-def seed_rows(spark: SparkSession, as_of: Column) -> DataFrame:
-    """Inline demo events; days count from ``as_of``."""
+def seed_rows(campuses: DataFrame, as_of: Column) -> DataFrame:
+    """Inline demo events for each campus; days count from ``as_of``."""
     # Fixed values.
     rows = [("Demo: Beginner AI Hackathon", "Iribe Center", 3), ("Demo: K-pop Dance Workshop", "Stamp Student Union", 4)]
-    return spark.createDataFrame(rows, "title string, location string, days int").select("title", "location", (as_of + F.make_dt_interval("days")).alias("starts_at"))
+    inline = F.explode(F.array(*(F.struct(F.lit(t).alias("title"), F.lit(p).alias("location"), F.lit(d).alias("days")) for t, p, d in rows)))
+    return campuses.select("campus", inline.alias("r")).select("campus", "r.title", "r.location", (as_of + F.make_dt_interval("r.days")).alias("starts_at"))

@@ -1,11 +1,14 @@
 """Decision logs, publishing and imports as Structured Streaming queries.
 
-State tables are snapshots: every micro-batch writes the next version into a new folder, and
-a pointer then names it. Order is event time (ts, seq), not arrival.
+State tables are snapshots in buckets of their keys: a micro-batch rewrites the buckets that its keys
+fall into, in new folders, and then publishes a version that names each bucket's folder. A restart
+opens what is there and goes on from the checkpoint; a batch that runs again changes nothing.
+Order is event time (ts, seq), not arrival.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -19,20 +22,66 @@ from tagweave.sources.ingest import insert_new
 
 
 class Snapshot:
-    """A table that is replaced as a whole; readers see complete versions only."""
+    """A table in ``buckets`` by a hash of ``keys``; readers see complete versions only.
 
-    def __init__(self, spark: SparkSession, path: str, empty: DataFrame):
-        self.spark, self.path, self.schema = spark, path, empty.schema
-        self.replace(empty)
+    A version is a file that names the folder of each bucket. It is written under another name and then
+    renamed, and never changed. One stream writes a snapshot. The last ``keep`` versions stay readable;
+    folders that none of them names are removed.
+    """
 
-    def read(self) -> DataFrame:
-        version = self.spark.read.parquet(f"{self.path}/current").first()["version"]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
+    def __init__(self, spark: SparkSession, path: str, empty: DataFrame, keys: list[str], buckets: int = 16, keep: int = 3):
+        self.spark, self.path, self.schema, self.keys, self.buckets, self.keep = spark, path.rstrip("/"), empty.schema, keys, buckets, keep
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[str]:
+        at = self._path(f"{self.path}/versions")
+        if not self.fs.exists(at):
+            return []
+        return sorted(n for n in (f.getPath().getName() for f in self.fs.listStatus(at)) if n.endswith(".json"))
+
+    def folders(self, version: str | None = None) -> dict[str, str]:
+        """The folder of each bucket; none before the first write."""
+        found = [version] if version else self.versions()[-1:]
+        return json.loads(self.spark.read.text(f"{self.path}/versions/{found[0]}", wholetext=True).first()[0]) if found else {}
+
+    def read(self, only: set[str] | None = None) -> DataFrame:
+        paths = [f for b, f in self.folders().items() if only is None or b in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
     def replace(self, df: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        df.select([f.name for f in self.schema]).write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "version string").write.mode("overwrite").parquet(f"{self.path}/current")
+        self._publish({}, self._write(df))
+
+    def merge(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """``combine(old, batch)`` makes the new rows of the buckets that the batch's keys fall into."""
+        touched = {str(r[0]) for r in self.bucketed(batch).select("_bucket").distinct().collect()}
+        if touched:
+            self._publish({b: f for b, f in self.folders().items() if b not in touched}, self._write(combine(self.read(touched), batch)))
+
+    def _write(self, df: DataFrame) -> dict[str, str]:
+        at = f"{self.path}/data/{uuid.uuid4().hex}"
+        self.bucketed(df.select([f.name for f in self.schema])).write.partitionBy("_bucket").parquet(at)
+        names = [f.getPath().getName() for f in self.fs.listStatus(self._path(at)) if f.isDirectory()]
+        return {n.partition("=")[2]: f"{at}/{n}" for n in names if n.startswith("_bucket=")}
+
+    def _publish(self, kept: dict[str, str], new: dict[str, str]) -> None:
+        had = self.versions()
+        name = f"{int(had[-1][:12]) + 1 if had else 0:012d}.json"
+        draft = self._path(f"{self.path}/versions/{name}.{uuid.uuid4().hex}")
+        out = self.fs.create(draft, False)
+        out.write(bytearray(json.dumps(kept | new).encode()))
+        out.close()
+        if not self.fs.rename(draft, self._path(f"{self.path}/versions/{name}")):
+            raise RuntimeError(f"version {name} of {self.path} is there already")
+        for old in had[: -self.keep + 1 or None] if self.keep > 1 else had:
+            self.fs.delete(self._path(f"{self.path}/versions/{old}"), False)
+        used = {f.rsplit("/", 2)[-2] for v in self.versions() for f in self.folders(v).values()}
+        for f in self.fs.listStatus(self._path(f"{self.path}/data")):
+            if f.getPath().getName() not in used:
+                self.fs.delete(f.getPath(), True)
 
 
 def _run(source: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> None:
@@ -43,9 +92,10 @@ def _run(source: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
 def stream_decisions(source: DataFrame, target: Snapshot, checkpoint: str) -> None:
     """Latest decision of each key; ``clear`` rows stay as tombstones so that a late older decision does not come back."""
 
+    columns = ["user_id", "item_id", "ts", "seq", "action"]
+
     def each(batch: DataFrame, _: int) -> None:
-        columns = ["user_id", "item_id", "ts", "seq", "action"]
-        target.replace(latest_decisions(target.read().select(columns).unionByName(batch.select(columns))))
+        target.merge(batch.select(columns), lambda old, new: latest_decisions(old.select(columns).unionByName(new)))
 
     _run(source, each, checkpoint)
 
@@ -64,8 +114,7 @@ def stream_insert(source: DataFrame, target: Snapshot, keys: list[str], prepare:
     """Publishing and imports: a key that is there already adds nothing, so a retry or a rerun is harmless."""
 
     def each(batch: DataFrame, _: int) -> None:
-        had = target.read()
-        target.replace(had.unionByName(insert_new(had, prepare(batch), keys)))
+        target.merge(prepare(batch), lambda old, new: old.unionByName(insert_new(old, new, keys)))
 
     _run(source, each, checkpoint)
 

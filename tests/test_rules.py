@@ -2,12 +2,16 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagweave.functions import scalars as S
 from tagweave.functions import validate as V
+from tagweave.operators import catalog as C
 from tagweave.operators import feed as P
+from tagweave.operators import recommend as R
 from tagweave.sources import ingest as I
+from tagweave.streaming import streams as X
 
 
 def one(spark, c):
@@ -47,8 +51,11 @@ def test_extraction(spark):
     found = one(spark, V.extracted_drafts(text(draft)))[0]
     assert found["date"] == "" and found["time"] == "" and len(found["reviewNotes"]) >= 3
     assert one(spark, V.extraction_error(text(*[draft] * 6))) == "Invalid extraction envelope"
-    assert one(spark, V.extraction_error(text(draft | {"tags": [7]}))) == "Invalid draft"
-    assert one(spark, V.extraction_error(text(draft | {"title": "x" * 101}))) == "Invalid draft"
+    assert one(spark, V.extraction_error(text(draft | {"tags": [7]}))) == "Invalid tags"
+    assert one(spark, V.extraction_error(text(draft, draft | {"title": "x" * 101, "tags": None}))) == "Invalid title"
+    assert one(spark, V.extraction_error(text(draft | {"kind": "people", "title": 7}))) == "Invalid draft kind"
+    assert one(spark, V.extraction_error(text(draft | {"reviewNotes": ["n"] * 11}))) == "Invalid reviewNotes"
+    assert one(spark, V.extraction_error(F.lit(json.dumps({"drafts": [7]})))) == "Invalid draft kind"
 
 
 def test_texts(spark):
@@ -74,3 +81,122 @@ def test_import_rejects(spark, tmp_path):
     got = I.normalize_listings(I.read_listings(spark, str(tmp_path / "x.jsonl")), F.current_timestamp())
     ok, bad = I.quarantine(got)
     assert (ok.count(), bad.count()) == (1, 4)
+
+
+def test_all_or_nothing(spark):
+    rows = spark.createDataFrame([("a", []), ("b", ["Invalid event timestamp."])], "key string, errors array<string>")
+    assert [r["key"] for r in I.assert_valid(rows.filter("key = 'a'")).collect()] == ["a"]
+    with pytest.raises(Exception, match="nothing imported: Invalid event timestamp"):
+        I.assert_valid(rows).collect()
+    assert I.assert_unique(rows, ["key"]) is rows
+    with pytest.raises(ValueError, match="Duplicate IDs"):
+        I.assert_unique(rows.unionByName(rows), ["key"])
+
+
+def test_new_tags_go_on_from_the_highest_id(spark):
+    had = spark.createDataFrame([(7, "b"), (9, "d")], "tag_id long, tag_name string")
+    names = spark.createDataFrame([(f"t{i:03d}",) for i in range(300)] + [("b",), ("d",)], "tag_name string").repartition(6)
+    got = {r["tag_name"]: r["tag_id"] for r in I.upsert_tags(had, names).collect()}
+    assert got == {"b": 7, "d": 9} | {f"t{i:03d}": 10 + i for i in range(300)}
+    assert I.upsert_tags(had, names.limit(0)).count() == 2
+
+
+CATALOG = "item_id string, item_type string, title string, campus string, starts_at timestamp, created_at timestamp, is_active int, is_demo boolean, search_text string"
+
+
+def catalog_of(spark, n, **change):
+    rows = [{"item_id": f"group:{i:04d}", "item_type": "group", "title": "t", "campus": "A", "starts_at": None, "created_at": None, "is_active": 1, "is_demo": False, "search_text": "chess " * (1 + i % 3)} | change for i in range(n)]
+    return spark.createDataFrame(rows, CATALOG)
+
+
+def swipes_of(spark, pairs):
+    return spark.createDataFrame([(u, i, "pass", k) for k, (u, i) in enumerate(pairs)], "user_id long, item_id string, action string, seq long").withColumn("ts", F.timestamp_seconds("seq"))
+
+
+def test_exclusions_come_before_the_cut(spark):
+    items = catalog_of(spark, 700)
+    profiles = spark.createDataFrame([(u, "A", "chess", ["x"], "") for u in (1, 2)], "user_id long, campus string, major string, interests array<string>, bio string")
+    now, postings = F.lit("2026-01-01").cast("timestamp"), R.build_postings(items)
+    best = [r["item_id"] for r in R.recommend(profiles.filter("user_id = 1"), postings, items, now, 700).orderBy("rank").collect()]
+    swipes = swipes_of(spark, [(1, i) for i in best[:60]])  # the whole top 50 and more is decided
+    got = R.recommend_for_users(profiles, profiles, swipes, postings, items, now)
+    ranks = lambda u: [(r["item_id"], r["rank"]) for r in got.filter(f"user_id = {u}").orderBy("rank").collect()]
+    assert ranks(1) == [(i, k + 1) for k, i in enumerate(best[60:110])] and ranks(2) == [(i, k + 1) for k, i in enumerate(best[:50])]
+    # Only the last 500 decisions go into the search; older ones are dropped afterwards.
+    swipes = swipes_of(spark, [(1, i) for i in best[:520]])
+    got = R.recommend_for_users(profiles, profiles, swipes, postings, items, now)
+    assert [x for x, _ in ranks(1)] == best[520:550]
+
+
+def test_decks(spark):
+    items = catalog_of(spark, 8).unionByName(catalog_of(spark, 2, campus="B").withColumn("item_id", F.concat("item_id", F.lit("b"))))
+    users = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B"), (4, "C")], "user_id long, campus string")
+    ranked = spark.createDataFrame([(1, "group:0005", 1), (1, "group:0002", 2), (1, "group:0003", 3)], "user_id long, item_id string, rank long")
+    swipes, now = swipes_of(spark, [(1, "group:0002"), (1, "group:0000"), (3, "group:0000b")]), F.lit("2026-01-01").cast("timestamp")
+    got = P.deck(items, ranked, swipes, users, now, size=4).orderBy("user_id", "place").collect()
+    deck = lambda u: [r["item_id"][-5:] for r in got if r["user_id"] == u]
+    assert (deck(1), deck(2), deck(3), deck(4)) == ([":0005", ":0003", ":0001", ":0004"], [":0000", ":0001", ":0002", ":0003"], ["0001b"], [])
+    fan = P.preview_fan(items, swipes, users, now).orderBy("user_id", "place").collect()
+    fan = {u: [r["item_id"][-5:] for r in fan if r["user_id"] == u] for u in (1, 2, 3, 4)}
+    assert fan == {1: [":0001", ":0003", ":0004"], 2: [":0000", ":0001", ":0002"], 3: ["0000b", "0001b"], 4: []}  # too few are left for 3: all of the feed
+    assert C.order_catalog(items, now, 3).count() == 3
+
+
+def test_results_are_refused_as_a_whole(spark):
+    good = {"request_id": 1, "rank": 1, "item_id": "group:1", "item_type": "group", "title": "T", "description": "d", "tags": "a", "campus": "A", "starts_at": None, "is_active": "1", "is_demo": "false"}
+    bad = [{"title": " "}, {"item_type": "people"}, {"title": None}, {"description": "x" * 20_001}, {"tags": "x" * 1001}, {"item_id": "x" * 181}, {"item_id": ""}]
+    rows = [good, good | {"rank": 2, "item_id": "group:2"}, good | {"rank": 3}] + [good | {"request_id": 2 + i} | b for i, b in enumerate(bad)] + [good | {"request_id": 2 + i, "rank": 9, "item_type": "people"} for i in range(len(bad))]
+    schema = "request_id long, rank long, item_id string, item_type string, title string, description string, tags string, campus string, starts_at string, is_active string, is_demo string"
+    results, now = spark.createDataFrame(rows, schema), F.lit("2026-01-01").cast("timestamp")
+    errors = {r["request_id"]: r["error"] for r in P.result_errors(results).collect()}
+    field, card = "Invalid search field.", "Invalid card identity."
+    assert errors == {2: "Missing card title.", 3: card, 4: field, 5: field, 6: field, 7: field, 8: card}
+    many = results.limit(1).withColumn("rank", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5001).cast("long"))))
+    assert P.result_errors(many).first()["error"] == "Invalid search response." and P.result_errors(many.filter("rank > 1")).count() == 0
+    gone = spark.createDataFrame([(1, "snowflake:group:1")], "request_id long, excluded_id string")
+    cards = lambda **k: [(r["id"], r["color"]) for r in P.decode_results(results, "A", now, **k).orderBy("color").collect()]
+    assert cards() == [("snowflake:group:1", 0), ("snowflake:group:2", 1)] and cards(excluded=gone) == [("snowflake:group:2", 0)]
+
+
+def test_snapshot_survives_a_restart(spark, tmp_path):
+    schema = "user_id long, item_id string, ts long, seq long, action string"
+    empty, source = spark.createDataFrame([], schema), f"{tmp_path}/in"
+    put = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        target = X.Snapshot(spark, f"file://{tmp_path}/table", empty, ["user_id", "item_id"], buckets=4)
+        X.stream_decisions(spark.readStream.schema(schema).parquet(source), target, f"{tmp_path}/checkpoint")
+        return target, sorted((r["user_id"], r["item_id"], r["action"]) for r in target.read().collect())
+
+    put((1, "a", 1, 1, "pass"), (2, "b", 1, 2, "pass"))
+    assert run()[1] == [(1, "a", "pass"), (2, "b", "pass")]
+    target, again = run()  # nothing new: the table is opened, not emptied
+    assert again == [(1, "a", "pass"), (2, "b", "pass")]
+    before, reader = target.folders(), target.read()
+    put((1, "a", 2, 3, "interested"), (1, "a", 0, 4, "pass"))
+    target, now = run()
+    assert now == [(1, "a", "interested"), (2, "b", "pass")] and reader.count() == 2  # an older version stays readable
+    assert sum(target.folders()[b] != f for b, f in before.items()) == 1  # only the bucket of the key is written again
+    target.merge(spark.createDataFrame([(1, "a", 2, 3, "interested")], schema), lambda old, new: X.latest_decisions(old.unionByName(new)))  # a batch that runs twice
+    assert sorted((r["user_id"], r["action"]) for r in target.read().collect()) == [(1, "interested"), (2, "pass")]
+    for i in range(5):
+        target.replace(spark.createDataFrame([(i, "x", 1, 1, "pass")], schema))
+    assert len(target.versions()) == 3 and len(list((tmp_path / "table/data").iterdir())) == 3 and target.read().first()["user_id"] == 4
+
+
+def test_undo_over_several_batches(spark, tmp_path):
+    rows = [(u, t, t, f"i{t}", "undo" if (u * t) % 3 == 2 else "pass") for u in range(5) for t in range(40)]
+    log = spark.createDataFrame(rows, "user_id long, ts long, seq long, item_id string, action string")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for i in range(4):
+            log.filter((F.col("ts") >= 10 * i) & (F.col("ts") < 10 * i + 10)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        put = lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{tmp_path}/out")
+        X.stream_undo(source).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    last = out.groupBy("user_id").agg(F.max_by(F.struct("depth", "item_id", "action"), "batch").alias("x")).select("user_id", "x.*")
+    assert out.select("batch").distinct().count() == 4 and sorted(map(tuple, last.collect())) == sorted(map(tuple, X.undo_twin(log).collect()))
