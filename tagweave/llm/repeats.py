@@ -45,8 +45,8 @@ FREQUENT = 64
 GROUP_ROWS, GROUP_SYMBOLS = 128, 16_000
 #: Anchors by strings of ``gram`` symbols, the first included; the one after them is the whole window.
 LEVELS = 3
-#: Bytes of text worked on at once, contexts and symbols of divided ones held by a task before it passes them on.
-PIECE, HELD, HELD_SYMBOLS = 1 << 19, 1 << 18, 1 << 23
+#: Bytes of text worked on at once, contexts and bytes of divided ones held by a task before it passes them on.
+PIECE, HELD, HELD_BYTES = 1 << 19, 1 << 18, 1 << 24
 #: Bytes of groups resolved at once.
 GROUPS = 3 << 19
 FETCHED = "key long, doc long, loc long, twice boolean, symbols binary"
@@ -226,7 +226,7 @@ class Divider:
         v, e, own, at, count, twice = contexts(s, self.length, self.gram, level)
         low = s.bounds[own] + at
         self.held.append((R.mix(key[own] ^ v), e, doc[own], _pack(start[own] + at, count), twice, low, count + self.length - 1, s.values))
-        self.size += len(s.values) + len(v)
+        self.size += s.values.nbytes + 64 * len(v)
 
     def flush(self) -> pa.RecordBatch:
         columns = list(zip(*self.held))
@@ -282,7 +282,7 @@ def _fetch(unit: str, length: int, gram: int, by_position: bool) -> Callable:
                     at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
                     first = R.sliding(gram_values(s, length, gram, 1), length - gram + 1)[low]
                     divider.put(first, ids[i + doc], start, Symbols(s.values[at], np.concatenate(([0], np.cumsum(size)))), 2)
-                if divider.size >= HELD_SYMBOLS:
+                if divider.size >= HELD_BYTES:
                     yield divider.flush()
         if divider.size:
             yield divider.flush()
@@ -325,7 +325,11 @@ def grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.T
 
 
 def _resolve(resolver: Callable, unit: str, length: int, gram: int, by_position: bool, level: int, group_rows: int) -> Callable:
-    """(doc, spans) of the repeats found, and rows as of ``_fetch`` of groups that a further anchor divides."""
+    """(doc, spans) of the repeats found, and rows as of ``_fetch`` of groups that a further anchor divides.
+
+    A resolver can have an ``amount``: what each context counts for in its group's size, instead of 1.
+    """
+    amount = getattr(resolver, "amount", None)
     kind = np.uint8 if unit == "bytes" else np.uint64
 
     def found(d: np.ndarray, loc: np.ndarray) -> pa.RecordBatch:
@@ -357,21 +361,25 @@ def _resolve(resolver: Callable, unit: str, length: int, gram: int, by_position:
                 d.append(doc[use[by[later]]]), o.append(loc[use[by[later]]])
                 use = use[by[~later]]
                 _, group, rows = np.unique(key[use], return_inverse=True, return_counts=True)
-                size = np.bincount(group, np.diff(bounds)[use])
-                large = (rows > group_rows)[group] | (size > GROUP_SYMBOLS)[group] & ((rows > 1)[group] | twice[use]) | part
+                n = np.diff(bounds)[use]
+                size, work = np.bincount(group, n), np.bincount(group, amount(s, use, length, gram)) if amount else rows
+                alone = rows[group] == 1
+                if by_position:
+                    alone &= ~twice[use]
+                large = ((work > group_rows)[group] & (rows > 1)[group] | (size > GROUP_SYMBOLS)[group]) & ~alone | part
                 some = use[large]
                 if len(some):
                     n = np.diff(bounds)[some]
                     at = np.repeat(bounds[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
                     divider.put(key[some].view(np.uint64), doc[some], loc[some] >> 32, Symbols(values[at], np.concatenate(([0], np.cumsum(n)))), level + 1)
-                rest = use[~large & ((rows[group] > 1) | twice[use])]
+                rest = use[~large & ~alone]
                 if len(rest):
                     x, y = resolver(key[rest], doc[rest], loc[rest] >> 32, values, bounds[rest], bounds[rest + 1], length, gram)
                     d.append(x), o.append(_pack(y, np.ones_like(y)))
             d, o = np.concatenate(d), np.concatenate(o)
             if len(d):
                 yield found(d, o)
-            if divider.size >= HELD_SYMBOLS:
+            if divider.size >= HELD_BYTES:
                 yield divided(divider.flush())
         if divider.size:
             yield divided(divider.flush())

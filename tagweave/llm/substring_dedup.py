@@ -43,12 +43,14 @@ def repeats_by_extension(key, doc, start, values, first, last, length, gram):
             continue
         other = other[mine]
         n, m = np.diff(seed_low)[mine], np.diff(seed_low)[other]
-        pair = np.repeat(np.arange(len(mine)), n * m)
-        nth = np.arange(len(pair)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
-        p, q = seed[seed_low[mine[pair]] + nth // m[pair]], seed[seed_low[other[pair]] + nth % m[pair]]
-        for i in range(0, len(pair), SEEDS):
-            x, y = slice(i, i + SEEDS), pair[i : i + SEEDS]
-            a, b = extend(values, p[x], q[x], offset[mine[y]], offset[other[y]], size[mine[y]], size[other[y]])
+        ends = np.cumsum(n * m)
+        for i in range(0, int(ends[-1]), SEEDS):
+            nth = np.arange(i, min(i + SEEDS, int(ends[-1])))
+            pair = np.searchsorted(ends, nth, "right")
+            nth = nth - (ends - n * m)[pair]
+            x, y = mine[pair], other[pair]
+            p, q = seed[seed_low[x] + nth // m[pair]], seed[seed_low[y] + nth % m[pair]]
+            a, b = extend(values, p, q, offset[x], offset[y], size[x], size[y])
             long_ = b - a >= length
             np.add.at(step, a[long_], 1)
             np.add.at(step, b[long_] - length + 1, -1)
@@ -57,8 +59,18 @@ def repeats_by_extension(key, doc, start, values, first, last, length, gram):
     return doc[row], start[row] + found - offset[row]
 
 
+def seed_counts(s: Symbols, use: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """How many seeds each context has: one, but for texts that repeat themselves."""
+    size = np.diff(s.bounds)[use]
+    at = np.repeat(s.bounds[use] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    row, _ = seeds(Symbols(s.values[at], np.concatenate(([0], np.cumsum(size)))), length, gram)
+    return np.bincount(row, minlength=len(use))
+
+
+repeats_by_extension.amount = seed_counts
+
 #: Pairs of seeds extended at once.
-SEEDS = 1 << 16
+SEEDS = 1 << 14
 
 
 def seeds(s: Symbols, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:

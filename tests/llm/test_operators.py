@@ -29,6 +29,7 @@ def rows():
     passage, line, base = text(40), text(18), text(200)
     out = [None, "", " ", "a", base, base, base + " x", text(3000), "aaaa" * 100, (line + "\n") * 30]
     out += [f"{text(30)} {passage} {text(20)}" for _ in range(12)] + [f"{line}\n{text(25)}" for _ in range(150)]
+    out += ["w " * 900, "w " * 700 + "x", "w " * 1000 + passage, "a b c " * 300, "b c a " * 300 + line, "zz" * 400]
     words = base.split()
     for _ in range(12):
         w = list(words)
