@@ -116,7 +116,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    """Half of the way from the sources' own entropy to that of equal shares, two readings at most."""
+    return mixing.mix(read(spark, sf_dir, "documents"), target_gain=0.5, max_repeats=2.0)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
