@@ -19,10 +19,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and one machine runs all (tests) a temporary folder is set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tagweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,10 +34,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that ``materialize`` has written and nobody has released.
+WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Remove the tables that ``materialize`` has written, but for those that ``keep`` reads. Other results that still read them must be done."""
+    used = {f.rsplit("/", 1)[0].rpartition("/")[2] for df in keep for f in df.inputFiles()}
+    for path in [p for p in WRITTEN if p.rpartition("/")[2] not in used]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        WRITTEN.remove(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

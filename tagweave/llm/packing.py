@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.llm.common import materialize
+
 #: A word, as everywhere in these operators.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -65,10 +67,10 @@ def _one_more(best: np.ndarray, total: np.ndarray, lengths: np.ndarray) -> tuple
     return found, choice
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, buckets: int = 8, token_budget: int = 65_536, shard_rows: int = 4096, seed: int = 17, dealt_by: Column | None = None) -> DataFrame:
-    """Batches of like-sized documents: (id, n_tokens, bucket, bucket_length, shard, batch, position, padding).
+def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, buckets: int = 8, token_budget: int = 65_536, shard_rows: int = 4096, seed: int = 17, dealt_by: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Batches of like-sized documents: (id, n_tokens, bucket, bucket_length, shard, batch, position, padding), and the columns ``keep``.
 
-    The histogram of lengths over all rows goes to the driver, one row for each distinct length
+    Lengths are counted once and written. Their histogram over all rows goes to the driver, one row for each distinct length
     (with T tokens in all there are at most sqrt(2 T)). Dynamic programming over these picks the
     bucket bounds with the least padding; a bucket's length is that of its longest document,
     1 at least. A bucket is dealt into shards of about
@@ -81,7 +83,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
     other columns do no harm; an empty table gives an empty result. Each row is in one batch.
     """
     n = (F.coalesce(length, F.lit(0)) if length is not None else word_count(F.col("text"))).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), (F.col(id_col) if dealt_by is None else dealt_by).alias("dealt"))
+    dealt = F.xxhash64(F.col(id_col) if dealt_by is None else dealt_by, F.lit(seed))
+    kept = F.struct(*keep) if keep else F.lit(None)
+    rows = materialize(docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), dealt.alias("dealt"), *([kept.alias("kept")] if keep else [])), "lengths")
     found = rows.groupBy(F.greatest("n_tokens", F.lit(1).cast("long")).alias("upper")).count().toArrow()
     if not len(found):
         bounds, counts = [1], {1: 0}
@@ -99,11 +103,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
         bound = F.when(fits, bounds[i]).otherwise(bound)
         shards = F.when(fits, max(1, -(-counts[bounds[i]] // shard_rows))).otherwise(shards)
     rows = rows.withColumns({"bucket": bucket, "bucket_length": bound.cast("long")})
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("dealt", F.lit(seed)), shards.cast("long")))
-    nth = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("n_tokens", "id")) - 1
+    rows = rows.withColumn("shard", F.pmod(F.col("dealt"), shards.cast("long")))
+    nth = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("n_tokens", "id", "dealt")) - 1
     fit = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(token_budget) / F.col("bucket_length")))
     rows = rows.withColumn("nth", nth.cast("long"))
     return rows.select(
-        F.col("id").alias(id_col), "n_tokens", "bucket", "bucket_length", "shard",
+        F.col("id").alias(id_col), *(F.col(f"kept.{c}").alias(c) for c in keep), "n_tokens", "bucket", "bucket_length", "shard",
         F.floor(F.col("nth") / fit).alias("batch"), (F.col("nth") % fit).alias("position"), (F.col("bucket_length") - F.col("n_tokens")).alias("padding"),
     )
