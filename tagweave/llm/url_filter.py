@@ -84,18 +84,20 @@ def _judge(trie, default: str) -> Callable:
 
 
 def _by_join(df: DataFrame, url: Column, rules: DataFrame, default: str) -> DataFrame:
-    """The same for rule tables too large to broadcast: each url meets its host suffixes cut at the paths' lengths."""
-    host = F.translate(F.regexp_extract(url, URL.pattern, 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keyed = df.withColumns({"__host": host, "__path": F.regexp_extract(url, URL.pattern, 2), "__row": F.monotonically_increasing_id()})
+    """The same for rule tables too large to broadcast: each distinct host and path meets its host suffixes cut at the paths' lengths."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    keyed = df.withColumns({"__host": F.translate(F.regexp_extract(url, URL.pattern, 1), upper, lower), "__path": F.regexp_extract(url, URL.pattern, 2)})
     labels = F.split("__host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, -i, i), "."))
-    lengths = rules.select(F.length("path").alias("n")).distinct().agg(F.sort_array(F.collect_list("n")).alias("lengths"))
-    tried = keyed.crossJoin(F.broadcast(lengths)).select("__row", F.explode(suffixes).alias("h"), "__path", "lengths")
-    tried = tried.select("__row", "h", F.explode(F.filter("lengths", lambda n: n <= F.length("__path"))).alias("n"), "__path").select("__row", "h", F.substring("__path", F.lit(1), F.col("n")).alias("p"))
-    table = rules.select(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("h"), F.col("path").alias("p"), F.concat("host", "path").alias("rule"), "verdict").groupBy("h", "p").agg(F.max(F.struct((F.col("verdict") == "block").alias("b"), "rule", "verdict")).alias("r"))
-    best = tried.join(table, ["h", "p"]).groupBy("__row").agg(F.max_by("r", F.struct(F.size(F.split("h", r"\.")), F.length("p"))).alias("r"))
-    out = keyed.join(best, "__row", "left")
-    return out.withColumns({"host": F.coalesce("__host", F.lit("")), "path": F.coalesce("__path", F.lit("")), "rule": F.col("r.rule"), "verdict": F.coalesce("r.verdict", F.lit(default))}).drop("__host", "__path", "__row", "r")
+    lengths = F.lit([r["n"] for r in rules.select(F.length("path").alias("n")).distinct().collect()])  # as many as the longest path has characters at most
+    tried = keyed.select("__host", "__path").distinct().select("__host", "__path", F.explode(suffixes).alias("__h"))
+    tried = tried.withColumn("__n", F.explode(F.filter(lengths, lambda n: n <= F.length("__path")))).withColumn("__p", F.substring("__path", F.lit(1), F.col("__n")))
+    of = F.max(F.struct((F.col("verdict") == "block").alias("b"), F.concat("host", "path").alias("rule"), "verdict"))
+    table = rules.groupBy(F.translate("host", upper, lower).alias("__h"), F.col("path").alias("__p")).agg(of.alias("__r"))
+    best = tried.join(table, ["__h", "__p"]).groupBy("__host", "__path").agg(F.max_by("__r", F.struct(F.size(F.split("__h", r"\.")), F.length("__p"))).alias("__r"))
+    out = keyed.join(best, ["__host", "__path"], "left")
+    found = {"host": F.col("__host"), "path": F.col("__path"), "rule": F.col("__r.rule"), "verdict": F.coalesce("__r.verdict", F.lit(default))}
+    return out.withColumns(found).select(*dict.fromkeys([*df.columns, *found]))
 
 
 def filter_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", max_broadcast_rules: int = MAX_BROADCAST_RULES) -> DataFrame:
@@ -108,8 +110,8 @@ def filter_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default:
 
     A null url, or one without ``://``, has an empty host and path and fits no rule but one for the empty host.
     Repeated rows are judged alike. Columns of ``df`` named host, path, rule or
-    verdict are replaced; the others stay. An empty rule table gives ``default`` throughout.
-    Rule tables above ``max_broadcast_rules`` are joined rather than broadcast.
+    verdict are replaced; the others stay. An empty rule table gives ``default`` throughout, an empty table an empty result.
+    Rule tables above ``max_broadcast_rules`` are joined rather than broadcast, with the same verdicts.
     """
     spark = df.sparkSession
     head = rules.select("host", "path", "verdict").limit(max_broadcast_rules + 1).collect()

@@ -255,6 +255,69 @@ def test_mixing(docs):
     assert not got.duplicated(["doc_id", "epoch"]).any()
 
 
+@pytest.fixture(scope="module")
+def sources(spark):
+    r = random.Random(10)
+    size = {"a": 6000, "b": 900, "c": 300, None: 60, "none": 5}
+    rows = [(i, s, 0 if s == "none" else r.randint(1, 40), "x", 1.0) for s, n in size.items() for i in range(n)]
+    rows = [(k, *x[1:]) for k, x in enumerate(rows)]
+    return spark.createDataFrame([*rows, rows[0], rows[0], (None, "b", 3, "x", 1.0), (None, "b", 4, "x", 1.0)], "doc_id long, source string, n long, epoch string, mix_key double").repartition(5)
+
+
+@pytest.mark.parametrize("of", [{}, {"max_sources": 2}])
+def test_mixture_meets_its_weights(spark, sources, of):
+    """Between equal shares and those as they are; realised shares, whole epochs, and blocks that are read one after another."""
+    tokens = {r["s"]: r["n"] for r in sources.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.sum("n").alias("n")).collect()}
+    exponent, weights, epochs = mixing.solve(tokens, max_repeats=3.0, target_gain=0.3)
+    assert 0 < exponent < 1 and max(epochs.values()) <= 3 + 1e-9
+    got = mixing.mix(sources, length=F.col("n"), max_repeats=3.0, target_gain=0.3, block_rows=64, **of).toPandas()
+    total = got.n_tokens.sum()
+    for s, of_source in got.groupby("source"):
+        assert abs(of_source.weight.iloc[0] - weights[s]) < 1e-9
+        assert abs(of_source.n_tokens.sum() - epochs[s] * tokens[s]) <= 20.5  # half of the longest document
+        assert abs(of_source.n_tokens.sum() / total - weights[s]) < 0.002
+        rows = sources.filter(F.coalesce("source", F.lit("")) == s).count()
+        whole = of_source[of_source.epoch < int(epochs[s] + 1e-9)]
+        assert (whole.groupby("epoch").size() == rows).all()
+        for _, read in of_source.sort_values(["mix_key", "doc_id"]).groupby("epoch"):
+            assert (read.block != read.block.shift()).sum() == read.block.nunique()
+        if of_source.epoch.max() and of_source.block.nunique() > 8:
+            orders = [tuple(x.sort_values("mix_key").block.drop_duplicates()) for _, x in of_source.groupby("epoch") if len(x) == rows]
+            assert len(set(orders)) == len(orders)
+    # In any stretch of the mixture, the sources stand in proportion.
+    half = got.sort_values(["mix_key", "doc_id"]).iloc[: len(got) // 2]
+    assert all(abs(half[half.source == s].n_tokens.sum() / half.n_tokens.sum() - w) < 0.03 for s, w in weights.items())
+
+
+def test_mixture_by_budget_and_entropy(spark, sources):
+    tokens = {"a": 900, "b": 90, "c": 10, "d": 0}
+    frame = spark.createDataFrame(list(tokens.items()), "source string, tokens long")
+    for k in ({"target_entropy": 0.8}, {"target_gain": 0.5}, {"max_repeats": 1.5}, {"max_repeats": 4.0, "budget": 2000.0}, {}):
+        a = mixing.solve_exponent(mixing.Moments(tokens), **k)
+        assert abs(a - mixing.solve_exponent(mixing.Moments(frame), **k)) < 1e-6
+    got = mixing.mix(sources, length=F.col("n"), budget=5000.0, max_repeats=None).toPandas()
+    assert abs(got.n_tokens.sum() - 5000) < 100
+
+
+def test_batches_of_the_packing_query(spark, tmp_path):
+    """Lengths, buckets and batches recomputed from the table."""
+    r = random.Random(13)
+    rows = [(i, " ".join(["w"] * n) if n else r.choice([None, "", " \n"]), "k") for i, n in enumerate([r.choice([0, 1, 5, 40, 300, r.randint(1, 900)]) for _ in range(900)] + [70_000, 70_001])]
+    spark.createDataFrame([*rows, rows[3], (None, "a b", "k")], "doc_id long, text string, batch string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = llm_queries.op2_packing(spark, str(tmp_path)).toPandas()
+    words = {i: len((t or "").split()) for i, t, _ in rows} | {None: 2}
+    assert len(got) == len(rows) + 2 and all(words[None if i != i else int(i)] == n for i, n in zip(got.doc_id, got.n_tokens))
+    bounds = packing.optimal_bounds(*np.unique(np.maximum(got.n_tokens, 1), return_counts=True), 8)
+    assert got.bucket_length.tolist() == [bounds[b] for b in got.bucket] == [min(x for x in bounds if x >= n) for n in got.n_tokens]
+    for (b, _, _), batch in got.groupby(["bucket", "shard", "batch"]):
+        assert sorted(batch.position) == list(range(len(batch))) and len(batch) <= max(1, 65_536 // bounds[b])
+    short = got.groupby(["bucket", "shard", "batch"]).size().reset_index(name="n")
+    last = short.groupby(["bucket", "shard"]).batch.transform("max")
+    assert all(n == max(1, 65_536 // bounds[b]) for b, n in short[short.batch < last][["bucket", "n"]].itertuples(index=False))
+    kept = packing.pack(spark.read.parquet(f"{tmp_path}/documents.parquet"), keep=("text",)).collect()
+    assert collections.Counter((x["doc_id"], x["text"]) for x in kept) == collections.Counter([(i, t) for i, t, _ in [*rows, rows[3]]] + [(None, "a b")])
+
+
 def test_pipeline_with_repeated_rows_and_null_ids(spark, tmp_path):
     r = random.Random(6)
     sizes = iter(range(30, 1000))
@@ -300,9 +363,15 @@ def test_chat(spark):
 
 def test_url_filter_paths_agree(spark):
     rules = spark.createDataFrame([("org", "/", "allow"), ("a.org", "/x", "block"), ("a.org", "/x/y", "allow"), ("org", "/", "block"), ("", "", "block")], "host string, path string, verdict string")
-    urls = spark.createDataFrame([(i, u) for i, u in enumerate([None, "", "http://a.org/x1", "http://B.A.org/x/yz?q", "https://a.org", "x://c.org/#f", "http://aorg/", "http://a.org/w"])], "page_id long, url string")
-    a, b = (sorted(map(tuple, url_filter.filter_urls(urls, rules, max_broadcast_rules=n).select("page_id", "host", "path", "rule", "verdict").collect())) for n in (100, 1))
-    assert a == b and a[2][3] == "a.org/x" and a[3][3] == "a.org/x/y" and a[7][4] == "block"
+    urls = [None, "", "http://a.org/x1", "http://B.A.org/x/yz?q", "https://a.org", "x://c.org/#f", "http://aorg/", "http://a.org/w", "http://a.org/x1", "x://" + "y." * 3000 + "org/" + "p/" * 3000]
+    pages = spark.createDataFrame([(i, u, "r", "h", "p", "v", "l", "n") for i, u in enumerate(urls)], "page_id long, url string, r string, h string, p string, host string, lengths string, n string").repartition(4)
+    a, b = (url_filter.filter_urls(pages, rules, max_broadcast_rules=n) for n in (100, 1))
+    assert sorted(a.columns) == sorted(b.columns)
+    a, b = (sorted(map(tuple, x.select("page_id", "host", "path", "rule", "verdict", "r", "n").collect())) for x in (a, b))
+    assert a == b and a[2][3] == "a.org/x" and a[3][3] == "a.org/x/y" and a[7][4] == "block" and a[8][1:] == a[2][1:]
+    for n in (100, 1):
+        assert url_filter.filter_urls(pages.limit(0), rules, max_broadcast_rules=n).count() == 0
+    assert {x["verdict"] for x in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
 def test_media(spark, docs, tmp_path):
