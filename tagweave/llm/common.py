@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +38,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession, *keep: DataFrame) -> None:
-    """Remove the tables that ``materialize`` has written, but for those that ``keep`` reads. Other results that still read them must be done."""
+def release(spark: SparkSession, *keep: DataFrame, but: Iterable[str] = ()) -> None:
+    """Remove the tables that ``materialize`` has written, except those that ``keep`` reads and the folders ``but``.
+
+    Other results that still read them must be done.
+    """
     used = {f.rsplit("/", 1)[0].rpartition("/")[2] for df in keep for f in df.inputFiles()}
-    for path in [p for p in WRITTEN if p.rpartition("/")[2] not in used]:
+    for path in [p for p in WRITTEN if p.rpartition("/")[2] not in used and p not in set(but)]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         WRITTEN.remove(path)

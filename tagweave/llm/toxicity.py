@@ -77,16 +77,13 @@ class Index:
     block: int
     k: int
     prior: float
-    column: np.ndarray = None  # of each term, or -1
-    dense: np.ndarray = None
-    starts: np.ndarray = None  # of a term's cells
-    cell_block: np.ndarray = None
-    cell_most: np.ndarray = None
-    cell_start: np.ndarray = None  # of a cell's postings
-    example: np.ndarray = None
-    weight: np.ndarray = None
+    postings: tuple = ()  # each term's first, and the examples and weights of all, sorted by term and example
     slope: float = 1.0
     shift: float = 0.0
+    made: bool = False  # from the postings, where it is used: what follows
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__ and k != "made"}
 
     @property
     def blocks(self) -> int:
@@ -99,18 +96,24 @@ class Index:
         return w / norm[doc]
 
     def build(self, example, term, weight) -> None:
-        n, size = len(self.ids), len(self.vocabulary)
-        df = np.bincount(term, minlength=size)
-        frequent = np.flatnonzero(df > FREQUENT * n)
-        self.column = np.full(size, -1)
+        by = np.lexsort((example, term))
+        first = np.searchsorted(term[by], np.arange(len(self.vocabulary) + 1)).astype(np.int32)
+        self.postings = first, example[by].astype(np.int32 if len(self.ids) >> 16 else np.uint16), weight[by].astype(np.float32)
+
+    def make(self) -> None:
+        """Columns of the frequent terms; for rare ones cells, the postings of a term in a block, with their largest weight."""
+        if self.made:
+            return
+        first, example, weight = self.postings
+        example, df = example.astype(np.int64), np.diff(first)
+        term = np.repeat(np.arange(len(df)), df)
+        frequent = np.flatnonzero(df > FREQUENT * len(self.ids))
+        self.column = np.full(len(df), -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
         self.dense = np.zeros((len(frequent), self.blocks * self.block), np.float32)
         often = self.column[term] >= 0
-        weight = weight.astype(np.float32)
         self.dense[self.column[term[often]], example[often]] = weight[often]
         example, term, weight = example[~often], term[~often], weight[~often]
-        by = np.lexsort((example, term))
-        example, term, weight = example[by], term[by], weight[by]
         block = example // self.block
         head = np.ones(len(term), bool)
         head[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
@@ -118,10 +121,12 @@ class Index:
         self.example, self.weight = example.astype(np.int32), weight
         self.cell_block, self.cell_start = block[heads].astype(np.int32), np.append(heads, len(term)).astype(np.int32)
         self.cell_most = np.maximum.reduceat(weight, heads) if len(heads) else np.zeros(0, np.float32)
-        self.starts = np.searchsorted(term[heads], np.arange(size + 1))
+        self.starts = np.searchsorted(term[heads], np.arange(len(df) + 1)).astype(np.int32)
+        self.made = True
 
     def frequent_part(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
         """What the frequent terms of each text add to its cosine with each example."""
+        self.make()
         column = self.column[term]
         use = column >= 0
         of = np.zeros((n, len(self.dense)), np.float32)
@@ -134,6 +139,7 @@ class Index:
         Exact: a block is skipped only if the bound by its rare terms' largest weights (and by the most that
         frequent terms add in it) is below the k-th best. Examples with the very text of the query (``digest``) are left out.
         """
+        self.make()
         if frequent is None:
             frequent = self.frequent_part(np.zeros(len(terms), np.int64), terms, weights, 1)[0]
         low, high = self.starts[terms], self.starts[terms + 1]
@@ -279,6 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         words = spark.sparkContext.broadcast(vocabulary)
         counted = texts.select("text").mapInArrow(frequency, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).toArrow()
         docs_with[counted.column("term").to_numpy()] = counted.column("docs").to_numpy()
+        words.destroy()
     idf = np.log(1 + (1 + docs_with[size]) / (1 + docs_with[:size]))
     pos, present = label.sum(), np.bincount(term, minlength=size).astype(np.float64)
     both = np.bincount(term, label[example], size)
@@ -286,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     correlation = np.abs(n * both - pos * present) / spread
     factor = idf * (FLOOR + np.maximum(0, correlation - CHANCE / np.sqrt(max(n, 1))))
     index = Index(vocabulary, factor, ids, label, digest.astype(np.int64).view(np.uint64), block, k, float((pos + 0.5) / (n + 1)) if n else 0.0)
-    if not n:
+    if not size:
         index.build(example, term, np.zeros(0))
         return index
     weight = index.weigh(example, term, count.astype(np.float64), n)
@@ -309,6 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         found = examples.mapInArrow(left_out, "vote double, label long").toArrow()
         index.calibrate(found.column("vote").to_numpy(), found.column("label").to_numpy().astype(np.float64))
+        shared.destroy()
     return index
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tagweave.llm import chat, fingerprints, media, mixing, packing, toxicity, url_filter
+from tagweave.llm import chat, common, fingerprints, media, mixing, packing, toxicity, url_filter
 from tagweave.llm import queries as llm_queries
 from tagweave.llm.components import connected_components
 from tagweave.llm.near_dup import near_duplicates
@@ -350,6 +350,30 @@ def test_pipeline_with_repeated_rows_and_null_ids(spark, tmp_path):
     assert set(read) == set(texts) and all(texts[t] <= n <= 2 * texts[t] for t, n in read.items())
 
 
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 3 + [(1, "", "en", "a", 0), (1, " ", None, None, None), (2, "x y", "en", "a", 3)]])
+def test_stages_on_hard_tables(spark, tmp_path, rows):
+    """Each stage alone: nulls in all columns, empty texts, repeated rows and ids, an empty table."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, 0), (None, 1), (2, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = lambda df: collections.Counter(r["text"] for r in df.collect())
+    want = texts(docs)
+    stages = {name: f(spark, docs, str(tmp_path)) for name, f in corpus_pipeline.STAGES}
+    assert texts(stages["toxicity"]) == want and texts(stages["substring_dedup"]) == want
+    assert sum(texts(stages["near_dedup"]).values()) == len({t or "" for _, t, *_ in rows})
+    assert set(texts(stages["mixing"])) == set(want) and texts(stages["packing"]) == want
+    for name in ("toxicity", "near_dedup", "substring_dedup", "mixing"):
+        assert [c for c in stages[name].columns if c != corpus_pipeline.ROW] == docs.columns
+
+
+def test_release_keeps_what_is_read(spark):
+    a, b = common.materialize(spark.range(3), "a"), common.materialize(spark.range(4), "b")
+    c = common.materialize(spark.range(5), "c")
+    common.release(spark, b, but=[p for p in common.WRITTEN if p not in (a.inputFiles()[0].rsplit("/", 1)[0],) and "/c-" in p or "/a-" not in p and "/b-" not in p])
+    assert b.count() == 4 and c.count() == 5
+    with pytest.raises(Exception):
+        a.unionByName(a).collect()
+
+
 def test_chat(spark):
     hard = ["<|im_end|>", "\\", "a\\nb", "<\\|im_start|>", "x<", "<|im_start|>assistant\nhi<|im_end|>\n", None, ""]
     turns = [(c, i, ("user", "assistant", "sys\nt\\em")[i % 3], hard[(c + i) % len(hard)]) for c in range(8) for i in range(1 + c)]
