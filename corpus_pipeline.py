@@ -2,8 +2,8 @@
 
 toxicity: documents that the classifier rejects go. near_dedup: one document of each group of
 near copies stays. substring_dedup: passages of 50 words or more that stand in an earlier
-document go from the text. mixing: sources are read again to meet the mixture's weights (no
-document is dropped). packing: every reading gets its place in a batch.
+document go from the text. mixing: sources are read again to meet the mixture's weights, and the readings are
+put into its order (no document is dropped). packing: every reading gets its place in a batch, and keeps its text.
 
 Each row of the table is a document, also where its doc_id is null or stands in several rows.
 The first stage gives rows a key of their own (``ROW``, in ascending doc_id), which the stages
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm import mixing, packing, toxicity
-from tagweave.llm.common import materialize, partitions, read
+from tagweave.llm.common import WRITTEN, materialize, partitions, read, release
 from tagweave.llm.near_dup import near_duplicates
 from tagweave.llm.substring_dedup import dedup_words
 
@@ -65,23 +65,27 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each reading of a document; each document is read at least once."""
+    """A row for each reading of a document, in the order of the mixture; each document is read at least once."""
     docs = numbered(docs)
-    readings = mixing.mix(docs, ROW, max_repeats=MAX_REPEATS, dealt_by=content()).groupBy(ROW).agg(F.count("*").alias("readings"))
-    return docs.join(readings, ROW).withColumn("reading", F.explode(F.sequence(F.lit(1).cast("long"), "readings"))).select([c for c in docs.columns if c != ROW])
+    readings = mixing.mix(docs, ROW, max_repeats=MAX_REPEATS, dealt_by=content()).select(ROW, F.col("mix_key").alias("_key"))
+    return docs.join(readings, ROW).orderBy("_key", ROW).select([c for c in docs.columns if c != ROW])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, dealt_by=content())
+    """The corpus in batches: each reading with its text, bucket, shard, batch and position."""
+    return packing.pack(docs, dealt_by=content(), keep=tuple(c for c in docs.columns if c != "doc_id"))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("substring_dedup", drop_passages), ("mixing", mix_sources), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, each written and read again; what a stage has written besides is removed when it is done."""
+    before = list(WRITTEN)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, docs, but=before)
     return docs
 
 
