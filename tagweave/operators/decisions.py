@@ -53,12 +53,19 @@ def recent_exclusions(swipes: DataFrame, n: int = 500) -> DataFrame:
 
 
 def fold_undo(log: DataFrame) -> DataFrame:
-    """What is left of each user's decisions: ``undo`` pops the newest one of the visit. (user_id, pos, item_id, action)"""
-    steps = F.array_sort(F.collect_list(F.struct("ts", "seq", "item_id", "action")))
-    empty = F.array().cast("array<struct<item_id:string,action:string>>")
-    push = lambda a, s: F.when(s["action"] == "undo", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(F.struct(s["item_id"].alias("item_id"), s["action"].alias("action")))))
-    folded = log.groupBy("user_id").agg(steps.alias("steps")).select("user_id", F.aggregate("steps", empty, push).alias("stack"))
-    return folded.select("user_id", F.posexplode("stack").alias("pos", "x")).select("user_id", "pos", "x.*")
+    """What is left of each user's decisions: ``undo`` pops the newest one of the visit. (user_id, pos, item_id, action)
+
+    The stack's height after each step is the running sum of pushes less pops, lifted by its least value below
+    zero so far, as an undo without a decision does nothing. A decision is left if the height never
+    falls below its own again. Both are running values over a user's sorted steps, so no list of them is built.
+    """
+    steps = Window.partitionBy("user_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = log.withColumn("_sum", F.sum(F.when(F.col("action") == "undo", -1).otherwise(1)).over(steps))
+    rows = rows.withColumn("_height", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(steps)))
+    rows = rows.withColumn("_least", F.min("_height").over(later))
+    left = rows.filter((F.col("action") != "undo") & (F.col("_least").isNull() | (F.col("_least") >= F.col("_height"))))
+    return left.select("user_id", (F.col("_height") - 1).cast("int").alias("pos"), "item_id", "action")
 
 
 def user_counters(users: DataFrame, open_items: DataFrame, swipes: DataFrame) -> DataFrame:
