@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -417,6 +418,103 @@ def labelled():
     return [(i, t + (" You IDIOT, fool" if i % 5 == 0 else ""), int(i % 5 == 0)) for i, t in enumerate(clean)] + [(1000, None, 0), (1001, "", 0)]
 
 
+def test_media_query_by_brute_force(spark, docs, rows, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in llm_queries.op10_media(spark, str(tmp_path)).collect()}
+    by_text = collections.defaultdict(set)
+    for i, t, *_ in rows:
+        data = (t or "").encode()
+        padded = data + b"\0" * (64 - len(data) % 64 if len(data) % 64 or not data else 0)
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(padded[-64:]) and r["error"] is None
+        png, n = media.encode_png(data)[0], len(data)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(png), hashlib.sha256(png).hexdigest()) and media.decode_png(png) == (padded, n)
+        by_text[data].add((r["media_sha256"], r["feature"]))
+    assert len(got) == len(rows) and all(len(x) == 1 for x in by_text.values())
+
+
+def test_media_members_are_read_again_by_offset(spark, docs, tmp_path, monkeypatch):
+    """A store that fails now and then: members that succeed in the end are whole, one that never does has an error, the rest is read."""
+    path = f"file://{tmp_path}/media"
+    media.write_archives(media.encode_texts(docs), path)
+    want = {(r["name"], r["offset"]): bytes(r["payload"]) for r in media.read_archives(spark, path).collect()}
+    real, tries = media.file_system, collections.Counter()
+    broken = sorted(want)[3]
+
+    class Flaky:
+        def __init__(self, store):
+            self.store = store
+
+        def __getattr__(self, name):
+            return getattr(self.store, name)
+
+        def open_input_file(self, name):
+            f = self.store.open_input_file(name)
+
+            class File:
+                def read_at(self, size, offset):
+                    tries[offset, name] += 1
+                    if offset == broken[1] or offset % 3 == 0 and tries[offset, name] < 3:
+                        raise OSError("lost")
+                    return f.read_at(size, offset)
+
+            return File()
+
+    monkeypatch.setattr(media, "file_system", lambda p: (Flaky(real(p)[0]), real(p)[1]))
+    reader = media.ArchiveReader({"path": path, "rangeBytes": "8192"})
+    rows = [r for part in reader.partitions() for batch in reader.read(part) for r in batch.to_pylist()]
+    assert {(r["name"], r["offset"]) for r in rows} == set(want) and len(rows) == len(want)
+    for r in rows:
+        if r["offset"] == broken[1]:
+            assert r["payload"] is None and "lost" in r["error"]
+        else:
+            assert r["payload"] == want[r["name"], r["offset"]] and r["error"] is None
+    assert max(tries.values()) == 3
+
+
+CLASH = ["id", "key", "doc", "loc", "ext", "f", "kept", "spans", "wanted", "symbols", "kind", "n", "band", "bands", "group", "label", "side", "known", "size", "text_id", "class_id", "samples", "fingerprint", "part", "score", "predicted", "bucket", "batch", "dealt", "epoch", "block", "rank", "mix_key", "host", "path", "rule", "verdict", "name", "payload", "turns", "t", "example", "conv", "digest"]
+
+
+@pytest.fixture(scope="module", params=["rows", "none"])
+def hard(spark, request):
+    """Nulls, empty texts, ties, repeated rows and ids, a long text, and columns named as the operators name theirs; or no rows."""
+    long_ = " ".join(f"w{i % 700}" for i in range(60_000))
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (2, "a b c", None), (None, None, None), (None, None, None), (3, "", "s"), (4, " \n", "t"), (5, long_, "s"), (6, long_ + " x", "s"), (None, "q", "s")]
+    df = spark.createDataFrame(rows if request.param == "rows" else [], "doc_id long, text string, source string").repartition(3)
+    return df.withColumns({c: F.lit("x") for c in CLASH}), rows if request.param == "rows" else []
+
+
+def test_hard_tables(spark, hard):
+    docs, rows = hard
+    ids = sorted({i for i, *_ in rows if i is not None})
+    known = [i for i, *_ in rows if i is not None]
+    col = lambda df, c: sorted((r[c] for r in df.collect()), key=lambda x: (x is None, x))
+    everything = sorted((i for i, *_ in rows), key=lambda x: (x is None, x))
+    one = fingerprints.fingerprints(docs, ["doc_id"])
+    assert col(one, "doc_id") == sorted(set(everything), key=lambda x: (x is None, x))
+    assert col(packing.pack(docs), "doc_id") == everything
+    assert set(col(mixing.mix(docs), "doc_id")) == set(everything)
+    assert col(dedup_bytes(docs), "doc_id") == sorted(known) and col(dedup_words(docs), "doc_id") == sorted(known)
+    near = near_duplicates(docs)
+    assert col(near, "doc_id") == ids
+    classes = {r["doc_id"]: r["class_id"] for r in near.collect()}
+    assert classes == ({1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5} if rows else {})
+    toxic = docs.select("doc_id", F.lit(1).alias("toxic"))
+    assert col(toxicity.score(docs, toxicity.fit(docs, toxic)), "doc_id") == everything
+    turns = docs.withColumns({"conv_id": F.col("doc_id"), "turn": F.lit(None).cast("int"), "role": F.when(F.col("source") == "s", "assistant")})
+    made = chat.format_conversations(turns).collect()
+    whole = {r["conv_id"]: chat.parse_turns(r["formatted"]) for r in made if r["whole"]}
+    want = collections.defaultdict(list)
+    for i, t, x in rows:
+        want[i].append(("assistant" if x == "s" else "", t or ""))
+    assert {i: sorted(x) for i, x in whole.items()} == {i: sorted(x) for i, x in want.items()}
+    rules = spark.createDataFrame([("org", "/", "block")], "host string, path string, verdict string")
+    judged = url_filter.filter_urls(docs.withColumn("url", F.concat(F.lit("x://a.org/"), "text")), rules)
+    assert judged.count() == len(rows) and judged.filter("verdict = 'block'").count() == sum(t is not None for _, t, _ in rows)
+    assert media.encode_texts(docs).count() == len(rows)
+
+
 def test_toxicity_held_out(spark, labelled):
     docs = spark.createDataFrame(labelled, "doc_id long, text string, toxic int")
     index = toxicity.fit(docs, docs.filter("doc_id % 2 = 0").select("doc_id", "toxic"))
