@@ -82,6 +82,34 @@ class Symbols:
         return self.values[a:b].tobytes()
 
 
+def symbol_chunks(data: np.ndarray, bounds: np.ndarray, unit: str, length: int) -> Iterator[tuple[Symbols, np.ndarray, int]]:
+    """(symbols, documents, offset): documents of about PIECE bytes together, a longer one in parts that share length - 1 symbols.
+
+    ``offset`` is the number of symbols before a part; each window of a document lies in exactly one part.
+    """
+    for i, j in R.pieces(bounds, PIECE):
+        part = data[bounds[i] : bounds[j]]
+        if len(part) <= PIECE or j - i > 1:
+            yield Symbols.of(part, bounds[i : j + 1] - bounds[i], unit), np.arange(i, j), 0
+            continue
+        begin, offset, size = 0, 0, PIECE
+        while begin < len(part):
+            end = min(begin + size + (length - 1 if unit == "bytes" else 0), len(part))
+            while unit == "words" and end < len(part) and not R.is_space(part[end : end + 1])[0]:
+                found = np.flatnonzero(R.is_space(part[end : end + PIECE]))
+                end = min(end + int(found[0]) if len(found) else end + PIECE, len(part))
+            s = Symbols.of(part[begin:end], np.array([0, end - begin]), unit)
+            n = int(s.bounds[1]) - length + 1
+            if n < 1 and end < len(part):  # long words: not one window yet
+                size *= 2
+                continue
+            yield s, np.arange(i, j), offset
+            if end == len(part):
+                break
+            begin += n if unit == "bytes" else int(R.words(part[begin:end], np.array([0, end - begin]))[0][n])
+            offset, size = offset + n, PIECE
+
+
 def gram_values(s: Symbols, length: int, gram: int, level: int) -> np.ndarray:
     """What the anchors of a level are the least of."""
     if level > LEVELS:
@@ -129,10 +157,9 @@ def _map_anchors(unit: str, length: int, gram: int, by_position: bool, frequent:
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(0), np.int64)
             data, bounds = R.strings(batch.column(1))
-            for i, j in R.pieces(bounds, PIECE):
-                s = Symbols.of(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], unit)
+            for s, of, offset in symbol_chunks(data, bounds, unit, length):
                 v, e, d, a, c, t = contexts(s, length, gram)
-                held.append((v, e, ids[i:j][d], _pack(a, c), t))
+                held.append((v, e, ids[of[d]], _pack(a + offset, c), t))
                 n += len(v)
                 if n >= HELD:
                     yield _first_contexts(held, by_position, frequent)
@@ -262,26 +289,28 @@ def _fetch(unit: str, length: int, gram: int, by_position: bool) -> Callable:
             ids = np.asarray(batch.column(0).fill_null(0), np.int64)
             data, bounds = R.strings(batch.column(1))
             wanted = batch.column(2)
-            for i, j in R.pieces(bounds, PIECE):
-                some = wanted.slice(i, j - i)
-                if some.null_count == j - i:
+            for s, of, offset in symbol_chunks(data, bounds, unit, length):
+                some = wanted.slice(of[0], len(of))
+                if some.null_count == len(some):
                     continue
-                s = Symbols.of(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], unit)
-                of = np.flatnonzero(np.asarray(some.is_valid()))
+                with_some = np.flatnonzero(np.asarray(some.is_valid()))
                 items = some.drop_null()
-                doc = np.repeat(of, np.asarray(pc.list_value_length(items)))
+                doc = np.repeat(with_some, np.asarray(pc.list_value_length(items)))
                 items = items.flatten()
                 key, loc, kind = (np.asarray(items.field(x)) for x in ("key", "loc", "kind"))
+                if bounds[of[0] + 1] - bounds[of[0]] > PIECE:  # the contexts of this part
+                    here = ((loc >> 32) >= offset) & ((loc >> 32) < offset + len(s.values) - length + 1)
+                    key, loc, kind, doc = key[here], loc[here], kind[here], doc[here]
                 start, size = loc >> 32, (loc & 0xFFFFFFFF) + length - 1
-                low = s.bounds[doc] + start
+                low = s.bounds[doc] + start - offset
                 whole = kind == 1
                 if whole.any():
-                    yield fetched(key[whole], ids[i + doc[whole]], loc[whole], np.ones(whole.sum(), bool), s.values, low[whole], size[whole], none, none)
+                    yield fetched(key[whole], ids[of[0] + doc[whole]], loc[whole], np.ones(whole.sum(), bool), s.values, low[whole], size[whole], none, none)
                 if not whole.all():
                     low, size, start, doc = low[~whole], size[~whole], start[~whole], doc[~whole]
                     at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
                     first = R.sliding(gram_values(s, length, gram, 1), length - gram + 1)[low]
-                    divider.put(first, ids[i + doc], start, Symbols(s.values[at], np.concatenate(([0], np.cumsum(size)))), 2)
+                    divider.put(first, ids[of[0] + doc], start, Symbols(s.values[at], np.concatenate(([0], np.cumsum(size)))), 2)
                 if divider.size >= HELD_BYTES:
                     yield divider.flush()
         if divider.size:
@@ -457,10 +486,13 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, unit: str, length:
     return spans.groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def removed_mask(spans: np.ndarray, n: int, length: int) -> np.ndarray:
-    """Which of n symbols some repeated window covers."""
-    step = np.zeros(n + 1, np.int64)
+def removed_ranges(spans: np.ndarray, n: int, length: int) -> list[tuple[int, int]]:
+    """The maximal ranges of n symbols that repeated windows cover."""
     a, c = spans >> 32, spans & 0xFFFFFFFF
-    np.add.at(step, a, 1)
-    np.add.at(step, np.minimum(a + c - 1 + length, n), -1)
-    return np.cumsum(step[:-1]) > 0
+    by = np.argsort(a, kind="stable")
+    a, b = a[by], np.minimum(a + c - 1 + length, n)[by]
+    ends = np.maximum.accumulate(b)
+    head = np.ones(len(a), bool)
+    head[1:] = a[1:] > ends[:-1]
+    heads = np.flatnonzero(head)
+    return list(zip(a[heads].tolist(), np.maximum.reduceat(b, heads).tolist())) if len(heads) else []

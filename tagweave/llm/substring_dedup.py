@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tagweave.llm import rolling as R
 from tagweave.llm.common import text_of
-from tagweave.llm.repeats import Symbols, find_repeats, gram_values, removed_mask
+from tagweave.llm.repeats import Symbols, find_repeats, gram_values, removed_ranges
 
 
 def repeats_by_extension(key, doc, start, values, first, last, length, gram):
@@ -110,10 +110,10 @@ def _cut(length: int):
                 n.append(len(words))
                 found = []
                 if spans[i].is_valid:
-                    mask = removed_mask(np.asarray(spans[i].values), len(words), length)
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-                    found = [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
-                    words = [words[k] for k in np.flatnonzero(~mask)]
+                    ranges = removed_ranges(np.asarray(spans[i].values), len(words), length)
+                    edges = [0, *(x for r in ranges for x in r), len(words)]
+                    found = [{"start": a, "end": b} for a, b in ranges]
+                    words = [w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]]
                 kept.append(b" ".join(words).decode())
                 gone.append(n[-1] - len(words))
                 runs.append(found)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tagweave.llm import rolling as R
 from tagweave.llm.common import text_of
-from tagweave.llm.repeats import find_repeats, removed_mask
+from tagweave.llm.repeats import find_repeats, removed_ranges
 from tagweave.llm.suffix import suffix_arrays
 
 
@@ -73,14 +73,11 @@ def _cut(length: int):
             for i in range(len(batch)):
                 text = data[bounds[i] : bounds[i + 1]]
                 n.append(len(text))
-                if spans[i].is_valid:
-                    mask = removed_mask(np.asarray(spans[i].values), len(text), length)
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-                    runs.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
-                    kept.append(text[~mask].tobytes())
-                    gone.append(int(mask.sum()))
-                else:
-                    kept.append(text.tobytes()), gone.append(0), runs.append([])
+                found = removed_ranges(np.asarray(spans[i].values), len(text), length) if spans[i].is_valid else []
+                edges = [0, *(x for r in found for x in r), len(text)]
+                kept.append(b"".join(text[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2])))
+                gone.append(sum(b - a for a, b in found))
+                runs.append([{"start": a, "end": b} for a, b in found])
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, span)], ["doc", "kept", "n_bytes", "n_removed", "spans"])
 

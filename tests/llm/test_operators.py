@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tagweave.llm import chat, common, fingerprints, media, mixing, packing, toxicity, url_filter
+from tagweave.llm import chat, common, fingerprints, media, mixing, packing, repeats, toxicity, url_filter
 from tagweave.llm import queries as llm_queries
 from tagweave.llm.components import connected_components
 from tagweave.llm.near_dup import near_duplicates
@@ -28,7 +28,7 @@ def rows():
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 8)))
     text = lambda n: " ".join(word() for _ in range(n))
     passage, line, base = text(40), text(18), text(200)
-    out = [None, "", " ", "a", base, base, base + " x", text(3000), "aaaa" * 100, (line + "\n") * 30]
+    out = [None, "", " ", "a", f"{text(70_000)} {passage} {text(60_000)} {passage}", base, base, base + " x", text(3000), "aaaa" * 100, (line + "\n") * 30]
     out += [f"{text(30)} {passage} {text(20)}" for _ in range(12)] + [f"{line}\n{text(25)}" for _ in range(150)]
     out += ["w " * 900, "w " * 700 + "x", "w " * 1000 + passage, "a b c " * 300, "b c a " * 300 + line, "zz" * 400]
     words = base.split()
@@ -50,7 +50,7 @@ def brute(rows, units, length, by_position):
         u = units(t or "")
         step = np.zeros(len(u) + length + 1, int)
         for i in range(len(u) - length + 1):
-            key = tuple(u[i : i + length])
+            key = u[i : i + length] if isinstance(u, bytes) else tuple(u[i : i + length])
             at = first.setdefault(key, (d, i))
             if at[0] < d or by_position and at < (d, i):
                 step[i : i + length] = 1
@@ -66,6 +66,26 @@ def test_bytes(docs, rows, bounds):
     assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in got.values())
 
 
+@pytest.mark.parametrize("unit,length", [("bytes", 10), ("words", 4)])
+def test_long_texts_are_cut_into_parts(monkeypatch, unit, length):
+    """Each window is in one part, with its place in the document, whatever the words' sizes."""
+    monkeypatch.setattr(repeats, "PIECE", 64)
+    r = random.Random(14)
+    for _ in range(40):
+        texts = [" ".join("x" * r.choice([1, 2, 3, 9, 80, 300]) + str(k) for k in range(r.choice([0, 1, 3, 30, 90]))).encode() for _ in range(r.randint(1, 5))]
+        data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+        found = []
+        for s, of, offset in repeats.symbol_chunks(data, bounds, unit, length):
+            for k, i in enumerate(of):
+                v = s.values[s.bounds[k] : s.bounds[k + 1]]
+                found += [(int(i), offset + at, v[at : at + length].tobytes()) for at in range(len(v) - length + 1)]
+        want = []
+        for i, t in enumerate(texts):
+            v = repeats.Symbols.of(np.frombuffer(t, np.uint8), np.array([0, len(t)]), unit).values
+            want += [(i, at, v[at : at + length].tobytes()) for at in range(len(v) - length + 1)]
+        assert sorted(found) == want
+
+
 @pytest.mark.parametrize("bounds", [{}, {"frequent": 2, "group_rows": 3}, {"frequent": 1, "group_rows": 1}])
 def test_words(docs, rows, bounds):
     want = brute(rows, lambda t: t.encode().split(), 13, False)
