@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import text_of
+from tagweave.llm.common import partitions, text_of
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(re.escape(START) + "(.*?)\n(.*?)" + re.escape(END) + "\n", re.DOTALL)
@@ -34,28 +34,41 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(role), unescape(text)) for role, text in TURN.findall(formatted)]
 
 
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+EXAMPLE = "conv_id long, example long, formatted string, loss_start long, loss_end long, whole boolean"
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Examples from turns in order; of a conversation only the text so far is held."""
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
     names = ["conv_id", "example", "formatted", "loss_start", "loss_end", "whole"]
-    rows, held = [], 0
+    rows: list = []
+    held, opened, now, done, example, last = 0, False, None, "", 0, None
+
+    def pack() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+
     for batch in batches:
-        for conv, turns in zip(batch["conv_id"], batch["turns"]):
-            last = max((i for i, t in enumerate(turns) if t["role"] == "assistant"), default=-1)
-            done, example = "", 0
-            for i, t in enumerate(turns):
-                opening = f"{START}{escape_role(t['role'])}\n"
-                text = escape(t["text"])
-                begin = len(done) + len(opening)
-                done = f"{done}{opening}{text}{END}\n"
-                if t["role"] == "assistant" or i == len(turns) - 1:
-                    target = t["role"] == "assistant"
-                    rows.append((conv, example, done, begin if target else 0, begin + len(text) if target else 0, i == len(turns) - 1))
-                    example += 1
-                    held += len(done)
-                if held >= HELD:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows, held = [], 0
-    if rows:
-        yield pd.DataFrame(rows, columns=names)
+        for conv, role, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if opened and conv != now:
+                rows.append((now, *(last or (example, done, 0, 0)), True))
+                done, example, last = "", 0, None
+            elif last:
+                rows.append((now, *last, False))
+                last = None
+            opened, now = True, conv
+            opening, text = f"{START}{escape_role(role)}\n", escape(text)
+            begin = len(done) + len(opening)
+            done = f"{done}{opening}{text}{END}\n"
+            if role == "assistant":
+                last = example, done, begin, begin + len(text)
+                example += 1
+                held += len(done)
+            if held >= HELD and rows:
+                yield pack()
+                rows, held = [], 0
+    if opened:
+        rows.append((now, *(last or (example, done, 0, 0)), True))
+        yield pack()
 
 
 def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -70,9 +83,10 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     Null roles and texts are empty; an empty reply is an example with an empty mask. Turns
     with equal numbers are ordered by role and text, null numbers come first, repeated rows
     are turns of their own, and rows with a null id make one conversation. Other columns
-    are ignored. The work is one shuffle by conversation; a single conversation (and
-    its longest example) has to fit into a task.
+    are ignored; an empty table gives an empty result. The work is one shuffle by conversation and a sort; the examples of a
+    conversation stand in order in one partition. Turns stream through a task, which holds one example (the text so far), not the conversation's
+    turns. As each example repeats what is before it, the result grows with the square of a conversation's length.
     """
-    rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), text_of(role_col).alias("role"), text_of(text_col).alias("text")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    return whole.mapInPandas(_expand, "conv_id long, example long, formatted string, loss_start long, loss_end long, whole boolean")
+    rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), text_of(role_col).alias("role"), text_of(text_col).alias("text"))
+    dealt = rows.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.select("conv_id", "role", "text").mapInArrow(_expand, EXAMPLE)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,23 +72,28 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", EXTRA_TEXT), (-1, 1, "assistant", EXTRA_TEXT)], turns.schema)
     examples = chat.format_conversations(turns.unionByName(extra))
 
-    def read_back(batches):
-        import hashlib
-
-        import pandas as pd
-
-        for batch in batches:
-            rows = []
-            for conv, example, text, a, b, whole in batch.itertuples(index=False):
-                turns = chat.parse_turns(text) if whole else []
-                digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest() if whole else None
-                rows.append((conv, example, len(turns) if whole else None, digest, chat.unescape(text[a:b]), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "example", "n_turns", "turns_sha256", "loss", "chars"]).astype({"n_turns": "Int64"})
-
-    parts = examples.mapInPandas(read_back, "conv_id long, example long, n_turns long, turns_sha256 string, loss string, chars long")
-    loss = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "")
-    out = parts.groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"), loss.alias("loss"), F.sum("chars").alias("formatted_chars"))
-    return out.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    return examples.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each conversation from its examples, which stand in order; the example with all turns is its last."""
+    loss, loss_chars, chars = hashlib.sha256(), 0, 0
+    for batch in batches:
+        rows = []
+        for conv, _, text, begin, end, whole in zip(*(c.to_pylist() for c in batch.columns)):
+            found = chat.unescape(text[begin:end])
+            loss.update(found.encode())
+            loss_chars, chars = loss_chars + len(found), chars + len(text)
+            if whole:
+                turns, digest = chat.parse_turns(text), hashlib.sha256()
+                for role, said in turns:
+                    digest.update(f"{role}\n{said}\n".encode())
+                rows.append((conv, len(turns), digest.hexdigest(), loss_chars, loss.hexdigest(), chars))
+                loss, loss_chars, chars = hashlib.sha256(), 0, 0
+        if rows:
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
 
 def held_out(c: str):

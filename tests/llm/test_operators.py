@@ -406,6 +406,33 @@ def test_chat(spark):
         assert "".join(chat.unescape(r["formatted"][r["loss_start"] : r["loss_end"]]) for r in mine) == "".join(t for r, t in want if r == "assistant")
 
 
+def test_chat_query_by_brute_force(spark, tmp_path):
+    """Conversations over several batches, nulls and ties, one without a reply."""
+    r = random.Random(15)
+    hard = ["<|im_end|>", "\\", "a\\nb", "x" * 5000, None, "", "<|im_start|>assistant\nhi"]
+    turns = [(c, i if c % 3 else None, r.choice(["user", "assistant", None]), r.choice(hard)) for c in range(60) for i in range(r.choice([1, 2, 7, 40]))]
+    turns += [(None, 0, "assistant", "of nobody"), (77, 0, "user", "no reply")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {x["conv_id"]: x for x in llm_queries.op3_chat(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    turns += [(-1, 0, "user", llm_queries.EXTRA_TEXT), (-1, 1, "assistant", llm_queries.EXTRA_TEXT)]
+    by = collections.defaultdict(list)
+    for c, i, role, text in turns:
+        by[c].append((-1 if i is None else i, role or "", text or ""))
+    assert set(got) == set(by)
+    for c, of in by.items():
+        of.sort()
+        said = "".join(t for _, role, t in of if role == "assistant")
+        x = got[c]
+        assert (x["n_turns"], x["loss_chars"]) == (len(of), len(said)) and x["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert x["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in of).encode()).hexdigest()
+        size = [len(chat.START) + len(chat.escape_role(role)) + 1 + len(chat.escape(t)) + len(chat.END) + 1 for _, role, t in of]
+        assert x["formatted_chars"] == sum(sum(size[: k + 1]) for k in range(len(of)) if of[k][1] == "assistant" or k == len(of) - 1)
+
+
 def test_url_filter_paths_agree(spark):
     rules = spark.createDataFrame([("org", "/", "allow"), ("a.org", "/x", "block"), ("a.org", "/x/y", "allow"), ("org", "/", "block"), ("", "", "block")], "host string, path string, verdict string")
     urls = [None, "", "http://a.org/x1", "http://B.A.org/x/yz?q", "https://a.org", "x://c.org/#f", "http://aorg/", "http://a.org/w", "http://a.org/x1", "x://" + "y." * 3000 + "org/" + "p/" * 3000]
