@@ -16,7 +16,7 @@ from tagweave.llm.common import materialize, partitions, text_of, whole_groups
 from tagweave.llm.components import connected_components
 
 #: Bytes of text worked on at once.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Texts, and bytes of text, that make a block of a group of candidates.
 BLOCK_TEXTS, BLOCK_BYTES = 1024, 1 << 22
 #: Pairs of texts, and shingles that two texts share, worked on at once.
@@ -113,9 +113,8 @@ def _sign(words: int, bands: int, rows: int):
         for batch in batches:
             whole, cut = R.strings(batch.column(1))
             keys = [hashlib.blake2b(whole[cut[i] : cut[i + 1]], digest_size=16).digest() for i in range(len(batch))]
-            data, bounds = _lower(batch.column(1))
-            for i, j in R.pieces(bounds, PIECE):
-                doc, element, count = shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], words)
+            for i, j in R.pieces(cut, PIECE):
+                doc, element, count = shingles(*_lower(batch.column(1).slice(i, j - i)), words)
                 names = prob_min_hash(doc, element, count.astype(np.float64), j - i, bands * rows)
                 found = np.full((j - i, bands), np.uint64(1))
                 for k in range(rows):
@@ -127,6 +126,7 @@ def _sign(words: int, bands: int, rows: int):
                 values = pa.ListArray.from_arrays(pa.array(ends), pa.array(found[some].ravel()))
                 columns = [batch.column(0).slice(i, j - i), pa.array(keys[i:j], pa.binary()), pa.array(np.diff(cut[i : j + 1])), values]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "text_key", "size", "bands"])
+        R.trim()
 
     return run
 
@@ -266,6 +266,7 @@ def _compare(words: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, PIECE):
             yield links(table)
+        R.trim()
 
     return run
 

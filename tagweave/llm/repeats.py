@@ -166,6 +166,8 @@ def _map_anchors(unit: str, length: int, gram: int, by_position: bool, frequent:
                     held, n = [], 0
         if n:
             yield _first_contexts(held, by_position, frequent)
+        del held
+        R.trim()
 
     return run
 
@@ -315,6 +317,7 @@ def _fetch(unit: str, length: int, gram: int, by_position: bool) -> Callable:
                     yield divider.flush()
         if divider.size:
             yield divider.flush()
+        R.trim()
 
     return run
 
@@ -412,6 +415,7 @@ def _resolve(resolver: Callable, unit: str, length: int, gram: int, by_position:
                 yield divided(divider.flush())
         if divider.size:
             yield divided(divider.flush())
+        R.trim()
 
     return run
 

@@ -6,6 +6,9 @@ and use wrapping 64-bit arithmetic; ``bounds[i]:bounds[i + 1]`` is document i.
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 
@@ -92,6 +95,13 @@ def sliding(values: np.ndarray, width: int, best=np.minimum) -> np.ndarray:
     return best(values[: len(values) - (width - span)], values[width - span :]) if span < width else values
 
 
+def trim() -> None:
+    """Give freed memory back to the system. Python workers stay for later stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 

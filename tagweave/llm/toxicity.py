@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tagweave.llm import rolling as R
 from tagweave.llm.common import text_of
 
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: What a term weighs besides its part in telling the labels apart.
 FLOOR = 0.01
 #: Standard deviations that chance may give a term's correlation with the labels.
@@ -30,12 +30,12 @@ STEPS = (8, 24)
 def term_counts(column, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, count), sorted. Terms are words: hashes of runs of letters and digits, lower-cased, or their places in a sorted vocabulary."""
     docs, terms, counts = [], [], []
-    data, bounds = R.strings(pc.utf8_lower(column))
-    plain = ((data >= 48) & (data <= 57)) | ((data >= 97) & (data <= 122)) | (data >= 128)
-    data = np.where(plain, data, np.uint8(32))
-    for i, j in R.pieces(bounds, PIECE):
-        starts, ends, wb = R.words(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-        term = R.word_hashes(data[bounds[i] : bounds[j]], starts, ends)
+    for i, j in R.pieces(R.strings(column)[1], PIECE):
+        data, bounds = R.strings(pc.utf8_lower(column.slice(i, j - i)))
+        plain = ((data >= 48) & (data <= 57)) | ((data >= 97) & (data <= 122)) | (data >= 128)
+        data = np.where(plain, data, np.uint8(32))
+        starts, ends, wb = R.words(data, bounds)
+        term = R.word_hashes(data, starts, ends)
         doc = np.repeat(np.arange(i, j), np.diff(wb))
         if vocabulary is not None:
             place = np.minimum(np.searchsorted(vocabulary, term), max(len(vocabulary) - 1, 0))
@@ -56,10 +56,11 @@ def term_counts(column, vocabulary: np.ndarray | None = None) -> tuple[np.ndarra
 def digests(column) -> np.ndarray:
     """64 bits of each whole text."""
     data, bounds = R.strings(column)
-    pre = [R.prefix(data[bounds[i] : bounds[j]].astype(np.uint64)) for i, j in R.pieces(bounds, PIECE)]
-    at = [bounds[i : j + 1] - bounds[i] for i, j in R.pieces(bounds, PIECE)]
-    found = [R.span_hash(p, b[:-1], b[1:]) for p, b in zip(pre, at)]
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+    found = [np.zeros(0, np.uint64)]
+    for i, j in R.pieces(bounds, PIECE):
+        at = bounds[i : j + 1] - bounds[i]
+        found.append(R.span_hash(R.prefix(data[bounds[i] : bounds[j]].astype(np.uint64)), at[:-1], at[1:]))
+    return np.concatenate(found)
 
 
 @dataclass
@@ -268,6 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     label = label.astype(np.float64)
     sizes = np.array(pc.list_value_length(rows.column("terms"))).astype(np.int64) if n else np.zeros(0, np.int64)
     term, count = (np.array(pc.list_flatten(rows.column(c))) if n else np.zeros(0, np.int64) for c in ("terms", "counts"))
+    del rows
     vocabulary, term = np.unique(term.astype(np.int64).view(np.uint64), return_inverse=True)
     example, size = np.repeat(np.arange(n), sizes), len(vocabulary)
 
@@ -279,6 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             total[size] += len(batch)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "docs"])
+        R.trim()
 
     docs_with = np.zeros(size + 1)
     if size:
@@ -307,12 +310,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rank[order] = np.arange(n)
     index.ids, index.labels, index.digest = ids[order], label[order], index.digest[order]
     index.build(rank[example], term, weight)
+    del example, term, count, weight, idf, present, both, spread, correlation
+    R.trim()
     if 0 < pos < n:
         shared = spark.sparkContext.broadcast(index)
 
         def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array(shared.value.votes(batch.column(1))[0]), batch.column(0)], ["vote", "label"])
+            R.trim()
 
         found = examples.mapInArrow(left_out, "vote double, label long").toArrow()
         index.calibrate(found.column("vote").to_numpy(), found.column("label").to_numpy().astype(np.float64))
@@ -336,6 +342,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
             scores = ix.probability(votes) if len(ix.ids) else np.zeros(len(batch))
             columns = [batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), pa.array(near, pa.list_(pa.int64())), pa.array(like, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "score", "predicted", "neighbours", "similarity"])
+        R.trim()
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     return texts.mapInArrow(run, "id long, score double, predicted int, neighbours array<long>, similarity array<double>").withColumnRenamed("id", id_col)
