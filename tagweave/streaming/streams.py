@@ -31,6 +31,7 @@ class Snapshot:
 
     def __init__(self, spark: SparkSession, path: str, empty: DataFrame, keys: list[str], buckets: int = 16, keep: int = 3):
         self.spark, self.path, self.schema, self.keys, self.buckets, self.keep = spark, path.rstrip("/"), empty.schema, keys, buckets, keep
+        self._known: dict[str, dict[str, str]] = {}  # versions never change
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -42,8 +43,10 @@ class Snapshot:
 
     def folders(self, version: str | None = None) -> dict[str, str]:
         """The folder of each bucket; none before the first write."""
-        found = [version] if version else self.versions()[-1:]
-        return json.loads(self.spark.read.text(f"{self.path}/versions/{found[0]}", wholetext=True).first()[0]) if found else {}
+        version = version or next(reversed(self.versions()), None)
+        if version and version not in self._known:
+            self._known[version] = json.loads(self.spark.read.text(f"{self.path}/versions/{version}", wholetext=True).first()[0])
+        return self._known[version] if version else {}
 
     def read(self, only: set[str] | None = None) -> DataFrame:
         paths = [f for b, f in self.folders().items() if only is None or b in only]
@@ -76,6 +79,7 @@ class Snapshot:
         out.close()
         if not self.fs.rename(draft, self._path(f"{self.path}/versions/{name}")):
             raise RuntimeError(f"version {name} of {self.path} is there already")
+        self._known[name] = kept | new
         for old in had[: -self.keep + 1 or None] if self.keep > 1 else had:
             self.fs.delete(self._path(f"{self.path}/versions/{old}"), False)
         used = {f.rsplit("/", 2)[-2] for v in self.versions() for f in self.folders(v).values()}
