@@ -70,7 +70,7 @@ def _one_more(best: np.ndarray, total: np.ndarray, lengths: np.ndarray) -> tuple
 def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, buckets: int = 8, token_budget: int = 65_536, shard_rows: int = 4096, seed: int = 17, dealt_by: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Batches of like-sized documents: (id, n_tokens, bucket, bucket_length, shard, batch, position, padding), and the columns ``keep``.
 
-    Lengths are counted once and written. Their histogram over all rows goes to the driver, one row for each distinct length
+    Lengths are counted once and written (with ``keep`` they are counted again instead, so that texts are not written twice). Their histogram over all rows goes to the driver, one row for each distinct length
     (with T tokens in all there are at most sqrt(2 T)). Dynamic programming over these picks the
     bucket bounds with the least padding; a bucket's length is that of its longest document,
     1 at least. A bucket is dealt into shards of about
@@ -85,7 +85,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
     n = (F.coalesce(length, F.lit(0)) if length is not None else word_count(F.col("text"))).cast("long")
     dealt = F.xxhash64(F.col(id_col) if dealt_by is None else dealt_by, F.lit(seed))
     kept = F.struct(*keep) if keep else F.lit(None)
-    rows = materialize(docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), dealt.alias("dealt"), *([kept.alias("kept")] if keep else [])), "lengths")
+    rows = docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), dealt.alias("dealt"), *([kept.alias("kept")] if keep else []))
+    if not keep:
+        rows = materialize(rows, "lengths")
     found = rows.groupBy(F.greatest("n_tokens", F.lit(1).cast("long")).alias("upper")).count().toArrow()
     if not len(found):
         bounds, counts = [1], {1: 0}
