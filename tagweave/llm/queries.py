@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagweave.llm import chat, fingerprints, media, mixing, packing, toxicity, url_filter
+from tagweave.llm import chat, fingerprints, lexical, media, mixing, packing, prefix_trie, secret_scan, toxicity, url_filter
 from tagweave.llm.common import materialize, new_path, partitions, read, text_of
 from tagweave.llm.near_dup import near_duplicates
 from tagweave.llm.substring_dedup import dedup_words
@@ -143,9 +143,48 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_chat, op4_toxicity, op5_url_filter, op6_suffix_dedup, op7_substring_dedup, op8_mixing, op9_near_dedup, op10_media)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations rebuilt on the first turns of each twentieth one; a sequence takes the place of the turns, so texts are read once."""
+    rows = materialize(prefix_trie.sequences(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), "sequences")
+    heads = rows.filter("conv_id % 20 = 0").select(F.col("conv_id").alias("base"), F.expr(f"substring(key, 1, {3 * prefix_trie.TURN})").alias("head"), F.slice("words", 1, 3).alias("head_words"))
+    own = rows.withColumns({"base": F.expr("conv_id - conv_id % 20"), "h": F.expr("cast(crc32(cast(conv_id as string)) % 4 as int)")})
+    both = own.join(heads, "base", "left").withColumns({"head": F.expr("coalesce(head, X'')"), "head_words": F.expr("coalesce(head_words, array())")})
+    rebuilt = both.select(
+        "conv_id", F.expr(f"concat(substring(head, 1, {prefix_trie.TURN} * h), substring(key, {prefix_trie.TURN} * h + 1))").alias("key"),
+        F.expr("concat(slice(head_words, 1, h), slice(words, h + 1, size(words)))").alias("words"),
+    )
+    return prefix_trie.prefix_trie(rebuilt)
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.fit(docs))
+    named = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.sha2(named(F.filter("spans", lambda s: s["kind"] != "crf")), 256)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_packing, op3_chat, op4_toxicity, op5_url_filter, op6_suffix_dedup, op7_substring_dedup, op8_mixing, op9_near_dedup, op10_media, op11_prefix_trie, op12_secrets, op13_lexical_search)}
 
 ORACLE = {
+    "op11_prefix_trie": """
+with recursive t as (
+  select cast(conv_id as bigint) as conv_id, turn, coalesce(text, '') as text, substr(sha256(cast(length(coalesce(role, '')) as varchar) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) as k from conversations where conv_id is not null),
+s as (select conv_id, list(k order by turn nulls first, k) as own, list(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) order by turn nulls first, k) as own_words from t group by 1),
+h as (select *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(conv_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+  lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)), 4294967295) % 4 as h from s),
+b as (select h.conv_id, list_concat(coalesce(o.own[1:h.h], []), h.own[h.h + 1:]) as k, list_concat(coalesce(o.own_words[1:h.h], []), h.own_words[h.h + 1:]) as w from h left join s o on o.conv_id = h.conv_id - h.conv_id % 20),
+p as (select conv_id, d, coalesce(array_to_string(k[1:d], ''), '') as pre, coalesce(w[d], 0) as words, len(k) = d as ends from (select *, unnest(range(0, len(k) + 1)) as d from b)),
+n as (select pre, d as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '')) as ends_sha256 from p group by 1, 2),
+c as (select substr(pre, 1, 32 * (depth - 1)) as pre, count(*) as n_children from n where depth > 0 group by 1),
+f as (select n.*, coalesce(n_children, 0) as n_children from n left join c using (pre)),
+u as (select substr(pre, 1, 32 * k) as pre, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * words) as saved_tokens from (select *, unnest(range(0, depth + 1)) as k from f) group by 1)
+select f.conv_id, f.depth, q.conv_id as parent_conv_id, f.n_convs, f.n_children, u.n_leaves, cast(u.saved_tokens as bigint) as saved_tokens, f.ends_sha256
+from f join u using (pre) left join n q on f.depth > 0 and q.depth = f.depth - 1 and q.pre = substr(f.pre, 1, 32 * q.depth)""",
     "op3_chat": """
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -180,4 +219,16 @@ flat as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1))
 kept as (select flat.doc_id, string_agg(word, chr(32) order by pos) as kept, count(*) as n from flat anti join rep on flat.doc_id = rep.doc_id and flat.pos = rep.pos group by flat.doc_id)
 select w.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(kept.n, 0) as bigint) as n_removed, sha256(coalesce(kept.kept, '')) as kept_sha256
 from w left join kept using (doc_id)""",
+    "op13_lexical_search": """
+with d as (select row_number() over () as r, cast(doc_id as bigint) as doc_id, text from documents where doc_id is not null),
+w as (select r, doc_id, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from d),
+q as (select distinct cast(item_id as bigint) as item_id, translate(unnest(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from benchmark where item_id is not null),
+c as (select r, doc_id, t, count(*) as tf from w group by 1, 2, 3),
+n as (select r, sum(tf) as n from c group by 1),
+a as (select cast(count(*) as bigint) as docs, cast(sum(n) as bigint) as terms from n),
+f as (select t, count(*) as df from c group by 1),
+p as (select c.r, doc_id, c.t, cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * cast(n as bigint) * docs) // terms))) as s from c join n using (r) join f using (t), a where c.t in (select t from q)),
+s as (select item_id, r, doc_id, cast(sum(s) as bigint) as score from q join p using (t) group by 1, 2, 3),
+o as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from s where score > 0)
+select * from o where rank <= 10""",
 }

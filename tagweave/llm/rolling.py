@@ -7,6 +7,7 @@ and use wrapping 64-bit arithmetic; ``bounds[i]:bounds[i + 1]`` is document i.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import sys
 
 import numpy as np
@@ -106,18 +107,38 @@ def is_space(data: np.ndarray) -> np.ndarray:
     return (data == 32) | ((data >= 9) & (data <= 13))
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and for each document the bounds of its words."""
-    if not len(data):
+def runs(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal stretches ``inside`` that no bound cuts, and for each document the bounds of its stretches."""
+    if not len(inside):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(bounds), np.int64)
-    inside = ~is_space(data)
-    cut = np.zeros(len(data) + 1, bool)
+    cut = np.zeros(len(inside) + 1, bool)
     cut[bounds] = True
     starts = np.flatnonzero(inside & (cut[:-1] | ~np.concatenate(([False], inside[:-1]))))
     ends = np.flatnonzero(inside & (cut[1:] | ~np.concatenate((inside[1:], [False])))) + 1
     return starts, ends, np.searchsorted(starts, bounds)
 
 
+def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and for each document the bounds of its words."""
+    return runs(~is_space(data), bounds)
+
+
+#: Words of more bytes are hashed by BLAKE2b.
+LONG_WORD = 64
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix(data.astype(np.uint64)), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    """Sums of scrambled (place, byte) pairs. A polynomial would give some long words equal hashes for certain (those of Thue and Morse)."""
+    out = np.zeros(len(starts), np.uint64)
+    size = ends - starts
+    short = np.flatnonzero(size <= LONG_WORD)
+    if len(short):
+        n = size[short]
+        begin = np.cumsum(n) - n
+        place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(begin, n)
+        symbol = data[place + np.repeat(starts[short], n)].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(1)
+        out[short] = mix(np.add.reduceat(mix(symbol * np.uint64(BASE)), begin) + n.astype(np.uint64)) if len(symbol) else 0
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out

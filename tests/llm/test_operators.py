@@ -116,9 +116,9 @@ def test_near_duplicates(docs, rows, blocks):
         return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter()
 
     def jp(a, b):
-        x, y = ({k: v / sum(c.values()) for k, v in c.items()} for c in (a, b))
-        keys = set(x) | set(y)
-        return sum(1 / sum(max(x.get(k, 0) / x[d], y.get(k, 0) / y[d]) for k in keys) for d in set(x) & set(y))
+        keys = list(set(a) | set(b))
+        x, y = (np.array([c.get(k, 0) for k in keys]) / sum(c.values()) for c in (a, b))
+        return sum(1 / np.maximum(x / x[d], y / y[d]).sum() for d in np.flatnonzero((x > 0) & (y > 0)))
 
     sets = {r[0]: shingles(r[1]) for r in rows}
     label = {d: d for d in sets}
