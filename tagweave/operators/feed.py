@@ -132,45 +132,82 @@ def live_items(catalog: DataFrame, as_of: Column) -> DataFrame:
     return catalog.filter((F.col("is_active") == 1) & ~F.col("is_demo") & (F.col("starts_at").isNull() | (F.col("starts_at") >= as_of)))
 
 
-def first_available(items: DataFrame, users: DataFrame, decisions: DataFrame, extra: DataFrame, as_of: Column, n: int) -> DataFrame:
-    """(user_id, item_id, pos): of each user's campus the first items in catalog order that are undecided.
-
-    ``extra`` (user_id, extra) is how many more than n a user needs. The order is made once for each campus, and a
-    user reads n + extra + (as many as they have decided on) items of it, so there is no user x item product.
-    """
-    done = decisions.groupBy("user_id").agg(F.count("*").alias("done"))
-    need = users.select("user_id", "campus").join(done, "user_id", "left").join(extra, "user_id", "left")
-    need = need.select("user_id", "campus", (n + F.coalesce("done", F.lit(0)) + F.coalesce("extra", F.lit(0))).alias("need"))
-    most = need.agg(F.coalesce(F.max("need"), F.lit(0)).alias("most")).first()["most"]
-    order = Window.partitionBy("campus").orderBy(*catalog_order(as_of))
-    ordered = items.select("campus", "item_id", F.row_number().over(order).alias("pos")).filter(F.col("pos") <= most)
-    read = need.join(ordered, "campus").filter(F.col("pos") <= F.col("need"))
-    return read.join(decisions.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").select("user_id", "item_id", "pos")
+#: Positions that one row makes at a time.
+STRETCH = 4096
 
 
-def deck(catalog: DataFrame, ranked: DataFrame, decisions: DataFrame, users: DataFrame, as_of: Column, size: int = 50) -> DataFrame:
-    """(user_id, item_id, place): the first ``size`` undecided cards of each user.
+def catalog_positions(items: DataFrame, as_of: Column) -> DataFrame:
+    """(campus, kind, item_id, pos): each item's place, from 1 on, in the catalog order of its campus, among all items and among its kind.
 
-    Picks come first in rank order, then the rest of the campus in catalog order; a user without picks has
-    the catalog order alone.
+    Places are counted in stretches of the order (a day of starts, else a day of creation, else ids that begin alike), and each
+    stretch adds the sizes of those before it, so no campus is sorted in one task.
     """
-    live = live_items(catalog, as_of)
-    picks = ranked.join(decisions.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti").join(users.select("user_id"), "user_id", "left_semi").join(live.select("item_id"), "item_id", "left_semi")
-    extra = picks.groupBy("user_id").agg(F.count("*").alias("extra"))
-    tail = first_available(live, users, decisions, extra, as_of, size).join(picks.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    both = picks.select("user_id", "item_id", F.col("rank"), F.lit(None).cast("int").alias("pos")).unionByName(tail.select("user_id", "item_id", F.lit(None).cast("long").alias("rank"), "pos"))
-    return numbered(both, F.col("rank").asc_nulls_last(), F.col("pos").asc_nulls_last(), F.col("item_id")).filter(F.col("place") <= size)
-
-
-def preview_fan(catalog: DataFrame, decisions: DataFrame, users: DataFrame, as_of: Column, n: int = 3) -> DataFrame:
+    far, day = F.lit(2**31 - 1), lambda c: F.floor(F.unix_seconds(c) / 86400).cast("int")
+    starts, made = F.col("starts_at"), F.col("created_at")
+    stretch = {
+        "_rank": catalog_order(as_of)[0], "_day": F.coalesce(day(starts), far), "_made": F.when(starts.isNotNull(), 0).otherwise(F.coalesce(-day(made), far)),
+        "_id": F.when(starts.isNull() & made.isNull(), F.substring("item_id", 1, 10)).otherwise(""),
+    }
+    rows = items.select("campus", "item_id", "starts_at", "created_at", F.explode(F.array(F.lit("all"), "item_type")).alias("kind"), *(c.alias(n) for n, c in stretch.items()))
+    key = ["campus", "kind", *stretch]
+    inside = Window.partitionBy(*key).orderBy(starts.asc_nulls_last(), made.desc_nulls_last(), "item_id")
+    before = Window.partitionBy("campus", "kind").orderBy(*stretch).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return rows.withColumn("nth", F.row_number().over(inside)).join(sizes, key).select("campus", "kind", "item_id", (F.col("before") + F.col("nth")).alias("pos"))
+
+
+def free_places(users: DataFrame, taken: DataFrame, size: int | None = None) -> DataFrame:
+    """(user_id, campus, kind, pos, place): the free positions of each user, all or the first ``size`` places.
+
+    ``users`` is (user_id, campus, kind, n, head): n positions, and ``head`` places before the first free one. ``taken`` is (user_id,
+    pos). Between two taken positions lies a gap; what is free in it has as its place the position less the taken ones before it. So
+    a user costs a row for each taken position and each result, and none is looked at that is not free.
+    """
+    ends = users.select("user_id", (F.col("n") + 1).cast("long").alias("pos"))
+    order = Window.partitionBy("user_id").orderBy("pos")
+    marks = taken.select("user_id", F.col("pos").cast("long").alias("pos")).distinct().unionByName(ends)
+    gaps = marks.select("user_id", (F.lag("pos", 1, 0).over(order) + 1).alias("low"), (F.col("pos") - 1).alias("high"), (F.row_number().over(order) - 1).alias("before"))
+    gaps = gaps.filter("low <= high").join(users.select("user_id", "campus", "kind", "head"), "user_id")
+    if size is not None:
+        gaps = gaps.withColumn("high", F.least("high", size - F.col("head") + F.col("before"))).filter("low <= high")
+    some = gaps.select("*", F.explode(F.sequence("low", "high", F.lit(STRETCH).cast("long"))).alias("at"))
+    each = some.select("*", F.explode(F.sequence("at", F.least(F.col("at") + STRETCH - 1, "high"))).alias("pos"))
+    return each.select("user_id", "campus", "kind", "pos", (F.col("head") + F.col("pos") - F.col("before")).alias("place"))
+
+
+def deck(positions: DataFrame, users: DataFrame, decisions: DataFrame, ranked: DataFrame | None = None, size: int | None = None) -> DataFrame:
+    """(user_id, item_id, place): the undecided cards of each user, all or the first ``size``.
+
+    ``positions`` is what ``catalog_positions`` makes of the live items; ``users`` has user_id and campus, and may have ``kind`` (all, event,
+    group) and ``pinned`` (an item). The pinned card is first, then come the picks in rank order, then all others in catalog order, so a deck
+    never ends early; picks and pins that are not live, of another campus or kind, or decided are left out.
+    """
+    kind, pinned = (F.col(c) if c in users.columns else d for c, d in (("kind", F.lit("all")), ("pinned", F.lit(None).cast("string"))))
+    who = users.select("user_id", "campus", kind.alias("kind"), pinned.alias("pinned"))
+    at = lambda rows: rows.join(who.drop("pinned"), "user_id").join(positions, ["campus", "kind", "item_id"])
+    first = who.filter("pinned is not null").select("user_id", F.col("pinned").alias("item_id"), F.lit(0).cast("long").alias("rank"))
+    if ranked is not None:
+        first = first.unionByName(ranked.select("user_id", "item_id", F.col("rank").cast("long").alias("rank")))
+    done = at(decisions.select("user_id", "item_id").distinct()).select("user_id", "item_id", "pos")
+    head = at(first.groupBy("user_id", "item_id").agg(F.min("rank").alias("rank"))).join(done.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    head = numbered(head, F.col("rank"), F.col("item_id"))
+    sizes = positions.groupBy("campus", "kind").agg(F.count("*").alias("n"))
+    counted = head.groupBy("user_id").agg(F.count("*").alias("head"))
+    need = who.drop("pinned").join(sizes, ["campus", "kind"]).join(counted, "user_id", "left").withColumn("head", F.coalesce("head", F.lit(0)))
+    free = free_places(need, done.select("user_id", "pos").unionByName(head.select("user_id", "pos")), size)
+    rest = free.join(positions, ["campus", "kind", "pos"]).select("user_id", "item_id", "place")
+    head = head.select("user_id", "item_id", "place")
+    return (head if size is None else head.filter(F.col("place") <= size)).unionByName(rest)
+
+
+def preview_fan(catalog: DataFrame, positions: DataFrame, decisions: DataFrame, users: DataFrame, as_of: Column, n: int = 3) -> DataFrame:
     """(user_id, item_id, place): the first n available items of each user, or of all their feed's where fewer are available."""
-    none = users.select("user_id", F.lit(0).alias("extra"))
-    mine = numbered(first_available(live_items(catalog, as_of), users, decisions, none, as_of, n), F.col("pos")).filter(F.col("place") <= n)
+    users = users.select("user_id", "campus")
+    mine = deck(positions, users, decisions, size=n)
     short = users.join(mine.filter(F.col("place") == n).select("user_id"), "user_id", "left_anti")
     shown = catalog.filter((F.col("is_active") == 1) & ~F.col("is_demo"))
-    first = Window.partitionBy("campus").orderBy(*catalog_order(as_of))
-    head = shown.withColumn("pos", F.row_number().over(first)).filter(F.col("pos") <= n).drop("pos")
+    head = shown.join(catalog_positions(shown, as_of).filter((F.col("kind") == "all") & (F.col("pos") <= n)).select("item_id"), "item_id", "left_semi")
     own = short.select("user_id", F.col("campus").alias("home")).join(decisions.select("user_id", "item_id"), "user_id").join(catalog, "item_id").filter(F.col("home") == F.col("campus")).drop("home")
     every = short.select("user_id", "campus").join(head, "campus").unionByName(own.select("user_id", *[c for c in head.columns])).dropDuplicates(["user_id", "item_id"])
     rest = numbered(every, *catalog_order(as_of)).filter(F.col("place") <= n)
-    return mine.select("user_id", "item_id", "place").join(short.select("user_id"), "user_id", "left_anti").unionByName(rest.select("user_id", "item_id", "place"))
+    return mine.join(short.select("user_id"), "user_id", "left_anti").unionByName(rest.select("user_id", "item_id", "place"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions import scalars as S
 
 FIELDS = ["name", "major", "bio", "availability"]
-#: Fixed values.
+#: The name of a user without one, and the profile that a user begins with and is reset to.
 DEFAULT_NAME = "New student"
+DEFAULT_PROFILE = {"name": "Alex Morgan", "major": "Computer Science", "bio": "Finding my people, one new thing at a time.", "availability": "Weekday evenings & weekends"}
+DEFAULT_INTERESTS = ["Technology", "Outdoors", "Board games"]
 
 
 def identities(users: DataFrame) -> DataFrame:
@@ -28,8 +32,9 @@ def ensure_users(users: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def ensure_profiles(profiles: DataFrame, users: DataFrame) -> DataFrame:
+    """Users without a profile get the default one, without interests; others stay as they are."""
     new = users.select("user_id").join(profiles.select("user_id"), "user_id", "left_anti")
-    return profiles.select("user_id", *FIELDS).unionByName(new.select("user_id", F.lit(DEFAULT_NAME).alias("name"), *(F.lit("").alias(c) for c in FIELDS[1:])))
+    return profiles.select("user_id", *FIELDS).unionByName(new.select("user_id", *(F.lit(DEFAULT_PROFILE[c]).alias(c) for c in FIELDS)))
 
 
 def read_profiles(profiles: DataFrame, names: DataFrame) -> DataFrame:
@@ -40,18 +45,25 @@ def read_profiles(profiles: DataFrame, names: DataFrame) -> DataFrame:
     return out.select("user_id", *(text(c, DEFAULT_NAME if c == "name" else "").alias(c) for c in FIELDS), F.coalesce("interests", F.array().cast("array<string>")).alias("interests"))
 
 
-def update_profile(profiles: DataFrame, changes: DataFrame) -> DataFrame:
-    new = changes.select("user_id", *(F.col(c).alias(f"new_{c}") for c in FIELDS))
-    return profiles.join(new, "user_id", "left").select("user_id", *(F.coalesce(f"new_{c}", c).alias(c) for c in FIELDS))
+def update_profile(profiles: DataFrame, names: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(profiles, names): ``changes`` (user_id, the fields, interests; one row a user) are applied as a whole.
+
+    The fields are set, and a user's tag names (user_id, tag_name) are replaced by the distinct ones given, none included.
+    Changes of users without a profile do nothing.
+    """
+    known = changes.join(profiles.select("user_id"), "user_id", "left_semi")
+    new = known.select("user_id", F.struct(*FIELDS).alias("new"))
+    out = profiles.join(new, "user_id", "left").select("user_id", *(F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in FIELDS))
+    given = known.select("user_id", F.explode(F.array_distinct("interests")).alias("tag_name"))
+    return out, names.select("user_id", "tag_name").join(known.select("user_id"), "user_id", "left_anti").unionByName(given)
 
 
 def reset_users(profiles: DataFrame, names: DataFrame, swipes: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Default profile, no tags and no decisions for the given users; what they published stays."""
+    """The default profile with its interests and no decisions for the given users; what they published stays."""
     who = users.select("user_id").distinct()
-    marked = profiles.join(who.withColumn("reset", F.lit(True)), "user_id", "left")
-    reset = F.coalesce("reset", F.lit(False))
-    fresh = marked.select("user_id", *(F.when(reset, DEFAULT_NAME if c == "name" else "").otherwise(F.col(c)).alias(c) for c in FIELDS))
-    return fresh, names.join(who, "user_id", "left_anti"), swipes.join(who, "user_id", "left_anti")
+    fresh = who.select("user_id", *(F.lit(DEFAULT_PROFILE[c]).alias(c) for c in FIELDS), F.array(*(F.lit(x) for x in DEFAULT_INTERESTS)).alias("interests"))
+    now, tags = update_profile(profiles, names, fresh)
+    return now, tags, swipes.join(who, "user_id", "left_anti")
 
 
 def lookup(requests: DataFrame, target: DataFrame, key: str) -> DataFrame:
@@ -68,14 +80,39 @@ def user_function(users: DataFrame, name: str = "get_user_by_id") -> str:
     return name
 
 
+def accept_in_order(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
+    """The rows that are accepted one after another, a row being refused if one of its ``keys`` is held by an accepted earlier row.
+
+    By rounds, not row by row: a row that is the first open one of each of its keys is accepted, as nothing earlier can hold them;
+    open rows that share a key with it are refused; the rest stays open. The first open row is accepted in each round, and among rows in
+    no particular order a few rounds settle all. ``order`` is unique; null keys conflict with nothing.
+    """
+    open_, accepted = rows.select(order, *keys).checkpoint(), None
+    while not open_.isEmpty():
+        marked = open_
+        for k in keys:  # aggregated before the join, so a key that many rows ask for is one row
+            marked = marked.join(open_.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_first_{k}")), k, "left")
+        now = marked.filter(reduce(lambda a, b: a & b, (F.coalesce(F.col(f"_first_{k}") == F.col(order), F.col(k).isNull()) for k in keys))).select(order, *keys).checkpoint()
+        accepted = now if accepted is None else accepted.unionByName(now)
+        rest = open_.join(now.select(order), order, "left_anti")
+        for k in keys:
+            rest = rest.join(now.select(k), k, "left_anti")
+        open_ = rest.checkpoint()
+    return rows.select(order, *keys).limit(0) if accepted is None else accepted
+
+
 def create_users(target: DataFrame, batch: DataFrame) -> DataFrame:
-    """SUCCESS or ERROR for each row of the batch (seq, email, username): both must be new, and first in the batch."""
-    first = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("seq"))
-    rows = batch.withColumns({"e": first("email"), "u": first("username")})
+    """SUCCESS or ERROR for each row of the batch (seq, email, username), as if each were created by a statement of its own, in order.
+
+    Both must be new: neither in ``target`` nor taken by an earlier row that succeeded. A refused row takes nothing.
+    """
+    free = batch
     for c in ("email", "username"):
-        rows = rows.join(target.select(c, F.lit(True).alias(f"has_{c}")).distinct(), c, "left")
-    taken = lambda c, n: F.col(f"has_{c}").isNotNull() | (F.col(n) > 1)
-    status = F.when(taken("email", "e"), "ERROR: email already exists").when(taken("username", "u"), "ERROR: username already exists").otherwise("SUCCESS")
+        free = free.join(target.select(c).distinct(), c, "left_anti")
+    accepted = accept_in_order(free, ["email", "username"])
+    rows = batch.join(target.select("email", F.lit(True).alias("_had")).distinct(), "email", "left").join(accepted.select("email", F.col("seq").alias("_by")), "email", "left")
+    taken = F.col("_had").isNotNull() | (F.col("_by") < F.col("seq"))
+    status = F.when(F.coalesce(F.col("_by") == F.col("seq"), F.lit(False)), "SUCCESS").when(F.coalesce(taken, F.lit(False)), "ERROR: email already exists").otherwise("ERROR: username already exists")
     return rows.select("seq", "email", "username", status.alias("status"))
 
 

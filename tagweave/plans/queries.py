@@ -15,7 +15,7 @@ from tagweave.operators import decisions as D
 from tagweave.operators import feed as P
 from tagweave.operators import recommend as R
 from tagweave.operators import users as U
-from tagweave.plans.base import query
+from tagweave.plans.base import ORACLE, VIEWS, query
 from tagweave.sources import ingest as I
 from tagweave.sources.adapters import Tables
 
@@ -45,6 +45,22 @@ def cat(t: Tables) -> DataFrame:
     return C.catalog(t.events(), t.groups(), t.event_tag_names(), t.group_tag_names())
 
 
+#: Indexes that this session has written, by what they were made from.
+INDEXES: dict[tuple, str] = {}
+
+
+def index(t: Tables) -> DataFrame:
+    """The search index over the catalog: written when it is first asked for, and again when a table has changed."""
+    fs = t.spark._jvm.org.apache.hadoop.fs.Path(t.dir).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    seen = [fs.getContentSummary(p).getLength() + fs.getFileStatus(p).getModificationTime() for p in (t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.dir}/{n}.parquet") for n in ("customer", "lineitem", "nation", "orders", "part"))]
+    key = (t.spark.sparkContext.applicationId, t.dir, *seen)
+    if key not in INDEXES:
+        path = scratch(t, "index")
+        R.build_index(cat(t)).write.parquet(path)
+        INDEXES[key] = path
+    return t.spark.read.parquet(INDEXES[key])
+
+
 def show(df: DataFrame) -> DataFrame:
     return df.withColumns({c: ts(c) for c in ("starts_at", "created_at", "ts") if c in df.columns})
 
@@ -93,8 +109,7 @@ def search_filter(t):
 
 @query("""select item_id, score, title, item_type from (select item_id, round(sum(w), 6) as score from post where campus = 'NATION_3' and term in ('small', 'ring') group by item_id) join cat using (item_id) where is_active = 1 order by score desc, item_id limit 2""")
 def search_preview(t):
-    c = cat(t)
-    return R.preview(c, R.build_postings(c), "small ring", CAMPUS)
+    return R.preview(cat(t), index(t), "small ring", CAMPUS)
 
 
 @query("""select item_id from cat, clock where campus = 'NATION_3' and is_active = 1 and not is_demo and (starts_at is null or starts_at >= t) and item_type = 'event' and item_id not in (select item_id from sw where user_id = 3)""")
@@ -132,14 +147,8 @@ def decode_results(t):
     return P.decode_results(raw_results(t), CAMPUS, t.as_of, excluded=seen)
 
 
-@query("""select user_id, item_id, place from (select user_id, item_id, row_number() over (partition by user_id order by rank) as place from rec) where place <= 2""")
-def deck_head(t):
-    return P.numbered(ranked(t), F.col("rank")).filter("place <= 2").select("user_id", "item_id", "place")
-
-
 def ranked(t: Tables, profiles: DataFrame | None = None) -> DataFrame:
-    c = cat(t)
-    return R.recommend(t.profiles() if profiles is None else profiles, R.build_postings(c), c, t.as_of)
+    return R.recommend(t.profiles() if profiles is None else profiles, index(t), t.as_of)
 
 
 #: The best 50 without the user's last 500 decisions, then checked against live rows.
@@ -147,12 +156,13 @@ PICKS = """, excl as (select user_id, item_id from sw qualify row_number() over
 best as (select user_id, item_id, row_number() over (partition by user_id order by score desc, item_id) as rank from asked join scored using (campus, query) anti join excl using (user_id, item_id)),
 picks as (select user_id, item_id, rank from best anti join sw using (user_id, item_id) where rank <= 50 and item_id in (select item_id from open_items where not is_demo)),
 live as (select cat.* from cat, clock where is_active = 1 and not is_demo and (starts_at is null or starts_at >= t)),
-placed as (select *, row_number() over (partition by campus order by case when item_type = 'event' and starts_at >= (select t from clock) then 0 when item_type = 'group' then 1 else 2 end, starts_at asc nulls last, created_at desc nulls last, item_id) as pos from live) """
+placed as (select *, row_number() over (partition by campus order by case when item_type = 'event' and starts_at >= (select t from clock) then 0 when item_type = 'group' then 1 else 2 end, starts_at asc nulls last, created_at desc nulls last, item_id) as pos from live),
+crowd as (select user_id, campus from prof union all select -1 - user_id, campus from prof where user_id % 50 = 0),
+seen as (select user_id, item_id from sw union all select c.user_id, l.item_id from crowd c join placed l using (campus) where c.user_id < 0 and l.pos > 2) """
 
 
 def picks(t: Tables) -> DataFrame:
-    c = cat(t)
-    return R.recommend_for_users(t.profiles(), t.profiles(), D.current(t.log()), R.build_postings(c), c, t.as_of)
+    return R.recommend_for_users(t.profiles(), t.profiles(), D.current(t.log()), index(t), cat(t), t.as_of)
 
 
 @query("""select item_id, place from (select item_id, row_number() over (order by rank asc nulls last, item_id) as place from open_items left join (select item_id, rank from rec where user_id = 3) using (item_id) where campus = (select campus from prof where user_id = 3))""")
@@ -170,16 +180,61 @@ def deck_pinned(t):
     return P.numbered(ranked(t), F.when(F.col("rank") == 3, 0).otherwise(1), F.col("rank")).select("user_id", "item_id", "place")
 
 
-@query(PICKS + """select user_id, item_id, place from (select p.user_id, l.item_id, row_number() over (partition by p.user_id order by k.rank asc nulls last, l.pos) as place
-  from prof p join placed l using (campus) left join picks k on k.user_id = p.user_id and k.item_id = l.item_id left join sw on sw.user_id = p.user_id and sw.item_id = l.item_id where sw.item_id is null) where place <= 50""")
+#: Each user's own feed type, the item that they went back to last, picks of that type, and the whole deck.
+DECK = """, excl as (select user_id, item_id from sw qualify row_number() over (partition by user_id order by ts desc, item_id) <= 500),
+who as (select user_id, campus, case user_id % 3 when 0 then 'all' when 1 then 'event' else 'group' end as kind from prof),
+pins as (select user_id, item_id from latest where action = 'clear' qualify row_number() over (partition by user_id order by ts desc, seq desc) = 1),
+best as (select user_id, item_id, row_number() over (partition by user_id order by score desc, item_id) as rank from asked join scored using (campus, query) join (select user_id, kind from who) using (user_id) anti join excl using (user_id, item_id) where kind = 'all' or starts_with(item_id, kind || ':')),
+heads as (select user_id, item_id, min(rank) as rank from (select user_id, item_id, rank from best where rank <= 50 union all select user_id, item_id, 0 from pins) group by 1, 2),
+live as (select cat.* from cat, clock where is_active = 1 and not is_demo and (starts_at is null or starts_at >= t)),
+placed as (select *, row_number() over (partition by campus order by case when item_type = 'event' and starts_at >= (select t from clock) then 0 when item_type = 'group' then 1 else 2 end, starts_at asc nulls last, created_at desc nulls last, item_id) as pos from live),
+deck as (select w.user_id, l.item_id, row_number() over (partition by w.user_id order by k.rank asc nulls last, l.pos) as place
+  from who w join placed l on w.campus = l.campus and w.kind in ('all', l.item_type) left join heads k on k.user_id = w.user_id and k.item_id = l.item_id left join sw on sw.user_id = w.user_id and sw.item_id = l.item_id where sw.item_id is null) """
+
+
+def stored(t: Tables, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table, where several parts of a plan read it."""
+    path = scratch(t, name)
+    df.write.parquet(path)
+    return t.spark.read.schema(df.schema).parquet(path)
+
+
+def live_positions(t: Tables) -> DataFrame:
+    return stored(t, P.catalog_positions(P.live_items(cat(t), t.as_of), t.as_of), "positions")
+
+
+def decks(t: Tables, size: int | None = None) -> DataFrame:
+    k = F.col("user_id") % 3
+    mine = t.profiles().withColumn("kind", F.when(k == 0, "all").when(k == 1, "event").otherwise("group"))
+    latest = stored(t, D.latest_decisions(t.log()), "latest")
+    decided = latest.filter("action <> 'clear'")
+    pins = latest.filter("action = 'clear'").groupBy("user_id").agg(F.max_by("item_id", F.struct("ts", "seq")).alias("pinned"))
+    best = R.recommend(mine, index(t), t.as_of, exclusions=D.recent_exclusions(decided, 500))
+    return P.deck(live_positions(t), mine.select("user_id", "campus", "kind").join(pins, "user_id", "left"), decided, best, size).select("user_id", "item_id", "place")
+
+
+@query(DECK + "select user_id, item_id, place from deck where place <= 2")
+def deck_head(t):
+    return decks(t, 2)
+
+
+@query(DECK + "select user_id, item_id, place from deck")
 def deck_personal(t):
-    return P.deck(cat(t), picks(t), D.current(t.log()), t.profiles(), t.as_of).select("user_id", "item_id", "place")
+    return decks(t)
 
 
-@query(PICKS + """select user_id, item_id, place from (select p.user_id, l.item_id, row_number() over (partition by p.user_id order by l.pos) as place
-  from prof p join placed l using (campus) left join sw on sw.user_id = p.user_id and sw.item_id = l.item_id where sw.item_id is null) where place <= 3""")
+@query(PICKS + """, mine as (select user_id, item_id, place, max(place) over (partition by user_id) as most from (select p.user_id, l.item_id, row_number() over (partition by p.user_id order by l.pos) as place
+  from crowd p join placed l using (campus) left join seen sw on sw.user_id = p.user_id and sw.item_id = l.item_id where sw.item_id is null) where place <= 3),
+feed as (select p.user_id, c.item_id, row_number() over (partition by p.user_id order by case when item_type = 'event' and starts_at >= (select t from clock) then 0 when item_type = 'group' then 1 else 2 end, starts_at asc nulls last, created_at desc nulls last, c.item_id) as place
+  from crowd p join cat c using (campus) left join seen s on s.user_id = p.user_id and s.item_id = c.item_id where p.user_id not in (select user_id from mine where most = 3) and ((c.is_active = 1 and not c.is_demo) or s.item_id is not null))
+select user_id, item_id, place from mine where most = 3 union all select user_id, item_id, place from feed where place <= 3""")
 def preview_fan(t):
-    return P.preview_fan(cat(t), D.current(t.log()), t.profiles().select("user_id", "campus"), t.as_of)
+    """Beside the users, one in fifty stands again as somebody who has decided on all but two of the campus' live items."""
+    users, positions = t.profiles().select("user_id", "campus"), live_positions(t)
+    keen = users.filter("user_id % 50 = 0").withColumn("user_id", -1 - F.col("user_id"))
+    done = keen.join(positions.filter("kind = 'all' and pos > 2"), "campus").select("user_id", "item_id")
+    seen = D.current(t.log()).select("user_id", "item_id").unionByName(done)
+    return P.preview_fan(cat(t), positions, seen, users.unionByName(keen), t.as_of)
 
 
 @query("select user_id, item_id, title from cat join sw using (item_id) where action = 'interested'")
@@ -249,9 +304,8 @@ def decisions_history_map(t):
 
 @query(PICKS + "select user_id, item_id, rank from best where rank <= 50")
 def exclusions_last_500(t):
-    c = cat(t)
     recent = D.recent_exclusions(D.current(t.log()), 500)
-    return R.recommend(t.profiles(), R.build_postings(c), c, t.as_of, exclusions=recent).select("user_id", "item_id", "rank")
+    return R.recommend(t.profiles(), index(t), t.as_of, exclusions=recent).select("user_id", "item_id", "rank")
 
 
 def undo_log(t: Tables) -> DataFrame:
@@ -663,25 +717,32 @@ def identities(t):
     return U.identities(users(t))
 
 
-@query("select app_user_key, case when k % 2 = 0 then 'Customer' else 'New student' end as name from (select 'key' || c_custkey as app_user_key, c_custkey as k from customer)")
+@query("select app_user_key, case when k % 2 = 0 then 'Customer' else 'Alex Morgan' end as name, case when k % 2 = 0 then '' else 'Computer Science' end as major from (select 'key' || c_custkey as app_user_key, c_custkey as k from customer)")
 def ensure_users(t):
     old = users(t).filter("user_id % 2 = 0")
     now = U.ensure_users(old, users(t))
     had = old.select("user_id", F.lit("Customer").alias("name"), *(F.lit("").alias(c) for c in ("major", "bio", "availability")))
-    return U.ensure_profiles(had, now).join(now, "user_id").select("app_user_key", "name")
+    return U.ensure_profiles(had, now).join(now, "user_id").select("app_user_key", "name", "major")
 
 
-@query("""select 'profile' as part, user_id, case when user_id % 3 = 0 then 'New student' else name end as value from prof union all select 'tag', user_id, w from (select user_id, unnest(interests) as w from prof) where user_id % 3 <> 0 union all select 'swipe', user_id, item_id from sw where user_id % 3 <> 0 or user_id not in (select user_id from prof)""")
+@query("""select 'profile' as part, user_id, case when user_id % 3 = 0 then 'Alex Morgan|Computer Science|Finding my people, one new thing at a time.|Weekday evenings & weekends' else name || '|' || major || '|' || bio || '|' end as value from prof
+  union all select 'tag', user_id, w from (select user_id, unnest(interests) as w from prof) where user_id % 3 <> 0 union all select 'tag', user_id, unnest(['Technology', 'Outdoors', 'Board games']) from prof where user_id % 3 = 0
+  union all select 'swipe', user_id, item_id from sw where user_id % 3 <> 0 or user_id not in (select user_id from prof)""")
 def reset_users(t):
     p, n, s = U.reset_users(t.profiles(), tag_rows(t), D.current(t.log()), t.profiles().filter("user_id % 3 = 0"))
     shape = lambda df, part, c: df.select(F.lit(part).alias("part"), "user_id", F.col(c).alias("value"))
-    return shape(p, "profile", "name").unionByName(shape(n, "tag", "tag_name")).unionByName(shape(s, "swipe", "item_id"))
+    p = p.withColumn("all", F.concat_ws("|", *U.FIELDS))
+    return shape(p, "profile", "all").unionByName(shape(n, "tag", "tag_name")).unionByName(shape(s, "swipe", "item_id"))
 
 
-@query("select user_id, case when user_id % 4 = 0 then 'changed' else name end as name, major, bio from prof")
+@query("""select user_id, case when user_id % 4 = 0 then 'changed' else name end as name, major, bio, coalesce(own, '') as interests from prof left join (select user_id, string_agg(w, '|' order by w) as own from (
+  select distinct user_id, unnest(case when user_id % 8 = 0 then [] when user_id % 4 = 0 then [bio, major, bio] else interests end) as w from prof) group by 1) using (user_id)""")
 def update_profile(t):
-    p = t.profiles()
-    return U.update_profile(p, p.filter("user_id % 4 = 0").withColumn("name", F.lit("changed"))).drop("availability")
+    """Each fourth user changes; each eighth leaves no interests."""
+    p, k = t.profiles(), F.col("user_id")
+    interests = F.when(k % 8 == 0, F.array().cast("array<string>")).otherwise(F.array("bio", "major", "bio"))
+    now, names = U.update_profile(p, tag_rows(t), p.filter(k % 4 == 0).withColumns({"name": F.lit("changed"), "interests": interests}))
+    return U.read_profiles(now, names).select("user_id", "name", "major", "bio", F.array_join("interests", "|").alias("interests"))
 
 
 @query("select o_orderkey, o_custkey as user_id, case when o_custkey % 2 = 0 then 'found' else 'not found' end as status, case when o_custkey % 2 = 0 then c_name end as name from orders join customer on o_custkey = c_custkey")
@@ -690,14 +751,26 @@ def user_lookup(t):
     return U.lookup(t.raw("orders").select("o_orderkey", F.col("o_custkey").alias("wanted")), target, "wanted").select("o_orderkey", F.col("wanted").alias("user_id"), "status", "name")
 
 
-@query("""select seq, email, username, case when email in (select 'e' || c_custkey from customer where c_mktsegment = 'BUILDING') or e > 1 then 'ERROR: email already exists' when u > 1 then 'ERROR: username already exists' else 'SUCCESS' end as status
-  from (select o_orderkey as seq, 'e' || o_custkey as email, 'u' || (o_orderkey % 900) as username, row_number() over (partition by o_custkey order by o_orderkey) as e, row_number() over (partition by o_orderkey % 900 order by o_orderkey) as u from orders)""")
+#: The statements one after another, by rounds over what is still open.
+CREATE = VIEWS.replace("with\n", "with recursive ", 1) + """, target as (select 'e' || c_custkey as email, 'u' || (c_custkey * 7) as username from customer where c_mktsegment = 'BUILDING'),
+batch as (select o_orderkey as seq, 'e' || o_custkey as email, 'u' || (o_orderkey % 900) as username from orders),
+r as (select seq, email, username, 'open' as state from batch where email not in (select email from target) and username not in (select username from target)
+  union all select seq, email, username, case when won then 'won' when bool_or(won) over (partition by email) or bool_or(won) over (partition by username) then 'lost' else 'open' end
+  from (select *, seq = min(seq) over (partition by email) and seq = min(seq) over (partition by username) as won from r where state = 'open')),
+won as (select email as holder, seq as winner from r where state = 'won')
+select seq, email, username, case when seq = winner then 'SUCCESS' when email in (select email from target) or winner < seq then 'ERROR: email already exists' else 'ERROR: username already exists' end as status from batch left join won on holder = email"""
+
+
+@query()
 def create_users_status(t):
     batch = t.raw("orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("e"), "o_custkey").alias("email"), F.concat(F.lit("u"), F.col("o_orderkey") % 900).alias("username"))
-    target = t.raw("customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("e"), "c_custkey").alias("email"), F.lit("nobody").alias("username"))
+    target = t.raw("customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("e"), "c_custkey").alias("email"), F.concat(F.lit("u"), F.col("c_custkey") * 7).alias("username"))
     return U.create_users(target, batch)
 
 
+ORACLE["create_users_status"] = CREATE
+
+
 @query("select c_custkey, case when c_custkey % 2 = 0 then 'SUCCESS' else 'ERROR: user does not exist' end as status from customer")
 def create_profiles_status(t):
     batch = t.raw("customer").select("c_custkey", F.col("c_custkey").alias("user_id"))

@@ -1,6 +1,11 @@
 """Golden examples of the scalar rules and checks."""
 
+import collections
 import json
+import math
+import random
+import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +15,7 @@ from tagweave.functions import validate as V
 from tagweave.operators import catalog as C
 from tagweave.operators import feed as P
 from tagweave.operators import recommend as R
+from tagweave.operators import users as U
 from tagweave.sources import ingest as I
 from tagweave.streaming import streams as X
 
@@ -116,15 +122,15 @@ def swipes_of(spark, pairs):
 def test_exclusions_come_before_the_cut(spark):
     items = catalog_of(spark, 700)
     profiles = spark.createDataFrame([(u, "A", "chess", ["x"], "") for u in (1, 2)], "user_id long, campus string, major string, interests array<string>, bio string")
-    now, postings = F.lit("2026-01-01").cast("timestamp"), R.build_postings(items)
-    best = [r["item_id"] for r in R.recommend(profiles.filter("user_id = 1"), postings, items, now, 700).orderBy("rank").collect()]
+    now, index = F.lit("2026-01-01").cast("timestamp"), R.build_index(items)
+    best = [r["item_id"] for r in R.recommend(profiles.filter("user_id = 1"), index, now, 700).orderBy("rank").collect()]
     swipes = swipes_of(spark, [(1, i) for i in best[:60]])  # the whole top 50 and more is decided
-    got = R.recommend_for_users(profiles, profiles, swipes, postings, items, now)
+    got = R.recommend_for_users(profiles, profiles, swipes, index, items, now)
     ranks = lambda u: [(r["item_id"], r["rank"]) for r in got.filter(f"user_id = {u}").orderBy("rank").collect()]
     assert ranks(1) == [(i, k + 1) for k, i in enumerate(best[60:110])] and ranks(2) == [(i, k + 1) for k, i in enumerate(best[:50])]
     # Only the last 500 decisions go into the search; older ones are dropped afterwards.
     swipes = swipes_of(spark, [(1, i) for i in best[:520]])
-    got = R.recommend_for_users(profiles, profiles, swipes, postings, items, now)
+    got = R.recommend_for_users(profiles, profiles, swipes, index, items, now)
     assert [x for x, _ in ranks(1)] == best[520:550]
 
 
@@ -133,15 +139,89 @@ def test_decks(spark):
     users = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B"), (4, "C")], "user_id long, campus string")
     ranked = spark.createDataFrame([(1, "group:0005", 1), (1, "group:0002", 2), (1, "group:0003", 3)], "user_id long, item_id string, rank long")
     swipes, now = swipes_of(spark, [(1, "group:0002"), (1, "group:0000"), (3, "group:0000b")]), F.lit("2026-01-01").cast("timestamp")
-    got = P.deck(items, ranked, swipes, users, now, size=4).orderBy("user_id", "place").collect()
+    positions = P.catalog_positions(items, now)
+    got = P.deck(positions, users, swipes, ranked, size=4).orderBy("user_id", "place").collect()
     deck = lambda u: [r["item_id"][-5:] for r in got if r["user_id"] == u]
     assert (deck(1), deck(2), deck(3), deck(4)) == ([":0005", ":0003", ":0001", ":0004"], [":0000", ":0001", ":0002", ":0003"], ["0001b"], [])
-    fan = P.preview_fan(items, swipes, users, now).orderBy("user_id", "place").collect()
+    fan = P.preview_fan(items, positions, swipes, users, now).orderBy("user_id", "place").collect()
     fan = {u: [r["item_id"][-5:] for r in fan if r["user_id"] == u] for u in (1, 2, 3, 4)}
     assert fan == {1: [":0001", ":0003", ":0004"], 2: [":0000", ":0001", ":0002"], 3: ["0000b", "0001b"], 4: []}  # too few are left for 3: all of the feed
     assert C.order_catalog(items, now, 3).count() == 3
 
 
+def test_pruned_search_equals_scoring_everything(spark):
+    """Over several shards, chunks and rounds; few of queries x items are scored."""
+    r = random.Random(5)
+    vocabulary = [f"w{min(r.randrange(60), r.randrange(60))}" for _ in range(200)]
+    rows = [(f"{k}:{i}", k, c, 1 if r.random() < 0.9 else 0, None if k == "group" else datetime(2025 + r.randrange(3), 1, 1), " ".join(r.choice(vocabulary) for _ in range(r.choice([0, 1, 4, 9, 30])))) for i in range(1500) for k, c in [(r.choice(["event", "group"]), r.choice("AAAB"))]]
+    items = spark.createDataFrame(rows, "item_id string, item_type string, campus string, is_active int, starts_at timestamp, search_text string").repartition(4)
+    profiles = spark.createDataFrame([(u, r.choice("ABC"), r.choice(vocabulary), [r.choice(vocabulary), "x"], r.choice(["", *vocabulary]), r.choice(["all", "event", "group"])) for u in range(150)], "user_id long, campus string, major string, interests array<string>, bio string, kind string")
+    now, index = F.lit("2026-01-01").cast("timestamp"), R.build_index(items, shard_items=300).cache()
+    assert index.filter("campus = 'A'").select("shard").distinct().count() == 4
+    got = R.recommend(profiles, index, now, 7, chunk_queries=20, first=2).collect()
+    post = {}
+    for p in R.build_postings(items).collect():
+        idf = math.log(1 + (p["n_items"] - p["df"] + 0.5) / (p["df"] + 0.5))
+        post.setdefault((p["campus"], p["term"]), []).append((p["item_id"], idf * p["tf"] * 2.2 / (p["tf"] + 1.2 * (0.25 + 0.75 * p["length"] / p["avg_length"]))))
+    open_ = {i: k for i, k, _, active, at, _ in rows if active and (k == "group" or at >= datetime(2026, 1, 1))}
+    want = []
+    for u in R.asked(profiles).collect():
+        scores = collections.Counter()
+        for t in set(re.findall("[a-z0-9]+", u["query"].lower())):
+            for i, w in post.get((u["campus"], t), []):
+                if i in open_ and u["kind"] in ("all", open_[i]):
+                    scores[i] += w
+        want += [(u["user_id"], i, s, k + 1) for k, (s, i) in enumerate(sorted(((round(s, 6), i) for i, s in scores.items()), key=lambda x: (-x[0], x[1]))[:7])]
+    assert sorted((x["user_id"], x["item_id"], x["rank"]) for x in got) == sorted((u, i, k) for u, i, _, k in want)
+    assert all(abs(a - b) < 1e-9 for a, b in zip([x["score"] for x in sorted(got, key=lambda x: (x["user_id"], x["rank"]))], [s for _, _, s, _ in sorted(want, key=lambda x: (x[0], x[3]))]))
+    queries = R.asked(profiles).dropDuplicates(["q1", "q2"]).withColumn("need", F.lit(7))
+    scored = R.best_items(queries, index, now, first=2).agg(F.sum("scored")).first()[0]
+    assert scored < queries.count() * items.count() / 10
+
+
+def test_whole_decks_with_kinds_and_pins(spark):
+    r = random.Random(7)
+    rows = [(f"{k}:{i}", k, "t", c, None if k == "group" or r.random() < 0.2 else datetime(2026, 1 + r.randrange(3), 1 + r.randrange(3), 5), r.choice([None, datetime(2025, 1 + r.randrange(3), 1)]), 1, False, "") for i in range(160) for k, c in [(r.choice(["event", "group"]), r.choice("AAAB"))]]
+    items, now = spark.createDataFrame(rows, CATALOG).repartition(3), F.lit("2026-02-01").cast("timestamp")
+    live = [x for x in rows if x[4] is None or x[4] >= datetime(2026, 2, 1)]
+    rank = lambda x: 0 if x[1] == "event" and x[4] else 1 if x[1] == "group" else 2
+    order = sorted(live, key=lambda x: (rank(x), x[4] or datetime.max, -x[5].timestamp() if x[5] else float("inf"), x[0]))
+    users = [(u, r.choice("ABC"), r.choice(["all", "event", "group"]), r.choice([None, r.choice(rows)[0]])) for u in range(40)]
+    swipes = [(u, i) for u in range(40) for i in {r.choice(rows)[0] for _ in range(r.choice([0, 1, 30, 400]))}]
+    ranked = [(u, i, k + 1) for u in range(0, 40, 2) for k, i in enumerate(r.sample([x[0] for x in rows], 12))]
+    positions = P.catalog_positions(P.live_items(items, now), now).cache()
+    frames = spark.createDataFrame(users, "user_id long, campus string, kind string, pinned string"), swipes_of(spark, swipes), spark.createDataFrame(ranked, "user_id long, item_id string, rank long")
+    want = {}
+    for u, campus, kind, pinned in users:
+        cards = [x[0] for x in order if x[3] == campus and kind in ("all", x[1]) and (u, x[0]) not in swipes]
+        picks = [i for v, i, _ in ranked if v == u]
+        want[u] = sorted(cards, key=lambda i: (i != pinned, picks.index(i) if i in picks else len(picks)))
+    for size in (None, 5, 1):
+        got = {u: [] for u, *_ in users}
+        for x in sorted(P.deck(positions, *frames, size).collect(), key=lambda x: (x["user_id"], x["place"])):
+            got[x["user_id"]].append(x["item_id"])
+            assert x["place"] == len(got[x["user_id"]])
+        assert got == {u: w[:size] for u, w in want.items()}
+
+
+def test_creates_in_order(spark):
+    r = random.Random(2)
+    for n, keys in ((0, 3), (1, 1), (60, 8), (300, 60), (300, 4)):
+        batch = [(s, r.choice([None, *map(str, range(keys))]) if r.random() < 0.1 else str(r.randrange(keys)), str(r.randrange(keys))) for s in range(n)]
+        had = [("0", "u"), ("e", "1")]
+        emails, names, want = {e for e, _ in had}, {u for _, u in had}, {}
+        for s, e, u in batch:
+            want[s] = "ERROR: email already exists" if e in emails else "ERROR: username already exists" if u in names else "SUCCESS"
+            if want[s] == "SUCCESS":
+                emails |= {e} - {None}
+                names.add(u)
+        target, rows = (spark.createDataFrame(x, c) for x, c in ((had, "email string, username string"), (batch, "seq long, email string, username string")))
+        assert {x["seq"]: x["status"] for x in U.create_users(target, rows.repartition(3)).collect()} == want
+    # A row that is refused takes nothing: the username of the first stays free.
+    rows = spark.createDataFrame([(1, "a", "u1"), (2, "b", "u1")], "seq long, email string, username string")
+    assert [x["status"][:7] for x in U.create_users(spark.createDataFrame([("a", "x")], "email string, username string"), rows).orderBy("seq").collect()] == ["ERROR: ", "SUCCESS"]
+
+
 def test_results_are_refused_as_a_whole(spark):
     good = {"request_id": 1, "rank": 1, "item_id": "group:1", "item_type": "group", "title": "T", "description": "d", "tags": "a", "campus": "A", "starts_at": None, "is_active": "1", "is_demo": "false"}
     bad = [{"title": " "}, {"item_type": "people"}, {"title": None}, {"description": "x" * 20_001}, {"tags": "x" * 1001}, {"item_id": "x" * 181}, {"item_id": ""}]
