@@ -413,9 +413,8 @@ def tags_replace(t):
 
 @query("""select (select count(*) from good) as file_rows, count(*) filter (i % 2 = 1) as inserted, count(*) as total, count(*) filter (campus = 'UMD') as home, count(*) filter (campus = 'UMD' and starts_at >= timestamp '1998-01-10') as upcoming_home, cast(0 as bigint) as duplicate_keys from good""")
 def import_report(t):
-    g = good(t)
-    before = g.filter(listing_number() % 2 == 0)
-    return I.import_report(g, before, I.merge_insert(before, g, ["key"]), F.lit("1998-01-10").cast("timestamp"))
+    g = norm(t).filter(F.size("errors") == 0)
+    return I.import_listings(g, g.filter(listing_number() % 2 == 0).drop("errors"), scratch(t, "import"), F.lit("1998-01-10").cast("timestamp"))
 
 
 @query("select campus, title, location, strftime(t + to_days(d), '%Y-%m-%d %H:%M:%S') as starts_at from (select distinct campus from prof), (values ('Demo: Beginner AI Hackathon', 'Iribe Center', 3), ('Demo: K-pop Dance Workshop', 'Stamp Student Union', 4)) s(title, location, d), clock")
@@ -434,22 +433,58 @@ def schema_align(t):
     return I.align_schema(t.events().select("event_id", "title"), {"title": ("string", "x"), "location": ("string", None), "is_active": ("int", 1)})
 
 
-PUBLISH = """, b as (select 'k' || (o_orderkey % 500) as publish_key, o_custkey % 7 as user_id, o_orderpriority as title, o_orderkey as seq from orders),
-f as (select publish_key, user_id, title from b qualify row_number() over (partition by publish_key order by seq) = 1) """
+PUBLISH = """, b as (select 'k' || (o_orderkey % 500) as publish_key, o_custkey % 7 as user_id, case when o_orderkey % 3 = 0 then 'group' else 'event' end as kind, o_orderpriority as title, 'About ' || o_orderstatus as description, 'Hall ' || (o_custkey % 5) as location,
+  'Room ' || (o_custkey % 3) as details, case when o_orderkey % 11 = 0 then '1997-07-01' else '1998-07-01' end as date, o_orderkey as seq, [o_orderstatus, o_orderpriority, o_orderstatus] as tags from orders),
+f as (select *, case when kind = 'event' then '1998-07-01 22:30:00' end as starts_at from b where kind = 'group' or date > '1998' qualify row_number() over (partition by kind, publish_key order by seq) = 1),
+done as (select b.kind, b.publish_key, b.user_id, b.seq, b.tags, f.title, f.description, f.location, f.details, f.starts_at from b join f using (kind, publish_key, user_id) where b.seq >= f.seq),
+flat as (select kind, publish_key, seq, string_agg(w, ',' order by w) as shown from (select distinct kind, publish_key, seq, unnest(tags) as w from done) group by 1, 2, 3) """
 
 
-@query(PUBLISH + "select b.publish_key, b.user_id, b.seq, f.title, '1998-07-01 22:30:00' as starts_at from b join f using (publish_key, user_id)")
+@query(PUBLISH + """select d.kind, d.publish_key, d.user_id, d.seq, d.title, d.description, d.location, case when d.kind = 'group' then d.details else '' end as meeting_details, d.starts_at, case when d.kind = 'event' then '1998-07-01' else '' end as date,
+  case when d.kind = 'event' then '18:30' else '' end as time, f.shown as tags, last_value(f.shown) over (partition by d.kind, d.publish_key order by d.seq rows between unbounded preceding and unbounded following) as tags_now from done d join flat f using (kind, publish_key, seq)""")
 def publish_idempotent(t):
-    items, cards = I.publish(published(t), drafts_batch(t), t.as_of)
-    return show(cards.drop("created_at"))
+    """Calls with their cards, and the tags that each item has at the end."""
+    none = t.spark.createDataFrame([], "publish_key string, kind string, user_id long, title string, description string, location string, meeting_details string, starts_at timestamp, campus string, is_active int, is_demo boolean, created_at timestamp")
+    links = t.spark.createDataFrame([], "owner_id long, tag_id long")
+    items, tags, bridge, cards = I.publish(none, t.tags(), links, drafts_batch(t), t.as_of, CAMPUS)
+    now = C.listed(C.tag_names(bridge, tags)).select("owner_id", F.replace("tags", F.lit(", "), F.lit(",")).alias("tags_now"))
+    owned = cards.withColumn("owner_id", I.item_number("kind", "publish_key")).join(now, "owner_id").drop("owner_id", "id", "source_url", "campus")
+    return show(owned.join(items.select("kind", "publish_key", "user_id"), ["kind", "publish_key", "user_id"]))
 
 
-def published(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([], "publish_key string, user_id long, title string, starts_at timestamp, created_at timestamp")
+def drafts_batch(t: Tables) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return t.raw("orders").select(
+        F.concat(F.lit("k"), k % 500).alias("publish_key"), (c % 7).alias("user_id"), F.when(k % 3 == 0, "group").otherwise("event").alias("kind"), F.col("o_orderpriority").alias("title"), F.concat(F.lit("About "), "o_orderstatus").alias("description"), F.concat(F.lit("Hall "), c % 5).alias("location"),
+        F.concat(F.lit("Room "), c % 3).alias("meeting_details"), F.when(k % 11 == 0, "1997-07-01").otherwise("1998-07-01").alias("date"), F.lit("18:30").alias("time"), F.array("o_orderstatus", "o_orderpriority", "o_orderstatus").alias("tags"), k.alias("seq"),
+    )
 
 
-def drafts_batch(t: Tables) -> DataFrame:
-    return t.raw("orders").select(F.concat(F.lit("k"), F.col("o_orderkey") % 500).alias("publish_key"), (F.col("o_custkey") % 7).alias("user_id"), F.col("o_orderpriority").alias("title"), F.lit("1998-07-01").alias("date"), F.lit("18:30").alias("time"), F.col("o_orderkey").alias("seq"))
+@query("""select event_id, cast(j.key as varchar) as key, cast(j.value as varchar) as value from (select event_id, case event_id % 4 when 0 then cast(props as varchar) when 1 then '[' || event_id || ',"' || event_type || '",null,{"k":[1,true]}]' when 2 then '{"user":{"id":' || user_id || '},"kind":"' || event_type || '"}' else '7' end as t from events) e, json_each(cast(t as json)) j where json_type(cast(t as json)) in ('ARRAY', 'OBJECT')""")
+def variant_flatten(t):
+    """Objects, mixed arrays and bare values; keys of arrays are their indexes."""
+    k, text = F.col("event_id"), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    kind = F.col("event_type")
+    mixed = text("[", k.cast("string"), ',"', kind, '",null,{"k":[1,true]}]')
+    nested = text('{"user":{"id":', F.col("user_id").cast("string"), '},"kind":"', kind, '"}')
+    rows = t.raw("events").select("event_id", F.when(k % 4 == 0, F.col("props")).when(k % 4 == 1, mixed).when(k % 4 == 2, nested).otherwise("7").alias("j"))
+    found = I.flatten_variant(rows, "j")
+    return found.select("event_id", F.coalesce("key", F.col("index").cast("string")).alias("key"), F.to_json("value").alias("value"))
+
+
+@query("""select event_id, title, case when event_id % 3 = 0 then null when event_id % 3 = 1 then 'UMD' else campus end as campus, case when event_id % 3 = 1 then 1 when event_id % 3 = 2 then is_active end as is_active, case when event_id % 3 = 1 then '' when event_id % 3 = 2 then 'Hall' end as location from ev""")
+def schema_defaults(t):
+    """A table in two generations of files: the first (each third id) was written before its columns were added."""
+    e, k, name = t.events(), F.col("event_id"), f"events_{uuid.uuid4().hex}"
+    part = lambda i: e.filter(k % 3 == i)
+    t.spark.sql(f"CREATE TABLE {name} (event_id bigint, title string) USING parquet LOCATION '{scratch(t, 'table')}'")
+    part(1).select("event_id", "title").write.insertInto(name)
+    wanted = {"campus": ("string", "UMD"), "is_active": ("int", 1), "location": ("string", "")}
+    for _ in range(2):  # the second time nothing is left to add
+        I.add_columns(t.spark, name, wanted)
+    part(2).select("event_id", "title", "campus", "is_active", F.lit("Hall")).write.insertInto(name)
+    part(0).select("event_id", "title", F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("string")).write.insertInto(name)
+    return t.spark.table(name)
 
 
 @query("""select p_name, p_type, min(p_partkey) as first_key, sha256('{"p_name":"' || p_name || '","p_type":"' || p_type || '"}') as publish_key from part group by 1, 2""")
@@ -840,24 +875,80 @@ def stream_refresh(t):
     return target.read()
 
 
-@query("select publish_key, min(seq) >= 0 as stored from (select 'k' || (o_orderkey % 500) as publish_key, o_orderkey as seq from orders) group by 1")
+def calls(t: Tables) -> DataFrame:
+    """Publish calls in the log's order of time, in four quarters; each tenth is delivered again in the next quarter, each eleventh a quarter late."""
+    e, k = t.raw("events").withColumn("ts", F.col("ts").cast("timestamp")), F.col("event_id")
+    at = F.unix_timestamp("ts")
+    span = e.agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    quarter = F.floor(4 * (at - F.col("low")) / (F.col("high") - F.col("low") + 1)).cast("int")
+    rows = e.crossJoin(F.broadcast(span)).select(F.concat(F.lit("k"), k % 700).alias("publish_key"), (k % 7 + F.col("user_id") % 2).alias("user_id"), F.col("event_type").alias("title"), "ts", k.alias("seq"), F.least(quarter + F.when(k % 11 == 0, 1).otherwise(0), F.lit(3)).alias("part"))
+    return rows.unionByName(rows.filter(k_of_ten()).withColumn("part", F.least(F.col("part") + 1, F.lit(3))))
+
+
+def k_of_ten():
+    return F.col("seq") % 10 == 0
+
+
+def in_parts(t: Tables, df: DataFrame, name: str, parts: int = 4) -> DataFrame:
+    """Rows as a stream of ``parts`` micro-batches, by their column ``part``."""
+    path = scratch(t, name)
+    for i in range(parts):
+        df.filter(F.col("part") == i).drop("part").repartition(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+#: Each batch's watermark is the latest time of those before it, less the delay.
+CALLS = """, span as (select min(epoch(date_trunc('second', ts))) as low, max(epoch(date_trunc('second', ts))) as high from events),
+one as (select 'k' || (event_id % 700) as publish_key, event_id % 7 + user_id % 2 as user_id, event_type as title, ts, event_id as seq, least(cast(floor(4 * (epoch(date_trunc('second', ts)) - low) / (high - low + 1)) as int) + case when event_id % 11 = 0 then 1 else 0 end, 3) as part from events, span),
+every as (select * from one union all select * replace (least(part + 1, 3) as part) from one where seq % 10 = 0),
+marks as (select p.part, (select max(ts) from every e where e.part < p.part) - interval 2 day as mark from (select distinct part from every) p),
+kept as (select * from every join marks using (part) where mark is null or date_trunc('millisecond', ts) > date_trunc('millisecond', mark)) """
+
+
+@query(CALLS + "select publish_key, user_id, title, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, seq from (select distinct * from kept) qualify row_number() over (partition by publish_key order by part, ts, seq) = 1")
 def stream_publish(t):
     from tagweave.streaming import streams as X
 
-    target = snapshot(t, drafts_batch(t).limit(0).select("publish_key", "title"), "publish_key")
-    X.stream_insert(as_stream(t, drafts_batch(t), "drafts"), target, ["publish_key"], lambda b: b.select("publish_key", "title"), scratch(t, "checkpoint"))
-    return target.read().groupBy("publish_key").agg((F.count("*") == 1).alias("stored"))
+    rows = calls(t)
+    target = snapshot(t, rows.drop("part").limit(0), "publish_key")
+    X.stream_publish(in_parts(t, rows, "calls"), target, scratch(t, "checkpoint"), "2 days")
+    return show(target.read())
 
 
-@query("select key, title, campus from good")
+@query("select key, title, campus, array_to_string(list_sort(list_distinct(tags)), '|') as tags from good")
 def stream_import(t):
     from tagweave.streaming import streams as X
 
-    target = snapshot(t, good(t).limit(0).select("key", "title", "campus"), "key")
-    prepare = lambda b: I.quarantine(I.normalize_listings(b, t.as_of))[0].select("key", "title", "campus")
-    twice = t.listings().unionByName(t.listings())
-    X.stream_insert(as_stream(t, twice, "listings"), target, ["key"], prepare, scratch(t, "checkpoint"))
-    return target.read()
+    events = snapshot(t, good(t).limit(0).select("key", "title", "campus"), "key")
+    tags, links = (snapshot(t, t.spark.createDataFrame([], c), k) for c, k in (("tag_id long, tag_name string", "tag_name"), ("key string, tag_id long", "key")))
+    prepare = lambda b: I.quarantine(I.normalize_listings(b, t.as_of))[0].select("key", "title", "campus", "tags")
+    X.stream_import(as_stream(t, t.listings().unionByName(t.listings()), "listings"), events, tags, links, prepare, scratch(t, "checkpoint"))
+    named = links.read().join(tags.read(), "tag_id").groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("tag_name")), "|").alias("tags"))
+    return events.read().join(named, "key")
+
+
+@query("""select item_id, campus, term, tf, length, n_items, df, round(avg_length, 6) as avg_length from (
+  with now as (select 'group:' || group_id as item_id, campus, case when group_id % 2 = 0 or group_id % 3 = 0 or group_id % 10 = 1 then name || ' | ' || description else name end as t from gr where group_id % 10 <> 0),
+  w as (select item_id, campus, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) as term from now), l as (select item_id, count(*) as length from w group by 1),
+  c as (select item_id, campus, term, count(*) as tf from w group by 1, 2, 3), d as (select term, count(*) as df from c group by 1)
+  select * from c join l using (item_id) join d using (term), (select count(*) as n_items, avg(length) as avg_length from l))""")
+def stream_index(t):
+    """Groups in four batches: short texts, then two updates, then removals and items that come back; compacted on the way."""
+    from tagweave.streaming import search_index as X
+
+    k, whole = F.col("group_id"), F.concat_ws(" | ", "name", "description")
+    shape = lambda df, part, text, gone=False: df.select(S.item_id("group", k).alias("item_id"), "campus", F.lit("group").alias("item_type"), "is_active", F.lit(None).cast("timestamp").alias("starts_at"), text.alias("search_text"), F.lit(gone).alias("deleted"), F.lit(part).alias("seq"), F.lit(part).alias("part"))
+    g = t.groups()
+    rows = shape(g, 0, F.col("name")).unionByName(shape(g.filter(k % 10 == 1), 1, whole, True)).unionByName(shape(g.filter(k % 2 == 0), 1, whole)).unionByName(shape(g.filter(k % 3 == 0), 2, whole))
+    rows = rows.unionByName(shape(g.filter(k % 10 == 0), 3, whole, True)).unionByName(shape(g.filter(k % 10 == 1), 3, whole))
+    index = X.SearchIndex(t.spark, scratch(t, "index"))
+    q = X.stream_index(in_parts(t, rows, "changes"), index, scratch(t, "checkpoint"), {"processingTime": "200 milliseconds"}, compact_at=3)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    one = index.lists().select("campus", "term", F.inline("items"), "df", "n_items", "avg_length")
+    return one.select("item_id", "campus", "term", F.col("tf").cast("long").alias("tf"), F.col("length").cast("long").alias("length"), "n_items", "df", F.round("avg_length", 6).alias("avg_length"))
 
 
 @query(UNDO + "select user_id, cast(len(stack) as int) as depth, stack[-1].item_id as item_id, stack[-1].action as action from folded")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave.functions import scalars as S
@@ -60,6 +61,25 @@ def unnest_json(df: DataFrame, column: str, schema: str, name: str = "value") ->
     return df.withColumn(name, F.explode(F.from_json(column, schema)))
 
 
+def flatten_variant(df: DataFrame, column: str) -> DataFrame:
+    """A row for each entry of the JSON text in ``column``, whatever its kind: (the other columns, index, key, value).
+
+    Of an array, ``index`` counts from 0 and ``key`` is null; of an object, both are set, by name. ``value`` is a VARIANT. Other values, broken and
+    null texts have no rows.
+    """
+    rest = [c for c in df.columns if c != column]
+    found = df.lateralJoin(df.sparkSession.tvf.variant_explode(F.try_parse_json(F.col(column).outer())))
+    return found.select(*rest, F.col("pos").alias("index"), "key", "value")
+
+
+def add_columns(spark: SparkSession, table: str, columns: dict[str, tuple[str, object]]) -> None:
+    """ALTER TABLE ... ADD COLUMN with defaults, for those that are not there yet: files written before read as the default, stored NULLs stay."""
+    had = {c.lower() for c in spark.table(table).columns}
+    new = [f"{c} {kind}" + ("" if default is None else f" DEFAULT {default!r}") for c, (kind, default) in columns.items() if c.lower() not in had]
+    if new:
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(new)})")
+
+
 def insert_new(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``source`` whose key is not in ``target``; one of each key."""
     return source.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti")
@@ -104,14 +124,37 @@ def replace_tags(bridge: DataFrame, items: DataFrame, tags: DataFrame) -> DataFr
     return kept.unionByName(link_tags(items, tags, bridge.limit(0)))
 
 
-def import_report(file_rows: DataFrame, before: DataFrame, after: DataFrame, as_of: Column) -> DataFrame:
-    mine = F.col("key").startswith(S.IMPORT_PREFIX)
-    counts = after.filter(mine).agg(F.count("*").alias("total"), F.count_if(F.col("campus") == S.HOME_CAMPUS).alias("home"), F.count_if((F.col("campus") == S.HOME_CAMPUS) & (F.col("starts_at") >= as_of)).alias("upcoming_home"))
-    had = before.filter(mine).agg(F.count("*").alias("had"))
-    doubled = duplicate_keys(after.filter(mine), ["key"]).agg(F.count("*").alias("duplicate_keys"))
-    rows = file_rows.agg(F.count("*").alias("file_rows"))
-    one = reduce(lambda a, b: a.crossJoin(b), (rows, counts, had, doubled))  # four single rows
-    return one.select("file_rows", (F.col("total") - F.col("had")).alias("inserted"), "total", "home", "upcoming_home", "duplicate_keys")
+def import_listings(rows: DataFrame, before: DataFrame, path: str, as_of: Column) -> DataFrame:
+    """Write what ``before`` holds and the new ones of ``rows`` to ``path``, all or nothing; returns the report, one row.
+
+    ``rows`` are normalised listings with ``errors``, ``before`` has the same columns but that one. The figures are observed while the table is
+    written, so nothing is read twice: rows of both sides are grouped by key, the stored row wins, and one write counts all. The
+    table is written beside ``path`` and takes its name only if no row had an error; otherwise it is removed and the error raised.
+    """
+    spark, mine = rows.sparkSession, F.col("key").startswith(S.IMPORT_PREFIX)
+    fields = [c for c in before.columns if c != "key"]
+    both = before.select("key", F.lit(1).alias("_had"), F.lit("").alias("_error"), F.struct(*fields).alias("_row")).unionByName(
+        rows.select("key", F.lit(0).alias("_had"), F.array_join("errors", " ").alias("_error"), F.struct(*fields).alias("_row"))
+    )
+    one = both.groupBy("key").agg(F.sum("_had").alias("_had"), (F.count("*") - F.sum("_had")).alias("_came"), F.max("_error").alias("_error"), F.max_by("_row", "_had").alias("_row")).select("*", "_row.*")
+    home = mine & (F.col("campus") == S.HOME_CAMPUS)
+    seen = Observation("import")
+    watched = one.observe(
+        seen, F.sum("_came").alias("file_rows"), F.count_if(mine & (F.col("_had") == 0)).alias("inserted"), F.count_if(mine).alias("total"), F.count_if(home).alias("home"),
+        F.count_if(home & (F.col("starts_at") >= as_of)).alias("upcoming_home"), F.count_if(mine & (F.col("_had") > 1)).alias("duplicate_keys"), F.max("_error").alias("error"),
+    )
+    draft = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    watched.select("key", *fields).write.parquet(draft)
+    report, at = seen.get, spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(draft).getFileSystem(spark._jsc.hadoopConfiguration())
+    if report["error"]:
+        fs.delete(at(draft), True)
+        raise ValueError(f"nothing imported: {report['error']}")
+    if fs.exists(at(path)) or not fs.rename(at(draft), at(path)):
+        fs.delete(at(draft), True)
+        raise ValueError(f"{path} is there already")
+    names = ["file_rows", "inserted", "total", "home", "upcoming_home", "duplicate_keys"]
+    return spark.createDataFrame([tuple(report[n] or 0 for n in names)], ", ".join(f"{n} long" for n in names))
 
 
 def align_schema(df: DataFrame, spec: dict[str, tuple[str, object]]) -> DataFrame:
@@ -129,15 +172,42 @@ def dedup_drafts(df: DataFrame, columns: list[str], order: str) -> DataFrame:
     return df.withColumn("publish_key", draft_key(*columns)).withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
 
 
-def publish(items: DataFrame, batch: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """(items, cards): new (publish_key, user_id) rows are stored once, later ones get the first row back.
+def item_number(*key: str) -> Column:
+    """A positive number for a natural key."""
+    return F.xxhash64(*key).bitwiseAND(F.lit((1 << 63) - 1).cast("long"))
+
+
+ITEM = ["publish_key", "kind", "user_id", "title", "description", "location", "meeting_details", "starts_at", "campus", "is_active", "is_demo", "created_at"]
 
-    ``batch`` has publish_key, user_id, title, date, time, seq; a key that belongs to another user is refused (no card).
+
+def publish(items: DataFrame, tags: DataFrame, bridge: DataFrame, batch: DataFrame, as_of: Column, campus: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(items, tags, bridge, cards) after the calls of ``batch``, each as if made alone, in order of ``seq``.
+
+    ``batch`` is checked drafts: publish_key, user_id, kind, title, description, location, meeting_details, date, time, tags, seq.
+    A key (of its kind) is stored once, with all columns of its first call that succeeds. A call succeeds if the key is its user's, and if the card can
+    be read back: an event must not be past. Any other call changes nothing and has no card. Each successful call replaces the
+    item's tags, a retry too, and returns the card: the stored item with the call's tags, as a decoder shows it. ``bridge`` is (owner_id, tag_id), and an
+    item's number is made from its kind and key.
     """
-    first = batch.groupBy("publish_key").agg(F.min_by(F.struct("user_id", "title", "date", "time"), "seq").alias("r")).select("publish_key", "r.*")
-    new = first.join(items, "publish_key", "left_anti").select("publish_key", "user_id", "title", S.campus_to_utc(F.col("date"), F.col("time")).alias("starts_at"), as_of.alias("created_at"))
-    all_items = items.unionByName(new)
-    return all_items, batch.select("publish_key", "user_id", "seq").join(all_items, ["publish_key", "user_id"])
+    key = ["kind", "publish_key"]
+    event = F.col("kind") == "event"
+    calls = batch.withColumn("starts_at", F.when(event, S.campus_to_utc(F.col("date"), F.col("time"))))
+    open_ = ~event | F.coalesce(F.col("starts_at") >= as_of, F.lit(False))
+    given = ["user_id", "title", "description", "location", "meeting_details", "starts_at"]
+    first = calls.filter(open_).groupBy(*key).agg(F.min_by(F.struct(*given, "seq"), "seq").alias("r")).select(*key, "r.*").join(items, key, "left_anti")
+    details = lambda c, kind: F.when(F.col("kind") == kind, F.col(c)).otherwise("").alias(c)
+    new = first.select(*key, "user_id", "title", "description", "location", details("meeting_details", "group"), "starts_at", F.lit(campus).alias("campus"), F.lit(1).alias("is_active"), F.lit(False).alias("is_demo"), as_of.alias("created_at"), F.col("seq").alias("since"))
+    known = items.select(*ITEM, F.lit(None).cast("long").alias("since")).unionByName(new.withColumn("since", F.col("since").cast("long")))
+    done = calls.select(*key, "user_id", "seq", "tags").join(known, [*key, "user_id"]).filter(open_ & (F.col("since").isNull() | (F.col("seq") >= F.col("since"))))
+    last = done.groupBy(*key).agg(F.max_by("tags", "seq").alias("tags")).select(item_number(*key).alias("owner_id"), "tags")
+    all_tags = upsert_tags(tags, last.select(F.explode("tags").alias("tag_name")))
+    shown = F.array_join(S.parse_tags(F.array_join(F.array_sort(F.array_distinct("tags")), ", ")), ",")
+    text = S.trim(F.col("description"))
+    cards = done.select(
+        *key, "user_id", "seq", F.concat(F.lit(S.REMOTE_PREFIX), S.item_id(F.col("kind"), item_number(*key))).alias("id"), S.trim(F.col("title")).alias("title"), S.ellipsis(S.strip_source(text)).alias("description"), S.source_url(text).alias("source_url"), "location", "meeting_details",
+        "starts_at", F.when(event, S.campus_date(F.col("starts_at"))).otherwise("").alias("date"), F.when(event, S.campus_time(F.col("starts_at"))).otherwise("").alias("time"), "campus", shown.alias("tags"),
+    )
+    return known.select(*ITEM), all_tags, replace_tags(bridge, last, all_tags), cards
 
 
 def audit_missing(df: DataFrame, columns: list[str]) -> DataFrame:

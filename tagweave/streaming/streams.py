@@ -115,7 +115,7 @@ def stream_refresh_catalog(source: DataFrame, rebuild: Callable[[], DataFrame],
 
 
 def stream_insert(source: DataFrame, target: Snapshot, keys: list[str], prepare: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
-    """Publishing and imports: a key that is there already adds nothing, so a retry or a rerun is harmless."""
+    """A key that is there already adds nothing, so a retry or a rerun is harmless."""
 
     def each(batch: DataFrame, _: int) -> None:
         target.merge(prepare(batch), lambda old, new: old.unionByName(insert_new(old, new, keys)))
@@ -123,38 +123,94 @@ def stream_insert(source: DataFrame, target: Snapshot, keys: list[str], prepare:
     _run(source, each, checkpoint)
 
 
+def stream_import(source: DataFrame, events: Snapshot, tags: Snapshot, links: Snapshot, prepare: Callable[[DataFrame], DataFrame], checkpoint: str) -> None:
+    """Listings with their tags: new events (key, ...), then the names they bring (tag_id, tag_name), then the links (key, tag_id).
+
+    ``prepare`` makes good rows with ``tags`` of a batch. A tag's number is made from its name, so batches need no common counter. Each of the three
+    adds only what is not there, so a batch that failed between them is completed when it runs again; as in the batch import, listings
+    that are there already get links that they lack.
+    """
+
+    def each(batch: DataFrame, _: int) -> None:
+        rows = prepare(batch).persist()
+        try:
+            events.merge(rows, lambda old, new: old.unionByName(insert_new(old, new.select(old.columns), ["key"])))
+            named = rows.select("key", F.explode("tags").alias("tag_name")).distinct().withColumn("tag_id", F.xxhash64("tag_name"))
+            tags.merge(named.select("tag_id", "tag_name"), lambda old, new: old.unionByName(insert_new(old, new, ["tag_name"]).select(old.columns)))
+            links.merge(named.select("key", "tag_id"), lambda old, new: old.unionByName(insert_new(old, new, ["key", "tag_id"]).select(old.columns)))
+        finally:
+            rows.unpersist()
+
+    _run(source, each, checkpoint)
+
+
+def stream_publish(source: DataFrame, target: Snapshot, checkpoint: str, delay: str = "1 hour") -> None:
+    """Calls (publish_key, user_id, seq, ts, ...) as they arrive: a key is stored once, for the user of its first call.
+
+    A call that is delivered again within ``delay`` (publish_key, user_id and seq are the same) is dropped by the stream's own state, which the
+    watermark bounds; calls that come later than the watermark are left out. What is left meets the stored keys: within a batch the earliest
+    call by (ts, seq) counts, and a key that is there keeps its owner and content.
+    """
+    once = source.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["publish_key", "user_id", "seq"])
+
+    def each(batch: DataFrame, _: int) -> None:
+        first = batch.groupBy("publish_key").agg(F.min_by(F.struct(*[c for c in batch.columns if c != "publish_key"]), F.struct("ts", "seq")).alias("r")).select("publish_key", "r.*")
+        target.merge(first, lambda old, new: old.unionByName(insert_new(old, new.select(old.columns), ["publish_key"])))
+
+    _run(once, each, checkpoint)
+
+
 STACK = StructType([StructField("user_id", LongType()), StructField("depth", IntegerType()), StructField("item_id", StringType()), StructField("action", StringType())])
 
 
 class UndoStack(StatefulProcessor):
-    """A stack of decisions for each user; ``undo`` pops it. Emits the depth and the top after each batch."""
+    """A stack of decisions for each user; ``undo`` pops it. Emits the depth and the top after each batch.
+
+    The state is the height and a map from place to decision: a step reads and writes one place, whatever lies below it. With ``ttl_ms``
+    a visit ends when nothing came for so long.
+    """
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stack = handle.getListState("stack", StructType([StructField("item_id", StringType()), StructField("action", StringType())]))
+        self.height = handle.getValueState("height", StructType([StructField("height", IntegerType())]), self.ttl_ms)
+        self.steps = handle.getMapState("steps", StructType([StructField("place", IntegerType())]), StructType([StructField("item_id", StringType()), StructField("action", StringType())]), self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         from pyspark.sql import Row
 
-        stack = [tuple(x) for x in self.stack.get()]
+        height, new = self.height.get()[0] if self.height.exists() else 0, []  # what this batch has put on top is in ``new``
         for r in sorted(rows, key=lambda r: (r.ts, r.seq)):
             if r.action != "undo":
-                stack.append((r.item_id, r.action))
-            elif stack:
-                stack.pop()
-        if stack:
-            self.stack.put(stack)
+                new.append((r.item_id, r.action))
+            elif new:
+                new.pop()
+            elif height:
+                height -= 1
+                self.steps.removeKey((height,))
+        top = new[-1] if new else None
+        if not new and height:
+            top = tuple(self.steps.getValue((height - 1,)) or ()) if self.steps.containsKey((height - 1,)) else None
+            if top is None:  # its time is over, and so is that of all below it
+                self.steps.clear()
+                height = 0
+        for i, step in enumerate(new):
+            self.steps.updateValue((height + i,), step)
+        height += len(new)
+        if height:
+            self.height.update((height,))
         else:
-            self.stack.clear()
-        top = stack[-1] if stack else (None, None)
-        yield Row(user_id=key[0], depth=len(stack), item_id=top[0], action=top[1])
+            self.height.clear()
+        yield Row(user_id=key[0], depth=height, item_id=top[0] if top else None, action=top[1] if top else None)
 
     def close(self) -> None:
         pass
 
 
-def stream_undo(source: DataFrame) -> DataFrame:
+def stream_undo(source: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Rows have to arrive in order (within a batch they are sorted). Needs the RocksDB state store."""
-    return source.groupBy("user_id").transformWithState(statefulProcessor=UndoStack(), outputStructType=STACK, outputMode="Update", timeMode="None")
+    return source.groupBy("user_id").transformWithState(statefulProcessor=UndoStack(ttl_ms), outputStructType=STACK, outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
 def undo_twin(log: DataFrame) -> DataFrame:
