@@ -97,7 +97,7 @@ def catalog_iso_select(t):
 def catalog_materialized(t):
     path = scratch(t, "catalog")
     I.write_catalog(cat(t), path)
-    return show(t.spark.read.parquet(path).filter("campus = 'NATION_3' and item_type = 'group'"))
+    return show(I.read_catalog(t.spark, path).filter("campus = 'NATION_3' and item_type = 'group'"))
 
 
 @query("""select item_id, item_type from open_items where campus = 'NATION_3' and item_type = 'event' and item_id not in (select item_id from sw where action = 'interested' group by item_id having count(*) >= 3)""")
@@ -422,10 +422,11 @@ def seed_rows(t):
     return show(I.seed_rows(t.profiles().select("campus").distinct(), t.as_of))
 
 
-@query("select title, any_value(description) as description from (select title, 'old' as description from (select distinct title from ev) where title < '3' union all select title, 'new' from (select distinct title from ev) where title >= '3') group by 1")
+@query("select group_id, name, case when group_id % 3 = 0 then 'old' else description end as description from gr")
 def merge_insert(t):
-    titles = t.events().select("title").distinct()
-    return I.merge_insert(titles.filter("title < '3'").withColumn("description", F.lit("old")), titles.withColumn("description", F.lit("new")), ["title"])
+    """A third of the groups is there, with other texts; each row comes twice."""
+    g = t.groups().select("group_id", "name", "description")
+    return I.merge_insert(g.filter("group_id % 3 = 0").withColumn("description", F.lit("old")), g.unionByName(g), ["group_id"])
 
 
 @query("select event_id, title, cast(null as varchar) as location, 1 as is_active from ev")
@@ -642,7 +643,10 @@ def outputs(t: Tables) -> DataFrame:
     return t.raw("part").select("p_partkey", F.when(k % 13 == 5, F.regexp_replace(text, '"title":" [^"]*"', '"title":7')).when(k % 13 == 6, "no json").otherwise(text).alias("text"))
 
 
-@query()
+@query("""select p_partkey, case k when 0 then 'Invalid draft kind' when 4 then 'Invalid extraction envelope' when 6 then 'Invalid extraction envelope' when 5 then 'Invalid title' end as error, case when k not in (0, 4, 5, 6) then
+  '[{"kind":"event","title":"' || p_name || '","description":"' || p_type || '","location":"' || case when k = 1 then '' else p_brand end || '","date":"' || case when k = 2 then '' else '2028-02-29' end || '","time":"' || case when k = 3 then '' else '18:30' end
+  || '","meetingDetails":"","tags":["' || replace(p_name, ' ', '","') || '"],"reviewNotes":["x"' || case k when 1 then ',"No location supplied; review before publishing."' when 2 then ',"The date could not be validated. Please add it yourself.","No exact date supplied; add a date before publishing."'
+  when 3 then ',"The time could not be validated. Please add it yourself.","No exact time supplied; add a time before publishing."' else '' end || ']}]' end as drafts from (select *, p_partkey % 13 as k from part)""")
 def validate_extraction(t):
     checked = outputs(t).select("p_partkey", V.extraction_error(F.col("text")).alias("error"), "text")
     return checked.select("p_partkey", "error", F.when(F.col("error").isNull(), F.to_json(V.extracted_drafts(F.col("text")))).alias("drafts"))
@@ -694,9 +698,17 @@ def utc_time(t):
     return t.raw("orders").select("o_orderkey", F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
-@query("""select event_id, strftime(ts, '%b ') || day(ts) || strftime(ts, ', %Y') || ' · ' || c as long_text, strftime(ts, '%a, %b ') || day(ts) || ' at ' || c as short_text from (select *, ((hour(ts) + 11) % 12 + 1) || ':' || strftime(ts, '%M') || case when hour(ts) >= 12 then ' PM' else ' AM' end as c from events)""")
+@query("""select event_id, case when g then coalesce(details, 'Meeting details to come') when day is null then 'Date to come' else strftime(day, '%b ') || day(day) || strftime(day, ', %Y') || ' · ' || case when w then 'All day' else coalesce(c, 'Time to come') end end as long_text,
+  case when g then coalesce(details, 'Meets regularly') when day is null then 'Date to come' else strftime(day, '%a, %b ') || day(day) || case when w then ', all day' when c is not null then ' at ' || c else '' end end as short_text
+  from (select event_id, event_id % 5 = 0 as g, case when event_id % 10 = 0 then event_type end as details, case when event_id % 7 <> 0 then ts end as day, event_id % 3 = 0 as w,
+  case when event_id % 4 <> 0 then ((hour(ts) + 11) % 12 + 1) || ':' || strftime(ts, '%M') || case when hour(ts) >= 12 then ' PM' else ' AM' end end as c from events)""")
 def schedule_text(t):
-    a = (F.lit("event"), F.lit(""), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm"), F.lit(False))
+    """Events and groups, whole days, and those without details, date or time."""
+    k = F.col("event_id")
+    a = (
+        F.when(k % 5 == 0, "group").otherwise("event"), F.when(k % 10 == 0, F.col("event_type")).otherwise(""), F.when(k % 7 != 0, F.date_format("ts", "yyyy-MM-dd")).otherwise("soon"),
+        F.when(k % 4 != 0, F.date_format("ts", "HH:mm")).otherwise("late"), k % 3 == 0,
+    )
     return t.raw("events").select("event_id", S.schedule(*a).alias("long_text"), S.short_schedule(*a).alias("short_text"))
 
 
@@ -733,7 +745,7 @@ def profiles_read(t):
     return U.read_profiles(p, tag_rows(t)).select("user_id", "name", "major", "bio", F.array_join("interests", "|").alias("interests"))
 
 
-@query()
+@query("select conv_id, turn, '" + V.PROMPT.replace("'", "''") + "' || cast(to_json(text) as varchar) as prompt from conversations")
 def prompt_render(t):
     return t.raw("conversations").select("conv_id", "turn", V.render_prompt(F.col("text")).alias("prompt"))
 

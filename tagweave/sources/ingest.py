@@ -227,8 +227,33 @@ def explode_state(df: DataFrame, column: str = "state") -> tuple[DataFrame, Data
     return ok.select(*rest, F.explode("s.items").alias("i")).select(*rest, "i.*"), ok.select(*rest, F.explode("s.decisions").alias("item_id", "action"))
 
 
-def write_catalog(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").partitionBy("campus", "item_type").parquet(path)
+def _versions(spark: SparkSession, path: str) -> tuple[object, list[int]]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/whole")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, sorted(int(f.getPath().getName()) for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def write_catalog(df: DataFrame, path: str, keep: int = 2) -> int:
+    """Materialise a catalog as a new version, one folder for each campus and type, rows in order of start in each file.
+
+    A version counts once it is whole, so readers see the one before until then, and those who have begun with it can go on: the last
+    ``keep`` versions stay. A campus' search reads its folder only, and skips the row groups of other times. One writer at a time.
+    """
+    spark, at = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    fs, had = _versions(spark, path)
+    version = had[-1] + 1 if had else 0
+    spread = df.repartition("campus", "item_type", F.pmod(F.xxhash64("item_id"), F.lit(8)))  # up to eight files a folder, so that a large campus is not one task's
+    spread.sortWithinPartitions("campus", "item_type", "starts_at").write.mode("overwrite").partitionBy("campus", "item_type").parquet(f"{path}/data/{version}")
+    fs.mkdirs(at(f"{path}/whole/{version}"))
+    for old in had[: len(had) + 1 - keep]:
+        fs.delete(at(f"{path}/whole/{old}"), True)
+        fs.delete(at(f"{path}/data/{old}"), True)
+    return version
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole version."""
+    return spark.read.parquet(f"{path}/data/{_versions(spark, path)[1][-1]}")
 
 
 def seed_rows(campuses: DataFrame, as_of: Column) -> DataFrame:

@@ -107,6 +107,89 @@ def test_new_tags_go_on_from_the_highest_id(spark):
     assert I.upsert_tags(had, names.limit(0)).count() == 2
 
 
+def test_import_is_one_write(spark, tmp_path):
+    row = lambda key, campus, *errors: (key, campus, datetime(2026, 1, 1 + int(key[-1])), list(errors))
+    schema = "key string, campus string, starts_at timestamp, errors array<string>"
+    come = spark.createDataFrame([row("umd-import:1", "UMD"), row("umd-import:2", "NEAR_UMD"), row("umd-import:3", "UMD"), row("umd-import:3", "UMD"), row("other:9", "UMD")], schema)
+    had = spark.createDataFrame([row("umd-import:1", "OLD"), row("umd-import:4", "UMD")], schema).drop("errors")
+    now, path = F.lit("2026-01-05").cast("timestamp"), f"file://{tmp_path}/table"
+    assert I.import_listings(come, had, path, now).first().asDict() == {"file_rows": 5, "inserted": 2, "total": 4, "home": 2, "upcoming_home": 1, "duplicate_keys": 0}
+    assert sorted((r["key"], r["campus"]) for r in spark.read.parquet(path).collect()) == [("other:9", "UMD"), ("umd-import:1", "OLD"), ("umd-import:2", "NEAR_UMD"), ("umd-import:3", "UMD"), ("umd-import:4", "UMD")]
+    with pytest.raises(ValueError, match="nothing imported: bad"):
+        I.import_listings(come.unionByName(spark.createDataFrame([row("umd-import:5", "UMD", "bad")], schema)), had, f"{path}2", now)
+    assert [p.name for p in tmp_path.iterdir()] == ["table"]
+
+
+def test_catalog_versions(spark, tmp_path):
+    path = f"file://{tmp_path}/catalog"
+    I.write_catalog(catalog_of(spark, 20), path)
+    reader = I.read_catalog(spark, path)
+    I.write_catalog(catalog_of(spark, 30), path)
+    assert reader.count() == 20 and I.read_catalog(spark, path).count() == 30
+    assert I.write_catalog(catalog_of(spark, 5), path) == 2 and {p.name for p in (tmp_path / "catalog/data").iterdir()} == {"1", "2"}
+
+
+def test_publish_call_by_call(spark):
+    """Owners, past events, retries that bring other tags, and a key for each kind."""
+    base = {"publish_key": "a", "user_id": 1, "kind": "event", "title": " T ", "description": "Official listing: https://example.org/x\n\nBody", "location": "L", "meeting_details": "m", "date": "2026-05-01", "time": "18:30", "tags": ["x", "y"], "seq": 2}
+    calls = [base | {"seq": 1, "date": "2020-01-01"}, base, base | {"seq": 3, "user_id": 2}, base | {"seq": 4, "title": "other", "tags": ["z", "z"], "date": "2020-01-01"}, base | {"seq": 5, "kind": "group", "user_id": 2}, base | {"seq": 6, "publish_key": "b", "tags": []}]
+    batch = spark.createDataFrame(calls, "publish_key string, user_id long, kind string, title string, description string, location string, meeting_details string, date string, time string, tags array<string>, seq long")
+    none = spark.createDataFrame([], "publish_key string, kind string, user_id long, title string, description string, location string, meeting_details string, starts_at timestamp, campus string, is_active int, is_demo boolean, created_at timestamp")
+    had, links = spark.createDataFrame([(7, "x")], "tag_id long, tag_name string"), spark.createDataFrame([], "owner_id long, tag_id long")
+    items, tags, bridge, cards = I.publish(none, had, links, batch, F.lit("2026-01-01").cast("timestamp"), "UMD")
+    got = {r["seq"]: (r["title"], r["description"], r["source_url"], r["date"], r["time"], r["tags"], r["meeting_details"]) for r in cards.collect()}
+    shown = ("T", "Body", "https://example.org/x", "2026-05-01", "18:30")
+    assert got == {2: (*shown, "x,y", ""), 4: (*shown, "z", ""), 5: (*shown[:3], "", "", "x,y", "m"), 6: (*shown, "", "")}
+    named = lambda b, n: sorted((r["kind"], r["publish_key"], r["tag_name"]) for r in items.withColumn("owner_id", I.item_number("kind", "publish_key")).join(b, "owner_id").join(n, "tag_id").collect())
+    assert named(bridge, tags) == [("event", "a", "z"), ("group", "a", "x"), ("group", "a", "y")] and items.count() == 3
+    items, tags, bridge, cards = I.publish(items, tags, bridge, batch.filter("seq = 4").withColumn("tags", F.array(F.lit("x"))), F.lit("2026-01-01").cast("timestamp"), "UMD")
+    assert cards.count() == 1 and ("event", "a", "x") in named(bridge, tags) and ("event", "a", "z") not in named(bridge, tags)
+
+
+def test_undo_touches_only_the_top():
+    """State calls of a step do not grow with the stack's height."""
+    from collections import namedtuple
+
+    step, calls = namedtuple("Step", "ts seq item_id action"), []
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, v):
+            self.held = v
+
+        def clear(self):
+            self.held = None
+
+    class Places(dict):
+        def __getattr__(self, name):
+            def call(k=None, v=None):
+                calls.append(name)
+                return {"containsKey": lambda: k in self, "getValue": lambda: self.get(k), "updateValue": lambda: self.update({k: v}), "removeKey": lambda: self.pop(k, None), "clear": lambda: dict.clear(self)}[name]()
+
+            return call
+
+    u, most = X.UndoStack(), {}
+    u.height, u.steps = Value(), Places()
+    want = []
+    r = random.Random(1)
+    for n in range(3000):
+        rows = [step(n, k, f"i{n}-{k}", "undo" if r.random() < 0.3 else "pass") for k in range(2)]
+        for x in rows:
+            want = want[:-1] if x.action == "undo" else [*want, (x.item_id, x.action)]
+        before = len(calls)
+        out = next(iter(u.handleInputRows((1,), iter(rows), None)))
+        most[len(calls) - before] = n
+        assert (out.depth, out.item_id, out.action) == (len(want), *(want[-1] if want else (None, None)))
+    assert len(want) > 1000 and max(most) <= 4
+
+
 CATALOG = "item_id string, item_type string, title string, campus string, starts_at timestamp, created_at timestamp, is_active int, is_demo boolean, search_text string"
 
 
