@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame
@@ -473,7 +474,7 @@ def variant_flatten(t):
     return found.select("event_id", F.coalesce("key", F.col("index").cast("string")).alias("key"), F.to_json("value").alias("value"))
 
 
-@query("""select event_id, title, case when event_id % 3 = 0 then null when event_id % 3 = 1 then 'UMD' else campus end as campus, case when event_id % 3 = 1 then 1 when event_id % 3 = 2 then is_active end as is_active, case when event_id % 3 = 1 then '' when event_id % 3 = 2 then 'Hall' end as location from ev""")
+@query("""select event_id, title, case when event_id % 3 = 0 then null when event_id % 3 = 1 then 'UMD' else campus end as campus, case when event_id % 3 = 1 then '1' when event_id % 3 = 2 then cast(is_active as varchar) end as is_active, case when event_id % 3 = 1 then '' when event_id % 3 = 2 then 'Hall' end as location from ev""")
 def schema_defaults(t):
     """A table in two generations of files: the first (each third id) was written before its columns were added."""
     e, k, name = t.events(), F.col("event_id"), f"events_{uuid.uuid4().hex}"
@@ -485,7 +486,7 @@ def schema_defaults(t):
         I.add_columns(t.spark, name, wanted)
     part(2).select("event_id", "title", "campus", "is_active", F.lit("Hall")).write.insertInto(name)
     part(0).select("event_id", "title", F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("string")).write.insertInto(name)
-    return t.spark.table(name)
+    return t.spark.table(name).withColumn("is_active", F.col("is_active").cast("string"))
 
 
 @query("""select p_name, p_type, min(p_partkey) as first_key, sha256('{"p_name":"' || p_name || '","p_type":"' || p_type || '"}') as publish_key from part group by 1, 2""")
@@ -842,13 +843,23 @@ def as_stream(t: Tables, df: DataFrame, name: str, files: int = 4) -> DataFrame:
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def append_in_order(t: Tables, df: DataFrame, path: str, nth: int) -> None:
+    """Append files to a stream's folder so that they come after those of smaller ``nth``: a file source goes by times, which may be equal for quick writes."""
+    fs, at = t.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(t.spark._jsc.hadoopConfiguration()), t.spark._jvm.org.apache.hadoop.fs.Path(path)
+    had = {f.getPath().toString() for f in fs.listStatus(at)} if fs.exists(at) else set()
+    df.write.mode("append").parquet(path)
+    for f in fs.listStatus(at):
+        if f.getPath().toString() not in had:
+            fs.setTimes(f.getPath(), (int(time.time()) - 600 + 10 * nth) * 1000, -1)
+
+
 def as_ordered_stream(t: Tables, df: DataFrame, name: str, slices: int = 4) -> DataFrame:
     """A log as a stream in the order of time: a micro-batch for each range of it; a user's rows of a range are in one file."""
     path, at = scratch(t, name), F.unix_timestamp("ts").cast("double")
     cuts = df.select(at.alias("at")).approxQuantile("at", [i / slices for i in range(1, slices)], 0.01)
     nth = sum(((at > c).cast("int") for c in cuts), F.lit(0))
     for i in range(slices):
-        df.filter(nth == i).repartition(slices, "user_id").write.mode("append").parquet(path)
+        append_in_order(t, df.filter(nth == i).repartition(slices, "user_id"), path, i)
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", slices).parquet(path)
 
 
@@ -905,15 +916,15 @@ def in_parts(t: Tables, df: DataFrame, name: str, parts: int = 4) -> DataFrame:
     """Rows as a stream of ``parts`` micro-batches, by their column ``part``."""
     path = scratch(t, name)
     for i in range(parts):
-        df.filter(F.col("part") == i).drop("part").repartition(1).write.mode("append").parquet(path)
+        append_in_order(t, df.filter(F.col("part") == i).drop("part").repartition(1), path, i)
     return t.spark.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-#: Each batch's watermark is the latest time of those before it, less the delay.
+#: Late rows are told by the watermark that the last batch began with: the latest time of the batches before that, less the delay.
 CALLS = """, span as (select min(epoch(date_trunc('second', ts))) as low, max(epoch(date_trunc('second', ts))) as high from events),
 one as (select 'k' || (event_id % 700) as publish_key, event_id % 7 + user_id % 2 as user_id, event_type as title, ts, event_id as seq, least(cast(floor(4 * (epoch(date_trunc('second', ts)) - low) / (high - low + 1)) as int) + case when event_id % 11 = 0 then 1 else 0 end, 3) as part from events, span),
 every as (select * from one union all select * replace (least(part + 1, 3) as part) from one where seq % 10 = 0),
-marks as (select p.part, (select max(ts) from every e where e.part < p.part) - interval 2 day as mark from (select distinct part from every) p),
+marks as (select p.part, (select max(ts) from every e where e.part < p.part - 1) - interval 2 day as mark from (select distinct part from every) p),
 kept as (select * from every join marks using (part) where mark is null or date_trunc('millisecond', ts) > date_trunc('millisecond', mark)) """
 
 
