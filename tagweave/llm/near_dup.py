@@ -23,6 +23,8 @@ BLOCK_TEXTS, BLOCK_BYTES = 1024, 1 << 22
 SLOTS, SHARED = 1 << 20, 1 << 22
 #: Pairs whose exact similarity is computed at once.
 VERIFIED = 256
+#: Cells of the counts that put shingles in order, the same at any size.
+CELLS = 1 << 20
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,14 +219,15 @@ class Forest:
             self.up[x] = x = self.up[self.up[x]]
         return x
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were in different sets."""
         a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
 
 
 def _compare(words: int, threshold: float):
-    """Edges (a, b) that connect the texts of each key which exact similarities connect.
+    """Pairs (a, b, similarity), each verified, that connect the texts of each key which exact similarities connect.
 
     Rows are sorted by key. Two rows are compared unless they stand on the same side (null sides
     are compared among themselves); rows with the same ``known`` are connected already.
@@ -240,12 +243,13 @@ def _compare(words: int, threshold: float):
             for x, y in zip(same, same[1:]):
                 if key[x] == key[y]:
                     forest.join(x, y)
-        rest = []
+        rest, tree = [], []
         for a, b, bound, exact in texts.bounds(threshold):
             use = (side[a] != side[b]) | (side[a] < 0)
             a, b, bound, exact = a[use], b[use], bound[use], exact[use]
-            for x, y in zip(a[exact].tolist(), b[exact].tolist()):
-                forest.join(x, y)
+            for x, y, like in zip(a[exact].tolist(), b[exact].tolist(), bound[exact].tolist()):
+                if forest.join(x, y):
+                    tree.append((x, y, like))
             open_ = np.array([forest.root(x) != forest.root(y) for x, y in zip(a[~exact].tolist(), b[~exact].tolist())], bool)
             rest.append((a[~exact][open_], b[~exact][open_], bound[~exact][open_]))
         if rest:
@@ -254,14 +258,16 @@ def _compare(words: int, threshold: float):
             a, b = a[by], b[by]
             while len(a):
                 x, y = a[:VERIFIED], b[:VERIFIED]
-                for k in np.flatnonzero(texts.similarity(x, y) >= threshold - 1e-9):
-                    forest.join(int(x[k]), int(y[k]))
+                like = texts.similarity(x, y)
+                for k in np.flatnonzero(like >= threshold - 1e-9).tolist():
+                    if forest.join(int(x[k]), int(y[k])):
+                        tree.append((int(x[k]), int(y[k]), float(like[k])))
                 a, b = a[VERIFIED:], b[VERIFIED:]
                 open_ = np.array([forest.root(x) != forest.root(y) for x, y in zip(a.tolist(), b.tolist())], bool)
                 a, b = a[open_], b[open_]
-        root = np.array([forest.root(x) for x in range(len(key))], np.int64)
-        use = np.flatnonzero(root != np.arange(len(key)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(ids[root[use]])], ["a", "b"])
+        x, y = (np.array([t[i] for t in tree], np.int64) for i in (0, 1))
+        like = np.array([t[2] for t in tree], np.float64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(np.minimum(like, 1))], ["a", "b", "similarity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, PIECE):
@@ -272,17 +278,91 @@ def _compare(words: int, threshold: float):
 
 
 def _links(rows: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Edges within the keys of rows (key, side, known, id, text)."""
+    """Verified pairs within the keys of rows (key, side, known, id, text)."""
     dealt = rows.select("key", "side", "known", "id", "text").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "id")
-    return dealt.mapInArrow(_compare(words, threshold), "a long, b long")
+    return dealt.mapInArrow(_compare(words, threshold), "a long, b long, similarity double")
 
 
 def _key(*of: str | Column) -> Column:
     return F.xxhash64(*of)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 6, block_texts: int = BLOCK_TEXTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, text_id, class_id): groups of texts that are alike.
+def _cell(element: np.ndarray) -> np.ndarray:
+    return (R.mix(element) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _count_cells(words: int):
+    """(cell, n): how many texts of a partition have a shingle of the cell, once for each of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for i, j in R.pieces(R.strings(batch.column(0))[1], PIECE):
+                total += np.bincount(_cell(shingles(*_lower(batch.column(0).slice(i, j - i)), words)[1]), minlength=CELLS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+        R.trim()
+
+    return run
+
+
+def _prefixes(words: int, threshold: float, common):
+    """(key, id, settled) for each shingle in the prefix of a text (id, group, settled, text); a key is a shingle of a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, group, settled = (batch.column(c).to_numpy() for c in range(3))
+            for i, j in R.pieces(R.strings(batch.column(3))[1], PIECE):
+                doc, element, count = shingles(*_lower(batch.column(3).slice(i, j - i)), words)
+                by = np.lexsort((element, common.value[_cell(element)], doc))
+                share = (count / np.bincount(doc, count, j - i)[doc])[by]
+                before = np.cumsum(share) - share
+                use = before - before[np.searchsorted(doc, doc)] <= 1 - threshold + 1e-6
+                of, element = i + doc[use], element[by][use]
+                key = R.mix(element ^ R.mix(group[of].view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[of]), pa.array(settled[of])], ["key", "id", "settled"])
+        R.trim()
+
+    return run
+
+
+def _parts(texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(id, part) of those texts (id, group, settled, text) that can be linked to an unsettled one of their group.
+
+    If J_P of two texts is at least t, each has at least t of its weight on common shingles. Put all
+    shingles in one order: what a text has before its first common one weighs at most 1 - t. So both
+    texts have that shingle in their prefix, the shingles that begin within the first 1 - t of their weight. Texts
+    whose prefixes have no shingle in common are never linked; what a chain of common ones connects is a part.
+    The order is by how many texts have a shingle (counted in ``CELLS`` cells, so its size is the same for any
+    corpus), rare ones first: what a family of texts has in common stands behind the prefixes, if less than t of each is common.
+    """
+    spark = texts.sparkSession
+    counted = texts.select("text").mapInArrow(_count_cells(words), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    order = np.zeros(CELLS, np.int64)
+    order[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    common = spark.sparkContext.broadcast(order)
+    keys = texts.select("id", "group", "settled", "text").mapInArrow(_prefixes(words, threshold, common), "key long, id long, settled int")
+    keys = materialize(keys, "prefixes")
+    common.destroy()
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min("settled").alias("settled")).filter("n > 1 and settled = 0")
+    edges = keys.select("key", "id").join(shared.select("key", "least"), "key").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    return connected_components(edges).withColumnRenamed("label", "part")
+
+
+def near_duplicates(docs: DataFrame, *args, **options) -> DataFrame:
+    """(id, text_id, class_id, near_id, similarity): the classes of ``near_copies``, with one of the verified pairs that make them.
+
+    ``near_id`` is the text that a row's text is linked to by the most similar of those pairs (the least id among equals);
+    a row whose text is alone in its class has null in both columns.
+    """
+    classes, links = near_copies(docs, *args, **options)
+    ends = links.select(F.col("a").alias("text_id"), F.col("b").alias("near_id"), "similarity").unionByName(links.select(F.col("b").alias("text_id"), F.col("a").alias("near_id"), "similarity"))
+    best = ends.groupBy("text_id").agg(F.max_by(F.struct("near_id", "similarity"), F.struct("similarity", -F.col("near_id"))).alias("best"))
+    return classes.join(best, "text_id", "left").select(classes.columns[0], "text_id", "class_id", "best.near_id", "best.similarity")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 6, block_texts: int = BLOCK_TEXTS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(id, text_id, class_id), groups of texts that are alike; and (a, b, similarity), verified pairs that connect each class.
 
     Texts are weighted sets of shingles (``words`` lower-cased words, weighted by how often they
     occur). Two texts are linked if their exact probability Jaccard similarity is at least
@@ -295,12 +375,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        with more than 0.9999; a pair of a group counts even if it shares none.
     2. A group of up to ``block_texts`` texts is verified in one task, by the shingles that texts
        have in common. A larger one is cut into blocks. First each block meets the text with most
-       company in its buckets; what is linked to that one is connected already. Then only blocks of the
-       texts that are left meet each other and the rest, a task for two blocks. So a large group
-       of copies costs a row for each text, and what is left of n texts a row for each and each
-       block; no pair leaves a task, only edges that connect its texts do.
-
-    No link between texts of a group is lost. Null texts are empty; all empty texts are equal, and a text without words is linked to no
+       company in its buckets; what is linked to that one is connected already. What is left, and the
+       connected texts that it can be linked to, falls into parts by rare shingles (``_parts``), which most texts that
+       are not alike do not share. Then only blocks of a part's texts that are left meet each other and the
+       rest, a task for two blocks. So a large group of copies, or of texts that have up to ``threshold`` of
+       their words from one template, costs a few rows for each text, and a part of n texts a row for each and each
+       block; no pair leaves a task but those that connect its texts.
+
+    No link between texts of a group is lost. The pairs of a class are as many as its texts less one, or a few more where blocks meet; a and
+    b are ``text_id`` values. Null texts are empty; all empty texts are equal, and a text without words is linked to no
     other. Rows with a null id are left out; repeated rows return once. An id with several texts stands
     for all of them. An empty table gives an empty result. Other columns are ignored.
     """
@@ -338,17 +421,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         star = materialize(_links(star.withColumns({"key": _key("group", "block"), "known": none.cast("long")}), words, threshold), "star")
         settled = star.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("settled", F.lit(1))
         marked = large.join(settled, "id", "left").withColumn("settled", F.coalesce("settled", F.lit(0)))
+        marked = materialize(marked.join(marked.filter("settled = 0").select("group").distinct(), "group", "left_semi"), "marked")
+        part = _parts(marked, words, threshold)
+        marked = marked.join(part, "id").withColumn("group", F.col("part"))
         amount = marked.groupBy("group", "settled").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes"))
         cut = F.ceil(F.greatest(F.col("n") / block_texts, F.col("bytes") / block_bytes)).cast("int")
         amount = amount.groupBy("group").agg(*(F.coalesce(F.max(F.when(F.col("settled") == s, cut)), F.lit(0)).alias(name) for s, name in ((1, "ns"), (0, "nu"))))
         mine = F.when(F.col("settled") == 1, F.pmod(F.xxhash64("id"), F.col("ns"))).otherwise(F.col("ns") + F.pmod(F.xxhash64("id"), F.col("nu"))).cast("int")
-        marked = marked.join(amount, "group").filter("nu > 0").withColumn("block", mine)
+        marked = marked.join(amount, "group").withColumn("block", mine)
         other = F.explode(F.sequence(F.when(F.col("settled") == 1, F.col("ns")).otherwise(F.lit(0)), F.col("ns") + F.col("nu") - 1))
         met = marked.withColumn("other", other)
         key = _key("group", F.least("block", "other"), F.greatest("block", "other"))
         side = F.when(F.col("block") != F.col("other"), (F.col("block") > F.col("other")).cast("int"))
         rest = met.select(key.alias("key"), side.alias("side"), F.when(F.col("settled") == 1, F.col("pivot")).alias("known"), "id", "text")
         found = found.unionByName(star).unionByName(_links(rest, words, threshold))
+    found = materialize(found, "links")
     labels = connected_components(found)
     out = members.join(labels.select(F.col("id").alias("text_id"), "label"), "text_id", "left")
-    return out.select(F.col("id").alias(id_col), "text_id", F.coalesce("label", "text_id").alias("class_id"))
+    return out.select(F.col("id").alias(id_col), "text_id", F.coalesce("label", "text_id").alias("class_id")), found

@@ -13,7 +13,7 @@ import corpus_pipeline
 from tagweave.llm import chat, common, fingerprints, media, mixing, packing, repeats, toxicity, url_filter
 from tagweave.llm import queries as llm_queries
 from tagweave.llm.components import connected_components
-from tagweave.llm.near_dup import near_duplicates
+from tagweave.llm.near_dup import _parts, near_copies, near_duplicates
 from tagweave.llm.substring_dedup import dedup_words
 from tagweave.llm.suffix import suffix_arrays
 from tagweave.llm.suffix_dedup import dedup_bytes
@@ -181,6 +181,74 @@ def test_near_duplicates_of_a_large_linked_family(spark):
     assert len(got) == len(texts) and {x["doc_id"]: x["class_id"] for x in got} == label
 
 
+def root(up: dict, x: int) -> int:
+    while up[x] != x:
+        x = up[x]
+    return x
+
+
+def test_near_copies_return_verified_pairs(spark):
+    """The pairs connect exactly the classes, and their similarity is that of the texts; settled texts count as known."""
+    r = random.Random(10)
+    base = [f"w{k}" for k in range(150)]
+    texts = {}
+    for i in range(160):
+        w = list(base) if i % 4 else [f"t{i // 40}_{k}" for k in range(60)]
+        for _ in range(r.choice([0, 1, 2, 4, 7])):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        texts[i] = w
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    for size in (1024, 30):
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+        classes, links = near_copies(df, block_texts=size)
+        label = {x["doc_id"]: x["class_id"] for x in classes.collect()}
+        up = {i: i for i in texts}
+        for x in links.collect():
+            a, b = sets[x["a"]], sets[x["b"]]
+            assert x["a"] != x["b"] and abs(len(a & b) / len(a | b) - x["similarity"]) < 1e-9 and x["similarity"] >= 0.8 - 1e-9
+            a, b = root(up, x["a"]), root(up, x["b"])
+            up[max(a, b)] = min(a, b)
+        for i in texts:
+            assert label[i] == root(up, i) or texts[i] == texts[label[i]]
+        for x in near_duplicates(df, block_texts=size).collect():
+            if x["near_id"] is None:
+                assert x["similarity"] is None and sum(label[i] == x["class_id"] and texts[i] != texts[x["doc_id"]] for i in texts) == 0
+            else:
+                assert label[x["near_id"]] == x["class_id"] and x["near_id"] != x["text_id"] and x["similarity"] >= 0.8 - 1e-9
+
+
+def test_parts_of_a_family_grow_with_its_texts(spark):
+    """Texts with half of their words from one template are not alike: none reaches the comparison, however many there are."""
+    r = random.Random(11)
+    base = " ".join(f"b{k}" for k in range(60))
+    for n in (300, 1200):
+        rows = [(i, 0, 0, base + " " + " ".join(f"u{r.randrange(10**7)}" for _ in range(60))) for i in range(n)]
+        assert _parts(spark.createDataFrame(rows, "id long, group long, settled int, text string"), 5, 0.8).count() <= n // 50
+
+
+def test_parts_keep_all_links(spark):
+    """Repeated words, any similarity: two linked texts, one of them unsettled, are in one part; groups stay apart."""
+    r = random.Random(12)
+    rows, sets = [], {}
+    for i in range(240):
+        w = [f"{i % 6}v{k % 45}" for k in range(90)]
+        for _ in range(r.randrange(12)):
+            w[r.randrange(90)] = f"x{r.randrange(30)}"
+        sets[i] = collections.Counter(tuple(w[k : k + 5]) for k in range(86))
+        rows.append((i, i % 6 // 3, int(i % 5 == 0), " ".join(w)))
+    part = {x["id"]: x["part"] for x in _parts(spark.createDataFrame(rows, "id long, group long, settled int, text string").repartition(4), 5, 0.8).collect()}
+    linked = 0
+    for i in range(240):
+        for j in range(i):
+            if rows[i][1] == rows[j][1] and not (rows[i][2] and rows[j][2]):
+                keys = sorted(set(sets[i]) | set(sets[j]))
+                x, y = (np.array([c[k] for k in keys]) / 86 for c in (sets[i], sets[j]))
+                if sum(1 / np.maximum(x / x[d], y / y[d]).sum() for d in np.flatnonzero((x > 0) & (y > 0))) >= 0.8:
+                    linked += 1
+                    assert part[i] == part[j]
+    assert linked > 100 and len({p for p in part.values()}) > 1
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)]
