@@ -337,7 +337,7 @@ def _parts(texts: DataFrame, words: int, threshold: float) -> DataFrame:
     corpus), rare ones first: what a family of texts has in common stands behind the prefixes, if less than t of each is common.
     """
     spark = texts.sparkSession
-    counted = texts.select("text").mapInArrow(_count_cells(words), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counted = texts.select("text").mapInArrow(_count_cells(words), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     order = np.zeros(CELLS, np.int64)
     order[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
     common = spark.sparkContext.broadcast(order)

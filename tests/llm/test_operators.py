@@ -201,7 +201,8 @@ def test_near_copies_return_verified_pairs(spark):
     for size in (1024, 30):
         df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
         classes, links = near_copies(df, block_texts=size)
-        label = {x["doc_id"]: x["class_id"] for x in classes.collect()}
+        rows = classes.collect()
+        label, text_id = ({x["doc_id"]: x[c] for x in rows} for c in ("class_id", "text_id"))
         up = {i: i for i in texts}
         for x in links.collect():
             a, b = sets[x["a"]], sets[x["b"]]
@@ -209,7 +210,7 @@ def test_near_copies_return_verified_pairs(spark):
             a, b = root(up, x["a"]), root(up, x["b"])
             up[max(a, b)] = min(a, b)
         for i in texts:
-            assert label[i] == root(up, i) or texts[i] == texts[label[i]]
+            assert label[i] == root(up, text_id[i]) and texts[text_id[i]] == texts[i]
         for x in near_duplicates(df, block_texts=size).collect():
             if x["near_id"] is None:
                 assert x["similarity"] is None and sum(label[i] == x["class_id"] and texts[i] != texts[x["doc_id"]] for i in texts) == 0
