@@ -1,6 +1,6 @@
 """Decision logs, publishing and imports as Structured Streaming queries.
 
-State tables are snapshots in buckets of their keys: a micro-batch rewrites the buckets that its keys
+State tables are snapshots in buckets of their keys, as many as the table's size asks for: a micro-batch rewrites the buckets that its keys
 fall into, in new folders, and then publishes a version that names each bucket's folder. A restart
 opens what is there and goes on from the checkpoint; a batch that runs again changes nothing.
 Order is event time (ts, seq), not arrival.
@@ -22,16 +22,20 @@ from tagweave.sources.ingest import insert_new
 
 
 class Snapshot:
-    """A table in ``buckets`` by a hash of ``keys``; readers see complete versions only.
+    """A table in buckets by a hash of ``keys``; readers see complete versions only.
 
-    A version is a file that names the folder of each bucket. It is written under another name and then
+    A version is a file that names the folder of each bucket, with its bytes. It is written under another name and then
     renamed, and never changed. One stream writes a snapshot. The last ``keep`` versions stay readable;
     folders that none of them names are removed.
+
+    A table begins with ``buckets``. When they hold more than ``bucket_bytes`` each, on average, the next batch writes
+    the table into twice as many (or as many times that as it takes). So a table is written anew once for each time that it doubles, and
+    otherwise a batch rewrites about ``bucket_bytes`` for each bucket that its keys fall into, however large the table is.
     """
 
-    def __init__(self, spark: SparkSession, path: str, empty: DataFrame, keys: list[str], buckets: int = 16, keep: int = 3):
-        self.spark, self.path, self.schema, self.keys, self.buckets, self.keep = spark, path.rstrip("/"), empty.schema, keys, buckets, keep
-        self._known: dict[str, dict[str, str]] = {}  # versions never change
+    def __init__(self, spark: SparkSession, path: str, empty: DataFrame, keys: list[str], buckets: int = 16, keep: int = 3, bucket_bytes: int = 128 << 20):
+        self.spark, self.path, self.schema, self.keys, self.buckets, self.keep, self.bucket_bytes = spark, path.rstrip("/"), empty.schema, keys, buckets, keep, bucket_bytes
+        self._known: dict[str, dict] = {}  # versions never change
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -41,45 +45,67 @@ class Snapshot:
             return []
         return sorted(n for n in (f.getPath().getName() for f in self.fs.listStatus(at)) if n.endswith(".json"))
 
+    def version(self, name: str | None = None) -> dict:
+        """How many ``buckets`` a version has, and the ``folders`` and ``bytes`` of those with rows."""
+        name = name or next(reversed(self.versions()), None)
+        if name and name not in self._known:
+            self._known[name] = json.loads(self.spark.read.text(f"{self.path}/versions/{name}", wholetext=True).first()[0])
+        return self._known[name] if name else {"buckets": self.buckets, "folders": {}, "bytes": {}}
+
     def folders(self, version: str | None = None) -> dict[str, str]:
         """The folder of each bucket; none before the first write."""
-        version = version or next(reversed(self.versions()), None)
-        if version and version not in self._known:
-            self._known[version] = json.loads(self.spark.read.text(f"{self.path}/versions/{version}", wholetext=True).first()[0])
-        return self._known[version] if version else {}
+        return self.version(version)["folders"]
 
     def read(self, only: set[str] | None = None) -> DataFrame:
         paths = [f for b, f in self.folders().items() if only is None or b in only]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
-    def bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+    def bucketed(self, df: DataFrame, buckets: int) -> DataFrame:
+        return df.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(buckets)).cast("int"))
 
     def replace(self, df: DataFrame) -> None:
-        self._publish({}, self._write(df))
+        now = self.version()
+        self._publish(self._write(df, self._wanted(now)))
 
     def merge(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """``combine(old, batch)`` makes the new rows of the buckets that the batch's keys fall into."""
-        touched = {str(r[0]) for r in self.bucketed(batch).select("_bucket").distinct().collect()}
-        if touched:
-            self._publish({b: f for b, f in self.folders().items() if b not in touched}, self._write(combine(self.read(touched), batch)))
-
-    def _write(self, df: DataFrame) -> dict[str, str]:
+        now = self.version()
+        buckets = self._wanted(now)
+        touched = {str(r[0]) for r in self.bucketed(batch, buckets).select("_bucket").distinct().collect()}
+        if not touched:
+            return
+        if buckets != now["buckets"]:
+            self._publish(self._write(combine(self.read(), batch), buckets))
+            return
+        new = self._write(combine(self.read(touched), batch), buckets)
+        for part in ("folders", "bytes"):
+            new[part] = {b: x for b, x in now[part].items() if b not in touched} | new[part]
+        self._publish(new)
+
+    def _wanted(self, version: dict) -> int:
+        buckets, total = version["buckets"], sum(version["bytes"].values())
+        while total > buckets * self.bucket_bytes:
+            buckets *= 2
+        return buckets
+
+    def _write(self, df: DataFrame, buckets: int) -> dict:
         at = f"{self.path}/data/{uuid.uuid4().hex}"
-        self.bucketed(df.select([f.name for f in self.schema])).write.partitionBy("_bucket").parquet(at)
+        self.bucketed(df.select([f.name for f in self.schema]), buckets).write.partitionBy("_bucket").parquet(at)
         names = [f.getPath().getName() for f in self.fs.listStatus(self._path(at)) if f.isDirectory()]
-        return {n.partition("=")[2]: f"{at}/{n}" for n in names if n.startswith("_bucket=")}
+        folders = {n.partition("=")[2]: f"{at}/{n}" for n in names if n.startswith("_bucket=")}
+        return {"buckets": buckets, "folders": folders, "bytes": {b: self.fs.getContentSummary(self._path(f)).getLength() for b, f in folders.items()}}
 
-    def _publish(self, kept: dict[str, str], new: dict[str, str]) -> None:
+    def _publish(self, new: dict) -> None:
         had = self.versions()
         name = f"{int(had[-1][:12]) + 1 if had else 0:012d}.json"
         draft = self._path(f"{self.path}/versions/{name}.{uuid.uuid4().hex}")
         out = self.fs.create(draft, False)
-        out.write(bytearray(json.dumps(kept | new).encode()))
+        out.write(bytearray(json.dumps(new).encode()))
         out.close()
-        if not self.fs.rename(draft, self._path(f"{self.path}/versions/{name}")):
+        at = self._path(f"{self.path}/versions/{name}")
+        if self.fs.exists(at) or not self.fs.rename(draft, at):  # a local disk would rename over it
             raise RuntimeError(f"version {name} of {self.path} is there already")
-        self._known[name] = kept | new
+        self._known[name] = new
         for old in had[: -self.keep + 1 or None] if self.keep > 1 else had:
             self.fs.delete(self._path(f"{self.path}/versions/{old}"), False)
         used = {f.rsplit("/", 2)[-2] for v in self.versions() for f in self.folders(v).values()}

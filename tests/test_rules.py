@@ -347,6 +347,35 @@ def test_snapshot_survives_a_restart(spark, tmp_path):
     assert len(target.versions()) == 3 and len(list((tmp_path / "table/data").iterdir())) == 3 and target.read().first()["user_id"] == 4
 
 
+def test_snapshot_gets_more_buckets_as_it_grows(spark, tmp_path):
+    schema = "user_id long, item_id string, ts long, seq long, action string"
+    empty = spark.createDataFrame([], schema)
+    opened = lambda: X.Snapshot(spark, f"file://{tmp_path}/table", empty, ["user_id", "item_id"], buckets=2, keep=2, bucket_bytes=6000)
+    add = lambda rows: opened().merge(spark.createDataFrame(rows, schema).coalesce(1), lambda old, new: X.latest_decisions(old.unionByName(new)))
+    latest = lambda: {(r["user_id"], r["item_id"]): r["action"] for r in opened().read().collect()}
+    want, seen = {}, []
+    for b in range(4):
+        rows = [(u, f"item {u * 7919 % 1000}", b, b, ("pass", "interested")[(u + b) % 2]) for u in range(300 * b, 300 * b + 600)]
+        want |= {(u, i): a for u, i, _, _, a in rows}
+        before = opened().read()
+        n = before.count()
+        add(rows)
+        seen.append(opened().version()["buckets"])
+        assert latest() == want and before.count() == n  # the version before stays readable
+    assert seen == sorted(seen) and seen[0] == 2 and seen[-1] > 2
+    now = opened().version()
+    assert set(now["bytes"]) == set(now["folders"]) and all(int(b) < now["buckets"] for b in now["folders"])
+    table = opened()
+    table.merge(empty, lambda old, new: old)
+    assert table.version() == now  # an empty batch writes nothing
+    size = table._wanted(now)
+    add([(10**6, "x", 9, 9, "pass")])
+    if size == now["buckets"]:
+        assert sum(opened().folders().get(b) != f for b, f in now["folders"].items()) <= 1
+    opened().replace(empty)
+    assert opened().read().count() == 0 and opened().folders() == {}
+
+
 def test_undo_over_several_batches(spark, tmp_path):
     rows = [(u, t, t, f"i{t}", "undo" if (u * t) % 3 == 2 else "pass") for u in range(5) for t in range(40)]
     log = spark.createDataFrame(rows, "user_id long, ts long, seq long, item_id string, action string")
