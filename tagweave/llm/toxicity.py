@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm import rolling as R
-from tagweave.llm.common import text_of
+from tagweave.llm.common import materialize, partitions, text_of
 
 PIECE = 1 << 19
 #: What a term weighs besides its part in telling the labels apart.
@@ -24,6 +24,8 @@ CHANCE = 3.0
 FREQUENT = 0.04
 #: Texts whose frequent terms are multiplied by those columns at once.
 TEXTS = 128
+#: Folds of examples that the calibration is made across.
+FOLDS = 4
 #: Blocks of examples visited at once: most promising ones first.
 STEPS = (8, 24)
 
@@ -232,15 +234,45 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def _index(
+    term: np.ndarray, count: np.ndarray, example: np.ndarray, ids: np.ndarray, label: np.ndarray, digest: np.ndarray,
+    vocabulary: np.ndarray, idf: np.ndarray, block: int, k: int,
+) -> Index:
+    """The index of some examples: what terms weigh comes from the labels of these examples alone."""
+    n, size = len(ids), len(vocabulary)
+    pos, present = label.sum(), np.bincount(term, minlength=size).astype(np.float64)
+    both = np.bincount(term, label[example], size)
+    spread = np.sqrt(np.maximum(pos * (n - pos) * present * (n - present), 1e-9))
+    correlation = np.abs(n * both - pos * present) / spread
+    factor = idf * (FLOOR + np.maximum(0, correlation - CHANCE / np.sqrt(max(n, 1))))
+    index = Index(vocabulary, factor, ids, label, digest, block, k, float((pos + 0.5) / (n + 1)) if n else 0.0)
+    if not len(term):
+        index.build(example, term, np.zeros(0))
+        return index
+    weight = index.weigh(example, term, count.astype(np.float64), n)
+    # Examples with the same leading term, then with the same commonest word, stand side by side, so that blocks differ.
+    leading, commonest = (np.full(n, -1) for _ in range(2))
+    for into, by in ((leading, np.lexsort((weight, example))), (commonest, np.lexsort((present[term], example)))):
+        into[example[by]] = term[by]
+    telling = np.where(leading >= 0, factor[np.maximum(leading, 0)] > 2 * FLOOR * idf[np.maximum(leading, 0)], False)
+    order = np.lexsort((ids, commonest, np.where(telling, leading, -1)))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    index.ids, index.labels, index.digest = ids[order], label[order], digest[order]
+    index.build(rank[example], term, weight)
+    return index
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 8192, k: int = 16, block: int = 64, seed: int = 5) -> Index:
     """The index of the examples, and the calibration of its votes.
 
     At most ``max_examples`` labelled rows (by a hash of the id, so it is a random sample) become
-    examples; with fewer, all. Terms are all words of the examples. A term's weight is its count's logarithm, times IDF
-    from the document frequencies of all documents, times ``FLOOR`` + how far its correlation with
+    examples; with fewer, all. They are written once. Terms are all words of the examples. A term's weight is its count's
+    logarithm, times IDF from the document frequencies of all documents, times ``FLOOR`` + how far its correlation with
     the label in the examples exceeds chance, so that words that tell nothing still find neighbours
-    but do not outvote those that do. The votes are calibrated on the examples themselves, each
-    without those of its own text.
+    but do not outvote those that do. The votes are calibrated across ``FOLDS`` folds by text: the examples of
+    a fold are voted on by an index of the others, whose terms weigh by the labels of those others, so no label
+    has a part in the vote that it calibrates.
 
     Null ids and labels are left out; an id with several labels is toxic if one says so; an example whose id
     stands in several rows counts once for each. Null texts are empty, and empty examples have no terms. Without
@@ -251,20 +283,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_examples).collect()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     small = F.broadcast(spark.createDataFrame(chosen or [], "id long, label long"))
-    examples = texts.join(small, "id").select("label", "text", "id")
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).alias("fold")
+    examples = materialize(texts.join(small, "id").select("label", "text", "id", fold).repartition(partitions(spark), "id"), "examples")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, term, count = term_counts(batch.column(1))
             cut = np.searchsorted(doc, np.arange(len(batch) + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (term.view(np.int64), count.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(digests(batch.column(1)).view(np.int64)), *lists], ["id", "label", "digest", "terms", "counts"])
+            columns = [batch.column(2), batch.column(0), batch.column(3), pa.array(digests(batch.column(1)).view(np.int64)), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "fold", "digest", "terms", "counts"])
 
-    rows = examples.mapInArrow(vectors, "id long, label long, digest long, terms array<long>, counts array<long>").toArrow().combine_chunks()
+    rows = examples.mapInArrow(vectors, "id long, label long, fold long, digest long, terms array<long>, counts array<long>").toArrow().combine_chunks()
     rows = rows.sort_by([("id", "ascending"), ("digest", "ascending")])
     n = len(rows)
-    ids, label, digest = (rows.column(c).to_numpy() for c in ("id", "label", "digest"))
-    label = label.astype(np.float64)
+    ids, label, folds, digest = (rows.column(c).to_numpy() for c in ("id", "label", "fold", "digest"))
+    label, digest = label.astype(np.float64), digest.astype(np.int64).view(np.uint64)
     sizes = np.array(pc.list_value_length(rows.column("terms"))).astype(np.int64) if n else np.zeros(0, np.int64)
     term, count = (np.array(pc.list_flatten(rows.column(c))) if n else np.zeros(0, np.int64) for c in ("terms", "counts"))
     del rows
@@ -288,39 +322,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         docs_with[counted.column("term").to_numpy()] = counted.column("docs").to_numpy()
         words.destroy()
     idf = np.log(1 + (1 + docs_with[size]) / (1 + docs_with[:size]))
-    pos, present = label.sum(), np.bincount(term, minlength=size).astype(np.float64)
-    both = np.bincount(term, label[example], size)
-    spread = np.sqrt(np.maximum(pos * (n - pos) * present * (n - present), 1e-9))
-    correlation = np.abs(n * both - pos * present) / spread
-    factor = idf * (FLOOR + np.maximum(0, correlation - CHANCE / np.sqrt(max(n, 1))))
-    index = Index(vocabulary, factor, ids, label, digest.astype(np.int64).view(np.uint64), block, k, float((pos + 0.5) / (n + 1)) if n else 0.0)
-    if not size:
-        index.build(example, term, np.zeros(0))
+    index = _index(term, count, example, ids, label, digest, vocabulary, idf, block, k)
+    if not size or not 0 < label.sum() < n:
         return index
-    weight = index.weigh(example, term, count.astype(np.float64), n)
-    # Examples with the same leading term, then with the same commonest word, stand side by side, so that blocks differ.
-    leading, commonest = (np.full(n, -1) for _ in range(2))
-    for into, by in ((leading, np.lexsort((weight, example))), (commonest, np.lexsort((present[term], example)))):
-        into[example[by]] = term[by]
-    telling = np.where(leading >= 0, factor[np.maximum(leading, 0)] > 2 * FLOOR * idf[np.maximum(leading, 0)], False)
-    order = np.lexsort((ids, commonest, np.where(telling, leading, -1)))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    index.ids, index.labels, index.digest = ids[order], label[order], index.digest[order]
-    index.build(rank[example], term, weight)
-    del example, term, count, weight, idf, present, both, spread, correlation
-    R.trim()
-    if 0 < pos < n:
-        shared = spark.sparkContext.broadcast(index)
-
-        def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    votes, truth = [], []
+    for f in range(FOLDS):
+        rest = folds != f
+        use, place = rest[example], np.cumsum(rest) - 1
+        others = _index(term[use], count[use], place[example[use]], ids[rest], label[rest], digest[rest], vocabulary, idf, block, k)
+        shared = spark.sparkContext.broadcast(others)
+
+        def left_out(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array(shared.value.votes(batch.column(1))[0]), batch.column(0)], ["vote", "label"])
             R.trim()
 
-        found = examples.mapInArrow(left_out, "vote double, label long").toArrow()
-        index.calibrate(found.column("vote").to_numpy(), found.column("label").to_numpy().astype(np.float64))
+        found = examples.filter(F.col("fold") == f).select("label", "text").mapInArrow(left_out, "vote double, label long").toArrow()
+        votes.append(found.column("vote").to_numpy()), truth.append(found.column("label").to_numpy())
         shared.destroy()
+    index.calibrate(np.concatenate(votes), np.concatenate(truth).astype(np.float64))
     return index
 
 
