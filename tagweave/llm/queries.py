@@ -16,44 +16,52 @@ from tagweave.llm.substring_dedup import dedup_words
 from tagweave.llm.suffix_dedup import dedup_bytes
 
 
-def successors(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, next_id): each document's next in ascending doc_id, after the last the first.
+def rows_with_places(docs: DataFrame) -> DataFrame:
+    """The rows of a stored table that have a doc_id, with ``at``: a hash of their file and their place in it, which are a row's own."""
+    at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return docs.filter("doc_id is not null").select("doc_id", at.alias("at"), text_of("text").alias("text"))
 
-    Ids alone are range-partitioned; inside a partition ``lead`` finds the next one, and only the
-    first and last id of each partition meet in one task.
+
+def successors(rows: DataFrame) -> DataFrame:
+    """(doc_id, at, n_chars, next_at): each row's next in ascending doc_id and place, after the last the first.
+
+    Ids and places alone are range-partitioned; inside a partition ``lead`` finds the next one, and only the
+    first and last row of each partition meet in one task.
     """
-    spark = docs.sparkSession
-    ids = docs.filter("doc_id is not null").select("doc_id", F.length(text_of("text")).cast("long").alias("n_chars"))
-    ids = ids.repartitionByRange(partitions(spark), "doc_id").withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part").orderBy("doc_id")
-    ids = materialize(ids.withColumn("next_id", F.lead("doc_id").over(inside)).withColumn("opens", F.lag("doc_id").over(inside).isNull()), "successors")
-    edges = ids.filter("opens or next_id is null")
-    over = Window.orderBy("doc_id")
-    first = F.min("doc_id").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = edges.withColumn("next_id", F.coalesce("next_id", F.lead("doc_id").over(over), first))
-    return ids.filter("not opens and next_id is not null").unionByName(last).select("doc_id", "n_chars", "next_id")
+    spark, by = rows.sparkSession, ("doc_id", "at")
+    ids = rows.select(*by, F.length("text").cast("long").alias("n_chars"))
+    ids = ids.repartitionByRange(partitions(spark), *by).withColumn("part", F.spark_partition_id())
+    inside = Window.partitionBy("part").orderBy(*by)
+    ids = materialize(ids.withColumn("next_at", F.lead("at").over(inside)).withColumn("opens", F.lag("at").over(inside).isNull()), "successors")
+    edges = ids.filter("opens or next_at is null")
+    over = Window.orderBy(*by)
+    first = F.first("at").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    last = edges.withColumn("next_at", F.coalesce("next_at", F.lead("at").over(over), first))
+    return ids.filter("not opens and next_at is not null").unionByName(last).select(*by, "n_chars", "next_at")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text against its edited form and the next document. doc_id is a key of the table; rows without one are left out.
+    """Each text against its edited form and the next document.
 
-    Texts are shuffled once by doc_id; of each, the beginning goes to the document before it. A row with both
+    Each row of the table with a doc_id is a document, also where an id stands in several rows (they follow
+    each other by file and place); rows without a doc_id are left out. The only document is its own next one; an empty table gives an
+    empty result. Texts are shuffled once by row; of each, the beginning goes to the document before it. A row with both
     sets of samples is written, and only samples meet the next document's.
     """
-    docs = read(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text"))
-    after = materialize(successors(read(spark, sf_dir, "documents")), "next")
-    before = after.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), F.floor(F.col("n_chars") / 2).alias("wanted"))
-    heads = docs.join(before, "doc_id").select(F.col("prev_id").alias("doc_id"), F.col("doc_id").alias("next_id"), F.expr("substring(text, 1, cast(wanted as int))").alias("head"))
-    both = docs.join(heads, "doc_id")
+    docs = rows_with_places(read(spark, sf_dir, "documents"))
+    after = materialize(successors(docs), "next")
+    before = after.select(F.col("next_at").alias("at"), F.col("at").alias("prev_at"), F.floor(F.col("n_chars") / 2).alias("wanted"))
+    heads = docs.join(before, "at").select(F.col("prev_at").alias("at"), F.col("at").alias("next_at"), F.expr("substring(text, 1, cast(wanted as int))").alias("head"))
+    both = docs.join(heads, "at")
     edited = F.concat(F.expr("substring(text, 1, cast(length(text) - floor(length(text) / 2) as int))"), F.col("head"))
     of = F.array(F.struct(F.lit(0).alias("part"), F.col("text")), F.struct(F.lit(1).alias("part"), edited.alias("text")))
-    texts = both.select("doc_id", "next_id", F.explode(of).alias("t")).select("doc_id", "next_id", "t.part", "t.text")
+    texts = both.select("doc_id", "at", "next_at", F.explode(of).alias("t")).select("doc_id", "at", "next_at", "t.part", "t.text")
     n, digest = F.when(F.col("part") == 0, F.length("text").cast("long")), F.when(F.col("part") == 1, F.unhex(F.sha2("text", 256)))
-    found = fingerprints.fingerprints(texts.withColumns({"n_chars": n, "digest": digest}), ["doc_id", "next_id", "part", "n_chars", "digest"])
+    found = fingerprints.fingerprints(texts.withColumns({"n_chars": n, "digest": digest}), ["doc_id", "at", "next_at", "part", "n_chars", "digest"])
     side = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
-    one = found.groupBy("doc_id", "next_id").agg(side(0, "n_chars").alias("n_chars"), side(1, "digest").alias("digest"), side(0, "samples").alias("samples"), side(1, "samples").alias("edited"))
+    one = found.groupBy("doc_id", "at", "next_at").agg(side(0, "n_chars").alias("n_chars"), side(1, "digest").alias("digest"), side(0, "samples").alias("samples"), side(1, "samples").alias("edited"))
     one = materialize(one, "fingerprints")
-    out = one.join(one.select(F.col("doc_id").alias("next_id"), F.col("samples").alias("next_samples")), "next_id")
+    out = one.join(one.select(F.col("at").alias("next_at"), F.col("samples").alias("next_samples")), "next_at")
     return out.select(
         "doc_id", "n_chars", F.lower(F.hex("digest")).alias("edited_sha256"), fingerprints.named(F.col("samples")).alias("fingerprint"), fingerprints.named(F.col("edited")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("samples"), F.col("edited")).alias("near_edited"), fingerprints.likeness(F.col("samples"), F.col("next_samples")).alias("near_next"),

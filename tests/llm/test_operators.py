@@ -301,6 +301,24 @@ def test_fingerprint_query_against_exact_similarity(spark, rows, tmp_path):
     assert len(got) == len(ids) and np.sqrt(np.mean(np.square(error))) < 0.09
 
 
+def test_fingerprint_query_on_repeated_rows_and_small_tables(spark, tmp_path):
+    """Each row with an id is a document; the only one is its own next; extra columns with clashing names are ignored."""
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "y"), (2, "a b x y", "x"), (2, None, "x"), (3, "a b c d", "x"), (None, "a b", "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, at string")
+    for name, part in (("many", table), ("one", table.filter("doc_id = 3")), ("none", table.limit(0))):
+        part.coalesce(1).write.parquet(str(tmp_path / name / "documents.parquet"))
+    run = lambda name: llm_queries.op1_fingerprints(spark, str(tmp_path / name)).collect()
+    many = run("many")
+    assert sorted(r["doc_id"] for r in many) == [1, 1, 2, 2, 3]
+    edited = lambda t, after: hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()
+    texts = [t or "" for d, t, _ in rows if d]
+    want = sorted((d, len(t), edited(t, after)) for (d, _, _), t, after in zip(rows, texts, texts[1:] + texts[:1]))
+    assert sorted((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in many) == want
+    assert len({r["fingerprint"] for r in many if r["n_chars"] == 7 and r["doc_id"] != 2}) == 1
+    assert sorted(r["near_next"] for r in many if r["doc_id"] in (1, 3))[-2:] == [1.0, 1.0]
+    assert [(r["doc_id"], r["near_next"]) for r in run("one")] == [(3, 1.0)] and run("none") == []
+
+
 def test_packing(spark, docs):
     lengths = np.array([1, 2, 3, 10, 11, 12, 50])
     counts = np.array([5, 1, 1, 4, 1, 1, 2])
