@@ -303,7 +303,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     term, count = (np.array(pc.list_flatten(rows.column(c))) if n else np.zeros(0, np.int64) for c in ("terms", "counts"))
     del rows
     vocabulary, term = np.unique(term.astype(np.int64).view(np.uint64), return_inverse=True)
-    example, size = np.repeat(np.arange(n), sizes), len(vocabulary)
+    example, size = np.repeat(np.arange(n, dtype=np.int32), sizes), len(vocabulary)
+    term, count = term.astype(np.int32), count.astype(np.int32)
+    R.trim()
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size + 1, np.int64)
@@ -331,6 +333,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         use, place = rest[example], np.cumsum(rest) - 1
         others = _index(term[use], count[use], place[example[use]], ids[rest], label[rest], digest[rest], vocabulary, idf, block, k)
         shared = spark.sparkContext.broadcast(others)
+        del others, use, place
+        R.trim()
 
         def left_out(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -340,6 +344,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         found = examples.filter(F.col("fold") == f).select("label", "text").mapInArrow(left_out, "vote double, label long").toArrow()
         votes.append(found.column("vote").to_numpy()), truth.append(found.column("label").to_numpy())
         shared.destroy()
+        del shared, left_out, found
     index.calibrate(np.concatenate(votes), np.concatenate(truth).astype(np.float64))
     return index
 
