@@ -392,3 +392,34 @@ def test_undo_over_several_batches(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out")
     last = out.groupBy("user_id").agg(F.max_by(F.struct("depth", "item_id", "action"), "batch").alias("x")).select("user_id", "x.*")
     assert out.select("batch").distinct().count() == 4 and sorted(map(tuple, last.collect())) == sorted(map(tuple, X.undo_twin(log).collect()))
+
+
+def test_runs_of_decisions(spark):
+    """A run of decided positions gives what a row for each of its items gives, and is never made into these rows."""
+    items = spark.range(9000).selectExpr("concat('event:', id) item_id", "'event' item_type", "'T' title", "'A' campus", "timestamp'2026-02-01' + make_interval(0, 0, 0, id % 40) starts_at", "1 is_active", "id % 7 = 0 is_demo", "timestamp'2026-01-01' created_at")
+    now = F.lit("2026-01-01").cast("timestamp")
+    positions = P.catalog_positions(P.live_items(items, now), now).cache()
+    users = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A"), (4, "A")], "user_id long, campus string")
+    runs = spark.createDataFrame([(1, 3, 7714), (2, 3, 5000), (2, 4000, 6000), (2, 6002, 7000), (3, 1, 7714)], "user_id long, low long, high long")
+    some = spark.createDataFrame([(2, "event:1"), (3, "event:7"), (4, "event:5000")], "user_id long, item_id string")
+    each = runs.join(positions.filter("kind = 'all'"), F.col("pos").between(F.col("low"), F.col("high"))).select("user_id", "item_id").union(some).distinct()
+    sort = lambda df: sorted(tuple(r) for r in df.collect())
+    picks = spark.createDataFrame([(2, "event:8", 1), (2, "event:45", 2), (4, "event:90", 1)], "user_id long, item_id string, rank long")
+    for size in (3, None):
+        got = sort(P.deck(positions, users, some, picks, size, runs))
+        assert got == sort(P.deck(positions, users, each, picks, size)) and {r[0] for r in got} == {1, 2, 4}
+    assert sort(P.preview_fan(items, positions, some, users, now, runs=runs)) == sort(P.preview_fan(items, positions, each, users, now))
+
+
+def test_whole_decks_are_not_shuffled(spark):
+    """What a whole deck shuffles is a row for each gap and block of positions, not for each result."""
+    positions = spark.range(1, 10001).selectExpr("'A' campus", "'all' kind", "concat('event:', id) item_id", "id pos")
+    users = spark.range(40).selectExpr("id user_id", "'A' campus", "'all' kind", "10000L n", "0L head")
+    taken = spark.range(40).selectExpr("id user_id", "explode(array(1, 4096, 4097, 9999)) low").selectExpr("user_id", "low", "low high")
+    gaps = P.free_gaps(users, taken)
+    assert gaps.count() == 40 * 3
+    got = P.free_items(gaps, positions).cache()
+    assert got.count() == 40 * 9996 and got.selectExpr("max(place)", "min(place)").first()[:] == (9996, 1)
+    assert got.filter("user_id = 7 and item_id = 'event:4098'").first()["place"] == 4095
+    plan = P.free_items(gaps, positions)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode" in plan.split("Join")[0]
