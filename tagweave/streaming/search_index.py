@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tagweave.operators import recommend as R
 
 DOC = "item_id string, campus string, item_type string, is_active int, starts_at timestamp, length int, deleted boolean, v long"
-TERM = "item_id string, campus string, item_type string, is_active int, starts_at timestamp, length int, term string, tf int, v long"
+TERM = "item_id string, campus string, item_type string, is_active int, starts_at timestamp, length int, counts array<struct<term:string,tf:int>>, v long"
 
 
 class SearchIndex:
@@ -59,8 +59,8 @@ class SearchIndex:
     def lists(self, shard_items: int = R.SHARD_ITEMS) -> DataFrame:
         """What ``recommend.build_index`` makes of the items as they are now."""
         docs = self.docs()
-        sizes, total = docs.groupBy("campus").agg(F.count("*").alias("n")), docs.agg(F.count("*").alias("n_items"), F.avg("length").alias("avg_length"))
-        return R.with_figures(R.posting_lists(self.terms().drop("v"), sizes, shard_items), total)
+        items = self.terms().drop("v")
+        return R.posting_lists(items, docs.groupBy("campus").agg(F.count("*").alias("n")), shard_items).join(R.figures(items), "term")
 
     def compact(self) -> None:
         """The items as they are now become the only version, numbered as the last one was, plus a half step (versions of a stream are even)."""

@@ -423,3 +423,22 @@ def test_whole_decks_are_not_shuffled(spark):
     assert got.filter("user_id = 7 and item_id = 'event:4098'").first()["place"] == 4095
     plan = P.free_items(gaps, positions)._jdf.queryExecution().executedPlan().toString()
     assert "Generate posexplode" in plan.split("Join")[0]
+
+
+def test_equal_items_are_searched_as_one(spark):
+    """Items of equal content have equal scores: a query looks at the contents, and the names decide among items."""
+    items = catalog_of(spark, 700)
+    profiles = spark.createDataFrame([(1, "A", "chess", ["x"], "")], "user_id long, campus string, major string, interests array<string>, bio string")
+    now, index = F.lit("2026-01-01").cast("timestamp"), R.build_index(items, shard_items=300)
+    assert [r["item_id"] for r in R.recommend(profiles, index, now).orderBy("rank").collect()] == [f"group:{i:04d}" for i in range(2, 700, 3)][:50]
+    queries = R.asked(profiles).withColumn("need", F.lit(50))
+    assert R.best_items(queries, index, now).first()["scored"] <= 9  # three contents in each of three shards
+
+
+def test_terms_are_counted_in_the_row(spark):
+    items = catalog_of(spark, 2, search_text="Chess and GO, chess").unionByName(catalog_of(spark, 1, search_text="").withColumn("item_id", F.lit("none")))
+    rows = R.item_terms(items)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r["item_id"]: [tuple(c) for c in r["counts"]] for r in rows.collect()} == {"none": [], **{f"group:{i:04d}": [("and", 1), ("chess", 2), ("go", 1)] for i in range(2)}}
+    assert {tuple(r) for r in R.figures(rows).collect()} == {(t, 2, 3, 8 / 3) for t in ("and", "chess", "go")}
+    assert R.build_index(items).count() == 3 and R.build_index(items.limit(0)).count() == 0
