@@ -442,3 +442,17 @@ def test_terms_are_counted_in_the_row(spark):
     assert {r["item_id"]: [tuple(c) for c in r["counts"]] for r in rows.collect()} == {"none": [], **{f"group:{i:04d}": [("and", 1), ("chess", 2), ("go", 1)] for i in range(2)}}
     assert {tuple(r) for r in R.figures(rows).collect()} == {(t, 2, 3, 8 / 3) for t in ("and", "chess", "go")}
     assert R.build_index(items).count() == 3 and R.build_index(items.limit(0)).count() == 0
+
+
+def test_stream_files_follow_the_input(spark, tmp_path):
+    """A larger table makes more files in each micro-batch, not larger ones; nothing is lost."""
+    from tagweave.plans import queries as Q
+    from tagweave.sources.adapters import Tables
+
+    t = Tables(spark, str(tmp_path))
+    spark.range(20000).selectExpr("id", "sha2(string(id), 256) text").write.parquet(f"{tmp_path}/x.parquet")
+    df = t.raw("x")
+    assert Q.files_of(t, df, 4) == 1 and Q.files_of(t, df, 4, 1 << 16) >= 4
+    source = Q.as_stream(t, df, "x", file_bytes=1 << 16)
+    source.writeStream.format("memory").queryName("followed").trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("followed").selectExpr("count(distinct id)").first()[0] == 20000
