@@ -17,19 +17,18 @@ from tagweave.llm.suffix_dedup import dedup_bytes
 
 
 def rows_with_places(docs: DataFrame) -> DataFrame:
-    """The rows of a stored table that have a doc_id, with ``at``: a hash of their file and their place in it, which are a row's own."""
-    at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return docs.filter("doc_id is not null").select("doc_id", at.alias("at"), text_of("text").alias("text"))
+    """The rows of a stored table that have a doc_id, with ``file`` and ``row``: a hash of their file and their place in it, which are a row's own."""
+    return docs.filter("doc_id is not null").select("doc_id", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), text_of("text").alias("text"))
 
 
 def successors(rows: DataFrame) -> DataFrame:
-    """(doc_id, at, n_chars, next_at): each row's next in ascending doc_id and place, after the last the first.
+    """(doc_id, file, row, n_chars, next_file, next_row): each row's next in ascending doc_id and place, after the last the first.
 
     Ids and places alone are range-partitioned; inside a partition ``lead`` finds the next one, and only the
     first and last row of each partition meet in one task.
     """
     spark, by = rows.sparkSession, ("doc_id", "at")
-    ids = rows.select(*by, F.length("text").cast("long").alias("n_chars"))
+    ids = rows.select("doc_id", F.struct("file", "row").alias("at"), F.length("text").cast("long").alias("n_chars"))
     ids = ids.repartitionByRange(partitions(spark), *by).withColumn("part", F.spark_partition_id())
     inside = Window.partitionBy("part").orderBy(*by)
     ids = materialize(ids.withColumn("next_at", F.lead("at").over(inside)).withColumn("opens", F.lag("at").over(inside).isNull()), "successors")
@@ -37,7 +36,29 @@ def successors(rows: DataFrame) -> DataFrame:
     over = Window.orderBy(*by)
     first = F.first("at").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     last = edges.withColumn("next_at", F.coalesce("next_at", F.lead("at").over(over), first))
-    return ids.filter("not opens and next_at is not null").unionByName(last).select(*by, "n_chars", "next_at")
+    both = ids.filter("not opens and next_at is not null").unionByName(last)
+    return both.select("doc_id", "at.file", "at.row", "n_chars", F.col("next_at.file").alias("next_file"), F.col("next_at.row").alias("next_row"))
+
+
+def sampled(docs: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, file, row, next_file, next_row, n_chars, digest, samples, edited): the samples of each row's text and edited text.
+
+    Texts are dealt by place, once: both joins read the same shuffle, as they take the same columns of it. Places are plain columns in all
+    keys, so the samples are made and meet where the texts are; beside these only the beginnings of texts move.
+    """
+    place, texts = ["file", "row"], docs.select("file", "row", "text")
+    before = after.select("doc_id", F.col("file").alias("prev_file"), F.col("row").alias("prev_row"), F.floor(F.col("n_chars") / 2).alias("wanted"), F.col("next_file").alias("file"), F.col("next_row").alias("row"))
+    heads = texts.join(before, place).select(
+        "doc_id", F.col("prev_file").alias("file"), F.col("prev_row").alias("row"), F.col("file").alias("next_file"), F.col("row").alias("next_row"), F.expr("substring(text, 1, cast(wanted as int))").alias("head")
+    )
+    edited = F.concat(F.expr("substring(text, 1, cast(length(text) - floor(length(text) / 2) as int))"), F.col("head"))
+    of = F.array(F.struct(F.lit(0).alias("part"), F.col("text")), F.struct(F.lit(1).alias("part"), edited.alias("text")))
+    row = ["doc_id", *place, "next_file", "next_row"]
+    texts = texts.join(heads, place).select(*row, F.explode(of).alias("t")).select(*row, "t.part", "t.text")
+    n, digest = F.when(F.col("part") == 0, F.length("text").cast("long")), F.when(F.col("part") == 1, F.unhex(F.sha2("text", 256)))
+    found = fingerprints.fingerprints(texts.withColumns({"n_chars": n, "digest": digest}), [*row, "part", "n_chars", "digest"])
+    side = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
+    return found.groupBy(*row).agg(side(0, "n_chars").alias("n_chars"), side(1, "digest").alias("digest"), side(0, "samples").alias("samples"), side(1, "samples").alias("edited"))
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,19 +70,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets of samples is written, and only samples meet the next document's.
     """
     docs = rows_with_places(read(spark, sf_dir, "documents"))
-    after = materialize(successors(docs), "next")
-    before = after.select(F.col("next_at").alias("at"), F.col("at").alias("prev_at"), F.floor(F.col("n_chars") / 2).alias("wanted"))
-    heads = docs.join(before, "at").select(F.col("prev_at").alias("at"), F.col("at").alias("next_at"), F.expr("substring(text, 1, cast(wanted as int))").alias("head"))
-    both = docs.join(heads, "at")
-    edited = F.concat(F.expr("substring(text, 1, cast(length(text) - floor(length(text) / 2) as int))"), F.col("head"))
-    of = F.array(F.struct(F.lit(0).alias("part"), F.col("text")), F.struct(F.lit(1).alias("part"), edited.alias("text")))
-    texts = both.select("doc_id", "at", "next_at", F.explode(of).alias("t")).select("doc_id", "at", "next_at", "t.part", "t.text")
-    n, digest = F.when(F.col("part") == 0, F.length("text").cast("long")), F.when(F.col("part") == 1, F.unhex(F.sha2("text", 256)))
-    found = fingerprints.fingerprints(texts.withColumns({"n_chars": n, "digest": digest}), ["doc_id", "at", "next_at", "part", "n_chars", "digest"])
-    side = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
-    one = found.groupBy("doc_id", "at", "next_at").agg(side(0, "n_chars").alias("n_chars"), side(1, "digest").alias("digest"), side(0, "samples").alias("samples"), side(1, "samples").alias("edited"))
-    one = materialize(one, "fingerprints")
-    out = one.join(one.select(F.col("at").alias("next_at"), F.col("samples").alias("next_samples")), "next_at")
+    one = materialize(sampled(docs, materialize(successors(docs), "next")), "fingerprints")
+    out = one.join(one.select(F.col("file").alias("next_file"), F.col("row").alias("next_row"), F.col("samples").alias("next_samples")), ["next_file", "next_row"])
     return out.select(
         "doc_id", "n_chars", F.lower(F.hex("digest")).alias("edited_sha256"), fingerprints.named(F.col("samples")).alias("fingerprint"), fingerprints.named(F.col("edited")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("samples"), F.col("edited")).alias("near_edited"), fingerprints.likeness(F.col("samples"), F.col("next_samples")).alias("near_next"),

@@ -319,6 +319,24 @@ def test_fingerprint_query_on_repeated_rows_and_small_tables(spark, tmp_path):
     assert [(r["doc_id"], r["near_next"]) for r in run("one")] == [(3, 1.0)] and run("none") == []
 
 
+def test_fingerprint_query_deals_texts_once(spark, tmp_path):
+    """Where nothing is broadcast, texts, places and beginnings are dealt once each, and samples are made where the texts are."""
+    rows = spark.createDataFrame([(i, f"a b c {i} " * 9) for i in range(50)], "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = llm_queries.rows_with_places(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    after = llm_queries.materialize(llm_queries.successors(docs), "next")
+    put = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        plan = llm_queries.sampled(docs, after)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("- Exchange hashpartitioning") == 3 and plan.count("- ReusedExchange") == 1
+
+
 def test_packing(spark, docs):
     lengths = np.array([1, 2, 3, 10, 11, 12, 50])
     counts = np.array([5, 1, 1, 4, 1, 1, 2])
