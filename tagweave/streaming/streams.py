@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tagweave.operators.decisions import latest_decisions
 from tagweave.sources.ingest import insert_new
@@ -189,51 +189,65 @@ def stream_publish(source: DataFrame, target: Snapshot, checkpoint: str, delay:
 STACK = StructType([StructField("user_id", LongType()), StructField("depth", IntegerType()), StructField("item_id", StringType()), StructField("action", StringType())])
 
 
+#: Steps of a block of an undo stack.
+BLOCK = 64
+
+
 class UndoStack(StatefulProcessor):
     """A stack of decisions for each user; ``undo`` pops it. Emits the depth and the top after each batch.
 
-    The state is the height and a map from place to decision: a step reads and writes one place, whatever lies below it. With ``ttl_ms``
-    a visit ends when nothing came for so long.
+    The state is one value (``height``: how many blocks lie below, and the upper end of the stack, at most two blocks) and a map from place to block. So a user costs
+    a read and a write in a batch, however many their steps and however deep the stack; a block is written when it is full and read
+    when a user has undone all above it. With ``ttl_ms`` a visit ends when nothing came for so long.
     """
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.height = handle.getValueState("height", StructType([StructField("height", IntegerType())]), self.ttl_ms)
-        self.steps = handle.getMapState("steps", StructType([StructField("place", IntegerType())]), StructType([StructField("item_id", StringType()), StructField("action", StringType())]), self.ttl_ms)
+        steps = [StructField("item_ids", ArrayType(StringType())), StructField("actions", ArrayType(StringType()))]
+        self.height = handle.getValueState("height", StructType([StructField("below", IntegerType()), *steps]), self.ttl_ms)
+        self.steps = handle.getMapState("steps", StructType([StructField("place", IntegerType())]), StructType(steps), self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         from pyspark.sql import Row
 
-        height, new = self.height.get()[0] if self.height.exists() else 0, []  # what this batch has put on top is in ``new``
+        had = self.height.get()
+        below, steps = (had[0], list(zip(had[1], had[2]))) if had else (0, [])
         for r in sorted(rows, key=lambda r: (r.ts, r.seq)):
             if r.action != "undo":
-                new.append((r.item_id, r.action))
-            elif new:
-                new.pop()
-            elif height:
-                height -= 1
-                self.steps.removeKey((height,))
-        top = new[-1] if new else None
-        if not new and height:
-            top = tuple(self.steps.getValue((height - 1,)) or ()) if self.steps.containsKey((height - 1,)) else None
-            if top is None:  # its time is over, and so is that of all below it
-                self.steps.clear()
-                height = 0
-        for i, step in enumerate(new):
-            self.steps.updateValue((height + i,), step)
-        height += len(new)
-        if height:
-            self.height.update((height,))
-        else:
+                steps.append((r.item_id, r.action))
+            elif steps:
+                steps.pop()
+                if not steps and below:
+                    below, steps = self.taken(below - 1)
+        while len(steps) > 2 * BLOCK:
+            self.steps.updateValue((below,), split(steps[:BLOCK]))
+            below, steps = below + 1, steps[BLOCK:]
+        if steps:
+            self.height.update((below, *split(steps)))
+        elif had:
             self.height.clear()
-        yield Row(user_id=key[0], depth=height, item_id=top[0] if top else None, action=top[1] if top else None)
+        top = steps[-1] if steps else (None, None)
+        yield Row(user_id=key[0], depth=below * BLOCK + len(steps), item_id=top[0], action=top[1])
+
+    def taken(self, place: int) -> tuple[int, list]:
+        """Takes a block out of the map: how many lie below it, and its steps. If its time is over, so is that of all below it."""
+        got = self.steps.getValue((place,)) if self.steps.containsKey((place,)) else None
+        if got is None:
+            self.steps.clear()
+            return 0, []
+        self.steps.removeKey((place,))
+        return place, list(zip(*got))
 
     def close(self) -> None:
         pass
 
 
+def split(steps: list) -> tuple[list, list]:
+    return [s[0] for s in steps], [s[1] for s in steps]
+
+
 def stream_undo(source: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Rows have to arrive in order (within a batch they are sorted). Needs the RocksDB state store."""
     return source.groupBy("user_id").transformWithState(statefulProcessor=UndoStack(ttl_ms), outputStructType=STACK, outputMode="Update", timeMode="ProcessingTime" if ttl_ms else "None")

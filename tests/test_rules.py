@@ -394,6 +394,82 @@ def test_undo_over_several_batches(spark, tmp_path):
     assert out.select("batch").distinct().count() == 4 and sorted(map(tuple, last.collect())) == sorted(map(tuple, X.undo_twin(log).collect()))
 
 
+def test_undo_makes_few_state_calls():
+    """A user costs a read and a write in a batch, however many steps; blocks below are met when the stack grows or shrinks by one."""
+    from collections import Counter
+    from types import SimpleNamespace
+
+    calls = Counter()
+
+    class Kept:
+        def __init__(self, *_):
+            self.d, self.v = {}, None
+
+        def get(self):
+            calls["get"] += 1
+            return self.v
+
+        def update(self, v):
+            calls["update"] += 1
+            self.v = v
+
+        def containsKey(self, k):
+            calls["block"] += 1
+            return k in self.d
+
+        def getValue(self, k):
+            return self.d[k]
+
+        def updateValue(self, k, v):
+            calls["block"] += 1
+            self.d[k] = v
+
+        def removeKey(self, k):
+            del self.d[k]
+
+        def clear(self):
+            self.d, self.v = {}, None
+
+    stack, made = X.UndoStack(), []
+    stack.init(SimpleNamespace(getValueState=lambda *a: Kept(), getMapState=lambda *a: made.append(Kept()) or made[-1]))
+    want, seq = [], 0
+    for batch in (["pass"] * 50, ["pass"] * 500, ["undo"] * 3 + ["pass"] * 2, ["undo"] * 300, ["undo"] * 185, ["undo"], ["pass"] * 200 + ["undo"] * 230, ["undo"] * 40, ["undo"] * 3, ["pass"]):
+        rows = []
+        for action in batch:
+            seq += 1
+            rows.append(SimpleNamespace(ts=seq, seq=seq, item_id=f"i{seq}", action=action))
+            if action != "undo":
+                want.append((f"i{seq}", action))
+            elif want:
+                want.pop()
+        calls.clear()
+        got = next(iter(stack.handleInputRows((7,), iter(reversed(rows)), None)))
+        assert (got.user_id, got.depth, got.item_id, got.action) == (7, len(want), *(want[-1] if want else (None, None)))
+        assert calls["get"] == 1 and calls["update"] <= 1 and calls["block"] <= 2 + len(batch) // X.BLOCK
+    assert not made[0].d and want == [(f"i{seq}", "pass")]
+
+
+def test_deep_undo_over_several_batches(spark, tmp_path):
+    """Stacks of several blocks, in the real state: what batches leave below is found again when later ones undo."""
+    at = lambda t: t * 7 % 11 < 4 if t < 900 else t * 7 % 11 < 9
+    rows = [(u, t, t, f"i{t}", "undo" if at(t + u) else "pass") for u in range(3) for t in range(1200)]
+    log = spark.createDataFrame(rows, "user_id long, ts long, seq long, item_id string, action string")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for i in range(4):
+            log.filter((F.col("ts") >= 300 * i) & (F.col("ts") < 300 * i + 300)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        put = lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{tmp_path}/out")
+        X.stream_undo(source).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key)
+    out = spark.read.parquet(f"{tmp_path}/out").cache()
+    for i in range(4):
+        assert sorted(map(tuple, out.filter(F.col("batch") == i).drop("batch").collect())) == sorted(map(tuple, X.undo_twin(log.filter(F.col("ts") < 300 * i + 300)).collect()))
+    assert out.agg(F.max("depth")).first()[0] > 2 * X.BLOCK
+
+
 def test_runs_of_decisions(spark):
     """A run of decided positions gives what a row for each of its items gives, and is never made into these rows."""
     items = spark.range(9000).selectExpr("concat('event:', id) item_id", "'event' item_type", "'T' title", "'A' campus", "timestamp'2026-02-01' + make_interval(0, 0, 0, id % 40) starts_at", "1 is_active", "id % 7 = 0 is_demo", "timestamp'2026-01-01' created_at")
