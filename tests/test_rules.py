@@ -501,6 +501,19 @@ def test_whole_decks_are_not_shuffled(spark):
     assert "Generate posexplode" in plan.split("Join")[0]
 
 
+def test_gaps_are_shuffled_once(spark):
+    """A gap over many blocks is one row where it is shuffled: blocks are found after it met its order. Nothing is lost at their ends."""
+    positions = spark.range(1, 1001).selectExpr("'A' campus", "'all' kind", "concat('event:', id) item_id", "id pos")
+    users = spark.range(30).selectExpr("id user_id", "'A' campus", "'all' kind", "1000L n", "0L head")
+    taken = spark.range(30).selectExpr("id user_id", "id * 17 + 1 low", "id * 20 + 10 high")
+    gaps = P.free_gaps(users, taken).cache()
+    free = P.free_items(gaps, positions, stretch=10)
+    each = gaps.withColumn("pos", F.explode(F.sequence("low", "high"))).selectExpr("user_id", "concat('event:', pos) item_id", "pos + shift place")
+    assert sorted(map(tuple, free.collect())) == sorted(map(tuple, each.collect())) and each.count() > 25000
+    plan = P.free_items(P.free_gaps(users, taken), positions, stretch=10)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Generate" in line and "low#" in line]
+
+
 def test_equal_items_are_searched_as_one(spark):
     """Items of equal content have equal scores: a query looks at the contents, and the names decide among items."""
     items = catalog_of(spark, 700)
