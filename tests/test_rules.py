@@ -7,6 +7,7 @@ import random
 import re
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -533,6 +534,38 @@ def test_terms_are_counted_in_the_row(spark):
     assert R.build_index(items).count() == 3 and R.build_index(items.limit(0)).count() == 0
 
 
+def test_rows_of_the_index_are_bounded(spark):
+    """However many items hold a term, a row of its list has 256 of them at most, and a query still finds the best of all rows."""
+    items = catalog_of(spark, 700)
+    index = R.build_index(items)
+    assert [r[0] for r in index.select(F.size("items").alias("n")).orderBy("n").collect()] == [188, 256, 256]
+    each = index.selectExpr("inline(items)").select("item_id", "tf", "length").collect()
+    assert sorted(map(tuple, each)) == [(f"group:{i:04d}", 1 + i % 3, 1 + i % 3) for i in range(700)]
+    profiles = spark.createDataFrame([(1, "A", "chess", ["x"], "")], "user_id long, campus string, major string, interests array<string>, bio string")
+    best = [r["item_id"] for r in R.recommend(profiles, index, F.lit("2026-01-01").cast("timestamp"), 600).orderBy("rank").collect()]
+    assert best == sorted((f"group:{i:04d}" for i in range(700)), key=lambda i: (-(int(i[6:]) % 3), i))[:600]
+
+
+def test_a_shard_is_written_in_small_batches(spark):
+    """A shard's lists leave a task piece by piece, with every posting once."""
+    schema = pa.schema([("campus", pa.string()), ("shard", pa.int32()), ("term", pa.string()), ("items", pa.list_(pa.struct([("item_id", pa.string()), ("tf", pa.int32())])))])
+    counts = [[{"term": f"t{j}", "tf": j + 1} for j in range(1 + i % 7)] for i in range(100)]
+    items = pa.table({"campus": ["A"] * 100, "shard": pa.array([0] * 100, pa.int32()), "item_id": [f"i{i}" for i in range(100)], "counts": counts})
+    batches = list(R._lists(items, schema, block=8, rows=5))
+    assert len(batches) > 10 and max(b.num_rows for b in batches) <= 5 and max(len(r["items"]) for b in batches for r in b.to_pylist()) <= 8
+    got = sorted((r["term"], x["item_id"], x["tf"]) for b in batches for r in b.to_pylist() for x in r["items"])
+    assert got == sorted((c["term"], f"i{i}", c["tf"]) for i in range(100) for c in counts[i])
+
+
+def test_lists_that_nobody_asks_for_stay(spark):
+    """Of 2,000 terms, the lists of those that a campus asks for go to the search, and hardly any others."""
+    index = spark.range(2000).selectExpr("array('A', 'B')[int(id % 2)] campus", "concat('t', id) term")
+    wanted = spark.range(0, 2000, 50).selectExpr("'A' campus", "concat('t', id) term")
+    asked = wanted.groupBy("campus").agg(F.bitmap_construct_agg(R.term_bit("term")).alias("asked"))
+    got = {tuple(r) for r in R.asked_lists(index, asked).select("campus", "term").collect()}
+    assert {tuple(r) for r in wanted.collect()} <= got and len(got) < 50
+
+
 def test_stream_files_follow_the_input(spark, tmp_path):
     """A larger table makes more files in each micro-batch, not larger ones; nothing is lost."""
     from tagweave.plans import queries as Q
